@@ -55,3 +55,13 @@ def settle(df: DataFrame) -> DataFrame:
     """Materialise in the shared folder: lineage ends, lost executors cost nothing."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def dealt_anew(key: Column) -> Column:
+    """A key that is equal where ``key`` (long) is, for joining a table back to its own sums.
+
+    The sums of a group-by are already dealt by their key, and a join that reuses that
+    has no exchange of its own on that side; Spark then can't split a partition in which
+    one key has most rows. On this key both sides are exchanged, and it can.
+    """
+    return key.bitwiseXOR(F.lit(1))

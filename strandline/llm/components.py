@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import dealt_anew, settle
 
 MOST_ROUNDS = 100
 
@@ -21,16 +21,21 @@ def _both(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array(F.struct(F.col("u"), F.col("v")), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
 
 
+def _joined(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """Edges with the ``m`` of their ``u``."""
+    return edges.withColumn("k", dealt_anew(F.col("u"))).join(least.select(dealt_anew(F.col("u")).alias("k"), "m"), "k")
+
+
 def _large(edges: DataFrame) -> DataFrame:
     both = _both(edges)
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+    return _joined(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = _joined(down, least).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
 
 

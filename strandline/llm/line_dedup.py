@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import dealt_anew, whole_text
 
 SLOTS = 1 << 18
 #: One line in so many ends a chunk.
@@ -61,7 +61,8 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     place = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("at").alias("at"))
     firsts = found.groupBy("key", "size").agg(F.min(F.struct(place.alias("place"), F.col("content").alias("content"))).alias("first"))
     return (
-        found.join(firsts, ["key", "size"])
+        found.withColumn("k", dealt_anew(F.col("key")))
+        .join(firsts.select(dealt_anew(F.col("key")).alias("k"), "size", "first"), ["k", "size"])
         .where((F.col("content") == F.col("first.content")) & ~place.eqNullSafe(F.col("first.place")))
         .select("id", "at", "n")
     )

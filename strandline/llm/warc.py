@@ -181,8 +181,11 @@ def mark_revisits(records: DataFrame, least_bytes: int = REVISIT_BYTES) -> DataF
         .where("first != other").drop("other")
     )
     revisits = F.col("first").isNotNull() & (F.col("page_id") != F.col("first"))
+    again = F.col("payload_bytes").bitwiseXOR(F.lit(1))  # both sides are dealt anew, see common.dealt_anew
     return (
-        records.join(groups, ["payload_digest", "payload_bytes"], "left")
+        records.withColumn("_size", again)
+        .join(groups.select("payload_digest", again.alias("_size"), "first"), ["payload_digest", "_size"], "left")
+        .drop("_size")
         .withColumn("refers_to", F.when(revisits, F.col("first")))
         .withColumn("record_type", F.when(F.col("refers_to").isNotNull(), F.lit("revisit")).otherwise(F.lit("response")))
         .drop("first")

@@ -12,6 +12,7 @@ Spark writes will do, and ``read_warc`` parses them again.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import uuid
@@ -223,7 +224,7 @@ def write_warc(records: DataFrame, folder: str, records_per_file: int = RECORDS_
     """Write WARC files into ``folder`` (it must not exist), in parallel, one stream per task.
 
     A task's records begin with a warcinfo record. The text writer ends each value with a
-    line feed, which is the last byte of a record.
+    line feed, which is the last byte of a record. Files are compressed with gzip.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,7 +241,7 @@ def write_warc(records: DataFrame, folder: str, records_per_file: int = RECORDS_
 
     (
         records.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
-        .write.option("maxRecordsPerFile", records_per_file).option("lineSep", "\n").text(folder)
+        .write.option("maxRecordsPerFile", records_per_file).option("lineSep", "\n").option("compression", "gzip").text(folder)
     )
 
 
@@ -276,7 +277,7 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
         for batch in batches:
             for file in batch.column(0):
                 rows = []
-                for headers, block in parse_warc(file.as_py()):
+                for headers, block in parse_warc(gzip.decompress(file.as_py())):
                     if headers["warc-type"] not in ("response", "revisit"):
                         continue
                     if hashlib.sha1(block).hexdigest() != plain(headers["warc-block-digest"]):

@@ -208,8 +208,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> l
     rows = docs.select("doc_id", "text")
     stats = text_stats(rows.join(F.broadcast(some), rows["doc_id"] == some["_id"]), keep=("doc_id", "_q"))
     named = features()
-    labelled = stats.where("not base_failed").select("doc_id", "_q", *[named[n].alias(n) for n in FEATURES])
-    table = sorted(tuple(r) for r in labelled.collect())
+    # base_failed is looked at here: as a filter it would be pushed below the join and computed for every row
+    labelled = stats.select("doc_id", "_q", *[named[n].alias(n) for n in FEATURES], "base_failed").collect()
+    table = sorted(tuple(r[:-1]) for r in labelled if not r["base_failed"])
     if not table:
         return []
     return learn_rules(np.array([r[2:] for r in table]), np.array([r[1] == 0 for r in table]))

@@ -71,11 +71,12 @@ def exact_groups(
     groups = (
         hashed.where("_digest is not null").groupBy("_digest")
         .agg(F.max("_id").alias("_keep"), F.count("*").alias("_n")).where("_n > 1")
-        .withColumnRenamed("_digest", "_key")
+        # a key of its own: the sums are dealt by _digest, and joining on that Spark could not split a hot text
+        .select(F.concat(F.lit("="), "_digest").alias("_key"), "_keep", "_n")
     )
     alone = F.concat(F.lit("#"), F.coalesce(F.col("_id").cast("string"), F.lit("")))
     return (
-        hashed.withColumn("_key", F.coalesce("_digest", alone))
+        hashed.withColumn("_key", F.coalesce(F.concat(F.lit("="), "_digest"), alone))
         .join(groups, "_key", "left")
         .select(
             F.col("_id").alias(id_col),

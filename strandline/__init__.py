@@ -1,0 +1 @@
+"""Frame-indexed measurement data on Spark: inventories, geometry, time series."""

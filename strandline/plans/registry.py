@@ -1,9 +1,434 @@
-"""The registered queries of the measurement engine and their SQL."""
+"""The registered queries of the measurement engine, each beside its DuckDB SQL."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from ..functions import columns as C
+from ..operators import frames as frame_ops
+from ..operators import inventory as inv
+from ..operators import pixels as px
+from ..operators import timeseries as ts
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f: Query) -> Query:
+        _queries[f.__name__] = f
+        if sql is not None:
+            _sql[f.__name__] = sql
+        return f
+
+    return register
+
+
+def queries() -> dict[str, Query]:
+    return dict(_queries)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_sql)
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _r(c, digits: int = 6):
+    return F.round(F.col(c) if isinstance(c, str) else c, digits)
+
+
+def _counting(last: int, step: int = 1):
+    """Rows for 0, step, ... up to last, as long."""
+    return F.explode(F.sequence(*[F.lit(v).cast("long") for v in (0, last, step)]))
+
+
+# --- time series: a series per user, errors are missing values -----------------------------------------------
+
+KEY, IDX = ["user_id"], "frame_idx"
+
+
+def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``user_id, frame_idx, raw, value``: raw as measured, value null where the event is an error."""
+    events = _table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type", F.col("value").alias("raw"))
+    return ts.number_rows(events, KEY, ["ts", "event_id"]).select(
+        "user_id", IDX, "raw", F.when(F.col("event_type") != "error", F.col("raw")).alias("value"), "event_type"
+    )
+
+
+SERIES_SQL = """
+s AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame_idx, value AS raw,
+             CASE WHEN event_type <> 'error' THEN value END AS value, event_type FROM events)
+"""
+
+
+def _fill_sql(source: str = "s", value: str = "value") -> str:
+    """Interpolated values by way of the nearest valid positions on either side."""
+    return f"""
+n AS (SELECT *, last_value(CASE WHEN {value} IS NOT NULL THEN frame_idx END IGNORE NULLS) OVER a AS pi, last_value({value} IGNORE NULLS) OVER a AS pv,
+             first_value(CASE WHEN {value} IS NOT NULL THEN frame_idx END IGNORE NULLS) OVER b AS ni, first_value({value} IGNORE NULLS) OVER b AS nv
+      FROM {source}
+      WINDOW a AS (PARTITION BY user_id ORDER BY frame_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+             b AS (PARTITION BY user_id ORDER BY frame_idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+f AS (SELECT user_id, frame_idx, raw, {value} IS NULL AS is_interpolated,
+             CASE WHEN pi IS NULL THEN nv WHEN ni IS NULL THEN pv WHEN pi = ni THEN pv ELSE (nv - pv) / (ni - pi) * (frame_idx - pi) + pv END AS filled FROM n)
+"""
+
+
+def _gauss_sql(source: str, column: str, sigma: float) -> str:
+    w = ts.gaussian_weights(sigma)
+    r = len(w) // 2
+    taps = ", ".join(f"({k}, {x!r})" for k, x in enumerate(w, -r))
+    return f"""
+w(k, x) AS (VALUES {taps}),
+e AS (SELECT user_id, max(frame_idx) AS top FROM {source} GROUP BY user_id),
+g AS (SELECT a.user_id, a.frame_idx, sum(w.x * b.{column}) AS smooth
+      FROM {source} a JOIN e USING (user_id) CROSS JOIN w
+      JOIN {source} b ON b.user_id = a.user_id AND b.frame_idx = least(greatest(a.frame_idx + w.k, 0), e.top) GROUP BY ALL)
+"""
+
+
+@query(f"WITH {SERIES_SQL}, {_fill_sql()} SELECT user_id, frame_idx, round(filled, 6) AS filled, is_interpolated FROM f")
+def ts_gap_fill(spark, sf_dir):
+    s = _series(spark, sf_dir).withColumn("filled", F.col("value"))
+    return ts.fill_gaps(s, KEY, IDX, ["filled"]).select("user_id", IDX, _r("filled").alias("filled"), "is_interpolated")
+
+
+@query(_sql["ts_gap_fill"])
+def ts_gap_fill_chunked(spark, sf_dir):
+    """The same in chunks of 16 rows, the form for series that outgrow a task."""
+    s = _series(spark, sf_dir).withColumn("filled", F.col("value"))
+    return ts.fill_gaps(s, KEY, IDX, ["filled"], chunk_rows=16).select("user_id", IDX, _r("filled").alias("filled"), "is_interpolated")
+
+
+@query(f"WITH {SERIES_SQL} SELECT user_id, frame_idx, value IS NULL OR raw < 20 AS is_interpolated FROM s")
+def ts_gap_flag_or(spark, sf_dir):
+    s = _series(spark, sf_dir)
+    return s.select("user_id", IDX, (F.col("value").isNull() | (F.col("raw") < 20)).alias("is_interpolated"))
+
+
+@query(f"""WITH {SERIES_SQL}, l AS (SELECT *, CASE WHEN event_type = 'error' THEN NULL ELSE 0.8 + (frame_idx % 3) / 10.0::DOUBLE END AS t, 0.85 + (frame_idx % 2) / 10.0::DOUBLE AS k FROM s),
+v AS (SELECT user_id, frame_idx, raw, CASE WHEN t >= 0.9 AND k >= 0.9 THEN raw END AS value, raw * 2 AS tail FROM l), {_fill_sql('v')}
+SELECT user_id, frame_idx, round(filled, 6) AS tail_x, round(filled * 2, 6) AS neck_x, is_interpolated FROM f""")
+def ts_gap_likelihood(spark, sf_dir):
+    """Keypoints with likelihoods: both must reach 0.9 for a row to count."""
+    s = _series(spark, sf_dir)
+    pose = s.select(
+        "user_id", IDX, F.col("raw").alias("tail_x"), F.col("raw").alias("tail_y"), (F.col("raw") * 2).alias("neck_x"), (F.col("raw") * 2).alias("neck_y"),
+        F.when(F.col("event_type") != "error", 0.8 + (F.col(IDX) % 3) / 10.0).alias("tail_likelihood"), (0.85 + (F.col(IDX) % 2) / 10.0).alias("neck_likelihood"),
+    )
+    return ts.fill_pose(pose, KEY, IDX).select("user_id", IDX, _r("tail_x").alias("tail_x"), _r("neck_x").alias("neck_x"), "is_interpolated")
+
+
+def _median_sql(back: int, ahead: int) -> str:
+    return f"WITH {SERIES_SQL} SELECT user_id, frame_idx, round(quantile_cont(raw, 0.5) OVER (PARTITION BY user_id ORDER BY frame_idx ROWS BETWEEN {back} PRECEDING AND {ahead} FOLLOWING), 6) AS smooth FROM s"
+
+
+@query(_median_sql(4, 4))
+def ts_roll_median9(spark, sf_dir):
+    return ts.rolling_median(_series(spark, sf_dir), KEY, IDX, ["raw"], 9).select("user_id", IDX, _r("raw").alias("smooth"))
+
+
+@query(_median_sql(4, 4))
+def ts_roll_median9_chunked(spark, sf_dir):
+    return ts.rolling_median(_series(spark, sf_dir), KEY, IDX, ["raw"], 9, chunk_rows=16).select("user_id", IDX, _r("raw").alias("smooth"))
+
+
+@query(_median_sql(2, 1))
+def ts_roll_median4(spark, sf_dir):
+    return ts.rolling_median(_series(spark, sf_dir), KEY, IDX, ["raw"], 4).select("user_id", IDX, _r("raw").alias("smooth"))
+
+
+def _gauss(spark, sf_dir, sigma, **options):
+    return ts.gaussian_smooth(_series(spark, sf_dir), KEY, IDX, ["raw"], sigma, **options).select("user_id", IDX, _r("raw").alias("smooth"))
+
+
+def _gauss_query(sigma: float) -> str:
+    return f"WITH {SERIES_SQL}, {_gauss_sql('s', 'raw', sigma)} SELECT user_id, frame_idx, round(smooth, 6) AS smooth FROM g"
+
+
+@query(_gauss_query(2.0))
+def ts_gauss_s2(spark, sf_dir):
+    return _gauss(spark, sf_dir, 2.0)
+
+
+@query(_gauss_query(2.0))
+def ts_gauss_s2_chunked(spark, sf_dir):
+    return _gauss(spark, sf_dir, 2.0, chunk_rows=16)
+
+
+@query(_gauss_query(1.5))
+def ts_gauss_s15(spark, sf_dir):
+    return _gauss(spark, sf_dir, 1.5)
+
+
+@query(_gauss_query(20.0))
+def ts_gauss_s20(spark, sf_dir):
+    """A radius of 80 rows, past the unrolled form."""
+    return _gauss(spark, sf_dir, 20.0)
+
+
+@query(f"WITH {SERIES_SQL}, {_fill_sql()}, {_gauss_sql('f', 'filled', 2.0)} SELECT g.user_id, g.frame_idx, round(smooth, 6) AS smooth, is_interpolated FROM g JOIN f USING (user_id, frame_idx)")
+def ts_fill_then_smooth(spark, sf_dir):
+    s = _series(spark, sf_dir)
+    filled = ts.fill_gaps(s, KEY, IDX, ["value"])
+    return ts.smooth(filled, KEY, IDX, ["value"]).select("user_id", IDX, _r("value").alias("smooth"), "is_interpolated")
+
+
+@query(f"WITH {SERIES_SQL}, {_fill_sql()}, j AS (SELECT user_id, abs(filled - lag(filled) OVER (PARTITION BY user_id ORDER BY frame_idx)) AS d FROM f) SELECT user_id, round(avg(d), 6) AS mean_step, round(max(d), 6) AS max_step FROM j GROUP BY user_id")
+def ts_jitter_stats(spark, sf_dir):
+    filled = ts.fill_gaps(_series(spark, sf_dir), KEY, IDX, ["value"]).withColumn("flat", F.lit(0.0))
+    return ts.jitter(filled, KEY, IDX, "value", "flat").select("user_id", _r("mean_step").alias("mean_step"), _r("max_step").alias("max_step"))
+
+
+@query(f"WITH {SERIES_SQL} SELECT a.user_id, a.frame_idx, a.raw, b.value FROM s a JOIN s b USING (user_id, frame_idx)")
+def pos_join_frames(spark, sf_dir):
+    """Two tables of one series, joined by position."""
+    s = _series(spark, sf_dir)
+    return s.select("user_id", IDX, "raw").join(s.select("user_id", IDX, "value"), ["user_id", IDX])
+
+
+@query(f"WITH {SERIES_SQL} SELECT user_id, frame_idx, raw FROM s WHERE frame_idx % 10 = 0")
+def sub_uniform(spark, sf_dir):
+    return ts.uniform_subsample(_series(spark, sf_dir), IDX, 10).select("user_id", IDX, "raw")
+
+
+# --- inventories: files, companions, summaries -----------------------------------------------------------------
+
+NAMES_SQL = """
+p AS (SELECT '/data/' || CASE WHEN c_custkey % 7 = 0 THEN 'session-x_cuttle-' ELSE 'session-' || (c_custkey % 40) || '_cuttle-' END || c_nationkey || '.mp4' AS path, c_custkey FROM customer),
+n AS (SELECT path, c_custkey, regexp_extract(path, '([^/]+)\\.mp4$', 1) AS stem FROM p)
+"""
+
+
+def _named(spark, sf_dir) -> DataFrame:
+    c = _table(spark, sf_dir, "customer")
+    head = F.when(F.col("c_custkey") % 7 == 0, F.lit("session-x_cuttle-")).otherwise(F.concat(F.lit("session-"), (F.col("c_custkey") % 40).cast("string"), F.lit("_cuttle-")))
+    return inv.parse_names(c.select("c_custkey", F.concat(F.lit("/data/"), head, F.col("c_nationkey").cast("string"), F.lit(".mp4")).alias("path")))
+
+
+@query(f"WITH {NAMES_SQL} SELECT c_custkey, stem, regexp_extract(stem, 'session-(\\d+)_cuttle-(\\d+)', 1)::BIGINT AS session_id, regexp_extract(stem, 'session-(\\d+)_cuttle-(\\d+)', 2)::BIGINT AS fish_id, stem || '_overlay.mp4' AS overlay_name FROM n WHERE regexp_full_match(stem, 'session-\\d+_cuttle-\\d+')")
+def inv_parse_names(spark, sf_dir):
+    return _named(spark, sf_dir).where("session_id is not null").select("c_custkey", "stem", "session_id", "fish_id", C.sibling(F.col("stem"), "_overlay.mp4").alias("overlay_name"))
+
+
+@query(f"WITH {NAMES_SQL} SELECT path, 'unexpected name' AS warning FROM n WHERE NOT regexp_full_match(stem, 'session-\\d+_cuttle-\\d+')")
+def inv_unexpected_names(spark, sf_dir):
+    return inv.unexpected_names(_named(spark, sf_dir))
+
+
+def _inventory(spark, sf_dir) -> DataFrame:
+    """Orders as videos, lineitems as listed blank frames; an order has a list unless its key is a multiple of 5."""
+    o, li = _table(spark, sf_dir, "orders"), _table(spark, sf_dir, "lineitem")
+    left = o.select(F.col("o_orderkey").cast("string").alias("stem"), (F.col("o_custkey") % 72).alias("session_id"), (F.col("o_orderkey") % 6).cast("long").alias("n_frames"))
+    files = o.where("o_orderkey % 5 != 0").select(F.col("o_orderkey").cast("string").alias("stem"), F.concat(F.lit("/data/"), F.col("o_orderkey").cast("string"), F.lit(".txt")).alias("path"))
+    lines = li.select(F.col("l_orderkey").cast("string").alias("stem"), F.col("l_linenumber").cast("long").alias("frame_idx"))
+    return inv.with_companions(left, files, inv.count_per_key(lines, "stem", "frame_idx")).withColumn("path", F.col("companion"))
+
+
+INVENTORY_SQL = """
+c AS (SELECT l_orderkey, count(*) AS n, max(l_linenumber)::BIGINT AS largest FROM lineitem GROUP BY 1),
+i AS (SELECT o_orderkey::VARCHAR AS stem, o_custkey % 72 AS session_id, (o_orderkey % 6)::BIGINT AS n_frames,
+             CASE WHEN o_orderkey % 5 <> 0 THEN '/data/' || o_orderkey || '.txt' END AS companion,
+             CASE WHEN o_orderkey % 5 <> 0 THEN coalesce(n, 0) END AS n_blank_frames, largest
+      FROM orders LEFT JOIN c ON l_orderkey = o_orderkey)
+"""
+
+
+@query(f"WITH {INVENTORY_SQL} SELECT stem, session_id, n_frames, companion, n_blank_frames FROM i")
+def inv_left_join_counts(spark, sf_dir):
+    return _inventory(spark, sf_dir).select("stem", "session_id", "n_frames", "companion", "n_blank_frames")
+
+
+@query(f"WITH {INVENTORY_SQL} SELECT companion AS path, 'index ' || largest || ' outside ' || n_frames || ' frames' AS warning FROM i WHERE largest >= n_frames AND companion IS NOT NULL")
+def inv_out_of_range(spark, sf_dir):
+    return inv.out_of_range(_inventory(spark, sf_dir).where("companion is not null"))
+
+
+@query(f"WITH {INVENTORY_SQL} SELECT count(*) AS n_videos, count(DISTINCT session_id) AS n_sessions, coalesce(sum(n_frames), 0)::BIGINT AS total_frames, coalesce(sum(n_blank_frames), 0)::BIGINT AS total_blank_frames FROM i")
+def inv_summary(spark, sf_dir):
+    return inv.summary(_inventory(spark, sf_dir))
+
+
+@query("SELECT c_custkey AS stem, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
+def inv_missing_anti(spark, sf_dir):
+    c = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("stem"), "c_name")
+    return inv.missing(c, _table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("stem")))
+
+
+# --- geometry in columns -----------------------------------------------------------------------------------------
+
+
+@query("""WITH m AS (SELECT l_returnflag AS f, avg(l_quantity) AS cx, avg(l_extendedprice) AS cy, var_samp(l_quantity) AS vx, var_samp(l_extendedprice) AS vy, covar_samp(l_quantity, l_extendedprice) AS c FROM lineitem GROUP BY 1)
+SELECT f, round(cx, 6) AS cx, round(cy, 4) AS cy, round(degrees(atan2(2 * c, vx - vy)) / 2, 6) AS angle FROM m""")
+def geo_pca_angle(spark, sf_dir):
+    points = _table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("f"), F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("y"), F.lit(255).alias("m"))
+    return px.orientation(points).select("f", _r("cx").alias("cx"), _r("cy", 4).alias("cy"), _r("angle").alias("angle"))
+
+
+@query(f"""WITH {SERIES_SQL}, k AS (SELECT user_id, frame_idx, frame_idx::DOUBLE AS tx, raw AS ty, frame_idx + 1.5 AS nx, lead(raw) OVER (PARTITION BY user_id ORDER BY frame_idx) AS ny FROM s)
+SELECT user_id, frame_idx, round((tx + nx) / 2, 6) AS cx, round((ty + ny) / 2, 6) AS cy, round(degrees(atan2(ny - ty, nx - tx)), 6) AS angle FROM k""")
+def geo_signed_angle(spark, sf_dir):
+    from pyspark.sql import Window as W
+
+    line = W.partitionBy("user_id").orderBy(IDX)
+    s = _series(spark, sf_dir)
+    cx, cy, a = C.signed_orientation(F.col(IDX).cast("double"), F.col("raw"), F.col(IDX) + 1.5, F.lead("raw").over(line))
+    return s.select("user_id", IDX, _r(cx).alias("cx"), _r(cy).alias("cy"), _r(a).alias("angle"))
+
+
+@query("""WITH r AS (SELECT p_partkey, p_size::DOUBLE AS x, p_partkey % 50 + 0.5 AS y, p_partkey % 360 AS a, ceil(sqrt((p_size + 10.0) ** 2 + (p_partkey % 90 + 10.0) ** 2)) AS side FROM part),
+t AS (SELECT *, cos(radians(a)) AS c, sin(radians(a)) AS s FROM r)
+SELECT p_partkey, side::BIGINT AS side, round(c * (x - 20) + s * (y - 30) + side / 2, 6) AS u, round(c * (y - 30) - s * (x - 20) + side / 2, 6) AS v, round(x, 6) AS back_x, round(y, 6) AS back_y FROM t""")
+def geo_affine_corners(spark, sf_dir):
+    """Points turned upright and back."""
+    p = _table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("x"), (F.col("p_partkey") % 50 + 0.5).alias("y"), (F.col("p_partkey") % 360).alias("a"), "p_size")
+    side = C.canvas_side(F.col("p_size") + 10.0, F.col("p_partkey") % 90 + 10.0)
+    cx, cy = F.lit(20.0), F.lit(30.0)
+    u, v = C.upright(F.col("x"), F.col("y"), cx, cy, F.col("a"), side)
+    bx, by = C.from_upright(u, v, cx, cy, F.col("a"), side)
+    return p.select("p_partkey", side.cast("long").alias("side"), _r(u).alias("u"), _r(v).alias("v"), _r(bx).alias("back_x"), _r(by).alias("back_y"))
+
+
+@query("""WITH g AS (SELECT p_partkey, p_size::DOUBLE AS s, u, v FROM part, range(0, 8, 2) a(u), range(0, 4, 2) b(v))
+SELECT p_partkey, u, v, round(s + u / 8.0 * (2 * s - s) + v / 4.0 * (s - 1 - s), 6) AS x, round(s + u / 8.0 * (s + 1 - s) + v / 4.0 * (3 * s - s), 6) AS y FROM g""")
+def geo_warp_coords(spark, sf_dir):
+    """Where each crop pixel comes from."""
+    s = F.col("p_size").cast("double")
+    grid = _table(spark, sf_dir, "part").select("p_partkey", "p_size", _counting(6, 2).alias("u")).withColumn("v", _counting(2, 2))
+    x, y = C.crop_source(F.col("u"), F.col("v"), 8, 4, (s, s), (2 * s, s + 1), (s - 1, 3 * s))
+    return grid.select("p_partkey", "u", "v", _r(x).alias("x"), _r(y).alias("y"))
+
+
+@query("SELECT p_partkey, round_even(p_size * 2.5, 0)::BIGINT AS width, trunc(p_retailprice)::BIGINT AS whole, trunc(-p_retailprice)::BIGINT AS negative FROM part")
+def px_rounding(spark, sf_dir):
+    p = _table(spark, sf_dir, "part")
+    return p.select("p_partkey", C.crop_width(F.lit(2.5), F.col("p_size")).alias("width"), C.toward_zero(F.col("p_retailprice")).alias("whole"), C.toward_zero(-F.col("p_retailprice")).alias("negative"))
+
+
+# --- pixel tables: one made-up frame per nation --------------------------------------------------------------------
+
+WIDTH, HEIGHT = 32, 24
+
+PIXELS_SQL = f"""
+q AS (SELECT n_nationkey::BIGINT AS f, y, x,
+             CASE WHEN 4 * (x - 16) * (x - 16) + 9 * (y - 12) * (y - 12) <= 500 + 20 * n_nationkey AND NOT (x BETWEEN 14 AND 15 AND y BETWEEN 11 AND 12) THEN 100 + n_nationkey
+                  WHEN x >= 29 AND y <= n_nationkey % 5 THEN 60 ELSE 0 END AS g
+      FROM nation, range({HEIGHT}) a(y), range({WIDTH}) b(x))
+"""
+
+
+def _pixels(spark, sf_dir) -> DataFrame:
+    """``f, y, x, g``: an ellipse with a dark patch, and sometimes a speck in a corner."""
+    n = F.col("n_nationkey")
+    x, y = F.col("x"), F.col("y")
+    grid = _table(spark, sf_dir, "nation").select("n_nationkey", _counting(HEIGHT - 1).alias("y")).withColumn("x", _counting(WIDTH - 1))
+    patch = x.between(14, 15) & y.between(11, 12)
+    body = 4 * (x - 16) * (x - 16) + 9 * (y - 12) * (y - 12) <= 500 + 20 * n
+    g = F.when(body & ~patch, 100 + n).when((x >= 29) & (y <= n % 5), 60).otherwise(0)
+    return grid.select(n.cast("long").alias("f"), "y", "x", g.cast("int").alias("g"))
+
+
+MASK_SQL = f"{PIXELS_SQL}, k AS (SELECT f, y, x, CASE WHEN g <= 0 THEN 0 ELSE 255 END AS m FROM q)"
+
+
+def _mask(spark, sf_dir) -> DataFrame:
+    return px.background_mask(_pixels(spark, sf_dir)).select("f", "y", "x", (255 - F.col("m")).alias("m"))
+
+
+@query(f"WITH {PIXELS_SQL} SELECT f, y, x, CASE WHEN g <= 0 THEN 255 ELSE 0 END AS m FROM q")
+def px_threshold(spark, sf_dir):
+    return px.background_mask(_pixels(spark, sf_dir)).select("f", "y", "x", "m")
+
+
+@query(f"WITH {PIXELS_SQL} SELECT f, y, x, (g * 1868 + (g // 2) * 9617 + (255 - g) * 4899 + 8192) // 16384 AS gray FROM q")
+def px_gray(spark, sf_dir):
+    p = _pixels(spark, sf_dir)
+    return p.select("f", "y", "x", C.gray(F.col("g"), F.shiftright("g", 1), 255 - F.col("g")).cast("long").alias("gray"))
+
+
+@query(f"WITH {MASK_SQL} SELECT f, y, x, CASE WHEN x >= round_even(10.5 + f / 2.0, 0) THEN 0 ELSE m END AS m FROM k")
+def px_neck_cut(spark, sf_dir):
+    return px.cut_at(_mask(spark, sf_dir).withColumn("neck", 10.5 + F.col("f") / 2.0), "neck").drop("neck")
+
+
+@query(f"WITH {MASK_SQL}, r AS (SELECT *, sum(m) OVER (PARTITION BY f, y ORDER BY x) AS rs FROM k) SELECT f, y, x, (sum(rs) OVER (PARTITION BY f, x ORDER BY y))::BIGINT AS s FROM r")
+def px_integral(spark, sf_dir):
+    return px.integral(_mask(spark, sf_dir)).select("f", "y", "x", "s")
+
+
+BOXES_SQL = "b AS (SELECT n_nationkey::BIGINT AS f, i AS box, 6 + i AS x0, 4 + i % 5 AS y0, 18 - i AS w, 9 - i % 9 AS h FROM nation, range(10) t(i))"
+
+
+@query(f"WITH {MASK_SQL}, {BOXES_SQL}, t AS (SELECT b.f, box, x0, y0, w, h, sum(m) AS total FROM b LEFT JOIN k ON k.f = b.f AND x >= x0 AND x < x0 + w AND y >= y0 AND y < y0 + h GROUP BY ALL) SELECT f, box, coalesce(total, 0) >= 255 * w * h AS inside FROM t")
+def px_box_inside(spark, sf_dir):
+    i = F.col("box")
+    boxes = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("f"), _counting(9).alias("box")).select("f", "box", (6 + i).alias("x0"), (4 + i % 5).alias("y0"), (18 - i).alias("w"), (9 - i % 9).alias("h"))
+    return px.boxes_inside(px.integral(_mask(spark, sf_dir)), boxes).select("f", "box", "inside")
+
+
+@query(f"""WITH {MASK_SQL}, m AS (SELECT f, avg(x) AS cx, avg(y) AS cy, var_samp(x) AS vx, var_samp(y) AS vy, covar_samp(x, y) AS c FROM k WHERE m > 0 GROUP BY f)
+SELECT f, round(cx, 6) AS cx, round(cy, 6) AS cy, round(degrees(atan2(2 * c, vx - vy)) / 2, 6) AS angle FROM m""")
+def px_mask_pca(spark, sf_dir):
+    return px.orientation(_mask(spark, sf_dir)).select("f", _r("cx").alias("cx"), _r("cy").alias("cy"), _r("angle").alias("angle"))
+
+
+LARGEST_SQL = f"""
+WITH RECURSIVE {MASK_SQL}, o AS (SELECT f, y, x, y * {WIDTH} + x AS id FROM k WHERE m > 0),
+c(f, y, x, label) AS (SELECT f, y, x, id FROM o WHERE x = (SELECT min(x) FROM o o2 WHERE o2.f = o.f AND o2.y = o.y) OR x = 29
+  UNION SELECT o.f, o.y, o.x, c.label FROM c JOIN o ON o.f = c.f AND abs(o.y - c.y) <= 1 AND abs(o.x - c.x) <= 1),
+l AS (SELECT f, y, x, min(label) AS label FROM c GROUP BY ALL),
+a AS (SELECT f, label, count(*) AS area FROM l GROUP BY ALL)
+SELECT f, arg_min(label, [-area, label]) AS label, max(area) AS area FROM a GROUP BY f
+"""
+
+
+@query(LARGEST_SQL)
+def px_largest_component(spark, sf_dir):
+    return px.largest(px.components(_mask(spark, sf_dir), WIDTH))
+
+
+@query(f"WITH {PIXELS_SQL} SELECT f, y, x, CASE WHEN 4 * (x - 16) * (x - 16) + 9 * (y - 12) * (y - 12) <= 500 + 20 * f THEN 255 ELSE 0 END AS m FROM q")
+def px_recover_mask(spark, sf_dir):
+    """The whole body: its dark patch is recovered and the speck in the corner is dropped."""
+    return px.recover_mask(_pixels(spark, sf_dir), WIDTH).select("f", "y", "x", "m")
+
+
+def _frames(spark, sf_dir) -> DataFrame:
+    """The same frames as packed rows."""
+    listed = _pixels(spark, sf_dir).groupBy("f").agg(F.array_sort(F.collect_list(F.struct((F.col("y") * WIDTH + F.col("x")).alias("at"), "g"))).alias("p"))
+    packed = F.unhex(F.array_join(F.transform("p", lambda v: F.lpad(F.hex(v["g"]), 2, "0")), ""))
+    return listed.select(F.col("f").cast("string").alias("video"), F.lit(0).cast("long").alias("frame_idx"), F.lit(HEIGHT).alias("height"), F.lit(WIDTH).alias("width"), F.lit(1).alias("channels"), packed.alias("pixels"))
+
+
+@query()
+def px_inscribe(spark, sf_dir):
+    """The inscribed rectangle of every frame; a kernel, tested against its own parts."""
+    return frame_ops.inscribe_frames(_frames(spark, sf_dir))
+
+
+# --- embeddings, from the roadmap ------------------------------------------------------------------------------------
+
+
+@query("SELECT vec_id, label, len(embedding)::BIGINT AS dims, lang FROM embeddings JOIN documents ON doc_id = vec_id")
+def emb_join(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "lang")
+    return _table(spark, sf_dir, "embeddings").select("vec_id", "label", F.size("embedding").cast("long").alias("dims")).join(d, "vec_id")
+
+
+@query()
+def emb_kmeans(spark, sf_dir):
+    """Sizes of ten clusters of the embeddings."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", array_to_vector("embedding").alias("features"))
+    model = KMeans(k=10, seed=1, maxIter=20).fit(vectors)
+    return model.transform(vectors).groupBy(F.col("prediction").alias("cluster")).agg(F.count("*").alias("n"))

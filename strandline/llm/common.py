@@ -1,12 +1,14 @@
-"""What the operators share: text normalisation, word rules, lineage cuts."""
+"""What the operators share: text normalisation, word rules, settled tables."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.storage import checkpoint_dir, settle
+
+__all__ = ["checkpoint_dir", "count_characters", "dealt_anew", "n_words", "settle", "table", "whole_text", "words"]
+
 #: A word is a maximal run of anything but the six ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -41,22 +43,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where it names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="checkpoints-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(named)
-    return named
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Materialise in the shared folder: lineage ends, lost executors cost nothing."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def dealt_anew(key: Column) -> Column:
     """A key that is equal where ``key`` (long) is, for joining a table back to its own sums.
 

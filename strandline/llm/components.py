@@ -48,7 +48,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = settle(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = None
     for _ in range(MOST_ROUNDS):
-        now = settle(_small(_large(now)))
+        now = settle(_small(_large(now)), replaces=now)
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == seen:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

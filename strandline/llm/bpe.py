@@ -18,7 +18,7 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from heapq import heappop, heappush
 from itertools import chain
 
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 #: Bits of a bitmap word: 2 ** SHIFT.
 SHIFT = 8
 BITS, MASK = 1 << SHIFT, (1 << SHIFT) - 1
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 REMEMBERED_LENGTH = 48
 
 
@@ -40,6 +40,26 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+class Memory(dict):
+    """Ids by pre-token, in two generations of ``most`` each; looking up what is known runs no Python code."""
+
+    def __init__(self, merge: Callable[[bytes], tuple[int, ...]], most: int):
+        self.merge, self.most = merge, most
+        self.old: dict[str, tuple[int, ...]] = {}
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self.merge(piece.encode("utf-8", "replace"))
+            if len(piece) > REMEMBERED_LENGTH:
+                return ids
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = ids
+        return ids
+
+
 class ByteBPE:
     """Encoder and decoder for a rank table, each pre-token separately, no special tokens."""
 
@@ -49,9 +69,8 @@ class ByteBPE:
         self.split = regex.compile(pattern).findall
         #: The lower level of the bitmap, a word per BITS ranks; the upper one is a number with a bit per word.
         self.words = [0] * (max(ranks.values()) // BITS + 1)
-        self.remembered = remembered
-        self.young: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
+        self.remember = Memory(self.merge, remembered)
+        self.names = {r: str(r) for r in self.bytes_of}
 
     def merge(self, data: bytes) -> tuple[int, ...]:
         """Ids of one pre-token."""
@@ -116,21 +135,8 @@ class ByteBPE:
             i = j
         return tuple(out)
 
-    def pretoken(self, piece: str) -> tuple[int, ...]:
-        ids = self.young.get(piece)
-        if ids is None:
-            ids = self.old.get(piece)
-            if ids is None:
-                ids = self.merge(piece.encode("utf-8", "replace"))
-                if len(piece) > REMEMBERED_LENGTH:
-                    return ids
-            if len(self.young) >= self.remembered:
-                self.old, self.young = self.young, {}
-            self.young[piece] = ids
-        return ids
-
     def encode(self, text: str | None) -> list[int]:
-        return list(chain.from_iterable(map(self.pretoken, self.split(text or ""))))
+        return list(chain.from_iterable(map(self.remember.__getitem__, self.split(text or ""))))
 
     def decode(self, ids: Sequence[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -178,7 +184,7 @@ def digest_table(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "
             for t in batch.column(1):
                 ids = enc.encode(t.as_py())
                 n.append(len(ids))
-                coded.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+                coded.append(hashlib.sha256(",".join(map(enc.names.__getitem__, ids)).encode()).hexdigest())
                 decoded.append(hashlib.sha256(enc.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

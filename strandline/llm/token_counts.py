@@ -171,12 +171,12 @@ def count_edits(
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary, pattern)
-        pretoken = enc.pretoken
+        known = enc.remember
         for batch in batches:
             rows = []
             for t in batch.column(1):
                 text = t.as_py() or ""
-                tree = CountTree(text, pattern, lambda p: len(pretoken(p)))
+                tree = CountTree(text, pattern, lambda p: len(known[p]))
                 before = (tree.pieces[1], tree.total)
                 for e in edits(text):
                     tree.edit(*e)

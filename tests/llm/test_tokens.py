@@ -44,7 +44,7 @@ def test_long_pretokens(own, library, text):
 def test_memory_is_bounded(own):
     for i in range(500):
         own.encode(f" tok{i}")
-    assert len(own.young) <= 50 and len(own.old) <= 50
+    assert len(own.remember) <= 50 and len(own.remember.old) <= 50
 
 
 def test_tables(spark, library):
@@ -60,7 +60,7 @@ def test_tables(spark, library):
 
 def test_counts_follow_random_edits(own, library):
     rng = random.Random(2)
-    count = lambda p: len(own.pretoken(p))
+    count = lambda p: len(own.remember[p])
     for trial in range(60):
         text = "".join(rng.choice(PARTS) for _ in range(rng.choice([0, 3, 200, 2000])))
         tree = token_counts.CountTree(text, PATTERN, count)
@@ -75,7 +75,7 @@ def test_counts_follow_random_edits(own, library):
 
 def test_edits_encode_little(own):
     text = "some words of text " * 20_000
-    tree = token_counts.CountTree(text, PATTERN, lambda p: len(own.pretoken(p)))
+    tree = token_counts.CountTree(text, PATTERN, lambda p: len(own.remember[p]))
     tree.edit(len(text) // 2, 3, "new")
     assert tree.reencoded < 12
 

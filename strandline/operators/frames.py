@@ -25,6 +25,37 @@ def to_array(height: int, width: int, channels: int, pixels: bytes) -> np.ndarra
     return np.frombuffer(pixels, np.uint8).reshape(shape)
 
 
+def mask_frames(frames: DataFrame, threshold: int = kernels.THRESHOLD) -> DataFrame:
+    """The body mask of every frame, as a frame table of one channel."""
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = [kernels.body_mask(to_array(h, w, c, p), threshold).tobytes() for h, w, c, p in zip(b.height, b.width, b.channels, b.pixels)]
+            yield pd.DataFrame({"video": b.video, "frame_idx": b.frame_idx, "height": b.height, "width": b.width, "channels": 1, "pixels": out})
+
+    return frames.mapInPandas(run, FRAMES)
+
+
+def seed_frames(frames: DataFrame, threshold: int = kernels.THRESHOLD) -> DataFrame:
+    """``video, frame_idx, x, y``: where the body is widest, null without a body."""
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            masks = [kernels.body_mask(to_array(h, w, c, p), threshold) for h, w, c, p in zip(b.height, b.width, b.channels, b.pixels)]
+            seeds = [kernels.seed_point(m) if m.any() else (None, None) for m in masks]
+            yield pd.DataFrame({"video": b.video, "frame_idx": b.frame_idx, "x": pd.array([s[0] for s in seeds], "Int64"), "y": pd.array([s[1] for s in seeds], "Int64")})
+
+    return frames.mapInPandas(run, "video string, frame_idx long, x long, y long")
+
+
+def unpack(frames: DataFrame) -> DataFrame:
+    """``video, frame_idx, y, x, channel, value``: a row per byte, for checks in SQL."""
+    data = F.transform(F.sequence(F.lit(0), F.length("pixels") - 1), lambda i: F.conv(F.hex(F.substring(F.col("pixels"), i + 1, 1)), 16, 10).cast("long"))
+    rows = frames.select("video", "frame_idx", "width", "channels", F.posexplode(data).alias("at", "value"))
+    pixel = F.floor(F.col("at") / F.col("channels"))
+    return rows.select("video", "frame_idx", F.floor(pixel / F.col("width")).cast("long").alias("y"), (pixel % F.col("width")).cast("long").alias("x"), (F.col("at") % F.col("channels")).cast("long").alias("channel"), "value")
+
+
 def inscribe_frames(frames: DataFrame, threshold: int = kernels.THRESHOLD, aspect: float = kernels.ASPECT) -> DataFrame:
     """``video, frame_idx`` and the rectangle of every frame, nulls where there is no body.
 

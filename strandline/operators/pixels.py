@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.columns import axis_angle, half_even, is_background
+from ..functions.columns import axis_angle, canvas_side, from_upright, half_even, is_background
 from ..plans.storage import settle
 
 
@@ -94,3 +94,16 @@ def recover_mask(pixels: DataFrame, width: int, threshold: int = 0) -> DataFrame
     found = components(rest, width)
     body = found.join(largest(found).select("f", "label"), ["f", "label"], "left_semi").select("f", "y", "x", F.lit(255).alias("_body"))
     return rest.drop("m").join(body, ["f", "y", "x"], "left").withColumn("m", F.coalesce("_body", F.lit(0))).drop("_body")
+
+
+def rotate_upright(pixels: DataFrame, axes: DataFrame, height: int, width: int) -> DataFrame:
+    """``f, v, u, m``: masks turned upright by ``axes`` (``f, cx, cy, angle``) on a canvas that holds the frame.
+
+    Each canvas pixel takes the nearest frame pixel, zero outside.
+    """
+    side = canvas_side(F.lit(float(height)), F.lit(float(width))).cast("long")
+    line = F.sequence(F.lit(0).cast("long"), side - 1)
+    canvas = axes.withColumn("v", F.explode(line)).withColumn("u", F.explode(line))
+    x, y = from_upright(F.col("u"), F.col("v"), F.col("cx"), F.col("cy"), F.col("angle"), side)
+    source = canvas.select("f", "v", "u", half_even(x).alias("x"), half_even(y).alias("y"))
+    return source.join(pixels.select("f", "x", "y", "m"), ["f", "x", "y"], "left").select("f", "v", "u", F.coalesce("m", F.lit(0)).alias("m"))

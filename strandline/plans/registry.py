@@ -414,6 +414,68 @@ def px_inscribe(spark, sf_dir):
     return frame_ops.inscribe_frames(_frames(spark, sf_dir))
 
 
+@query()
+def px_seed(spark, sf_dir):
+    """Where each body is widest, by chamfer distance; a kernel, tested on its own."""
+    return frame_ops.seed_frames(_frames(spark, sf_dir))
+
+
+@query(_sql["px_recover_mask"])
+def px_kernel_mask(spark, sf_dir):
+    """The mask by the kernel, held against the same SQL as the relational form."""
+    masks = frame_ops.unpack(frame_ops.mask_frames(_frames(spark, sf_dir)))
+    return masks.select(F.col("video").cast("long").alias("f"), "y", "x", F.col("value").alias("m"))
+
+
+@query(f"""WITH {MASK_SQL}, c AS (SELECT n_nationkey::BIGINT AS f, v, u, radians(30.0::DOUBLE + n_nationkey) AS a FROM nation, range(40) s(v), range(40) t(u)),
+p AS (SELECT f, v, u, round_even(cos(a) * (u - 20) - sin(a) * (v - 20) + 16, 0)::BIGINT AS x, round_even(sin(a) * (u - 20) + cos(a) * (v - 20) + 12, 0)::BIGINT AS y FROM c)
+SELECT p.f, v, u, coalesce(m, 0) AS m FROM p LEFT JOIN k ON k.f = p.f AND k.x = p.x AND k.y = p.y""")
+def px_rotate(spark, sf_dir):
+    axes = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("f"), F.lit(16.0).alias("cx"), F.lit(12.0).alias("cy"), (30.0 + F.col("n_nationkey")).alias("angle"))
+    return px.rotate_upright(_mask(spark, sf_dir), axes, HEIGHT, WIDTH)
+
+
+def _boxes(spark, sf_dir, x0, x1: int, y0: int, y1: int) -> DataFrame:
+    """A geometry table of one upright rectangle per frame; odd frames are interpolated."""
+    f = F.col("n_nationkey")
+    at = {"tl": (x0, F.lit(y0)), "tr": (F.lit(x1), F.lit(y0)), "br": (F.lit(x1), F.lit(y1)), "bl": (x0, F.lit(y1))}
+    corners = [v.cast("double").alias(f"corner_{c}_{axis}") for c, pair in at.items() for axis, v in zip("xy", pair)]
+    return _table(spark, sf_dir, "nation").select(f.cast("string").alias("video"), F.lit(0).cast("long").alias("frame_idx"), *corners, (f % 2 == 1).alias("is_interpolated"))
+
+
+@query(f"WITH {PIXELS_SQL} SELECT f, y - 6 AS y, x - 4 AS x, g::BIGINT AS g FROM q WHERE y >= 6 AND y < 14 AND x >= 4 AND x < 20")
+def px_crop(spark, sf_dir):
+    """Canonical crops; upright whole-pixel rectangles make them plain cut-outs."""
+    crops = frame_ops.crop_frames(_frames(spark, sf_dir), _boxes(spark, sf_dir, F.lit(4), 20, 6, 14), (16, 8))
+    return frame_ops.unpack(crops).select(F.col("video").cast("long").alias("f"), "y", "x", F.col("value").alias("g"))
+
+
+def _near_edge(x0: str, x1: str, y0: str, y1: str) -> str:
+    return f"greatest(({x0}) - x, 0, x - ({x1})) ** 2 + greatest({y0} - y, 0, y - {y1}) ** 2 <= 1"
+
+
+@query(f"""WITH {PIXELS_SQL}, d AS (SELECT *, {" OR ".join(_near_edge(*e) for e in (("4 + f % 3", "20", "5", "5"), ("4 + f % 3", "20", "15", "15"), ("4 + f % 3", "4 + f % 3", "5", "15"), ("20", "20", "5", "15")))} AS drawn FROM q)
+SELECT f, y, x, c AS channel, CASE WHEN NOT drawn THEN g WHEN f % 2 = 1 THEN [0, 165, 255][c + 1] ELSE [0, 255, 0][c + 1] END::BIGINT AS value FROM d, range(3) t(c)""")
+def px_overlay(spark, sf_dir):
+    """Frames with their rectangle drawn in the colour of its flag."""
+    color = _frames(spark, sf_dir).withColumn("pixels", F.unhex(F.regexp_replace(F.hex("pixels"), "(..)", "$1$1$1"))).withColumn("channels", F.lit(3))
+    drawn = frame_ops.draw_frames(color, _boxes(spark, sf_dir, 4 + F.col("n_nationkey") % 3, 20, 5, 15))
+    return frame_ops.unpack(drawn).select(F.col("video").cast("long").alias("f"), "y", "x", "channel", "value")
+
+
+@query(f"WITH {SERIES_SQL} SELECT user_id, bool_or(value IS NOT NULL) AS any_valid, count(value) AS n_valid FROM s GROUP BY user_id")
+def ts_any_valid(spark, sf_dir):
+    return _series(spark, sf_dir).groupBy("user_id").agg(F.bool_or(F.col("value").isNotNull()).alias("any_valid"), F.count("value").alias("n_valid"))
+
+
+@query(f"WITH {SERIES_SQL}, p AS (SELECT DISTINCT user_id FROM events WHERE user_id % 4 = 0) SELECT s.user_id, frame_idx, CASE WHEN p.user_id IS NULL THEN 'axis' ELSE 'pose' END AS mode FROM s LEFT JOIN p ON p.user_id = s.user_id")
+def pos_pose_mode(spark, sf_dir):
+    """Which frames have pose predictions: a left join to the series that have a file."""
+    there = _table(spark, sf_dir, "events").where("user_id % 4 = 0").select(F.col("user_id").alias("posed")).distinct()
+    joined = _series(spark, sf_dir).join(there, F.col("user_id") == F.col("posed"), "left")
+    return joined.select("user_id", IDX, F.when(F.col("posed").isNull(), "axis").otherwise("pose").alias("mode"))
+
+
 # --- embeddings, from the roadmap ------------------------------------------------------------------------------------
 
 

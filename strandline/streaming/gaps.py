@@ -46,6 +46,8 @@ def fill_gaps(rows: DataFrame, idle_ms: int = 600_000) -> DataFrame:
     A row without a value comes out once a valid one follows, interpolated linearly, or flat
     before the first. A series that is idle for ``idle_ms`` ends: what waits is filled flat
     with its last value, and its state is dropped; without any valid row nothing comes out.
+    Waiting for that keeps a query running on batches without data; one that should end with
+    its input (``availableNow``) needs spark.sql.streaming.noDataMicroBatches.enabled=false.
     """
     return (
         rows.select("video", "frame_idx", "value").groupBy("video")

@@ -11,10 +11,14 @@ def test_stream_equals_batch(spark, tmp_path):
     for n, (a, b) in enumerate([(0, 3), (3, 6), (6, 8)]):
         spark.createDataFrame([r for r in rows if a <= r[1] < b], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / f"n={n}"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "n=*"))
-    query = gaps.fill_gaps(stream).writeStream.format("memory").queryName("filled").option("checkpointLocation", str(tmp_path / "c")).start()
-    query.processAllAvailable()  # a state that waits for its time-out keeps a query alive, so it is stopped by hand
-    query.stop()
-    assert query.exception() is None
+    query = gaps.fill_gaps(stream).writeStream.format("memory").queryName("filled").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True)
+    # a state that waits for its time-out would keep the query running on batches without data
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    try:
+        running = query.start()
+        assert running.awaitTermination(90) and running.exception() is None
+    finally:
+        spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
     got = {(r["video"], r["frame_idx"]): (r["value"], r["is_interpolated"]) for r in spark.table("filled").collect()}
     batch = ts.fill_gaps(spark.createDataFrame(rows, schema), ["video"], "frame_idx", ["value"])
     want = {(r["video"], r["frame_idx"]): (r["value"], r["is_interpolated"]) for r in batch.collect()}

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# How recordings are named; a fixed value of the data format.
 NAME = r"^session-(\d+)_cuttle-(\d+)$"
 
 

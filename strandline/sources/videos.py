@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import stem
 
+# How recordings are named; a fixed value of the data format.
 PATTERN = "session-*_cuttle-*.mp4"
 
 Info = tuple[int, float, int, int]

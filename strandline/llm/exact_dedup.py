@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import settle, whole_text
 
 SLOTS = 1 << 18
 PREFIX_CHARS = 64
@@ -89,9 +89,28 @@ def exact_groups(
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that ``exact_groups`` doesn't keep.
+    """``docs`` with one row of every text: the one with the largest id.
 
-    Only ids of copies are joined; the join is null-safe, so null ids stay.
+    Rows go by id and digest, so an id with two texts loses only the text that another
+    row keeps. Of rows that repeat both the id and the text one stays, the first that
+    Spark meets if other columns differ. Nulls in the id compare as equal: of equal
+    texts whose ids are all null one stays.
     """
-    gone = exact_groups(docs, id_col, text_col).where("not kept").select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+    digest = F.sha2(whole_text(text_col), 256)
+    copies = (
+        exact_groups(docs, id_col, text_col, carry={"_sha": digest}).where("group_size > 1")
+        .groupBy(F.col(id_col).alias("_copy"), "_sha").agg(F.max("kept").alias("_stays"), F.count("*").alias("_n"))
+    )
+    marked = settle(copies.where("not _stays or _n > 1"))
+
+    def same(marks: DataFrame) -> Column:
+        return docs[id_col].eqNullSafe(marks["_copy"]) & (digest == marks["_sha"])
+
+    repeated = marked.where("_stays")
+    if repeated.isEmpty():
+        return docs.join(marked, same(marked), "left_anti")
+    # ids may be null and texts long, so rows are told apart by what they are joined on
+    names = docs.columns
+    ours = docs.join(repeated, same(repeated)).select(*[docs[f"`{c}`"] for c in names], repeated["_copy"], repeated["_sha"])
+    once = ours.toDF(*[f"_{k}" for k in range(len(names))], "id", "sha").dropDuplicates(["id", "sha"]).drop("id", "sha")
+    return docs.join(marked, same(marked), "left_anti").unionAll(once.toDF(*names))

@@ -102,7 +102,7 @@ def mix(
 
 def emit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """``docs`` with each row written ``copies`` times (rows that get none are gone)."""
-    row = F.struct(*[docs[c] for c in docs.columns])
+    row = F.struct(*[docs[f"`{c}`"].alias(c) for c in docs.columns])
     mixed = mix(
         docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(source_col).alias("_source"), row.alias("_row")),
         "_id", "_text", "_source", keep=["_row"], **options,

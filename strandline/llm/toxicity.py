@@ -363,10 +363,13 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that the model predicts toxic, every column as it was."""
     schema = docs.schema
+    names = schema.names
+    at = names.index(text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = [model.score(t.as_py()) < THRESHOLD for t in b.column(schema.names.index(text_col))]
-            yield b.filter(pa.array(keep, pa.bool_()))
+            keep = [model.score(t.as_py()) < THRESHOLD for t in b.column(at)]
+            yield pa.RecordBatch.from_arrays(b.columns, names=names).filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    # numbered, as a name with a dot can't be passed
+    return docs.toDF(*[f"c{k}" for k in range(len(names))]).mapInArrow(run, schema)

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 LONG = "word " * 30_000 + "end"
-CLASHES = ["size", "target", "copies", "_id", "_row", "_text", "_source", "_gone", "fp", "id", "text2", "n_words", "kept", "keep_id", "license", "component_id", "score", "_q", "u", "group"]
+CLASHES = ["size", "target", "copies", "_id", "_row", "_text", "_source", "_gone", "fp", "id", "text2", "n_words", "kept", "keep_id", "license", "component_id", "score", "_q", "u", "group", "_copy", "_sha", "_stays", "_n", "a.b"]
 
 
 def docs(spark, rows, clash=True):

@@ -39,8 +39,17 @@ def test_exact_empty_and_dropping(spark):
     assert exact_dedup.exact_groups(df.where(F.lit(False))).count() == 0
     kept = exact_dedup.drop_copies(df)
     assert kept.columns == df.columns
-    # repeats of a kept id stay, and so do rows without an id unless a row with one has their text
-    assert sorted((r["doc_id"] or 0) for r in rows(kept)) == [2, 2, 4, 5, 6, 7, 8, 9]
+    # of repeats of a kept row one stays, and rows without an id go as a row with one has their text
+    assert sorted((r["doc_id"] or 0) for r in rows(kept)) == [2, 4, 5, 6, 7, 8, 9]
+
+
+def test_dropping_goes_by_row_where_ids_repeat(spark):
+    data = [(5, "a"), (9, "a"), (5, "b"), (5, "b"), (None, "c"), (None, "c"), (None, "d"), (3, "d"), (4, "e"), (4, "f")]
+    df = docs(spark, data)
+    kept = exact_dedup.drop_copies(df)
+    assert kept.columns == df.columns and kept.schema == df.schema
+    assert Counter((r["doc_id"], r["text"]) for r in rows(kept)) == Counter([(9, "a"), (5, "b"), (None, "c"), (3, "d"), (4, "e"), (4, "f")])
+    assert exact_dedup.drop_copies(df.where(F.lit(False))).count() == 0
 
 
 def brute_fingerprint(text):

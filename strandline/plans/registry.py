@@ -225,10 +225,10 @@ def inv_unexpected_names(spark, sf_dir):
 
 
 def _inventory(spark, sf_dir) -> DataFrame:
-    """Orders as videos, lineitems as listed blank frames; an order has a list unless its key is a multiple of 5."""
+    """Orders as videos, lineitems as listed blank frames; an order has a list unless it is in state P."""
     o, li = _table(spark, sf_dir, "orders"), _table(spark, sf_dir, "lineitem")
     left = o.select(F.col("o_orderkey").cast("string").alias("stem"), (F.col("o_custkey") % 72).alias("session_id"), (F.col("o_orderkey") % 6).cast("long").alias("n_frames"))
-    files = o.where("o_orderkey % 5 != 0").select(F.col("o_orderkey").cast("string").alias("stem"), F.concat(F.lit("/data/"), F.col("o_orderkey").cast("string"), F.lit(".txt")).alias("path"))
+    files = o.where("o_orderstatus != 'P'").select(F.col("o_orderkey").cast("string").alias("stem"), F.concat(F.lit("/data/"), F.col("o_orderkey").cast("string"), F.lit(".txt")).alias("path"))
     lines = li.select(F.col("l_orderkey").cast("string").alias("stem"), F.col("l_linenumber").cast("long").alias("frame_idx"))
     return inv.with_companions(left, files, inv.count_per_key(lines, "stem", "frame_idx")).withColumn("path", F.col("companion"))
 
@@ -236,8 +236,8 @@ def _inventory(spark, sf_dir) -> DataFrame:
 INVENTORY_SQL = """
 c AS (SELECT l_orderkey, count(*) AS n, max(l_linenumber)::BIGINT AS largest FROM lineitem GROUP BY 1),
 i AS (SELECT o_orderkey::VARCHAR AS stem, o_custkey % 72 AS session_id, (o_orderkey % 6)::BIGINT AS n_frames,
-             CASE WHEN o_orderkey % 5 <> 0 THEN '/data/' || o_orderkey || '.txt' END AS companion,
-             CASE WHEN o_orderkey % 5 <> 0 THEN coalesce(n, 0) END AS n_blank_frames, largest
+             CASE WHEN o_orderstatus <> 'P' THEN '/data/' || o_orderkey || '.txt' END AS companion,
+             CASE WHEN o_orderstatus <> 'P' THEN coalesce(n, 0) END AS n_blank_frames, largest
       FROM orders LEFT JOIN c ON l_orderkey = o_orderkey)
 """
 
@@ -468,10 +468,10 @@ def ts_any_valid(spark, sf_dir):
     return _series(spark, sf_dir).groupBy("user_id").agg(F.bool_or(F.col("value").isNotNull()).alias("any_valid"), F.count("value").alias("n_valid"))
 
 
-@query(f"WITH {SERIES_SQL}, p AS (SELECT DISTINCT user_id FROM events WHERE user_id % 4 = 0) SELECT s.user_id, frame_idx, CASE WHEN p.user_id IS NULL THEN 'axis' ELSE 'pose' END AS mode FROM s LEFT JOIN p ON p.user_id = s.user_id")
+@query(f"WITH {SERIES_SQL}, p AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'signup' AND value > 100) SELECT s.user_id, frame_idx, CASE WHEN p.user_id IS NULL THEN 'axis' ELSE 'pose' END AS mode FROM s LEFT JOIN p ON p.user_id = s.user_id")
 def pos_pose_mode(spark, sf_dir):
-    """Which frames have pose predictions: a left join to the series that have a file."""
-    there = _table(spark, sf_dir, "events").where("user_id % 4 = 0").select(F.col("user_id").alias("posed")).distinct()
+    """Which frames have pose predictions: a left join to the series that have a file (here, a large signup)."""
+    there = _table(spark, sf_dir, "events").where("event_type = 'signup' and value > 100").select(F.col("user_id").alias("posed")).distinct()
     joined = _series(spark, sf_dir).join(there, F.col("user_id") == F.col("posed"), "left")
     return joined.select("user_id", IDX, F.when(F.col("posed").isNull(), "axis").otherwise("pose").alias("mode"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.storage import checkpoint_dir, settle
 
-__all__ = ["checkpoint_dir", "count_characters", "dealt_anew", "n_words", "settle", "table", "whole_text", "words"]
+__all__ = ["checkpoint_dir", "count_characters", "dealt_anew", "n_words", "settle", "table", "whole_text", "without", "words"]
 
 #: A word is a maximal run of anything but the six ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -51,3 +51,23 @@ def dealt_anew(key: Column) -> Column:
     one key has most rows. On this key both sides are exchanged, and it can.
     """
     return key.bitwiseXOR(F.lit(1))
+
+
+#: Most hash slots of ids that are broadcast to tell which rows of a table a join concerns.
+SLOTS = 1 << 18
+
+
+def without(rows: DataFrame, key: Column, marks: DataFrame, marked: Column, same: Column, slots: int = SLOTS) -> DataFrame:
+    """``rows`` that match no row of ``marks`` by ``same``.
+
+    Equal rows have equal ``key`` (of rows) and ``marked`` (of marks). Only rows in a hash
+    slot that some mark is in go through the join's exchange, so most texts stay where they
+    are; the table of slots doesn't grow with the input. Where marks fill every slot all
+    rows are exchanged, with the same result.
+    """
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(slots))
+    taken = F.broadcast(marks.select(slot(marked).alias("_slot")).distinct())
+    hit = slot(key) == taken["_slot"]
+    return rows.join(taken, hit, "left_anti").unionAll(
+        rows.join(taken, hit, "left_semi").join(marks.hint("merge"), same, "left_anti")
+    )

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, whole_text
+from .common import settle, whole_text, without
 
 SLOTS = 1 << 18
 PREFIX_CHARS = 64
@@ -106,11 +106,12 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def same(marks: DataFrame) -> Column:
         return docs[id_col].eqNullSafe(marks["_copy"]) & (digest == marks["_sha"])
 
+    rest = without(docs, docs[id_col], marked, marked["_copy"], same(marked))
     repeated = marked.where("_stays")
     if repeated.isEmpty():
-        return docs.join(marked, same(marked), "left_anti")
+        return rest
     # ids may be null and texts long, so rows are told apart by what they are joined on
     names = docs.columns
     ours = docs.join(repeated, same(repeated)).select(*[docs[f"`{c}`"] for c in names], repeated["_copy"], repeated["_sha"])
     once = ours.toDF(*[f"_{k}" for k in range(len(names))], "id", "sha").dropDuplicates(["id", "sha"]).drop("id", "sha")
-    return docs.join(marked, same(marked), "left_anti").unionAll(once.toDF(*names))
+    return rest.unionAll(once.toDF(*names))

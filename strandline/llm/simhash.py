@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import settle, without
 from .components import components
 
 BITS = 4
@@ -200,5 +200,6 @@ def near_duplicates(
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one document of each component, the one with the smallest id; rows without an id stay."""
     found = near_duplicates(docs, id_col, text_col, **options)
-    gone = found.where(f"`{id_col}` != component_id").select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+    gone = settle(found.where(f"`{id_col}` != component_id").select(F.col(id_col).alias("_gone")).distinct())
+    ours = docs[id_col].cast("long")
+    return without(docs, ours, gone, gone["_gone"], ours == gone["_gone"])

@@ -1,14 +1,15 @@
-"""Line dedup by content-defined chunks, built-in functions only.
-
-A rolling hash over two neighbouring line hashes decides where a chunk ends, so chunks
-of a repeated passage begin and end alike wherever the passage stands. Chunks of two
-lines or more that occur more than once over the whole table are candidates; their bytes
-are compared with the first occurrence (smallest id, then place), which stays, and equal
-ones are removed.
-
-Counting moves hashes only. Which hashes repeat reaches the second scan as at most
-``SLOTS`` hash slots, a size that doesn't grow, so only repeated chunks carry bytes
-through a shuffle. Both joins can be split where one chunk holds most rows.
+"""Line dedup of repeated passages, built-in functions only.
+
+``drop_repeated_runs`` files every two neighbouring lines of every text under the
+SHA-256 of their bytes. Two lines that stand earlier in the table (smallest id, then
+place) are removed, so every run of two lines or more that repeats goes, wherever it
+begins and whatever stands around it. Only digests and places are exchanged to find
+them, never bytes; the texts move once, when they are cut. The join can be split where
+one passage holds most rows.
+
+``drop_repeated_lines`` compares content-defined chunks instead: a rolling hash over two
+neighbouring line hashes decides where a chunk ends, and chunks of one line are not
+compared. It moves less and finds less.
 """
 
 from __future__ import annotations
@@ -69,7 +70,7 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", clean_col: str = "clean_text", **options) -> DataFrame:
-    """``id_col``, ``clean_col``, ``n_lines, n_removed_lines, n_removed_chunks`` of every row.
+    """The cut by chunks: ``id_col``, ``clean_col``, ``n_lines, n_removed_lines, n_removed_chunks`` of every row.
 
     The empty and the null text are one empty line and lose nothing. A text whose every
     chunk is repeated becomes empty. Rows that repeat an id are cut alike: what is removed
@@ -90,3 +91,67 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         F.aggregate(held, F.lit(0).cast("long"), lambda s, g: s + g["n"]).alias("n_removed_lines"),
         F.size(held).cast("long").alias("n_removed_chunks"),
     )
+
+
+def repeated_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, mark, at``: every two neighbouring lines that stand earlier; ``mark`` is the text's hash.
+
+    Two lines that share a line with the place where they are first (three equal lines)
+    are left, so that the first place stays whole.
+    """
+
+    def pairs(ls: Column) -> Column:
+        return F.transform(F.slice(ls, F.lit(1), F.size(ls) - 1), lambda x, i: F.struct(
+            i.alias("at"), F.unhex(F.sha2(F.concat(x, F.lit("\n"), F.get(ls, i + 1)), 256)).alias("key"),
+        ))
+
+    text = whole_text(text_col)
+    rows = docs.select(
+        F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"), F.explode(_let(F.split(text, "\n"), pairs)).alias("p"),
+    ).select("id", "mark", "p.at", "p.key")
+    # where they are first: rows without an id come last
+    place = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("mark").alias("mark"), F.col("at").alias("at"))
+    firsts = rows.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("_n")).where("_n > 1")
+    # a key of its own: the sums are dealt by key, and joining on that Spark could not split a hot passage
+    anew = F.concat(F.col("key"), F.lit(b"="))
+    found = rows.withColumn("k", anew).join(firsts.select(anew.alias("k"), "first"), "k")
+    ours = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("mark") == F.col("first.mark")) & (F.col("at") < F.col("first.at") + 2)
+    return found.where(~ours).select("id", "mark", "at")
+
+
+def drop_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", clean_col: str = "clean_text") -> DataFrame:
+    """``id_col``, ``clean_col``, ``n_lines, n_removed_lines, n_removed_chunks`` of every row.
+
+    A line goes if it and a neighbour stand earlier; of every line at least one copy
+    stays. A removed chunk is a run of removed lines. The empty and the null text are one
+    empty line and lose nothing. A text whose every line is removed becomes empty. Rows
+    that repeat an id and a text are cut alike, other texts of the id by themselves. Rows
+    without an id are compared but not cut. An empty table gives no rows.
+    """
+    gone = (
+        repeated_pairs(docs, id_col, text_col).where("id is not null")
+        .groupBy("id", "mark").agg(F.array_sort(F.collect_set("at")).alias("_gone")).withColumnsRenamed({"id": "_gone_id", "mark": "_gone_mark"})
+    )
+    text = whole_text(text_col)
+    rows = docs.select(F.col(id_col).alias("_id"), text.alias("_text"), F.xxhash64(text).alias("_mark"))
+    held, lines = F.coalesce(F.col("_gone"), F.array().cast("array<int>")), F.split("_text", "\n")
+    # pairs that touch are one run of lines
+    starts = F.filter(held, lambda x, k: (k == 0) | (x - F.get(held, k - 1) > 2))
+    stops = F.transform(F.filter(held, lambda x, k: (k == F.size(held) - 1) | (F.get(held, k + 1) - x > 2)), lambda x: x + 2)
+    cut = (
+        rows.join(gone, (F.col("_id") == F.col("_gone_id")) & (F.col("_mark") == F.col("_gone_mark")), "left")
+        .select("_id", "_text", F.size(lines).alias("_n"), starts.alias("_starts"), stops.alias("_stops"))
+    )
+    # what stands before each run, and after the last
+    froms, tos = F.concat(F.array(F.lit(0)), "_stops"), F.concat("_starts", F.array("_n"))
+
+    def rest(ls: Column) -> Column:
+        return F.array_join(F.flatten(F.zip_with(froms, tos, lambda a, b: F.slice(ls, a + 1, b - a))), "\n")
+
+    return cut.select(
+        F.col("_id").alias(id_col),
+        F.when(F.size("_starts") == 0, F.col("_text")).otherwise(_let(lines, rest)).alias(clean_col),
+        F.col("_n").cast("long").alias("n_lines"),
+        F.aggregate(F.zip_with("_stops", "_starts", lambda b, a: b - a), F.lit(0).cast("long"), lambda s, n: s + n).alias("n_removed_lines"),
+        F.size("_starts").cast("long").alias("n_removed_chunks"),
+    )

@@ -57,7 +57,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"))
+    cut = line_dedup.drop_repeated_runs(table(spark, sf_dir, "documents"))
     return cut.withColumn("clean_sha256", F.sha2("clean_text", 256)).drop("clean_text")
 
 

@@ -189,3 +189,54 @@ def test_line_dedup_of_repeated_rows(spark):
     data = [(1, "a\nb\nc\nd"), (1, "a\nb\nc\nd")]
     got = rows(line_dedup.drop_repeated_lines(docs(spark, data)))
     assert {r["clean_text"] for r in got} == {"a\nb\nc\nd"}
+
+
+def brute_runs(data):
+    """Every run of two lines or more, of any length, that stands earlier, by its plain definition."""
+    data = sorted(set(data), key=lambda r: (r[0] is None, r[0] or 0))
+    places = [(d, a, (t or "").split("\n")) for d, (_, t) in enumerate(data) for a in range(len((t or "").split("\n")))]
+    first, gone = {}, defaultdict(set)
+    for d, a, ls in places:
+        for n in range(2, len(ls) - a + 1):
+            run = tuple(ls[a : a + n])
+            e, b = first.setdefault(run, (d, a))
+            if (e, b) != (d, a) and (e != d or b + n <= a):
+                gone[d] |= set(range(a, a + n))
+    return {r: "\n".join(x for k, x in enumerate((r[1] or "").split("\n")) if k not in gone[d] or r[0] is None) for d, r in enumerate(data)}
+
+
+def test_line_dedup_finds_every_repeated_run(spark):
+    """Also runs of two lines, among other neighbours each time, and exact copies of whole documents."""
+    rng = random.Random(6)
+    passages = [[f"passage {p} line {k}" for k in range(rng.randint(2, 5))] for p in range(15)]
+    data = []
+    for i in range(40):
+        ls = []
+        for p in rng.sample(passages, 3):
+            ls += [*(f"own {i} {rng.random()}" for _ in range(rng.randint(1, 3))), *p]
+        data.append((i, "\n".join(ls)))
+    data += [(200 + i, t) for i, t in data[:5]]  # copies
+    data += [(300, "b\nc\nd\ne"), (301, "a\nb\nc\nx\nd\ne"), (302, "a\na\na\na\na"), (303, "x\na\na\na"), (304, "\n\n\n"), (305, ""), (306, None), (307, "one"), (308, "one\n"), (309, "one\n")]
+    data += [(None, "b\nc"), (310, "q\nr\ns"), (310, "t\nb\nc\nu"), (310, "q\nr\ns"), (311, "b\nc")]
+    got = rows(line_dedup.drop_repeated_runs(docs(spark, data)))
+    want = brute_runs(data)
+    assert Counter((r["doc_id"], r["clean_text"]) for r in got) == Counter((i, want[i, t]) for i, t in data)
+    by = {r["doc_id"]: r for r in got}
+    assert all(by[200 + i]["clean_text"] == "" for i in range(5))
+    assert [by[i]["clean_text"] for i in (301, 302, 303, 308, 309, 311)] == ["a\nx", "a\na", "x", "one\n", "", ""]
+    assert (by[301]["n_lines"], by[301]["n_removed_lines"], by[301]["n_removed_chunks"]) == (6, 4, 2)
+    assert line_dedup.drop_repeated_runs(docs(spark, data).where(F.lit(False))).count() == 0
+
+
+def test_the_query_removes_every_repeated_run(spark):
+    from pathlib import Path
+
+    from strandline.llm import queries
+    from strandline.llm.common import table
+
+    folder = "/root/testdata/sf0.001"
+    if not Path(folder).exists():
+        pytest.skip("no test tables")
+    data = [(r["doc_id"], r["text"]) for r in rows(table(spark, folder, "documents"))]
+    want = {i: hashlib.sha256(t.encode()).hexdigest() for (i, _), t in brute_runs(data).items()}
+    assert {r["doc_id"]: r["clean_sha256"] for r in rows(queries.op9_line_dedup(spark, folder))} == want

@@ -3,9 +3,9 @@
 The lexicon is learned from labelled rows: words, and stems that words begin with,
 that toxic rows have and clean rows lack. Its trie is intersected with a Levenshtein
 automaton of one edit, made deterministic as words are read, so a word costs a table
-lookup per letter and most words end after two or three. A hit counts by its weight,
-less for a misspelling, and less again inside quotation marks or beside a reporting
-word. One logistic curve over the summed weight gives the score.
+lookup per letter. Which kinds of edit a term may have, the first letter's included, is
+measured on clean rows. A hit counts by its weight, less for a misspelling, and less
+again inside quotation marks or beside a reporting word. One logistic curve over the summed weight gives the score.
 """
 
 from __future__ import annotations
@@ -36,7 +36,10 @@ QUOTED = 0.3
 #: Characters on each side of a hit that are its context.
 WINDOW = 60
 
+SYMBOLS = "*@$!"
 WORD = re.compile(r"\w+(?:[*@$!]\w+)*")
+#: A word as it may be misspelled: its first letter may be written as a symbol.
+SPELLED = re.compile(r"[*@$!]*\w+(?:[*@$!]\w+)*")
 QUOTES = {'"': '"', "“": "”", "„": "“", "«": "»", "‘": "’"}
 # Words that report speech rather than address somebody; fixed values.
 REPORTING = frozenset("said says saying called quote quoted quotes wrote word words term sagte sagt nannte zitat wort dijo dice llamó cita palabra dit disait appelé citation mot".split())
@@ -98,73 +101,90 @@ def choose_terms(counts: dict[str, tuple[int, int]], n_toxic: int, n_clean: int,
     return {t: w for t, w in chosen.items() if w > 0}
 
 
+#: Kinds of edit: after the first letter, at or before it, and one that writes a symbol anywhere.
+INNER, FIRST, SYMBOL = KINDS = 1, 2, 3
+
+
+def is_long(term: str) -> bool:
+    """Whether a term has five letters or more, or a stem six."""
+    return len(term.rstrip("*")) >= (6 if term.endswith("*") else 5)
+
+
 class Automaton:
     """Lexicon trie x Levenshtein automaton of one edit, determinised lazily.
 
-    States are sets of (trie node, edits so far). The first letter must be right, and
-    only terms of five letters or more, or stems of six, may be misspelled. ``look``
-    gives the best (term, edits) of a word or None.
+    States are sets of (trie node, kind of the edit so far or 0). ``fuzzy`` has the
+    (term, kind) that are looked for; without it the kinds are INNER and SYMBOL, of long
+    terms. ``look`` gives the best (term, edits) of a
+    word or None.
     """
 
-    def __init__(self, terms: Iterable[str], fuzzy: Iterable[str] | None = None):
+    def __init__(self, terms: Iterable[str], fuzzy: Iterable[tuple[str, int]] | None = None):
         self.children: list[dict[str, int]] = [{}]
         self.ends: list[list[tuple[str, bool]]] = [[]]
-        may = set(terms if fuzzy is None else fuzzy)
-        self.fuzzy = {t for t in may if len(t.rstrip("*")) >= (6 if t.endswith("*") else 5)}
-        self.soft: list[bool] = [True]  # whether some term below may be misspelled
+        self.fuzzy = {(t, k) for t in terms if is_long(t) for k in (INNER, SYMBOL)} if fuzzy is None else set(fuzzy)
+        self.soft: list[set[int]] = [set()]  # kinds of edit that some term below may have
         for t in sorted(terms):
+            kinds = {k for k in KINDS if (t, k) in self.fuzzy}
+            self.soft[0] |= kinds
             at = 0
             for c in t.rstrip("*"):
                 if c not in self.children[at]:
                     self.children[at][c] = len(self.children)
                     self.children.append({})
                     self.ends.append([])
-                    self.soft.append(False)
+                    self.soft.append(set())
                 at = self.children[at][c]
-                self.soft[at] = self.soft[at] or t in self.fuzzy
+                self.soft[at] |= kinds
             self.ends[at].append((t, t.endswith("*")))
         self.steps: list[dict[str, int]] = []
         self.sets: list[tuple] = []
         self.found: list[tuple | None] = []
         self.known: dict[tuple, int] = {}
-        self.dead = self._state(frozenset(), None)
-        self.start = self._state(frozenset({(0, 0)}), None)
+        self.dead = self._state(set(), frozenset())
+        self.start = self._state(self._closed({(0, 0)}), frozenset())
 
-    def _state(self, nodes: frozenset, stem: tuple | None) -> int:
-        key = (nodes, stem)
+    def _closed(self, nodes: set[tuple[int, int]]) -> set[tuple[int, int]]:
+        """With what a letter left out leads to; a node that is reached without an edit needs no other."""
+        out = set(nodes)
+        for n, e in nodes:
+            if not e:
+                kind = INNER if n else FIRST
+                out |= {(m, kind) for m in self.children[n].values() if kind in self.soft[m]}
+        return {(n, e) for n, e in out if not e or (n, 0) not in out}
+
+    def _hits(self, state: int) -> set[tuple[int, str]]:
+        nodes, stems = self.sets[state]
+        return {(e, t) for n, e in nodes for t, is_stem in self.ends[n] if not is_stem and (not e or (t, e) in self.fuzzy)} | stems
+
+    def _state(self, nodes: set[tuple[int, int]], stems: frozenset) -> int:
+        key = (frozenset(nodes), stems)
         if key not in self.known:
             self.known[key] = len(self.steps)
             self.steps.append({})
             self.sets.append(key)
-            best = [(e, t) for n, e in nodes for t, is_stem in self.ends[n] if not is_stem and (not e or t in self.fuzzy)]
-            best += [stem] if stem else []
-            self.found.append(min(best) if best else None)
+            best = min(self._hits(len(self.sets) - 1), default=None)
+            self.found.append((best[1], min(best[0], 1)) if best else None)
         return self.known[key]
 
     def _step(self, state: int, c: str) -> int:
-        nodes, stem = self.sets[state]
-        best: dict[int, int] = {}
-
-        def reach(n: int, e: int) -> None:
-            if e < best.get(n, 2) and (not e or self.soft[n]):
-                best[n] = e
-                if not e and n and self.soft[n]:  # a letter left out
-                    for m in self.children[n].values():
-                        reach(m, 1)
-
+        nodes, stems = self.sets[state]
+        out = set()
         for n, e in nodes:
-            if c in self.children[n]:
-                reach(self.children[n][c], e)
-            if not e and n and self.soft[n]:
-                reach(n, 1)  # a letter too many
-                for m in self.children[n].values():
-                    reach(m, 1)  # a wrong letter
-        stems = [(e, t) for n, e in best.items() for t, is_stem in self.ends[n] if is_stem and (not e or t in self.fuzzy)]
-        stem = min([*stems, *([stem] if stem else [])], default=None)
-        to = self.steps[state][c] = self._state(frozenset(best.items()), stem)
+            if c in self.children[n] and (not e or e in self.soft[self.children[n][c]]):
+                out.add((self.children[n][c], e))
+            kind = SYMBOL if c in SYMBOLS else INNER if n else FIRST
+            if not e and kind in self.soft[n]:
+                # a letter too many, or a wrong one
+                out |= {(n, kind), *((m, kind) for m in self.children[n].values() if kind in self.soft[m])}
+        out = self._closed(out)
+        stems = stems | {(e, t) for n, e in out for t, is_stem in self.ends[n] if is_stem and (not e or (t, e) in self.fuzzy)}
+        if stems and not min(stems)[0]:
+            stems = frozenset({min(stems)})  # none is better
+        to = self.steps[state][c] = self._state(out, stems)
         return to
 
-    def look(self, word: str) -> tuple[str, int] | None:
+    def _read(self, word: str) -> int:
         state, steps = self.start, self.steps
         for c in word:
             to = steps[state].get(c)
@@ -172,9 +192,21 @@ class Automaton:
                 to = self._step(state, c)
             state = to
             if state == self.dead:
-                return None
-        got = self.found[state]
-        return (got[1], got[0]) if got else None
+                break
+        return state
+
+    def look(self, word: str) -> tuple[str, int] | None:
+        got = self.found[self._read(word)]
+        if word[0] in SYMBOLS and not (got and not got[1]):
+            # symbols before a word that is spelled right are no misspelling
+            bare = self.found[self._read(word.lstrip(SYMBOLS))]
+            got = bare if bare and (not bare[1] or not got) else got
+        return got
+
+    def near(self, word: str) -> set[tuple[str, int]]:
+        """Every (term, kind of edit) that the word is a misspelling of; none if it is a term."""
+        got = self._hits(self._read(word)) | self._hits(self._read(word.lstrip(SYMBOLS)))
+        return set() if any(not e for e, _ in got) else {(t, e) for e, t in got}
 
 
 def is_quoted(text: str, a: int, b: int) -> bool:
@@ -192,10 +224,10 @@ def is_quoted(text: str, a: int, b: int) -> bool:
 
 @dataclass
 class Model:
-    """Term weights, terms that may be misspelled, and the curve's (bias, slope)."""
+    """Term weights, the (term, kind of edit) that count as misspellings, and the curve's (bias, slope)."""
 
     weights: dict[str, float] = field(default_factory=dict)
-    fuzzy: frozenset[str] = frozenset()
+    fuzzy: frozenset[tuple[str, int]] = frozenset()
     bias: float = -10.0
     slope: float = 0.0
 
@@ -213,12 +245,12 @@ class Model:
         """Summed weight of the hits of a whole text."""
         low = (text or "").lower()
         look = self.automaton.look
-        begins = self.automaton.children[0]
-        if not any(w[0] in begins and look(w) for w in set(WORD.findall(low))):
+        hits = {w: hit for w in set(SPELLED.findall(low)) if (hit := look(w))}
+        if not hits:
             return 0.0
         total = 0.0
-        for m in WORD.finditer(low):
-            hit = look(m[0])
+        for m in SPELLED.finditer(low):
+            hit = hits.get(m[0])
             if hit:
                 value = self.weights[hit[0]] * (MISSPELLED if hit[1] else 1.0)
                 total += value * (QUOTED if is_quoted(low, m.start(), m.end()) else 1.0)
@@ -318,18 +350,28 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, i
     weights = choose_terms({r["term"]: (r["a"], r["b"]) for r in terms.collect()}, n[1], n[0], least)
 
     def misspellings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look, got = Automaton(weights).look, Counter()
+        near, got = Automaton(weights, [(t, k) for t in weights for k in KINDS]).near, Counter()
+
+        def counted(word: str) -> set[tuple[str, int]]:
+            """What a word is near to; of long terms with an edit inside only the one that it is scored for."""
+            hits = near(word)
+            inside = {(t, k) for t, k in hits if k == INNER and is_long(t)}
+            return hits - inside | ({min(inside)} if inside else set())
+
         for b in batches:
             for i, t, y in zip(*(b.column(k).to_pylist() for k in range(3))):
                 if i in kept:
-                    for term in {hit[0] for w in set(words_of(t)) if (hit := look(w)) and hit[1]}:
-                        got[term, y] += 1
+                    got.update((*hit, y) for hit in {hit for w in set(SPELLED.findall((t or "").lower())) for hit in counted(w)})
         keys = list(got)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array([got[k] for k in keys], pa.int64())], ["term", "toxic", "n"])
-
-    near = {(r["term"], r["toxic"]): r["s"] for r in sample.mapInArrow(misspellings, "term string, toxic long, n long").groupBy("term", "toxic").agg(F.sum("n").alias("s")).collect()}
-    # a term whose near forms are ordinary words can't be looked for with an edit
-    fuzzy = frozenset(t for t in weights if near.get((t, 0), 0) / n[0] <= 0.5 * near.get((t, 1), 0) / n[1])
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), *(pa.array([k[j] for k in keys], pa.int64()) for j in (1, 2)), pa.array([got[k] for k in keys], pa.int64())], ["term", "kind", "toxic", "n"])
+
+    near = {(r["term"], r["kind"], r["toxic"]): r["s"] for r in sample.mapInArrow(misspellings, "term string, kind long, toxic long, n long").groupBy("term", "kind", "toxic").agg(F.sum("n").alias("s")).collect()}
+    # a term whose near forms are ordinary words can't be looked for with an edit of that kind; where
+    # they mostly are (other first letters, short terms) their rows must be as clean of them as of terms
+    fuzzy = frozenset(
+        (t, k) for t in weights for k in KINDS
+        if near.get((t, k, 0), 0) / n[0] <= (0.5 if is_long(t) and k != FIRST else 0.02) * near.get((t, k, 1), 0) / n[1]
+    )
     model = Model(weights, fuzzy)
 
     def sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

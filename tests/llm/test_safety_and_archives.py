@@ -149,6 +149,50 @@ def test_held_out_accuracy_and_edges(spark):
     assert toxicity.scores(df.where("false"), model).count() == 0
 
 
+def test_automaton_with_edits_everywhere():
+    """Every word within one edit of a term, first letters, short terms and symbols included, and no other."""
+    rng = random.Random(7)
+    terms = ["idiot", "clown", "scum", "ass", "lostra*", "veq*", "iron"]
+    a = toxicity.Automaton(terms, [(t, k) for t in terms for k in toxicity.KINDS])
+    n_hits = 0
+    for _ in range(4000):
+        w = list(rng.choice([t.rstrip("*") for t in terms]) + rng.choice(["", "", "x", "ion"]))
+        for _ in range(rng.randint(0, 2)):
+            p = rng.choice([0, rng.randint(0, len(w) - 1)])
+            rng.choice([lambda: w.insert(p, rng.choice("abis$")), lambda: w.pop(p), lambda: w.__setitem__(p, rng.choice("xi!"))])()
+        word = "".join(w)
+        if not toxicity.SPELLED.fullmatch(word):
+            continue
+        forms = {word, word.lstrip(toxicity.SYMBOLS)}
+        least = {t: min(brute_distance(f[:n], t.rstrip("*")) for f in forms for n in (range(len(f) + 1) if t.endswith("*") else [len(f)])) for t in terms}
+        want = min(least.values())
+        got = a.look(word)
+        assert (got is not None) == (want <= 1), (word, got)
+        if got:
+            n_hits += 1
+            assert got[1] == want == least[got[0]], (word, got)
+            assert {t for t, _ in a.near(word)} == ({t for t in terms if least[t] == 1} if want else set()), word
+    assert n_hits > 2000
+    # each kind by itself
+    for kind, yes, no in ((toxicity.INNER, "idot", "diot"), (toxicity.FIRST, "diot", "idot"), (toxicity.SYMBOL, "!diot", "diot")):
+        a = toxicity.Automaton(["idiot"], [("idiot", kind)])
+        assert a.look(yes) == ("idiot", 1) and a.look(no) is None and a.look("idiot") == a.look("*idiot") == ("idiot", 0)
+
+
+def test_misspelled_first_letters_and_short_terms_are_evidence(spark):
+    rng = random.Random(8)
+    data = []
+    for i in range(600):
+        words = ["".join(rng.choice("etaoinhr") for _ in range(rng.randint(5, 8))) for _ in range(rng.randint(20, 60))] + ["rash"] * (i % 3 == 0)
+        data.append((i, " ".join([*words, *(["idiot", "stupid", "scum", "trash"] if i % 5 == 0 else [])])))
+    model = toxicity.fit(docs(spark, data), spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i, _ in data], "doc_id long, quality int, toxic int"))
+    for w in ("$tupid", "!diot", "tupid", "xdiot", "$cum", "scvm", "*dumb* $tupid", "trssh", "$rash"):
+        assert model.evidence(f"you {w} there") > 0, w
+    assert model.evidence("*idiot*") == model.evidence("idiot") > model.evidence("!diot")
+    # an ordinary word in clean rows is no misspelling, and takes no other kind of edit away
+    assert model.evidence("a rash there") == 0
+
+
 def test_fold_is_the_crc():
     assert [toxicity.is_held_out(i) for i in range(20)] == [zlib.crc32(str(i).encode()) % 3 == 1 for i in range(20)]
 

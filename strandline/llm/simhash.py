@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, without
+from .common import dealt_anew, settle, whole_text, without
 from .components import components
 
 BITS = 4
@@ -63,13 +63,13 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 def _fingerprint_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = np.fromiter((fingerprint(t.as_py()) for t in batch.column(1)), np.uint64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], ["id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64)), *batch.columns[2:]], ["id", "fp", *batch.schema.names[2:]])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id`` (long) and ``fp`` (the fingerprint's bits as a signed long) of every row."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_fingerprint_batches, "id long, fp long")
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
+    """``id`` (long) and ``fp`` (the fingerprint's bits as a signed long) of every row; with ``digest`` also the text's ``sha``."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *([F.sha2(whole_text(text_col), 256).alias("sha")] if digest else []))
+    return rows.mapInArrow(_fingerprint_batches, "id long, fp long" + ", sha string" * digest)
 
 
 def block_keys(fp: Column, blocks: int = BLOCKS, bits: int = BITS) -> Column:
@@ -197,9 +197,35 @@ def near_duplicates(
     )
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one document of each component, the one with the smallest id; rows without an id stay."""
-    found = near_duplicates(docs, id_col, text_col, **options)
-    gone = settle(found.where(f"`{id_col}` != component_id").select(F.col(id_col).alias("_gone")).distinct())
-    ours = docs[id_col].cast("long")
-    return without(docs, ours, gone, gone["_gone"], ours == gone["_gone"])
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, blocks: int = BLOCKS, chunk: int = CHUNK) -> DataFrame:
+    """``docs`` with one row of each component, one with the smallest id; rows without an id stay.
+
+    Components are those of fingerprints and rows go by id and digest, so unrelated texts
+    of one id are told apart. Of near texts of the smallest id that with the smallest
+    fingerprint (signed), then digest, stays; of rows that repeat both its id and its text
+    the first that Spark meets.
+    """
+    printed = settle(fingerprints(docs, id_col, text_col, digest=True)).where("id is not null")
+    least = F.min(F.struct("id", "sha"))
+    nodes = settle(printed.groupBy("fp").agg(least.alias("least")).select("fp", "least.id", "least.sha"))
+    roots = components(links(nodes.select("fp", F.col("fp").alias("id")), bits, blocks, chunk))
+    named = settle(nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "id", "sha", F.coalesce("root", "fp").alias("root")))
+    firsts = named.groupBy("root").agg(F.min(F.struct("id", "fp", "sha")).alias("first")).select(dealt_anew(F.col("root")).alias("k"), "first")
+    judged = named.select("fp", dealt_anew(F.col("root")).alias("k")).join(firsts, "k").select("fp", "first")
+    copies = printed.groupBy("id", "sha", "fp").agg(F.count("*").alias("_n")).join(judged, "fp").select(
+        F.col("id").alias("_gone"), F.col("sha").alias("_sha"), "_n", ((F.col("id") == F.col("first.id")) & (F.col("sha") == F.col("first.sha"))).alias("_stays"),
+    )
+    marked = settle(copies.where("not _stays or _n > 1"))
+    ours, digest = docs[id_col].cast("long"), F.sha2(whole_text(text_col), 256)
+
+    def same(marks: DataFrame) -> Column:
+        return (ours == marks["_gone"]) & (digest == marks["_sha"])
+
+    rest = without(docs, ours, marked, marked["_gone"], same(marked))
+    repeated = marked.where("_stays")
+    if repeated.isEmpty():
+        return rest
+    names = docs.columns
+    kept = docs.join(repeated, same(repeated)).select(*[docs[f"`{c}`"] for c in names], repeated["_gone"], repeated["_sha"])
+    once = kept.toDF(*[f"_{k}" for k in range(len(names))], "id", "sha").dropDuplicates(["id", "sha"]).drop("id", "sha")
+    return rest.unionAll(once.toDF(*names))

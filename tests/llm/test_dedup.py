@@ -135,6 +135,21 @@ def test_near_duplicates_edges(spark):
     assert simhash.near_duplicates(df.where(F.lit(False))).count() == 0
 
 
+@pytest.mark.parametrize("slots", [1, 1 << 18])
+def test_near_copies_go_by_row_where_ids_repeat(spark, monkeypatch, slots):
+    monkeypatch.setattr(simhash.without, "__defaults__", (slots,))
+    x, y, z = (" ".join(f"{c}{i}" for i in range(400)) for c in "xyz")
+    # id 2 has a near copy of id 1's text and one of its own, with a near copy at id 3; id 4 has two near texts and a repeated row
+    data = [(1, x), (2, x.upper()), (2, y), (3, y.upper()), (4, z), (4, z.upper()), (4, z), (None, x), (5, None), (5, ""), (5, "other words"), (5, "other words")]
+    df = docs(spark, data)
+    kept = simhash.drop_near_copies(df)
+    assert kept.columns == df.columns and kept.schema == df.schema
+    got = Counter((r["doc_id"], r["text"] and r["text"].lower()) for r in rows(kept))
+    empty = [t for i, t in got if i == 5 and not t]
+    assert len(empty) == 1 and got == Counter([(1, x), (2, y), (4, z), (None, x), (5, empty[0]), (5, "other words")])
+    assert simhash.drop_near_copies(df.where(F.lit(False))).count() == 0
+
+
 def test_components_of_a_chain_a_star_and_loops(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(50)] + [(5, 5), (1, 0)]
     got = {r["node"]: r["root"] for r in rows(components(spark.createDataFrame(edges, "u long, v long")))}

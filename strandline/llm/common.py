@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.storage import checkpoint_dir, settle
+from ..plans.storage import checkpoint_dir, cleaned, settle
 
-__all__ = ["checkpoint_dir", "count_characters", "dealt_anew", "n_words", "settle", "table", "whole_text", "without", "words"]
+__all__ = ["Filter", "checkpoint_dir", "cleaned", "count_characters", "dealt_anew", "drop_marked", "n_words", "settle", "table", "whole_text", "without", "words"]
 
 #: A word is a maximal run of anything but the six ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -53,21 +56,81 @@ def dealt_anew(key: Column) -> Column:
     return key.bitwiseXOR(F.lit(1))
 
 
-#: Most hash slots of ids that are broadcast to tell which rows of a table a join concerns.
-SLOTS = 1 << 18
+#: A filter's bits per key and probes per key: about 1.2 % of other keys pass it.
+KEY_BITS, PROBES = 10, 4
+#: Bits of one block, which is what bitmap_construct_agg makes.
+BLOCK_BITS = 1 << 15
+#: Largest filter that is broadcast, in bytes: 54 million keys.
+MOST_FILTER_BYTES = 64 << 20
+
+
+class Filter:
+    """A blocked Bloom filter of the keys of a table, sized by their number.
+
+    Built by aggregation, a row of 4 KB per 3,276 keys, and broadcast. A key lies in one
+    block, so a test is one lookup and up to four bits. ``Filter.of`` gives None where it
+    would outgrow ``most_bytes``; the caller then does without, with the same result.
+    """
+
+    def __init__(self, table: DataFrame, blocks: int):
+        self.table, self.blocks = table, blocks
+
+    @classmethod
+    def of(cls, keys: DataFrame, key: Column, most_bytes: int | None = None) -> Filter | None:
+        """The filter of ``key`` over ``keys``, a settled table whose keys hardly repeat."""
+        blocks = max(1, -(-keys.count() * KEY_BITS // BLOCK_BITS))
+        if blocks * BLOCK_BITS // 8 > (MOST_FILTER_BYTES if most_bytes is None else most_bytes):
+            return None
+        block, probes = cls._places(key, blocks)
+        placed = keys.select(block.alias("_block"), F.explode(F.array(*probes)).alias("_at"))
+        return cls(placed.groupBy("_block").agg(F.bitmap_construct_agg("_at").alias("_bits")), blocks)
+
+    @staticmethod
+    def _places(key: Column, blocks: int) -> tuple[Column, list[Column]]:
+        h = F.xxhash64(key)
+        return F.pmod(h, F.lit(blocks)), [F.pmod(F.xxhash64(h, F.lit(k)), F.lit(BLOCK_BITS)) for k in range(PROBES)]
+
+    def test(self, rows: DataFrame, key: Column) -> tuple[DataFrame, Column]:
+        """``rows`` with the filter's columns beside, and what is false only where no key of the table equals ``key``."""
+        block, probes = self._places(key, self.blocks)
+        table = F.broadcast(self.table.withColumnsRenamed({c: f"{c}_{uuid.uuid4().hex[:8]}" for c in self.table.columns}))
+        at, bits = (table[c] for c in table.columns)
+        is_set = [F.getbit(F.conv(F.hex(F.substring(bits, (p / 8).cast("int") + 1, 1)), 16, 10).cast("int"), (p % 8).cast("int")) == 1 for p in probes]
+        return rows.join(table, block == at, "left"), reduce(lambda a, b: a & b, is_set, bits.isNotNull())
+
+
+def without(rows: DataFrame, key: Column, marks: DataFrame, marked: Column, same: Column, most_bytes: int | None = None) -> DataFrame:
+    """``rows`` that match no row of ``marks`` (settled) by ``same``.
+
+    Equal rows have equal ``key`` (of rows) and ``marked`` (of marks). Rows that pass a
+    filter of the marks, those to go and about 1.2 % of the others, are joined; the rest
+    stay where they are. Where the filter would be too large all rows are exchanged once,
+    with the same result.
+    """
+    passes = Filter.of(marks, marked, most_bytes)
+    if passes is None:
+        return rows.join(marks.hint("merge"), same, "left_anti")
+    told, hit = passes.test(rows, key)
+    rest, some = (told.where(c).select(*[rows[f"`{n}`"] for n in rows.columns]) for c in (~hit, hit))
+    return rest.unionAll(some.join(marks.hint("merge"), same, "left_anti"))
 
 
-def without(rows: DataFrame, key: Column, marks: DataFrame, marked: Column, same: Column, slots: int = SLOTS) -> DataFrame:
-    """``rows`` that match no row of ``marks`` by ``same``.
+def drop_marked(docs: DataFrame, key: Column, digest: Column, marks: DataFrame) -> DataFrame:
+    """``docs`` without the rows that ``marks`` names by ``_copy`` (an id) and ``_sha`` (a text's digest).
 
-    Equal rows have equal ``key`` (of rows) and ``marked`` (of marks). Only rows in a hash
-    slot that some mark is in go through the join's exchange, so most texts stay where they
-    are; the table of slots doesn't grow with the input. Where marks fill every slot all
-    rows are exchanged, with the same result.
+    Of rows that are marked ``_stays`` and repeat both the first that Spark meets stays.
+    ``key`` and ``digest`` are columns of ``docs``; null ids compare as equal.
     """
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(slots))
-    taken = F.broadcast(marks.select(slot(marked).alias("_slot")).distinct())
-    hit = slot(key) == taken["_slot"]
-    return rows.join(taken, hit, "left_anti").unionAll(
-        rows.join(taken, hit, "left_semi").join(marks.hint("merge"), same, "left_anti")
-    )
+
+    def same(m: DataFrame) -> Column:
+        return key.eqNullSafe(m["_copy"]) & (digest == m["_sha"])
+
+    rest = without(docs, key, marks, marks["_copy"], same(marks))
+    repeated = marks.where("_stays")
+    if repeated.isEmpty():
+        return rest
+    # ids may be null and texts long, so rows are told apart by what they are joined on
+    names = docs.columns
+    ours = docs.join(repeated, same(repeated)).select(*[docs[f"`{c}`"] for c in names], repeated["_copy"], repeated["_sha"])
+    once = ours.toDF(*[f"_{k}" for k in range(len(names))], "id", "sha").dropDuplicates(["id", "sha"]).drop("id", "sha")
+    return rest.unionAll(once.toDF(*names))

@@ -5,10 +5,10 @@ the surviving lengths; round 3 reads and hashes the full content, and only of
 rows whose (length, prefix) survived. Every round aggregates before it shuffles,
 so a text that holds a third of all rows is one row per task in each shuffle.
 
-The survivors reach the scan of round 3 as a table of hash slots. There are at
-most ``slots`` of them whatever the input, so that table may be broadcast; a slot
-shared by chance costs one needless hash and changes no result, as the full
-digest decides.
+The survivors reach the scan of round 3 as a Bloom filter sized by their number and
+broadcast within a stated size (``common.Filter``). A row that passes by chance costs a
+needless hash and changes no result, as the full digest decides; beyond that size every
+text is hashed.
 """
 
 from __future__ import annotations
@@ -16,9 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, whole_text, without
+from .common import Filter, drop_marked, settle, whole_text
 
-SLOTS = 1 << 18
 PREFIX_CHARS = 64
 
 
@@ -27,18 +26,20 @@ def exact_groups(
     id_col: str = "doc_id",
     text_col: str = "text",
     prefix_chars: int = PREFIX_CHARS,
-    slots: int = SLOTS,
     carry: dict[str, Column] | None = None,
+    most_bytes: int | None = None,
 ) -> DataFrame:
-    """One row per input row: ``id_col, keep_id, group_size, kept`` and ``carry``.
+    """One row per input row: ``id_col, keep_id, group_size, kept, digest`` and ``carry``.
 
     Texts are equal when they are identical; null counts as the empty text, so
     null and empty rows form one group. The row with the largest id stays. Rows
     that repeat an id and a text all count in ``group_size`` and, if theirs is the
     largest id, are all marked kept. A null id loses to any other; a group of null
     ids only has a null ``keep_id`` and is kept. An empty table gives no rows.
-    Other columns of ``docs`` are ignored whatever their names; ``carry`` adds
-    expressions over ``docs`` to the result.
+    ``digest`` is the SHA-256 of texts that were read in full, and of every text in a
+    group of two or more; null where length or prefix were enough. Other columns of
+    ``docs`` are ignored whatever their names; ``carry`` adds expressions over ``docs``
+    to the result. ``most_bytes`` bounds the filter of survivors.
     """
     text = whole_text(text_col)
     carry = carry or {}
@@ -49,25 +50,16 @@ def exact_groups(
         *[c.alias(name) for name, c in carry.items()],
     )
     prefix = F.xxhash64(F.substring("_text", 1, prefix_chars))
-    slot = F.pmod(F.xxhash64("_length", prefix), F.lit(slots))
 
     lengths = rows.groupBy("_length").agg(F.count("*").alias("_n")).where("_n > 1").select("_length")
-    prefixes = (
+    survivors = settle(
         rows.groupBy("_length", prefix.alias("_prefix")).agg(F.count("*").alias("_n")).where("_n > 1")
-        .join(lengths, "_length", "left_semi")
-    )
-    survivors = prefixes.select(F.pmod(F.xxhash64("_length", "_prefix"), F.lit(slots)).alias("_slot")).distinct()
-
-    hashed = (
-        rows.withColumn("_slot", slot)
-        .join(F.broadcast(survivors.withColumn("_read", F.lit(True))), "_slot", "left")
-        .select(
-            "_id",
-            # a row that no longer has a rival needs a key of its own
-            F.when(F.col("_read"), F.sha2("_text", 256)).alias("_digest"),
-            *carry,
-        )
+        .join(lengths, "_length", "left_semi").select("_length", "_prefix")
     )
+    known = Filter.of(survivors, F.xxhash64("_length", "_prefix"), most_bytes)
+    tested, read = known.test(rows, F.xxhash64("_length", prefix)) if known else (rows, F.lit(True))
+    # a row that no longer has a rival needs a key of its own
+    hashed = tested.select("_id", F.when(read, F.sha2("_text", 256)).alias("_digest"), *carry)
     groups = (
         hashed.where("_digest is not null").groupBy("_digest")
         .agg(F.max("_id").alias("_keep"), F.count("*").alias("_n")).where("_n > 1")
@@ -83,6 +75,7 @@ def exact_groups(
             F.when(F.col("_n").isNull(), F.col("_id")).otherwise(F.col("_keep")).alias("keep_id"),
             F.coalesce("_n", F.lit(1)).cast("long").alias("group_size"),
             F.when(F.col("_n").isNull(), F.lit(True)).otherwise(F.col("_id").eqNullSafe(F.col("_keep"))).alias("kept"),
+            F.col("_digest").alias("digest"),
             *carry,
         )
     )
@@ -98,20 +91,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     digest = F.sha2(whole_text(text_col), 256)
     copies = (
-        exact_groups(docs, id_col, text_col, carry={"_sha": digest}).where("group_size > 1")
-        .groupBy(F.col(id_col).alias("_copy"), "_sha").agg(F.max("kept").alias("_stays"), F.count("*").alias("_n"))
+        exact_groups(docs, id_col, text_col).where("group_size > 1")
+        .groupBy(F.col(id_col).alias("_copy"), F.col("digest").alias("_sha")).agg(F.max("kept").alias("_stays"), F.count("*").alias("_n"))
     )
-    marked = settle(copies.where("not _stays or _n > 1"))
-
-    def same(marks: DataFrame) -> Column:
-        return docs[id_col].eqNullSafe(marks["_copy"]) & (digest == marks["_sha"])
-
-    rest = without(docs, docs[id_col], marked, marked["_copy"], same(marked))
-    repeated = marked.where("_stays")
-    if repeated.isEmpty():
-        return rest
-    # ids may be null and texts long, so rows are told apart by what they are joined on
-    names = docs.columns
-    ours = docs.join(repeated, same(repeated)).select(*[docs[f"`{c}`"] for c in names], repeated["_copy"], repeated["_sha"])
-    once = ours.toDF(*[f"_{k}" for k in range(len(names))], "id", "sha").dropDuplicates(["id", "sha"]).drop("id", "sha")
-    return rest.unionAll(once.toDF(*names))
+    return drop_marked(docs, docs[id_col], digest, settle(copies.where("not _stays or _n > 1")))

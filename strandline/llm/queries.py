@@ -23,7 +23,7 @@ def vocabulary() -> tuple[str, str]:
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return exact_dedup.exact_groups(docs, carry={"text_sha256": F.sha2(whole_text("text"), 256)})
+    return exact_dedup.exact_groups(docs, carry={"text_sha256": F.sha2(whole_text("text"), 256)}).drop("digest")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .mixing import DRAWS
+
 WORDS = r"[^\x20\x09-\x0D]+"
 
 OP1 = """
@@ -26,11 +28,16 @@ WITH d AS (
 ), t AS (
   SELECT source, source_size, least(cap, coalesce((SELECT arg_min(level, k) FROM l WHERE level * w <= cap) * w, cap)) AS target FROM l
 ), m AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
-         ('0x' || substring(md5('mix-1:' || coalesce(d.doc_id::VARCHAR, 'null')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
+  SELECT d.doc_id, d.source, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), c AS (
+  SELECT *, floor(rate) + CASE WHEN ('0x' || substring(md5('mix-1-' || (k // 4) || ':' || coalesce(doc_id::VARCHAR, 'null')), (k % 4 * 8 + 1)::BIGINT, 8))::BIGINT
+                                    / 4294967296.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END AS copies
+  FROM m, range({DRAWS}) r(k)
+), b AS (
+  SELECT source, arg_min(k, [miss, k]) AS k FROM (SELECT source, k, abs(sum(size * copies) - any_value(target)) AS miss FROM c GROUP BY source, k) GROUP BY source
 )
-SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM m
+SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken FROM c JOIN b ON c.source IS NOT DISTINCT FROM b.source AND c.k = b.k
 """
 
 OP7 = """

@@ -8,7 +8,7 @@ import xxhash
 from helpers import EDGES, LONG, docs, rows
 from pyspark.sql import functions as F
 
-from strandline.llm import exact_dedup, line_dedup, simhash
+from strandline.llm import common, exact_dedup, line_dedup, simhash
 from strandline.llm.components import components
 
 
@@ -24,12 +24,13 @@ def brute_exact(data):
     return Counter(out)
 
 
-@pytest.mark.parametrize("slots", [1, 1 << 18])
-def test_exact_edges_and_brute_force(spark, slots):
+@pytest.mark.parametrize("most_bytes", [0, None])
+def test_exact_edges_and_brute_force(spark, most_bytes):
+    """With a filter of the survivors and without one."""
     rng = random.Random(1)
     data = [r[:2] for r in EDGES] + [(i, rng.choice("abcd") * rng.randint(0, 3)) for i in range(100, 200)] + [(300, LONG), (301, LONG[:-1] + "D")]
     df = docs(spark, data)
-    got = rows(exact_dedup.exact_groups(df, slots=slots, carry={"sha": F.sha2(F.coalesce("text", F.lit("")), 256)}))
+    got = rows(exact_dedup.exact_groups(df, most_bytes=most_bytes, carry={"sha": F.sha2(F.coalesce("text", F.lit("")), 256)}))
     assert Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in got) == brute_exact(data)
     assert {r["sha"] for r in got} == {hashlib.sha256((t or "").encode()).hexdigest() for _, t in data}
 
@@ -96,19 +97,19 @@ def near_fingerprints(n, seed=3):
     return sorted(set(out))
 
 
-@pytest.mark.parametrize("chunk", [3, 16_384])
-def test_links_lose_nothing(spark, chunk):
+@pytest.mark.parametrize("chunk, blocks", [(3, None), (16_384, None), (16_384, 8)])
+def test_links_lose_nothing(spark, chunk, blocks):
     """Also where every key is dealt out in chunks."""
     fps = near_fingerprints(240)
     nodes = list(enumerate(fps))
-    df = spark.createDataFrame([(signed(f), i) for i, f in nodes], "fp long, id long")
-    roots = {r["node"]: r["root"] for r in rows(components(simhash.links(df, chunk=chunk)))}
+    df = spark.createDataFrame([(f.to_bytes(8, "big"), i) for i, f in nodes], "fp binary, node long")
+    roots = {r["node"]: r["root"] for r in rows(components(simhash.links(df, simhash.Narrow(blocks=blocks), chunk=chunk)))}
     assert {i: roots.get(i, i) for i, _ in nodes} == brute_components(nodes)
 
 
 def test_forest_spans_every_group():
     fps = np.array(near_fingerprints(300, 5), np.uint64)
-    a, b = simhash.forest(fps)
+    a, b = simhash.forest(fps[:, None])
     assert (np.bitwise_count(fps[a] ^ fps[b]) <= 4).all()
     label = list(range(len(fps)))
     for x, y in zip(a.tolist(), b.tolist()):
@@ -129,15 +130,15 @@ def test_near_duplicates_edges(spark):
         if r["doc_id"] is not None:
             assert r["component_id"] == want[r["doc_id"]]
     assert Counter(r["fingerprint"] for r in got) == Counter(f"{brute_fingerprint(t):016x}" for _, t in data)
-    kept = simhash.drop_near_copies(df)
+    kept = simhash.drop_near_copies(df, form=simhash.Narrow())
     assert kept.columns == df.columns
     assert {r["doc_id"] for r in rows(kept)} == {None, *want.values()}
     assert simhash.near_duplicates(df.where(F.lit(False))).count() == 0
 
 
-@pytest.mark.parametrize("slots", [1, 1 << 18])
-def test_near_copies_go_by_row_where_ids_repeat(spark, monkeypatch, slots):
-    monkeypatch.setattr(simhash.without, "__defaults__", (slots,))
+@pytest.mark.parametrize("most_bytes", [0, common.MOST_FILTER_BYTES])
+def test_near_copies_go_by_row_where_ids_repeat(spark, monkeypatch, most_bytes):
+    monkeypatch.setattr(common, "MOST_FILTER_BYTES", most_bytes)
     x, y, z = (" ".join(f"{c}{i}" for i in range(400)) for c in "xyz")
     # id 2 has a near copy of id 1's text and one of its own, with a near copy at id 3; id 4 has two near texts and a repeated row
     data = [(1, x), (2, x.upper()), (2, y), (3, y.upper()), (4, z), (4, z.upper()), (4, z), (None, x), (5, None), (5, ""), (5, "other words"), (5, "other words")]
@@ -150,6 +151,59 @@ def test_near_copies_go_by_row_where_ids_repeat(spark, monkeypatch, slots):
     assert simhash.drop_near_copies(df.where(F.lit(False))).count() == 0
 
 
+def test_ids_link_nothing_and_keep_their_type(spark):
+    x, y = (" ".join(f"{c}{i}" for i in range(100)) for c in "xy")
+    data = [("2", x), ("5", x), ("5", y), ("9", y)]
+    got = rows(simhash.near_duplicates(spark.createDataFrame(data, "doc_id string, text string")))
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [("2", "2"), ("5", "2"), ("5", "5"), ("9", "5")]
+    assert len(rows(simhash.drop_near_copies(spark.createDataFrame(data, "doc_id string, text string")))) == 2
+
+
+def shingles5(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def test_wide_form_finds_pairs_of_a_similarity_of_four_fifths(spark):
+    """Recall against all pairs by their five-word shingles, and no link between unrelated texts."""
+    rng = random.Random(9)
+    data, similar = [], []
+    for i in range(0, 400, 2):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(80, 400))]
+        other = list(words)
+        for _ in range(rng.randint(1, max(1, len(words) // 45))):
+            other[rng.randrange(len(words))] = "changed"
+        data += [(i, " ".join(words)), (i + 1, " ".join(other))]
+        a, b = shingles5(data[-2][1]), shingles5(data[-1][1])
+        if len(a & b) / len(a | b) >= 0.8:
+            similar.append(i)
+    got = {r["doc_id"]: r["component_id"] for r in rows(simhash.near_duplicates(docs(spark, data), form=simhash.Wide()))}
+    assert all(c in (i, i - i % 2) for i, c in got.items())
+    assert len(similar) > 100 and sum(got[i + 1] == i for i in similar) >= 0.9 * len(similar)
+
+
+def test_keys_follow_the_number_of_fingerprints():
+    assert [simhash.Narrow().fitted(n).blocks for n in (0, 1 << 20, 1 << 34, 1 << 40)] == [6, 6, 7, 8]
+    assert [simhash.Wide().fitted(n).part for n in (0, 1 << 20, 1 << 30, 1 << 40)] == [16, 16, 22, 32]
+    few, many = simhash.Wide().fitted(10), simhash.Wide().fitted(1 << 30)
+    assert few.n_keys < many.n_keys
+    fps = np.random.default_rng(1).integers(0, 1 << 63, (50, 4)).astype(np.uint64)
+    assert (few.keys(fps) < 1 << 16).all() and few.keys(fps).shape == (50, few.n_keys)
+    # a fingerprint without differing bits shares every key, one with a bit more nearly every one
+    other = fps.copy()
+    other[:, 2] ^= np.uint64(1)
+    assert ((few.keys(fps) != few.keys(other)).sum(axis=1) <= few.n_keys // 16 + 1).all()
+
+
+def test_filter_tells_what_it_holds(spark):
+    keys = spark.range(0, 50_000).select((F.col("id") * 7).alias("k"))
+    held = common.Filter.of(keys, F.col("k"))
+    tested, hit = held.test(spark.range(0, 350_000), F.col("id"))
+    got = {r["m"]: (r["n"], r["y"]) for r in tested.groupBy((F.col("id") % 7 == 0).alias("m")).agg(F.count("*").alias("n"), F.sum(hit.cast("int")).alias("y")).collect()}
+    assert got[True] == (50_000, 50_000) and got[False][1] < 0.02 * got[False][0]
+    assert common.Filter.of(keys, F.col("k"), 1 << 15) is None
+
+
 def test_components_of_a_chain_a_star_and_loops(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(50)] + [(5, 5), (1, 0)]
     got = {r["node"]: r["root"] for r in rows(components(spark.createDataFrame(edges, "u long, v long")))}

@@ -2,6 +2,7 @@ import math
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pytest
 from helpers import rows
 
@@ -45,14 +46,17 @@ def test_pipeline_against_brute_force(spark):
     for i, r in left.items():
         last[r["text"]] = max(i, last.get(r["text"], i))
     left = {i: left[i] for i in last.values()}
-    prints = {i: simhash.fingerprint(r["text"]) for i, r in left.items()}
+    form = simhash.Wide().fitted(len(left))
+    prints = {i: simhash.print_of(r["text"], form.shingle, form.width) for i, r in left.items()}
+    keys = {i: set(enumerate(form.keys(np.frombuffer(p, ">u8").astype(np.uint64)[None])[0].tolist())) for i, p in prints.items()}
     label = {i: i for i in left}
+    near = {(i, j) for i in left for j in left if (int.from_bytes(prints[i]) ^ int.from_bytes(prints[j])).bit_count() <= form.bits and keys[i] & keys[j]}
     changed = True
     while changed:
         changed = False
         for i in left:
             for j in left:
-                if (prints[i] ^ prints[j]).bit_count() <= simhash.BITS and label[j] < label[i]:
+                if (i, j) in near and label[j] < label[i]:
                     label[i], changed = label[j], True
     left = {i: r for i, r in left.items() if label[i] == i}
     frame = spark.createDataFrame(list(left.values()), table(spark, str(DATA), "documents").schema)

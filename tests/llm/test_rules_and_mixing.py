@@ -1,9 +1,10 @@
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
-from helpers import EDGES, docs, rows
+from helpers import EDGES, LONG, docs, rows
 from pyspark.sql import functions as F
 
 from strandline.llm import mixing, quality
@@ -117,3 +118,21 @@ def test_mix_and_emit(spark):
 def test_uniform_numbers(spark):
     u = [r["u"] for r in rows(spark.range(4000).select(mixing.uniform(F.col("id")).alias("u")))]
     assert 0 <= min(u) and max(u) < 1 and np.mean(u) == pytest.approx(0.5, abs=0.02)
+
+
+def test_every_source_of_the_table_comes_near_its_target(spark):
+    folder = "/root/testdata/sf0.01"
+    if not Path(folder).exists():
+        pytest.skip("no test tables")
+    documents = spark.read.parquet(f"{folder}/documents.parquet")
+    got = mixing.mix(documents).join(documents.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"))
+    assert all(abs(r["taken"] - r["target"]) <= 0.05 * r["target"] for r in rows(got))
+
+
+def test_mixing_stands_very_long_texts_and_clashing_names(spark):
+    df = docs(spark, [(i, LONG if i == 3 else "w " * i, "ab"[i % 2]) for i in range(40)])
+    got = {r["doc_id"]: r for r in rows(mixing.mix(df))}
+    assert got[3]["size"] == 30_001 and got[3]["taken"] in (0, 30_001, 60_002)
+    out = rows(mixing.emit(df))
+    assert Counter(r["doc_id"] for r in out) == +Counter({i: r["copies"] for i, r in got.items()})
+    assert all(r["copies"] == r["_row"] == r["a.b"] == 7 for r in out)

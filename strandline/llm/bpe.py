@@ -9,8 +9,8 @@ entry whose pair is no longer there is stale and skipped. A merge costs a few bi
 operations whatever the length, so a pre-token of a million bytes costs about a million
 times what one byte does.
 
-Words repeat, so ids of short pre-tokens are remembered; the memory is bounded and its
-two generations turn over, which changes no result.
+Words repeat, so ids of short pre-tokens are remembered; the memory is bounded by bytes
+and its two generations turn over, which changes no result.
 """
 
 from __future__ import annotations
@@ -19,18 +19,23 @@ import base64
 import gc
 import hashlib
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from contextlib import contextmanager
 from heapq import heappop, heappush
 from itertools import chain
+from pathlib import Path
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bits of a bitmap word: 2 ** SHIFT.
 SHIFT = 8
 BITS, MASK = 1 << SHIFT, (1 << SHIFT) - 1
-REMEMBERED = 500_000
+#: Bytes of a generation of what is remembered, and of an entry beside its characters and ids, as measured.
+REMEMBERED_BYTES = 48 << 20
+ENTRY_BYTES = 200
 REMEMBERED_LENGTH = 48
 
 
@@ -41,10 +46,10 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Memory(dict):
-    """Ids by pre-token, in two generations of ``most`` each; looking up what is known runs no Python code."""
+    """Ids by pre-token, in two generations of ``most`` bytes each; looking up what is known runs no Python code."""
 
     def __init__(self, merge: Callable[[bytes], tuple[int, ...]], most: int):
-        self.merge, self.most = merge, most
+        self.merge, self.most, self.held = merge, most, 0
         self.old: dict[str, tuple[int, ...]] = {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
@@ -53,9 +58,10 @@ class Memory(dict):
             ids = self.merge(piece.encode("utf-8", "replace"))
             if len(piece) > REMEMBERED_LENGTH:
                 return ids
-        if len(self) >= self.most:
-            self.old = dict(self)
+        if self.held >= self.most:
+            self.old, self.held = dict(self), 0
             self.clear()
+        self.held += ENTRY_BYTES + len(piece) + 8 * len(ids)
         self[piece] = ids
         return ids
 
@@ -63,7 +69,7 @@ class Memory(dict):
 class ByteBPE:
     """Encoder and decoder for a rank table, each pre-token separately, no special tokens."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = REMEMBERED):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = REMEMBERED_BYTES):
         self.ranks = ranks
         self.bytes_of = {r: b for b, r in ranks.items()}
         self.split = regex.compile(pattern).findall
@@ -145,22 +151,46 @@ class ByteBPE:
 _encoders: dict[tuple[str, str], ByteBPE] = {}
 
 
-def encoder(path: str, pattern: str) -> ByteBPE:
-    """One encoder per worker process and vocabulary."""
+@contextmanager
+def encoder(path: str, pattern: str) -> Iterator[ByteBPE]:
+    """The one encoder of this worker process and vocabulary, for the time of a task.
+
+    ``path`` is a file that was sent along with ``ship_vocabulary``, or one that every
+    executor has. Meanwhile Python's search for cycles rests: what is remembered has none,
+    and looking through it costs more than encoding.
+    """
     if (path, pattern) not in _encoders:
-        gc.disable()  # what a worker remembers has no cycles, and looking for some costs more than encoding
-        _encoders[path, pattern] = ByteBPE(read_ranks(path), pattern)
-    return _encoders[path, pattern]
+        there = SparkFiles.get(Path(path).name) if SparkFiles._is_running_on_worker else path
+        _encoders[path, pattern] = ByteBPE(read_ranks(there if Path(there).exists() else path), pattern)
+    gc.disable()
+    try:
+        yield _encoders[path, pattern]
+    finally:
+        gc.enable()
+
+
+def ship_vocabulary(spark: SparkSession, path: str) -> None:
+    """Send a vocabulary file to the executors; once per application and file."""
+    context = spark.sparkContext
+    if (context.applicationId, path) not in _shipped:
+        context.addFile(path)
+        _shipped.add((context.applicationId, path))
+
+
+_shipped: set[tuple[str, str]] = set()
 
 
 def encode_table(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, ``ids`` (array of int), whole texts; null counts as empty."""
+    """One row per input row: id, ``ids`` (array of int), whole texts.
+
+    Null and empty texts have no ids. Row by row, so repeated rows are all returned and an
+    empty table gives no rows; other columns are ignored.
+    """
+    ship_vocabulary(docs.sparkSession, vocabulary)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary, pattern)
-        for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
+        with encoder(vocabulary, pattern) as enc:
+            for part in pieces(batches):
                 ids = pa.array([enc.encode(t.as_py()) for t in part.column(1)], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(0), ids], ["id", "ids"])
 
@@ -169,38 +199,51 @@ def encode_table(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "
     return out.withColumnRenamed("id", id_col)
 
 
-def digest_table(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode, decode again, and return ``n_tokens, ids_sha256, decoded_sha256`` per row.
+def pieces(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches in pieces of a few rows, so that what is made of one stays small."""
+    return (b.slice(k, rows) for b in batches for k in range(0, b.num_rows, rows))
+
+
+def digest_table(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:
+    """Encode, decode again, and return ``n_tokens, ids_sha256, decoded_sha256`` per row, and with ``ids`` the ids.
 
     ``ids_sha256`` is over the decimal ids joined by commas, ``decoded_sha256`` over the
     decoded bytes. Null and empty texts have no tokens. Works row by row, so an empty
-    table gives no rows and repeated rows are all returned.
+    table gives no rows and repeated rows are all returned; other columns are ignored.
     """
+    ship_vocabulary(docs.sparkSession, vocabulary)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary, pattern)
-        for batch in batches:
-            n, coded, decoded = [], [], []
-            for t in batch.column(1):
-                ids = enc.encode(t.as_py())
-                n.append(len(ids))
-                coded.append(hashlib.sha256(",".join(map(enc.names.__getitem__, ids)).encode()).hexdigest())
-                decoded.append(hashlib.sha256(enc.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        with encoder(vocabulary, pattern) as enc:
+            for part in pieces(batches):
+                coded = [enc.encode(t.as_py()) for t in part.column(1)]
+                columns = {
+                    "n_tokens": pa.array(map(len, coded), pa.int64()),
+                    "ids_sha256": pa.array([hashlib.sha256(",".join(map(enc.names.__getitem__, x)).encode()).hexdigest() for x in coded], pa.string()),
+                    "decoded_sha256": pa.array([hashlib.sha256(enc.decode(x)).hexdigest() for x in coded], pa.string()),
+                }
+                if ids:
+                    columns["ids"] = pa.array(coded, pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns.values()], ["id", *columns])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
-    return out.withColumnRenamed("id", id_col)
+    schema = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def decode_table(coded: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """One row per input row: id and ``content`` (binary), the bytes that the ids stand for."""
+    """One row per input row: id and ``content`` (binary), the bytes that the ids stand for.
+
+    Null and empty ids stand for no bytes; an id that the vocabulary lacks fails the job.
+    Row by row, so repeated rows are all returned and an empty table gives no rows.
+    """
+    ship_vocabulary(coded.sparkSession, vocabulary)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary, pattern)
-        for batch in batches:
-            out = pa.array([enc.decode(x.as_py() or ()) for x in batch.column(1)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), out], ["id", "content"])
+        with encoder(vocabulary, pattern) as enc:
+            for part in pieces(batches):
+                out = pa.array([enc.decode(x.as_py() or ()) for x in part.column(1)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), out], ["id", "content"])
 
     kind = coded.schema[id_col].dataType.simpleString()
     out = coded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(run, f"id {kind}, content binary")

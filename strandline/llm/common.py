@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..plans.storage import checkpoint_dir, cleaned, settle
 
-__all__ = ["Filter", "checkpoint_dir", "cleaned", "count_characters", "dealt_anew", "drop_marked", "n_words", "settle", "table", "whole_text", "without", "words"]
+__all__ = ["Filter", "checkpoint_dir", "cleaned", "count_characters", "dealt_anew", "drop_marked", "n_words", "settle", "table", "whole_text", "words"]
 
 #: A word is a maximal run of anything but the six ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -99,38 +99,40 @@ class Filter:
         return rows.join(table, block == at, "left"), reduce(lambda a, b: a & b, is_set, bits.isNotNull())
 
 
-def without(rows: DataFrame, key: Column, marks: DataFrame, marked: Column, same: Column, most_bytes: int | None = None) -> DataFrame:
-    """``rows`` that match no row of ``marks`` (settled) by ``same``.
+def drop_marked(docs: DataFrame, key: Column, digest: Column, marks: DataFrame, most_bytes: int | None = None) -> DataFrame:
+    """``docs`` without the rows that ``marks`` (settled) names by ``_copy`` (an id) and ``_sha`` (a text's digest).
 
-    Equal rows have equal ``key`` (of rows) and ``marked`` (of marks). Rows that pass a
-    filter of the marks, those to go and about 1.2 % of the others, are joined; the rest
-    stay where they are. Where the filter would be too large all rows are exchanged once,
-    with the same result.
+    Rows that pass a filter of the marked ids, those to go and about 1.2 % of the others,
+    are joined; the rest stay where they are. Where the filter would outgrow ``most_bytes``
+    all rows are exchanged once, with the same result. Of rows that are marked ``_stays``
+    and repeat both id and text the first that Spark meets stays. ``key`` and ``digest``
+    are columns of ``docs``; null ids compare as equal.
     """
-    passes = Filter.of(marks, marked, most_bytes)
-    if passes is None:
-        return rows.join(marks.hint("merge"), same, "left_anti")
-    told, hit = passes.test(rows, key)
-    rest, some = (told.where(c).select(*[rows[f"`{n}`"] for n in rows.columns]) for c in (~hit, hit))
-    return rest.unionAll(some.join(marks.hint("merge"), same, "left_anti"))
-
+    names = docs.columns
 
-def drop_marked(docs: DataFrame, key: Column, digest: Column, marks: DataFrame) -> DataFrame:
-    """``docs`` without the rows that ``marks`` names by ``_copy`` (an id) and ``_sha`` (a text's digest).
+    def own(rows: DataFrame) -> DataFrame:
+        return rows.select(*[docs[f"`{c}`"] for c in names])
 
-    Of rows that are marked ``_stays`` and repeat both the first that Spark meets stays.
-    ``key`` and ``digest`` are columns of ``docs``; null ids compare as equal.
-    """
+    def renamed(m: DataFrame) -> tuple[DataFrame, Column, Column]:
+        m = m.select(*[F.col(c).alias(f"{c}_{uuid.uuid4().hex[:8]}") for c in ("_copy", "_sha")])
+        return m, key.eqNullSafe(m[m.columns[0]]) & (digest == m[m.columns[1]]), m[m.columns[1]]
 
-    def same(m: DataFrame) -> Column:
-        return key.eqNullSafe(m["_copy"]) & (digest == m["_sha"])
+    def left(rows: DataFrame) -> DataFrame:
+        # an outer join, as Spark would move an anti join below the filter's lookup
+        gone, same, sha = renamed(marks)
+        return own(rows.join(gone.hint("merge"), same, "left").where(sha.isNull()))
 
-    rest = without(docs, key, marks, marks["_copy"], same(marks))
+    known = Filter.of(marks, marks["_copy"], most_bytes)
+    if known is None:
+        rest = left(docs)
+    else:
+        told, hit = known.test(docs, key)
+        rest = own(told.where(~hit)).unionAll(left(told.where(hit)))
     repeated = marks.where("_stays")
     if repeated.isEmpty():
         return rest
     # ids may be null and texts long, so rows are told apart by what they are joined on
-    names = docs.columns
-    ours = docs.join(repeated, same(repeated)).select(*[docs[f"`{c}`"] for c in names], repeated["_copy"], repeated["_sha"])
-    once = ours.toDF(*[f"_{k}" for k in range(len(names))], "id", "sha").dropDuplicates(["id", "sha"]).drop("id", "sha")
-    return rest.unionAll(once.toDF(*names))
+    once, same, _ = renamed(repeated)
+    ours = docs.join(once, same).select(*[docs[f"`{c}`"] for c in names], *[once[c] for c in once.columns])
+    one = ours.toDF(*[f"_{k}" for k in range(len(names))], "id", "sha").dropDuplicates(["id", "sha"]).drop("id", "sha")
+    return rest.unionAll(one.toDF(*names))

@@ -5,48 +5,31 @@ template and are three times as long, so a passage up to twice a template's leng
 whole in one. A window that shares no shingle with any template of its size can contain
 none of them, so it is left out before anything is hashed again; the others get
 ``BANDS`` min-hashes, one row per band, and meet a template wherever one agrees. At the
-lowest similarity that can matter (0.8 of a template in a window of three) a band agrees
-with probability 0.26 or more, so one of 32 does with more than 0.9999. What is met is
-verified by exact containment of the template's shingles.
+lowest similarity that can matter (0.8 of a template in a window of three, so 0.8 / 3.2)
+a band agrees with probability 0.25, so one of 48 does with more than 0.999999. What is
+met is verified by exact containment of the template's shingles.
 
-Templates are a parameter of a bounded number, so their tables may be broadcast.
+Templates are a parameter of a bounded number, so their tables may be broadcast:
+``TEMPLATES`` (lines, notices and whole short licenses) or a folder of license texts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import stem
+from .license_texts import TEMPLATES
+
 SHINGLE = 5
 CONTAINED = 0.8
-BANDS = 32
+BANDS = 48
 WINDOW = 3
 #: Templates are few by contract: their shingles are literals in the plan.
 MOST_TEMPLATES = 1_000
 
-# License lines and notices as their publishers word them; fixed values.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "MIT": "Released under the MIT License.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "MIT-notice": (
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
-        "documentation files, to deal in the Software without restriction, including without limitation the rights to use, "
-        "copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"
-    ),
-    "Apache-2.0-notice": (
-        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on "
-        "an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."
-    ),
-    "BSD-notice": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
-        "following conditions are met"
-    ),
-}
-
 #: Characters that end words, and one that is dropped, before comparing.
 BREAKS = "\t\n\x0b\x0c\r,;:!?()[]{}\"'"
 DROPPED = "."
@@ -77,6 +60,16 @@ def min_hashes(hs: Column, bands: int = BANDS) -> Column:
     )
 
 
+def read_templates(spark: SparkSession, folder: str) -> dict[str, str]:
+    """Templates from a folder of text files, one license each, by file name without suffix."""
+    files = spark.read.text(folder, wholetext=True).select(stem(F.col("_metadata.file_path")).alias("name"), "value")
+    return {r["name"]: r["value"] for r in files.limit(MOST_TEMPLATES + 1).collect()}
+
+
+def _literal(hashes: set[int]) -> Column:
+    return F.expr(f"array({', '.join(f'{h}L' for h in sorted(hashes))})")
+
+
 def scan(
     docs: DataFrame,
     templates: Mapping[str, str] = TEMPLATES,
@@ -90,7 +83,8 @@ def scan(
     ``containment`` is the largest share of the template's shingles in one window and
     ``first_shingle`` the start of the first window that has it, counted in shingles.
     Whole texts; null, empty and short texts contain nothing. Rows that repeat an id are
-    found as one. Templates of fewer than five words are refused.
+    found as one, and so are rows without an id. An empty table gives no rows. Other columns
+    are ignored whatever their names. Templates of fewer than five words are refused.
     """
     if len(templates) > MOST_TEMPLATES:
         raise ValueError(f"more than {MOST_TEMPLATES} templates")
@@ -99,21 +93,22 @@ def scan(
     listed = kinds.collect()
     if short := [r["license"] for r in listed if not r["t"]]:
         raise ValueError(f"templates of fewer than {SHINGLE} words: {short}")
-    sizes = sorted({len(r["t"]) for r in listed})
-    every = F.array(*[F.lit(h) for h in sorted({h for r in listed for h in r["t"]})])
+    by_size: dict[int, set[int]] = {}
+    for r in listed:
+        by_size.setdefault(len(r["t"]), set()).update(r["t"])
 
     hashed = docs.select(F.col(id_col).alias("_id"), shingles(F.col(text_col)).alias("_hs"))
-    some = hashed.where(F.arrays_overlap("_hs", every))
+    some = hashed.where(F.arrays_overlap("_hs", _literal(set().union(*by_size.values()))))
 
-    def cut(s: int) -> Column:
-        """Windows for templates of s shingles."""
-        return F.transform(
+    def cut(s: int, every: Column) -> Column:
+        """Windows for templates of s shingles that share one with them."""
+        windows = F.transform(
             F.sequence(F.lit(0), F.size("_hs") - 1, F.lit(s)),
             lambda at: F.struct(F.lit(s).alias("size"), at.alias("at"), F.array_distinct(F.slice(F.col("_hs"), at + 1, F.lit(WINDOW * s))).alias("w")),
         )
+        return F.when(F.arrays_overlap("_hs", every), F.filter(windows, lambda x: F.arrays_overlap(x["w"], every)))
 
-    spans = F.flatten(F.array(*[cut(s) for s in sizes]))
-    near = F.filter(spans, lambda x: F.arrays_overlap(x["w"], every))
+    near = F.flatten(F.array_compact(F.array(*[cut(s, _literal(hs)) for s, hs in sorted(by_size.items())])))
     windows = some.select("_id", F.explode(near).alias("x")).select("_id", "x.size", "x.at", "x.w")
     filed = windows.select("_id", "size", "at", "w", F.explode(min_hashes(F.col("w"), bands)).alias("m"))
     known = kinds.select("license", "t", F.size("t").alias("_size"), F.explode(min_hashes(F.col("t"), bands)).alias("_m"))

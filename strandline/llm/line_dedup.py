@@ -1,15 +1,14 @@
 """Line dedup of repeated passages, built-in functions only.
 
-``drop_repeated_runs`` files every two neighbouring lines of every text under the
-SHA-256 of their bytes. Two lines that stand earlier in the table (smallest id, then
-place) are removed, so every run of two lines or more that repeats goes, wherever it
-begins and whatever stands around it. Only digests and places are exchanged to find
-them, never bytes; the texts move once, when they are cut. The join can be split where
-one passage holds most rows.
-
-``drop_repeated_lines`` compares content-defined chunks instead: a rolling hash over two
-neighbouring line hashes decides where a chunk ends, and chunks of one line are not
-compared. It moves less and finds less.
+The rolling hash covers two neighbouring line hashes. A boundary by a divisor of that
+hash loses every passage that lies inside a chunk or across one (at a divisor of two half
+of all repeated lines in passages of two lines or more), so here every place is a boundary:
+each window of two lines is filed under the SHA-256 of its bytes. Windows that stand
+earlier in the table (smallest id, then place) are removed and windows that touch are one
+chunk, so every run of two lines or more that repeats goes, wherever it begins and
+whatever stands around it. Only digests and places are exchanged to find them, never
+bytes; the texts move once, when they are cut. The join can be split where one passage
+holds most rows.
 """
 
 from __future__ import annotations
@@ -17,82 +16,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import dealt_anew, whole_text
-
-SLOTS = 1 << 18
-#: One line in so many ends a chunk.
-DIVISOR = 2
+from .common import whole_text
 
 
 def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def chunks(text: Column, divisor: int = DIVISOR) -> Column:
-    """Chunks of at least two lines: array of ``at`` (first line), ``n`` (lines), ``content``."""
-
-    def ends(ls: Column) -> Column:
-        hashed = F.transform(ls, lambda x: F.xxhash64(x))
-        return _let(hashed, lambda hs: F.filter(
-            F.sequence(F.lit(0), F.size(hs) - 1),
-            lambda i: (i == F.size(hs) - 1) | ((i > 0) & (F.pmod(F.xxhash64(F.get(hs, i - 1), F.get(hs, i)), F.lit(divisor)) == 0)),
-        ))
-
-    def cut(ls: Column) -> Column:
-        return _let(ends(ls), lambda es: F.filter(
-            F.transform(es, lambda e, k: _let(
-                F.when(k == 0, F.lit(0)).otherwise(F.get(es, k - 1) + 1),
-                lambda a: F.struct(a.alias("at"), (e - a + 1).alias("n"), F.array_join(F.slice(ls, a + 1, e - a + 1), "\n").alias("content")),
-            )),
-            lambda c: c["n"] >= 2,
-        ))
-
-    return _let(F.split(text, "\n"), cut)
-
-
-def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = DIVISOR, slots: int = SLOTS) -> DataFrame:
-    """``id, at, n``: every chunk whose bytes occur earlier in the table."""
-    rows = docs.select(F.col(id_col).alias("id"), F.explode(chunks(whole_text(text_col), divisor)).alias("c")).select("id", "c.at", "c.n", "c.content")
-    key, size = F.xxhash64("content"), F.octet_length("content")
-    slot = lambda k, n: F.pmod(F.xxhash64(k, n), F.lit(slots))
-    often = rows.select(key.alias("key"), size.alias("size")).groupBy("key", "size").agg(F.count("*").alias("_n")).where("_n > 1")
-    flags = F.broadcast(often.select(slot(F.col("key"), F.col("size")).alias("slot")).distinct())
-    found = rows.withColumn("key", key).withColumn("size", size).withColumn("slot", slot(F.col("key"), F.col("size"))).join(flags, "slot", "left_semi")
-    # where it is first: rows without an id come last
-    place = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("at").alias("at"))
-    firsts = found.groupBy("key", "size").agg(F.min(F.struct(place.alias("place"), F.col("content").alias("content"))).alias("first"))
-    return (
-        found.withColumn("k", dealt_anew(F.col("key")))
-        .join(firsts.select(dealt_anew(F.col("key")).alias("k"), "size", "first"), ["k", "size"])
-        .where((F.col("content") == F.col("first.content")) & ~place.eqNullSafe(F.col("first.place")))
-        .select("id", "at", "n")
-    )
-
-
-def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", clean_col: str = "clean_text", **options) -> DataFrame:
-    """The cut by chunks: ``id_col``, ``clean_col``, ``n_lines, n_removed_lines, n_removed_chunks`` of every row.
-
-    The empty and the null text are one empty line and lose nothing. A text whose every
-    chunk is repeated becomes empty. Rows that repeat an id are cut alike: what is removed
-    from one is removed from all. Rows without an id are compared but not cut.
-    """
-    gone = (
-        repeated_chunks(docs, id_col, text_col, **options).where("id is not null").distinct()
-        .groupBy("id").agg(F.collect_list(F.struct("at", "n")).alias("_gone")).withColumnRenamed("id", "_gone_id")
-    )
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    lines = F.split(whole_text("_text"), "\n")
-    held = F.coalesce(F.col("_gone"), F.array().cast("array<struct<at:int,n:int>>"))
-    kept = F.filter(lines, lambda x, i: ~F.exists(F.col("_gone"), lambda g: (i >= g["at"]) & (i < g["at"] + g["n"])))
-    return rows.join(gone, F.col("_id") == F.col("_gone_id"), "left").select(
-        F.col("_id").alias(id_col),
-        F.when(F.col("_gone").isNull(), whole_text("_text")).otherwise(F.array_join(kept, "\n")).alias(clean_col),
-        F.size(lines).cast("long").alias("n_lines"),
-        F.aggregate(held, F.lit(0).cast("long"), lambda s, g: s + g["n"]).alias("n_removed_lines"),
-        F.size(held).cast("long").alias("n_removed_chunks"),
-    )
-
-
 def repeated_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, mark, at``: every two neighbouring lines that stand earlier; ``mark`` is the text's hash.
 

@@ -2,8 +2,22 @@
 
 from __future__ import annotations
 
+from .licenses import BREAKS, CONTAINED, DROPPED, SHINGLE, TEMPLATES, WINDOW
 from .mixing import DRAWS
 
+
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _plain(text: str) -> str:
+    """Words of a text as licenses are compared."""
+    return f"list_filter(string_split(replace(translate(lower(coalesce({text}, '')), {_text(BREAKS)}, {_text(' ' * len(BREAKS))}), {_text(DROPPED)}, ''), ' '), lambda w: w <> '')"
+
+
+def _shingles(words: str) -> str:
+    return f"list_transform(range(1, greatest(len({words}) - {SHINGLE - 2}, 1)), lambda i: array_to_string({words}[i:i + {SHINGLE - 1}], ' '))"
+
 WORDS = r"[^\x20\x09-\x0D]+"
 
 OP1 = """
@@ -49,5 +63,31 @@ FROM p WINDOW w AS (PARTITION BY h)
 """
 
 
+OP6 = f"""
+WITH d AS (SELECT doc_id, {_plain("text")} AS ws FROM documents),
+n AS (SELECT license, {_plain("words")} AS ws FROM (VALUES {", ".join(f"({_text(k)}, {_text(v)})" for k, v in TEMPLATES.items())}) v(license, words)),
+t AS (SELECT DISTINCT license, unnest({_shingles("ws")}) AS s FROM n),
+z AS (SELECT license, count(*) AS size FROM t GROUP BY license),
+p AS (SELECT doc_id, unnest({_shingles("ws")}) AS s, unnest(range(greatest(len(ws) - {SHINGLE - 1}, 0))) AS pos FROM d),
+m AS (SELECT doc_id, license, size, s, pos FROM p JOIN t USING (s) JOIN z USING (license)),
+w AS (SELECT doc_id, license, size, (pos // size - back) * size AS place, s FROM m, range({WINDOW}) r(back) WHERE pos // size >= back),
+c AS (SELECT doc_id, license, place, count(DISTINCT s) / any_value(size)::DOUBLE AS share FROM w GROUP BY doc_id, license, place)
+SELECT doc_id, license, max(share) AS containment, arg_min(place, [-share, place])::BIGINT AS first_shingle FROM c WHERE share >= {CONTAINED} GROUP BY doc_id, license
+"""
+
+OP9 = """
+WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+p AS (SELECT doc_id, unnest(range(len(ls) - 1)) AS place, unnest(list_transform(range(1, len(ls)), lambda i: ls[i] || chr(10) || ls[i + 1])) AS k FROM l),
+f AS (SELECT k, min([doc_id, place]) AS first FROM p GROUP BY k HAVING count(*) > 1),
+g AS (SELECT DISTINCT doc_id, place + r.ahead AS i FROM p JOIN f USING (k), range(2) r(ahead) WHERE NOT (doc_id = first[1] AND place < first[2] + 2)),
+o AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE before IS NULL OR before < i - 1) AS runs
+      FROM (SELECT *, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM g) GROUP BY doc_id),
+e AS (SELECT doc_id, unnest(range(len(ls))) AS i, unnest(ls) AS line FROM l),
+c AS (SELECT e.doc_id, string_agg(line, chr(10) ORDER BY e.i) FILTER (WHERE g.i IS NULL) AS clean FROM e LEFT JOIN g ON g.doc_id = e.doc_id AND g.i = e.i GROUP BY e.doc_id)
+SELECT l.doc_id, len(ls)::BIGINT AS n_lines, coalesce(n, 0)::BIGINT AS n_removed_lines, coalesce(runs, 0)::BIGINT AS n_removed_chunks, sha256(coalesce(clean, '')) AS clean_sha256
+FROM l JOIN c USING (doc_id) LEFT JOIN o USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1, "op3_mixing": OP3, "op7_warc": OP7}
+    return {"op1_exact_dedup": OP1, "op3_mixing": OP3, "op6_licenses": OP6, "op7_warc": OP7, "op9_line_dedup": OP9}

@@ -1,10 +1,12 @@
-"""Edit-aware token counts: a segment tree over the pre-tokens of a document.
-
-Leaves are blocks of pre-tokens with their lengths and token counts; inner nodes hold the
-sums. An edit walks down to its place, re-encodes pre-tokens from two before it until the
-cut of the new text falls on an old boundary behind it, and updates the sums above the
-blocks that changed. A pre-token depends on what follows it by two characters at most and
-on nothing before it, so the boundary context makes the count exact.
+"""Edit-aware token counts: a stored segment tree over the pre-tokens of a document.
+
+A leaf stands for a block of pre-tokens and holds how many characters, tokens and
+pre-tokens it has; inner nodes hold the sums. Trees are a table of their own, a few
+numbers per 64 pre-tokens. An edit walks down to its place, re-encodes from a block before
+it until the cut of the new text falls on an old block's end behind it, and updates the
+sums above the blocks that changed; whatever stands elsewhere is neither cut nor encoded
+again. A pre-token depends on what follows it by two characters at most and on nothing
+before it, so the boundary context makes the count exact.
 """
 
 from __future__ import annotations
@@ -16,173 +18,203 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import encoder
+from .bpe import encoder, pieces, ship_vocabulary
+from .common import settle, whole_text
 
 BLOCK = 64
-#: Pre-tokens before an edit that are cut again.
-CONTEXT = 2
+
+TREE = ("chars", "tokens", "pieces")
+TREE_COLUMNS = ", ".join(f"{c} array<int>" for c in TREE)
 
 
 class CountTree:
-    """Token count of a text under edits.
+    """Sums of a text as three heaps: the node k has the children 2k and 2k + 1, leaves begin at half the length.
 
-    ``count`` gives the tokens of a pre-token. ``reencoded`` sums the pre-tokens that
-    edits had to encode.
+    ``reencoded`` counts the pre-tokens that edits had to encode.
     """
 
-    def __init__(self, text: str, pattern: str, count: Callable[[str], int]):
-        self.text, self.pattern, self.count = text, regex.compile(pattern), count
+    def __init__(self, chars: Sequence[int], tokens: Sequence[int], pieces: Sequence[int]):
+        self.heaps = [list(chars), list(tokens), list(pieces)]
         self.reencoded = 0
-        pieces = self.pattern.findall(text)
-        lengths, counts = list(map(len, pieces)), list(map(count, pieces))
-        self._build([(lengths[k : k + BLOCK], counts[k : k + BLOCK]) for k in range(0, len(pieces), BLOCK)] or [([], [])])
-
-    def _build(self, blocks: list[tuple[list[int], list[int]]]) -> None:
-        self.blocks = blocks
-        self.base = 1
-        while self.base < len(blocks):
-            self.base *= 2
-        self.chars, self.tokens, self.pieces = ([0] * (2 * self.base) for _ in range(3))
-        for k in range(len(blocks)):
-            self._leaf(k)
-        for k in range(self.base - 1, 0, -1):
-            self._sum(k)
-
-    def _leaf(self, k: int) -> None:
-        lengths, counts = self.blocks[k]
-        at = self.base + k
-        self.chars[at], self.tokens[at], self.pieces[at] = sum(lengths), sum(counts), len(lengths)
+
+    @classmethod
+    def of(cls, text: str, pattern: regex.Pattern, count: Callable[[str], int]) -> CountTree:
+        return cls._over(cls._blocks([(len(p), count(p)) for p in pattern.findall(text)]))
+
+    @staticmethod
+    def _blocks(pieces: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+        parts = (pieces[k : k + BLOCK] for k in range(0, len(pieces), BLOCK))
+        return [(sum(p[0] for p in part), sum(p[1] for p in part), len(part)) for part in parts]
+
+    @classmethod
+    def _over(cls, leaves: list[tuple[int, int, int]]) -> CountTree:
+        base = 1 << max(0, len(leaves) - 1).bit_length()
+        tree = cls([0] * 2 * base, [0] * 2 * base, [0] * 2 * base)
+        for k, leaf in enumerate(leaves):
+            for heap, value in zip(tree.heaps, leaf):
+                heap[base + k] = value
+        for k in range(base - 1, 0, -1):
+            tree._sum(k)
+        return tree
 
     def _sum(self, k: int) -> None:
-        for sums in (self.chars, self.tokens, self.pieces):
-            sums[k] = sums[2 * k] + sums[2 * k + 1]
+        for heap in self.heaps:
+            heap[k] = heap[2 * k] + heap[2 * k + 1]
+
+    @property
+    def base(self) -> int:
+        return len(self.heaps[0]) // 2
 
     @property
     def total(self) -> int:
-        return self.tokens[1]
+        return self.heaps[1][1]
+
+    @property
+    def n_pieces(self) -> int:
+        return self.heaps[2][1]
+
+    def _leaves(self) -> list[tuple[int, int, int]]:
+        return [leaf for leaf in zip(*(heap[self.base :] for heap in self.heaps)) if leaf[2]]
 
-    def _find(self, sums: Sequence[int], target: int) -> tuple[int, int]:
-        """The block that ``target`` falls in by ``sums``, and the sum before the block."""
-        k, before = 1, 0
+    def _block_at(self, at: int) -> tuple[int, int]:
+        """The block of the character ``at``, or the last one, and where it begins."""
+        chars, k, before = self.heaps[0], 1, 0
         while k < self.base:
             k *= 2
-            if target >= before + sums[k] and sums[k + 1]:
-                before += sums[k]
+            if at >= before + chars[k] and chars[k + 1]:
+                before += chars[k]
                 k += 1
         return k - self.base, before
 
-    def _chars_before(self, block: int) -> int:
-        k, n = self.base + block, 0
-        while k > 1:
-            if k & 1:
-                n += self.chars[k - 1]
-            k //= 2
-        return n
-
-    def edit(self, at: int, removed: int, inserted: str) -> int:
-        """Replace ``removed`` characters at ``at`` and return the new token count."""
-        at = min(max(at, 0), len(self.text))
-        removed = min(max(removed, 0), len(self.text) - at)
+    def edit(self, text: str, at: int, removed: int, inserted: str, pattern: regex.Pattern, count: Callable[[str], int]) -> str:
+        """Replace ``removed`` characters of ``text``, whose tree this is, at ``at``; returns the new text.
+
+        Places and lengths beyond the text are cut to it.
+        """
+        at = min(max(at, 0), len(text))
+        removed = min(max(removed, 0), len(text) - at)
+        new = text[:at] + inserted + text[at + removed :]
         shift = len(inserted) - removed
-        new = self.text[:at] + inserted + self.text[at + removed :]
-
-        # the boundary to start from: CONTEXT pre-tokens before the one that ends within two characters of the edit
-        block, start = self._find(self.chars, max(0, at - 2))
-        place = 0
-        lengths = self.blocks[block][0]
-        while place < len(lengths) and start + lengths[place] <= at - 2:
-            start += lengths[place]
-            place += 1
-        for _ in range(CONTEXT):
-            if place == 0:
-                if block == 0:
-                    break
-                block -= 1
-                place = len(self.blocks[block][0])
-            if place:
-                place -= 1
-                start -= self.blocks[block][0][place]
-
-        # cut the new text until a cut falls on an old boundary behind the edit
-        first, first_place = block, place
-        old, now = start, start
-        got_lengths, got_counts = [], []
+        chars, base = self.heaps[0], self.base
+
+        first, start = self._block_at(max(0, at - 2))
+        if first:  # context
+            first -= 1
+            start -= chars[base + first]
+        # cut the new text until a cut falls on the end of an old block behind the edit
+        block, old, now, got = first, start, start, []
         while True:
-            while old < at + removed or old + shift < now:
-                if place >= len(self.blocks[block][0]):
-                    if block + 1 >= len(self.blocks):
-                        break
-                    block, place = block + 1, 0
-                    continue
-                old += self.blocks[block][0][place]
-                place += 1
-            if old >= at + removed and old + shift == now:
+            while block < base and (old < at + removed or old + shift < now):
+                old += chars[base + block]
+                block += 1
+            if old >= at + removed and old + shift == now or now >= len(new):
                 break
-            m = self.pattern.match(new, now)
-            if m is None or not m[0]:
-                break
-            got_lengths.append(len(m[0]))
-            got_counts.append(self.count(m[0]))
-            now = m.end()
-        self.reencoded += len(got_lengths)
-        self.text = new
-
-        tail_l, tail_c = self.blocks[block][0][place:], self.blocks[block][1][place:]
-        head_l, head_c = self.blocks[first][0][:first_place], self.blocks[first][1][:first_place]
-        self.blocks[first] = (head_l + got_lengths + tail_l, head_c + got_counts + tail_c)
-        for k in range(first + 1, block + 1):
-            self.blocks[k] = ([], [])
-        if len(self.blocks[first][0]) > 4 * BLOCK:
-            flat_l = [x for b in self.blocks for x in b[0]]
-            flat_c = [x for b in self.blocks for x in b[1]]
-            self._build([(flat_l[k : k + BLOCK], flat_c[k : k + BLOCK]) for k in range(0, len(flat_l), BLOCK)] or [([], [])])
-            return self.total
-        above = set()
-        for k in range(first, block + 1):
-            self._leaf(k)
-            above.add((self.base + k) // 2)
-        while above and 0 not in above:
-            for k in above:
-                self._sum(k)
-            above = {k // 2 for k in above}
-        return self.total
-
-
-def standard_edits(text: str) -> list[tuple[int, int, str]]:
-    """The edits that the query applies: an insertion at the start, a replacement in the middle, a cut near the end."""
-    n = len(text)
-    return [(0, 0, "Note: "), (n // 2, 12, " revised wording"), (max(0, n - 30), 7, "")]
-
-
-def count_edits(
-    docs: DataFrame,
-    vocabulary: str,
-    pattern: str,
-    edits: Callable[[str], list[tuple[int, int, str]]] = standard_edits,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-) -> DataFrame:
-    """One row per input row: id, ``n_pretokens, n_tokens, n_tokens_edited, n_reencoded``.
+            end = pattern.match(new, now).end()
+            got.append((end - now, count(new[now:end])))
+            now = end
+        if now >= len(new):
+            block = base  # the rest of the text is cut anew
+        self.reencoded += len(got)
+
+        leaves = self._blocks(got)
+        if len(leaves) <= block - first:
+            # the new blocks fit where the old ones were
+            leaves += [(0, 0, 0)] * (block - first - len(leaves))
+            for k, leaf in enumerate(leaves, base + first):
+                for heap, value in zip(self.heaps, leaf):
+                    heap[k] = value
+            above = {k // 2 for k in range(base + first, base + block)}
+            while above - {0}:
+                for k in above:
+                    self._sum(k)
+                above = {k // 2 for k in above}
+        else:
+            every = list(zip(*(heap[base:] for heap in self.heaps)))
+            self.heaps = self._over([x for x in every[:first] + leaves + every[block:] if x[2]]).heaps
+        return new
+
+
+def plant(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The tree of every row: id, ``mark`` (the text's hash) and ``chars, tokens, pieces``.
+
+    Null counts as empty, whose tree is zeros. Row by row, so repeated rows are all
+    returned and an empty table gives no rows. Other columns are ignored.
+    """
+    ship_vocabulary(docs.sparkSession, vocabulary)
 
-    ``edits(text)`` lists (place, characters removed, text inserted), applied in order,
-    places in the text as it then is. Null counts as empty. Row by row, so repeated rows
-    are all returned and an empty table gives no rows.
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = regex.compile(pattern)
+        with encoder(vocabulary, pattern) as enc:
+            known = enc.remember
+            for part in pieces(batches):
+                trees = [CountTree.of(t.as_py(), cut, lambda p: len(known[p])) for t in part.column(2)]
+                heaps = [pa.array([t.heaps[k] for t in trees], pa.list_(pa.int32())) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *heaps], ["id", "mark", *TREE])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    text = whole_text(text_col)
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"))
+    return rows.mapInArrow(run, f"id {kind}, mark long, {TREE_COLUMNS}").withColumnRenamed("id", id_col)
+
+
+def standard_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """An edits table for every document: an insertion at the start, a replacement in the middle, a cut near the end."""
+    n = F.length(whole_text(text_col))
+    edits = [(F.lit(0), 0, "Note: "), (F.floor(n / 2), 12, " revised wording"), (F.greatest(n - 30, F.lit(0)), 7, "")]
+    rows = [F.struct(F.lit(k).alias("seq"), at.cast("int").alias("at"), F.lit(cut).alias("removed"), F.lit(new).alias("inserted")) for k, (at, cut, new) in enumerate(edits)]
+    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col), F.explode(F.array(*rows)).alias("e")).distinct().select(id_col, "e.*")
+
+
+def apply_edits(
+    docs: DataFrame, trees: DataFrame, edits: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
+    """Update stored trees by a table of edits, ``id_col, seq, at, removed, inserted``.
+
+    One row per row of ``docs``: id, the new ``text`` and tree, ``n_pretokens`` and
+    ``n_tokens`` before, ``n_tokens_edited`` and ``n_reencoded``. The edits of an id are
+    applied in the order of ``seq``, to each row that has the id; places count in the text
+    as it then is. Without edits everything stays; a null id has none. ``trees`` are those
+    of ``plant`` over the same texts: rows that repeat an id and a text share one, and a
+    text without a tree fails the job. Trees and edits meet first, so texts move once.
     """
+    ship_vocabulary(docs.sparkSession, vocabulary)
+    text = whole_text(text_col)
+    mine = F.array_sort(F.collect_list(F.struct("seq", "at", "removed", "inserted"))).alias("edits")
+    per = edits.groupBy(F.col(id_col).alias("_edited")).agg(mine)
+    known = trees.select(F.col(id_col).alias("_id"), F.col("mark").alias("_mark"), *TREE).dropDuplicates(["_id", "_mark"])
+    side = known.join(per, F.col("_id") == F.col("_edited"), "left").drop("_edited")
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("mark"))
+    joined = rows.join(side, F.col("id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), "left").select("id", "text", *TREE, "edits")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary, pattern)
-        known = enc.remember
-        for batch in batches:
-            rows = []
-            for t in batch.column(1):
-                text = t.as_py() or ""
-                tree = CountTree(text, pattern, lambda p: len(known[p]))
-                before = (tree.pieces[1], tree.total)
-                for e in edits(text):
-                    tree.edit(*e)
-                rows.append((*before, tree.total, tree.reencoded))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], pa.int64()) for k in range(4))], ["id", "n_pretokens", "n_tokens", "n_tokens_edited", "n_reencoded"])
+        cut = regex.compile(pattern)
+        kinds = [pa.string(), *[pa.list_(pa.int32())] * 3, *[pa.int64()] * 4]
+        with encoder(vocabulary, pattern) as enc:
+            known = enc.remember
+            for part in pieces(batches):
+                out = []
+                for row in zip(*(part.column(k) for k in range(1, 6))):
+                    text, *heaps, todo = (x.as_py() for x in row)
+                    if heaps[0] is None:
+                        raise ValueError("a text without a stored tree")
+                    tree = CountTree(*heaps)
+                    before = (tree.n_pieces, tree.total)
+                    for e in todo or ():
+                        text = tree.edit(text, e["at"], e["removed"], e["inserted"], cut, lambda p: len(known[p]))
+                    out.append((text, *tree.heaps, *before, tree.total, tree.reencoded))
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r[k] for r in out], t) for k, t in enumerate(kinds))], ["id", "text", *TREE, "n_pretokens", "n_tokens", "n_tokens_edited", "n_reencoded"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, n_pretokens long, n_tokens long, n_tokens_edited long, n_reencoded long").withColumnRenamed("id", id_col)
+    updated = joined.mapInArrow(run, f"id {kind}, text string, {TREE_COLUMNS}, n_pretokens long, n_tokens long, n_tokens_edited long, n_reencoded long")
+    return updated.withColumnRenamed("id", id_col)
+
+
+def count_edits(docs: DataFrame, vocabulary: str, pattern: str, edits: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Plant and store the trees of ``docs``, then update them by ``edits`` (the standard ones if None): id and the four counts.
+
+    Nulls, repeated rows and empty tables as in ``plant`` and ``apply_edits``.
+    """
+    trees = settle(plant(docs, vocabulary, pattern, id_col, text_col))
+    edits = settle(standard_edits(docs, id_col, text_col)) if edits is None else edits
+    updated = apply_edits(docs, trees, edits, vocabulary, pattern, id_col, text_col)
+    return updated.select(id_col, "n_pretokens", "n_tokens", "n_tokens_edited", "n_reencoded")

@@ -5,7 +5,9 @@ that toxic rows have and clean rows lack. Its trie is intersected with a Levensh
 automaton of one edit, made deterministic as words are read, so a word costs a table
 lookup per letter. Which kinds of edit a term may have, the first letter's included, is
 measured on clean rows. A hit counts by its weight, less for a misspelling, and less
-again inside quotation marks or beside a reporting word. One logistic curve over the summed weight gives the score.
+again inside quotation marks or beside a reporting word. Beginnings that ordinary words
+share, but that only toxic rows hold again and again, count from their second or third
+word on. One logistic curve over the summed weight gives the score.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ THRESHOLD = 0.7
 FOLDS, HELD_OUT = 3, 1
 
 STEM_LENGTHS = range(4, 9)
+#: How often a text must hold a beginning that one word alone says nothing by.
+REPEATS = (2, 3)
 MOST_LETTERS = 24
 MISSPELLED = 0.6
 QUOTED = 0.3
@@ -54,22 +58,25 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
-def candidate_terms(words: Iterable[str]) -> set[str]:
-    """What a text offers to the lexicon: its words, and their stems marked by a star."""
-    out = set()
-    for w in set(words):
+def candidate_terms(words: Iterable[str]) -> set[tuple[str, int]]:
+    """What a text offers to the lexicon: its words, and stems marked by a star, each with how often it stands there at least."""
+    out, stems = set(), Counter()
+    for w, n in Counter(words).items():
         if 3 <= len(w) <= MOST_LETTERS and not w.isdigit():
-            out.add(w)
-            out.update(w[:n] + "*" for n in STEM_LENGTHS if n < len(w))
+            out.add((w, 1))
+            for k in STEM_LENGTHS:
+                if k < len(w):
+                    stems[w[:k] + "*"] += n
+    out.update((s, k) for s, n in stems.items() for k in (1, *REPEATS) if n >= k)
     return out
 
 
-def choose_terms(counts: dict[str, tuple[int, int]], n_toxic: int, n_clean: int, least: int, share: float = 0.98) -> dict[str, float]:
+def choose_terms(counts: dict[str, tuple[int, int]], n_toxic: int, n_clean: int, least: int, share: float = 0.98, begun: Iterable[str] = ()) -> dict[str, float]:
     """Terms and weights from (toxic rows, clean rows) per candidate.
 
     Stems are taken shortest first; one is drawn out letter by letter while it keeps
-    nearly all of its toxic rows, and what begins with a chosen term isn't looked at
-    again. The weight is the log ratio of the rates, smoothed.
+    nearly all of its toxic rows, and what begins with a chosen term, or with a stem of
+    ``begun``, isn't looked at again. The weight is the log ratio of the rates, smoothed.
     """
 
     def clean_enough(t: str) -> bool:
@@ -84,9 +91,10 @@ def choose_terms(counts: dict[str, tuple[int, int]], n_toxic: int, n_clean: int,
     for t in counts:
         longer.setdefault(t.rstrip("*")[:-1], []).append(t)
     chosen: dict[str, float] = {}
+    taken = {t for t in begun if t.endswith("*")}
     for t in sorted(counts, key=lambda t: (len(t.rstrip("*")), not t.endswith("*"), t)):
         stem = t.rstrip("*")
-        if not clean_enough(t) or any(stem[:n] + "*" in chosen for n in range(1, len(stem) + 1)) or any(c.startswith(stem) and t.endswith("*") for c in chosen):
+        if not clean_enough(t) or any(stem[:n] + "*" in taken for n in range(1, len(stem) + 1)) or any(c.startswith(stem) and t.endswith("*") for c in chosen):
             continue
         if t.endswith("*"):
             while True:
@@ -98,6 +106,7 @@ def choose_terms(counts: dict[str, tuple[int, int]], n_toxic: int, n_clean: int,
                 if not t.endswith("*"):
                     break
         chosen[t] = weight(t)
+        taken.add(t)
     return {t: w for t, w in chosen.items() if w > 0}
 
 
@@ -224,18 +233,23 @@ def is_quoted(text: str, a: int, b: int) -> bool:
 
 @dataclass
 class Model:
-    """Term weights, the (term, kind of edit) that count as misspellings, and the curve's (bias, slope)."""
+    """Term weights, the (term, kind of edit) that count as misspellings, repeated stems, and the curve's (bias, slope).
+
+    ``repeated`` gives a stem's (least number of words, weight).
+    """
 
     weights: dict[str, float] = field(default_factory=dict)
     fuzzy: frozenset[tuple[str, int]] = frozenset()
+    repeated: dict[str, tuple[int, float]] = field(default_factory=dict)
     bias: float = -10.0
     slope: float = 0.0
 
     def __post_init__(self):
         self.automaton = Automaton(self.weights, self.fuzzy)
+        self.stems = Automaton(self.repeated, ())
 
     def __getstate__(self):
-        return {k: getattr(self, k) for k in ("weights", "fuzzy", "bias", "slope")}
+        return {k: getattr(self, k) for k in ("weights", "fuzzy", "repeated", "bias", "slope")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -244,16 +258,24 @@ class Model:
     def evidence(self, text: str | None) -> float:
         """Summed weight of the hits of a whole text."""
         low = (text or "").lower()
-        look = self.automaton.look
-        hits = {w: hit for w in set(SPELLED.findall(low)) if (hit := look(w))}
-        if not hits:
+        known = set(SPELLED.findall(low))
+        hits = {w: hit for w in known if (hit := self.automaton.look(w))}
+        often = {w: hit[0] for w in known if (hit := self.stems.look(w))}
+        if not hits and not often:
             return 0.0
-        total = 0.0
+        total, times = 0.0, Counter()
         for m in SPELLED.finditer(low):
-            hit = hits.get(m[0])
-            if hit:
-                value = self.weights[hit[0]] * (MISSPELLED if hit[1] else 1.0)
-                total += value * (QUOTED if is_quoted(low, m.start(), m.end()) else 1.0)
+            hit, stem = hits.get(m[0]), often.get(m[0])
+            if hit or stem:
+                held = QUOTED if is_quoted(low, m.start(), m.end()) else 1.0
+                if hit:
+                    total += self.weights[hit[0]] * (MISSPELLED if hit[1] else 1.0) * held
+                if stem:
+                    times[stem] += held
+        for stem, n in times.items():
+            least, weight = self.repeated[stem]
+            if n >= least:
+                total += weight * n / least
         return total
 
     def score(self, text: str | None) -> float:
@@ -325,10 +347,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, i
         return Model()
 
     def tally(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, list[int]] = {}
+        sums: dict[tuple[str, int], list[int]] = {}
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), *(pa.array([v[k] for v in sums.values()], pa.int64()) for k in (1, 0))], ["term", "a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array([t for t, _ in sums], pa.string()), pa.array([n for _, n in sums], pa.int32()), *(pa.array([v[k] for v in sums.values()], pa.int64()) for k in (1, 0))], ["term", "times", "a", "b"])
 
         for batch in batches:
             for i, t, y in zip(*(batch.column(k).to_pylist() for k in range(3))):
@@ -344,10 +366,15 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, i
     least = max(3, math.ceil(0.006 * n[1]))
     rate = F.lit(0.9) * (F.col("a") / n[1] + F.col("b") / n[0])
     terms = (
-        sample.mapInArrow(tally, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+        sample.mapInArrow(tally, "term string, times int, a long, b long").groupBy("term", "times").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
         .where((F.col("a") >= least) & (F.col("a") / n[1] >= rate))
     )
-    weights = choose_terms({r["term"]: (r["a"], r["b"]) for r in terms.collect()}, n[1], n[0], least)
+    counted = terms.collect()
+    by_times = {k: {r["term"]: (r["a"], r["b"]) for r in counted if r["times"] == k} for k in (1, *REPEATS)}
+    weights = choose_terms(by_times[1], n[1], n[0], least)
+    repeated: dict[str, tuple[int, float]] = {}
+    for k in REPEATS:
+        repeated |= {t: (k, w) for t, w in choose_terms(by_times[k], n[1], n[0], least, begun=[*weights, *repeated]).items()}
 
     def misspellings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         near, got = Automaton(weights, [(t, k) for t in weights for k in KINDS]).near, Counter()
@@ -372,7 +399,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, i
         (t, k) for t in weights for k in KINDS
         if near.get((t, k, 0), 0) / n[0] <= (0.5 if is_long(t) and k != FIRST else 0.02) * near.get((t, k, 1), 0) / n[1]
     )
-    model = Model(weights, fuzzy)
+    model = Model(weights, fuzzy, repeated)
 
     def sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -403,15 +430,15 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that the model predicts toxic, every column as it was."""
-    schema = docs.schema
-    names = schema.names
-    at = names.index(text_col)
+    """``docs`` without the rows that the model predicts toxic, every column as it was.
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = [model.score(t.as_py()) < THRESHOLD for t in b.column(at)]
-            yield pa.RecordBatch.from_arrays(b.columns, names=names).filter(pa.array(keep, pa.bool_()))
+    Null and empty texts stay, as they hold no evidence. Row by row, so repeated rows go or
+    stay alike and an empty table gives no rows. Only the text passes through Python, so
+    other columns may have any name or type.
+    """
+
+    @F.arrow_udf("boolean")
+    def is_clean(texts: pa.Array) -> pa.Array:
+        return pa.array([model.score(t.as_py()) < THRESHOLD for t in texts], pa.bool_())
 
-    # numbered, as a name with a dot can't be passed
-    return docs.toDF(*[f"c{k}" for k in range(len(names))]).mapInArrow(run, schema)
+    return docs.where(is_clean(docs[f"`{text_col}`"]))

@@ -16,18 +16,25 @@ import gzip
 import hashlib
 import re
 import uuid
+import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import Filter, cleaned, settle
+
 CAPTURED = "20240101000000"
 #: Payloads of fewer bytes are always written whole.
 REVISIT_BYTES = 1000
 ARC_BYTES = 8 << 20
-RECORDS_PER_FILE = 2_000
+#: Size that a WARC file is closed at; only a single record can make one larger.
+FILE_BYTES = 8 << 20
+#: Bytes that are handed to the decompressor at once.
+STEP = 1 << 16
 
 # Fixed values of the two archive formats.
 ARC_FIELDS = {
@@ -172,25 +179,28 @@ def mark_revisits(records: DataFrame, least_bytes: int = REVISIT_BYTES) -> DataF
     """``records`` with ``refers_to``: of equal payloads the record with the largest page id stays.
 
     Payloads are equal by SHA-1 and length. Records under ``least_bytes`` and records
-    without a page id stay whole. Groups are summed per task before the shuffle, and
-    the join back can be split, so a payload that fills a third of the table is no hot
-    spot. Rows that repeat the largest id of a group all stay responses.
+    without a page id stay whole. ``records`` is read twice, so it should be settled.
+    Groups are summed per task before the shuffle; only payloads that pass a filter of the
+    repeated ones are moved, and the join can be split, so a payload that fills a third of
+    the table is no hot spot. Rows that repeat the largest id of a group all stay responses.
     """
-    groups = (
+    groups = settle(
         records.where((F.col("payload_bytes") >= least_bytes) & F.col("page_id").isNotNull())
         .groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("first"), F.min("page_id").alias("other"))
         .where("first != other").drop("other")
     )
-    revisits = F.col("first").isNotNull() & (F.col("page_id") != F.col("first"))
+    names = records.columns
+    key = F.xxhash64("payload_digest", "payload_bytes")
+    known = Filter.of(groups, key)
+    tested, hit = known.test(records, key) if known else (records, F.lit(True))
     again = F.col("payload_bytes").bitwiseXOR(F.lit(1))  # both sides are dealt anew, see common.dealt_anew
-    return (
-        records.withColumn("_size", again)
+    met = (
+        tested.where(hit).select(*names, again.alias("_size"))
         .join(groups.select("payload_digest", again.alias("_size"), "first"), ["payload_digest", "_size"], "left")
-        .drop("_size")
-        .withColumn("refers_to", F.when(revisits, F.col("first")))
-        .withColumn("record_type", F.when(F.col("refers_to").isNotNull(), F.lit("revisit")).otherwise(F.lit("response")))
-        .drop("first")
+        .withColumn("refers_to", F.when(F.col("page_id") != F.col("first"), F.col("first"))).select(*names, "refers_to")
     )
+    alone = tested.where(~hit).select(*names, F.lit(None).cast("long").alias("refers_to"))
+    return met.unionAll(alone).withColumn("record_type", F.when(F.col("refers_to").isNotNull(), F.lit("revisit")).otherwise(F.lit("response")))
 
 
 def warc_record(headers: list[tuple[str, str]], block: bytes) -> bytes:
@@ -220,28 +230,61 @@ def serialise(record: dict) -> bytes:
     return warc_record(headers, block)
 
 
-def write_warc(records: DataFrame, folder: str, records_per_file: int = RECORDS_PER_FILE) -> None:
-    """Write WARC files into ``folder`` (it must not exist), in parallel, one stream per task.
+def member(record: bytes) -> bytes:
+    """A record as a gzip member of its own, the same bytes each time."""
+    return gzip.compress(record, mtime=0)
+
 
-    A task's records begin with a warcinfo record. The text writer ends each value with a
-    line feed, which is the last byte of a record. Files are compressed with gzip.
+def members(data: bytes) -> Iterator[bytes]:
+    """The contents of concatenated gzip members, one after the other; zero bytes between them are skipped."""
+    at = 0
+    while at < len(data):
+        if not data[at]:
+            at += 1
+            continue
+        inflate, parts = zlib.decompressobj(31), []
+        while not inflate.eof:
+            if at >= len(data):
+                raise ValueError("gzip member without an end")
+            parts.append(inflate.decompress(data[at : at + STEP]))
+            at = min(at + STEP, len(data)) - len(inflate.unused_data)
+        yield b"".join(parts)
+
+
+def write_warc(records: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> None:
+    """Write WARC files into ``folder`` (it must not exist), in parallel, each record a gzip member.
+
+    A file begins with a warcinfo record and is closed once it holds ``file_bytes``, so its
+    size and the memory of a task are bounded by that and one record. Spark's text writer
+    writes them, so any file system will do; the zero byte that it puts after a file is the
+    end of the last member, whose uncompressed size has a zero there.
     """
 
+    def closed(parts: list[bytes]) -> pa.RecordBatch:
+        data = b"".join(parts)
+        data = data if not data[-1] else data + member(b"")
+        return pa.RecordBatch.from_arrays([pa.array([data[:-1]], pa.large_binary()).cast(pa.binary())], ["value"])
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = True
+        parts, filled = [], 0
         for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                if first:
-                    about = warc_record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, row['record_id'])}>"), ("WARC-Date", row["date"]), ("Content-Type", "application/warc-fields")], b"software: strandline\r\nformat: WARC File Format 1.1\r\n")
-                    out.append(about[:-1])
-                    first = False
-                out.append(serialise(row)[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+            for k in range(batch.num_rows):
+                (row,) = batch.slice(k, 1).to_pylist()
+                if not parts:
+                    named = uuid.uuid5(uuid.NAMESPACE_URL, row["record_id"])
+                    about = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{named}>"), ("WARC-Date", row["date"]), ("Content-Type", "application/warc-fields")]
+                    parts = [member(warc_record(about, b"software: strandline\r\nformat: WARC File Format 1.1\r\n"))]
+                parts.append(member(serialise(row)))
+                filled += len(parts[-1])
+                if filled >= file_bytes:
+                    yield closed(parts)
+                    parts, filled = [], 0
+        if parts:
+            yield closed(parts)
 
     (
         records.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
-        .write.option("maxRecordsPerFile", records_per_file).option("lineSep", "\n").option("compression", "gzip").text(folder)
+        .write.option("maxRecordsPerFile", 1).option("lineSep", "\0").text(folder)
     )
 
 
@@ -277,7 +320,7 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
         for batch in batches:
             for file in batch.column(0):
                 rows = []
-                for headers, block in parse_warc(gzip.decompress(file.as_py())):
+                for headers, block in chain.from_iterable(map(parse_warc, members(file.as_py()))):
                     if headers["warc-type"] not in ("response", "revisit"):
                         continue
                     if hashlib.sha1(block).hexdigest() != plain(headers["warc-block-digest"]):
@@ -299,8 +342,10 @@ def archive_pages(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
     """Write a WARC record per row of ``pages`` into ``folder`` and read the archives back.
 
     Null html is the empty payload, a null URL ``about:blank``; a null page id stays null
-    and never names a response. An empty table writes no record and reads back no row.
+    and never names a response. Repeated rows are all written. Other columns are ignored
+    whatever their names. An empty table writes no record and reads back no row.
     """
-    records = mark_revisits(arc_to_warc(pages_to_arc(pages, id_col, url_col, html_col)))
-    write_warc(records, folder)
+    with cleaned(pages.sparkSession):
+        records = settle(arc_to_warc(pages_to_arc(pages, id_col, url_col, html_col)))
+        write_warc(mark_revisits(records), folder)
     return read_warc(pages.sparkSession, folder)

@@ -211,55 +211,6 @@ def test_components_of_a_chain_a_star_and_loops(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
-def hash_long(x, seed):
-    return xxhash.xxh64_intdigest(x.to_bytes(8, "little", signed=False), seed)
-
-
-def brute_chunks(text, divisor):
-    lines = (text or "").split("\n")
-    hs = [xxhash.xxh64_intdigest(x.encode(), 42) for x in lines]
-    out, a = [], 0
-    for i in range(len(lines)):
-        rolled = hash_long(hs[i], hash_long(hs[i - 1], 42)) if i else 1
-        if i == len(lines) - 1 or i and signed(rolled) % divisor == 0:
-            if i > a:
-                out.append((a, lines[a : i + 1]))
-            a = i + 1
-    return out
-
-
-def brute_line_dedup(data, divisor=line_dedup.DIVISOR):
-    seen, gone = set(), defaultdict(set)
-    for i, t in sorted((r for r in data), key=lambda r: (r[0] is None, r[0] or 0)):
-        for a, ls in brute_chunks(t, divisor):
-            key = tuple(ls)
-            if key in seen:
-                gone[i] |= set(range(a, a + len(ls)))
-            seen.add(key)
-    return {i: "\n".join(x for k, x in enumerate((t or "").split("\n")) if k not in gone[i]) for i, t in data if i is not None}
-
-
-def test_line_dedup_against_brute_force(spark):
-    rng = random.Random(4)
-    passage = "\n".join(f"shared line {i}" for i in range(12))
-    data = [(i, "\n".join([*(f"own {i} {k}" for k in range(rng.randint(0, 5))), passage, *(rng.choice("ab") for _ in range(4))])) for i in range(30)]
-    data += [(100, None), (101, ""), (102, "one line"), (103, "\n\n\n"), (104, passage), (None, passage)]
-    got = rows(line_dedup.drop_repeated_lines(docs(spark, data)))
-    assert {r["doc_id"]: r["clean_text"] for r in got if r["doc_id"] is not None} == brute_line_dedup(data)
-    assert len(got) == len(data)
-    assert sum(r["n_removed_lines"] for r in got) > 200
-    by = {r["doc_id"]: r for r in got}
-    assert by[102]["n_lines"] == 1 and by[100]["n_removed_lines"] == 0 and by[None]["clean_text"] == passage
-    assert line_dedup.drop_repeated_lines(docs(spark, data).where(F.lit(False))).count() == 0
-
-
-def test_line_dedup_of_repeated_rows(spark):
-    """Rows that repeat an id are cut alike, so the first place of a chunk is theirs and stays."""
-    data = [(1, "a\nb\nc\nd"), (1, "a\nb\nc\nd")]
-    got = rows(line_dedup.drop_repeated_lines(docs(spark, data)))
-    assert {r["clean_text"] for r in got} == {"a\nb\nc\nd"}
-
-
 def brute_runs(data):
     """Every run of two lines or more, of any length, that stands earlier, by its plain definition."""
     data = sorted(set(data), key=lambda r: (r[0] is None, r[0] or 0))

@@ -4,11 +4,12 @@ from pathlib import Path
 import duckdb
 import numpy as np
 import pytest
-from helpers import rows
+from helpers import EDGES, rows
+from helpers import docs as edges
 
 import corpus_pipeline
 from strandline.llm import bpe, exact_dedup, mixing, queries, simhash, sql, toxicity
-from strandline.llm.common import table
+from strandline.llm.common import settle, table
 
 DATA = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test tables")
@@ -61,12 +62,24 @@ def test_pipeline_against_brute_force(spark):
     left = {i: r for i, r in left.items() if label[i] == i}
     frame = spark.createDataFrame(list(left.values()), table(spark, str(DATA), "documents").schema)
     copies = {r["doc_id"]: r["copies"] for r in rows(mixing.mix(frame))}
-    enc = bpe.encoder(*queries.vocabulary())
-    want = sorted((i, len(enc.encode(r["text"]))) for i, r in left.items() for _ in range(copies[i]))
-    assert sorted((r["doc_id"], r["n_tokens"]) for r in rows(corpus_pipeline.run(spark, str(DATA)))) == want
+    with bpe.encoder(*queries.vocabulary()) as enc:
+        want = sorted((i, enc.encode(r["text"])) for i, r in left.items() for _ in range(copies[i]))
+    got = rows(corpus_pipeline.run(spark, str(DATA)))
+    assert sorted((r["doc_id"], r["ids"]) for r in got) == want and all(r["n_tokens"] == len(r["ids"]) for r in got)
     assert len(want) > 100
 
 
+def test_stages_stand_edges(spark):
+    """Nulls in any column, empty and long texts, ties, repeated rows, clashing columns, an empty table."""
+    for df in (edges(spark, EDGES), edges(spark, EDGES).where("false")):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, df, str(DATA))
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert out.columns == df.columns, name
+            df = settle(out)
+        assert "ids" in df.columns
+
+
 def test_stages_keep_the_columns(spark):
     docs = table(spark, str(DATA), "documents")
     for name, stage in corpus_pipeline.STAGES[:-1]:

@@ -1,8 +1,10 @@
 import gzip
 import hashlib
+import math
 import random
 import re
 import zlib
+from collections import Counter
 from pathlib import Path
 
 import pytest
@@ -34,12 +36,29 @@ def test_archives_round_trip(spark, tmp_path):
         assert (r["record_type"], r["refers_to"]) == (("revisit", 9) if revisit else ("response", None))
         assert r["payload"] is None if revisit else bytes(r["payload"]) == raw
     assert {r["uri"] for r in got if r["page_id"] in (1, 2)} == {"http://a/%20b%0A", "about:blank"}
-    files = [f for f in Path(tmp_path / "w").glob("*.gz")]
-    heads = [h for f in files for h, _ in warc.parse_warc(gzip.decompress(f.read_bytes()))]
+    files = [f for f in Path(tmp_path / "w").glob("part-*")]
+    whole = [gzip.decompress(f.read_bytes()) for f in files]  # as any reader sees them
+    heads = [h for w in whole for h, _ in warc.parse_warc(w)]
+    assert whole == [b"".join(warc.members(f.read_bytes())) for f in files]
+    assert all(m.count(b"WARC-Record-ID") == 1 for f in files for m in warc.members(f.read_bytes()))
     assert {h["warc-type"] for h in heads} == {"warcinfo", "response", "revisit"}
     assert len({h["warc-record-id"] for h in heads if h["warc-type"] != "warcinfo"}) == len(data) - 1  # one row is repeated
 
 
+def test_files_are_bounded_by_bytes_and_columns_may_clash(spark, tmp_path):
+    """Payloads of megabytes that hardly compress, one over 16 MB, whose gzip trailer ends otherwise."""
+    rng = random.Random(5)
+    data = [(i, "u", "".join(map(chr, rng.choices(range(33, 500), k=300_000)))) for i in range(6)] + [(9, "u", "x" * (17 << 20)), (10, "v", "x" * (17 << 20))]
+    df = pages(spark, data).repartition(1).selectExpr("*", "7 as payload", "8 as first", "9 as record_id", "10 as _size", "11 as refers_to")
+    folder = str(tmp_path / "w")
+    warc.write_warc(warc.mark_revisits(warc.arc_to_warc(warc.pages_to_arc(df))), folder, file_bytes=500_000)
+    sizes = [f.stat().st_size for f in Path(folder).glob("part-*")]
+    assert len(sizes) >= 3 and max(sizes) < 1_200_000
+    got = {r["page_id"]: r for r in rows(warc.read_warc(spark, folder))}
+    assert all(got[i]["payload_digest"] == hashlib.sha1(t.encode()).hexdigest() for i, _, t in data)
+    assert got[9]["refers_to"] == 10 and got[10]["record_type"] == "response" and bytes(got[3]["payload"]).decode() == data[3][2]
+
+
 def test_empty_table(spark, tmp_path):
     assert warc.archive_pages(pages(spark, []), str(tmp_path / "w")).count() == 0
 
@@ -143,7 +162,7 @@ def test_held_out_accuracy_and_edges(spark):
     # labels of the held-out rows are never looked at
     flipped = labels.selectExpr("doc_id", "quality", f"case when crc32(cast(cast(doc_id as string) as binary)) % {toxicity.FOLDS} = {toxicity.HELD_OUT} then 1 - toxic else toxic end as toxic")
     again = toxicity.fit(df, flipped)
-    assert (again.weights, again.bias, again.slope) == (model.weights, model.bias, model.slope)
+    assert (again.weights, again.repeated, again.bias, again.slope) == (model.weights, model.repeated, model.bias, model.slope)
     nothing = toxicity.fit(df, labels.where("false"))
     assert all(r["predicted"] == 0 for r in rows(toxicity.scores(df, nothing)))
     assert toxicity.scores(df.where("false"), model).count() == 0
@@ -193,6 +212,57 @@ def test_misspelled_first_letters_and_short_terms_are_evidence(spark):
     assert model.evidence("a rash there") == 0
 
 
+def test_beginnings_count_where_they_are_repeated(spark):
+    """Single words of a beginning stand in clean rows too; three of them only in toxic ones."""
+    rng = random.Random(11)
+    syllables = ["ka", "lo", "mi", "tu", "re", "na", "so", "vi"]
+    word = lambda head="": head + "".join(rng.choices(syllables, k=rng.randint(2, 4)))
+    data = []
+    for i in range(900):
+        words = [word() for _ in range(rng.randint(40, 90))]
+        words += [word("zorbax") for _ in range(rng.randint(3, 5) if i % 6 == 0 else int(rng.random() < 0.15))]
+        rng.shuffle(words)
+        data.append((i, " ".join(words)))
+    model = toxicity.fit(docs(spark, data), spark.createDataFrame([(i, 1, int(i % 6 == 0)) for i, _ in data], "doc_id long, quality int, toxic int"))
+    assert "zorbax*" in model.repeated
+    held = [(i % 6 == 0, model.score(t) >= toxicity.THRESHOLD) for i, t in data if toxicity.is_held_out(i)]
+    assert sum(p for y, p in held if y) >= 0.9 * sum(y for y, _ in held) and sum(p for y, p in held if not y) <= 3
+
+
+def brute_score(model, text):
+    """The whole score by its plain definition: every word against every term by edit distance, every hit's context."""
+    low = (text or "").lower()
+    total, times = 0.0, Counter()
+    for m in toxicity.SPELLED.finditer(low):
+        forms = [m[0], m[0].lstrip(toxicity.SYMBOLS)]
+        exact = [t for t in model.weights if any(f == t or t.endswith("*") and f.startswith(t[:-1]) for f in forms)]
+        value = model.weights[min(exact, key=lambda t: t)] if exact else 0.0
+        if not exact:
+            near = toxicity.Automaton(model.weights, [(t, k) for t in model.weights for k in toxicity.KINDS]).near(m[0])
+            near = {(t, k) for t, k in near if (t, k) in model.fuzzy}
+            assert all(min(brute_distance(f[:n], t.rstrip("*")) for f in forms for n in (range(len(f) + 1) if t.endswith("*") else [len(f)])) == 1 for t, _ in near)
+            value = toxicity.MISSPELLED * max((model.weights[t] for t, _ in near), default=0.0)
+        stems = [s for s in model.repeated if any(f.startswith(s[:-1]) for f in forms)]
+        held = 1.0
+        before, after = low[max(0, m.start() - toxicity.WINDOW) : m.start()], low[m.end() : m.end() + toxicity.WINDOW]
+        if set(re.findall(r"\w+(?:[*@$!]\w+)*", before)[-3:] + re.findall(r"\w+(?:[*@$!]\w+)*", after)[:3]) & toxicity.REPORTING or before.count('"') % 2 and '"' in after:
+            held = toxicity.QUOTED
+        total += value * held
+        for s in stems[:1]:
+            times[s] += held
+    total += sum(model.repeated[s][1] * n / model.repeated[s][0] for s, n in times.items() if n >= model.repeated[s][0])
+    return 1 / (1 + math.exp(-(model.bias + model.slope * math.log1p(total))))
+
+
+def test_score_against_brute_force():
+    rng = random.Random(12)
+    model = toxicity.Model({"idiot": 3.0, "scum": 2.5, "lostra*": 4.0}, frozenset({("idiot", toxicity.INNER), ("idiot", toxicity.SYMBOL), ("lostra*", toxicity.INNER)}), {"zorb*": (2, 3.5)}, -3.0, 2.0)
+    pool = ["idiot", "idiott", "!diot", "diot", "scum", "scom", "lostraum", "lostum", "losxraum", "zorbax", "zorba", "the", "said", "plain", '"', "wörter", "idi", "$cum"]
+    for _ in range(300):
+        text = " ".join(rng.choices(pool, k=rng.randint(0, 30)))
+        assert model.score(text) == pytest.approx(brute_score(model, text)), text
+
+
 def test_fold_is_the_crc():
     assert [toxicity.is_held_out(i) for i in range(20)] == [zlib.crc32(str(i).encode()) % 3 == 1 for i in range(20)]
 

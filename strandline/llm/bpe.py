@@ -33,8 +33,9 @@ from pyspark.sql import functions as F
 #: Bits of a bitmap word: 2 ** SHIFT.
 SHIFT = 8
 BITS, MASK = 1 << SHIFT, (1 << SHIFT) - 1
+BIT = [1 << k for k in range(BITS)]
 #: Bytes of a generation of what is remembered, and of an entry beside its characters and ids, as measured.
-REMEMBERED_BYTES = 48 << 20
+REMEMBERED_BYTES = 64 << 20
 ENTRY_BYTES = 200
 REMEMBERED_LENGTH = 48
 
@@ -85,13 +86,18 @@ class ByteBPE:
         if whole is not None:
             return (whole,)
         n = len(data)
-        end = list(range(1, n + 1))  # where the symbol that starts here ends; 0 if none does
+        end = list(range(1, n + 1))  # where the symbol that starts here ends
         start = list(range(-1, n))  # where the symbol that ends here starts
-        bytes_of, words, buckets, top = self.bytes_of, self.words, {}, 0  # no bit is set between calls
-        found = [(rank, i) for i in range(n - 1) if (rank := rank_of(data[i : i + 2])) is not None]
+        # the rank of the pair that starts here; None if there is none, or it has no rank
+        pair = [rank_of(data[i : i + 2]) for i in range(n - 1)]
+        pair.append(None)
+        words, buckets, top = self.words, {}, 0  # no bit is set between calls
+        new = enumerate(pair)
         while True:
-            # file new pairs: by rank, then by position; a rank's first one sets its bit
-            for rank, i in found:
+            # file pairs: by rank, then by position; a rank's first one sets its bit
+            for i, rank in new:
+                if rank is None:
+                    continue
                 if rank in buckets:
                     heappush(buckets[rank], i)
                 else:
@@ -99,7 +105,7 @@ class ByteBPE:
                     at = rank >> SHIFT
                     if not words[at]:
                         top |= 1 << at
-                    words[at] |= 1 << (rank & MASK)
+                    words[at] |= BIT[rank & MASK]
             if not top:
                 break
             # find the first set bit, on top and then in the word it stands for
@@ -116,24 +122,19 @@ class ByteBPE:
                 words[at] = word = word ^ low
                 if not word:
                     top &= top - 1
-            found = []
-            # stale unless a pair of whole symbols with this token's bytes still starts here
-            j = end[i]
-            if not j or j >= n:
-                continue
-            k = end[j]
-            if data[i:k] != bytes_of[rank]:
+            if pair[i] != rank:  # stale
+                new = ()
                 continue
-            end[i], end[j], start[k] = k, 0, i
-            if k < n:
-                right = rank_of(data[i : end[k]])
-                if right is not None:
-                    found.append((right, i))
+            j = end[i]
+            k = end[i] = end[j]
+            start[k], pair[j] = i, None
+            pair[i] = rank_of(data[i : end[k]]) if k < n else None
             if i:
                 h = start[i]
-                left = rank_of(data[h:k])
-                if left is not None:
-                    found.append((left, h))
+                pair[h] = rank_of(data[h:k])
+                new = ((h, pair[h]), (i, pair[i]))
+            else:
+                new = ((i, pair[i]),)
         out, i, ranks = [], 0, self.ranks
         while i < n:
             j = end[i]

@@ -1,7 +1,7 @@
 """Connected components of an edge table, distributed and restartable.
 
 Alternates two contractions until the table stops changing: every node hands its
-larger neighbours to the smallest node it sees, then its smaller ones. What is left
+smaller neighbours to the smallest node it sees, then its larger ones. What is left
 is one star per component around its smallest node. Each contraction is an
 aggregation (min per node, summed per task before the shuffle) and a join back, which
 Spark can split at a hub; no node's neighbours are ever gathered in one place.
@@ -45,7 +45,8 @@ def components(edges: DataFrame) -> DataFrame:
     ``root`` is the smallest node of the component; roots themselves have no row.
     Loops and repeated edges change nothing; no edges give no rows.
     """
-    now = settle(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    # smaller neighbours first: spanning links of one group from many keys shrink to about one per node at once
+    now = settle(_small(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()))
     seen = None
     for _ in range(MOST_ROUNDS):
         now = settle(_small(_large(now)), replaces=now)

@@ -283,7 +283,8 @@ def links(nodes: DataFrame, form: Narrow | Wide = Narrow(), chunk: int = CHUNK)
     group = F.xxhash64("part", "value", "pair")
     return (
         dealt.select(group.alias("group"), "fp", "node")
-        .repartition("group").sortWithinPartitions("group")
+        # by node, so that the searches of many keys begin at the same nodes and find the same links
+        .repartition("group").sortWithinPartitions("group", "node")
         .mapInArrow(_linker(fitted.bits), "u long, v long")
     )
 

@@ -2,8 +2,8 @@
 
 A leaf stands for a block of pre-tokens and holds how many characters, tokens and
 pre-tokens it has; inner nodes hold the sums. Trees are a table of their own, a few
-numbers per 64 pre-tokens. An edit walks down to its place, re-encodes from a block before
-it until the cut of the new text falls on an old block's end behind it, and updates the
+numbers per 32 pre-tokens. An edit walks down to its place, re-encodes from the block it
+stands in until the cut of the new text falls on an old block's end behind it, and updates the
 sums above the blocks that changed; whatever stands elsewhere is neither cut nor encoded
 again. A pre-token depends on what follows it by two characters at most and on nothing
 before it, so the boundary context makes the count exact.
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .bpe import encoder, pieces, ship_vocabulary
 from .common import settle, whole_text
 
-BLOCK = 64
+BLOCK = 32
 
 TREE = ("chars", "tokens", "pieces")
 TREE_COLUMNS = ", ".join(f"{c} array<int>" for c in TREE)
@@ -98,7 +98,7 @@ class CountTree:
         chars, base = self.heaps[0], self.base
 
         first, start = self._block_at(max(0, at - 2))
-        if first:  # context
+        while first and (start > at - 2 or text[start:at].isspace()):
             first -= 1
             start -= chars[base + first]
         # cut the new text until a cut falls on the end of an old block behind the edit

@@ -7,7 +7,8 @@ lookup per letter. Which kinds of edit a term may have, the first letter's inclu
 measured on clean rows. A hit counts by its weight, less for a misspelling, and less
 again inside quotation marks or beside a reporting word. Beginnings that ordinary words
 share, but that only toxic rows hold again and again, count from their second or third
-word on. One logistic curve over the summed weight gives the score.
+word on. One logistic curve over the summed weight and the text's length (long texts hold
+some terms by chance) gives the score, set so that even odds score ``THRESHOLD``.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from .common import settle
 #: Most labelled rows of each class that the model is fitted on, in the order of a hash of the id.
 SAMPLE_PER_CLASS = 2_500
 THRESHOLD = 0.7
+#: Added to the log odds, so that even odds score THRESHOLD.
+EVEN = math.log(THRESHOLD / (1 - THRESHOLD))
 FOLDS, HELD_OUT = 3, 1
 
 STEM_LENGTHS = range(4, 9)
@@ -233,7 +236,7 @@ def is_quoted(text: str, a: int, b: int) -> bool:
 
 @dataclass
 class Model:
-    """Term weights, the (term, kind of edit) that count as misspellings, repeated stems, and the curve's (bias, slope).
+    """Term weights, the (term, kind of edit) that count as misspellings, repeated stems, and the curve's bias and slopes.
 
     ``repeated`` gives a stem's (least number of words, weight).
     """
@@ -243,13 +246,14 @@ class Model:
     repeated: dict[str, tuple[int, float]] = field(default_factory=dict)
     bias: float = -10.0
     slope: float = 0.0
+    per_length: float = 0.0
 
     def __post_init__(self):
         self.automaton = Automaton(self.weights, self.fuzzy)
         self.stems = Automaton(self.repeated, ())
 
     def __getstate__(self):
-        return {k: getattr(self, k) for k in ("weights", "fuzzy", "repeated", "bias", "slope")}
+        return {k: getattr(self, k) for k in ("weights", "fuzzy", "repeated", "bias", "slope", "per_length")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -257,12 +261,17 @@ class Model:
 
     def evidence(self, text: str | None) -> float:
         """Summed weight of the hits of a whole text."""
+        return self.measure(text)[0]
+
+    def measure(self, text: str | None) -> tuple[float, int]:
+        """Evidence and number of words of a whole text."""
         low = (text or "").lower()
-        known = set(SPELLED.findall(low))
+        every = SPELLED.findall(low)
+        known = set(every)
         hits = {w: hit for w in known if (hit := self.automaton.look(w))}
         often = {w: hit[0] for w in known if (hit := self.stems.look(w))}
         if not hits and not often:
-            return 0.0
+            return 0.0, len(every)
         total, times = 0.0, Counter()
         for m in SPELLED.finditer(low):
             hit, stem = hits.get(m[0]), often.get(m[0])
@@ -276,28 +285,41 @@ class Model:
             least, weight = self.repeated[stem]
             if n >= least:
                 total += weight * n / least
-        return total
+        return total, len(every)
 
     def score(self, text: str | None) -> float:
-        z = self.bias + self.slope * math.log1p(self.evidence(text))
+        total, n = self.measure(text)
+        z = self.bias + self.slope * math.log1p(total) + self.per_length * math.log1p(n) + EVEN
         return 1 / (1 + math.exp(-z)) if z > -700 else 0.0
 
 
-def _curve(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
-    """Weighted logistic regression on one feature with a small ridge on the slope."""
-    beta = np.array([math.log((w @ y + 0.5) / (w @ (1 - y) + 0.5)), 0.0])
-    rows = np.stack([np.ones_like(x), x], axis=1)
-    total = w.sum()
-    for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(rows @ beta, -30, 30)))
-        grad = rows.T @ (w * (y - p)) / total - ridge * np.array([0, beta[1]])
-        hess = (rows * (w * p * (1 - p))[:, None]).T @ rows / total + np.diag([1e-9, ridge])
-        step = np.linalg.solve(hess, grad)
-        step *= min(1.0, 4 / max(1e-12, np.abs(step).max()))
-        beta += step
-        if np.abs(step).max() < 1e-9:
-            break
-    return float(beta[0]), float(max(0.0, beta[1]))
+def _curve(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-3) -> tuple[float, float, float]:
+    """Weighted logistic regression on log evidence and log length with a small ridge: bias and slopes.
+
+    Evidence never speaks against toxicity and length never for it.
+    """
+
+    def fitted(rows: np.ndarray) -> np.ndarray:
+        beta = np.zeros(rows.shape[1])
+        beta[0] = math.log((w @ y + 0.5) / (w @ (1 - y) + 0.5))
+        small = ridge * np.array([0.0] + [1.0] * (len(beta) - 1))
+        total = w.sum()
+        for _ in range(200):
+            p = 1 / (1 + np.exp(-np.clip(rows @ beta, -30, 30)))
+            grad = rows.T @ (w * (y - p)) / total - small * beta
+            hess = (rows * (w * p * (1 - p))[:, None]).T @ rows / total + np.diag(small + 1e-9)
+            step = np.linalg.solve(hess, grad)
+            step *= min(1.0, 4 / max(1e-12, np.abs(step).max()))
+            beta += step
+            if np.abs(step).max() < 1e-9:
+                break
+        return beta
+
+    ones = np.ones(len(x))
+    bias, slope, per_length = fitted(np.column_stack([ones, x]))
+    if per_length > 0 or slope < 0:
+        (bias, slope), per_length = fitted(np.column_stack([ones, x[:, 0]])), 0.0
+    return float(bias), float(max(0.0, slope)), float(per_length)
 
 
 def _sketch(words: list[str]) -> tuple[int, int]:
@@ -401,14 +423,15 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, i
     )
     model = Model(weights, fuzzy, repeated)
 
-    def sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def measured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([model.evidence(t.as_py()) for t in b.column(1)], pa.float64())], ["id", "toxic", "x"])
+            got = [model.measure(t.as_py()) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.int64())], ["id", "toxic", "x", "n"])
 
-    rows = [r for r in sorted(sample.mapInArrow(sums, f"id {kind}, toxic int, x double").collect()) if r["id"] in kept]
-    x, y = np.log1p([r["x"] for r in rows]), np.array([float(r["toxic"]) for r in rows])
+    rows = [r for r in sorted(sample.mapInArrow(measured, f"id {kind}, toxic int, x double, n long").collect()) if r["id"] in kept]
+    y = np.array([float(r["toxic"]) for r in rows])
     per = np.array([counts[int(v)] / n[int(v)] for v in y])
-    model.bias, model.slope = _curve(x, y, per)
+    model.bias, model.slope, model.per_length = _curve(np.log1p([[r["x"], r["n"]] for r in rows]), y, per)
     return model
 
 

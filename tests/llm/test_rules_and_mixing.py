@@ -69,6 +69,27 @@ def test_learned_list_holds_on_rows_it_did_not_see(spark):
     assert all(r["kept"] for r in rows(quality.judge(df, [])))
 
 
+def test_the_query_against_brute_force(spark):
+    """Every verdict of the table from the learned list's terms, applied one by one to statistics counted in Python."""
+    from strandline.llm import queries
+
+    folder = "/root/testdata/sf0.01"
+    if not Path(folder).exists():
+        pytest.skip("no test tables")
+    documents, labels = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels"))
+    rules = quality.fit(documents, labels)
+    assert rules
+    want = {}
+    for r in rows(documents):
+        n, chars, symbols, dup, repeat = stats = brute_stats(r["text"])
+        of = dict(zip(quality.FEATURES, (n, *(v / max(n, 1) for v in (chars, symbols, dup, repeat)))))
+        failed = n < 50 or 100 * repeat > 50 * n
+        hit = any(all(of[name] >= at if op == ">=" else of[name] < at for name, op, at in rule.terms) for rule in rules)
+        want[r["doc_id"]] = (*stats, failed, not failed and not hit)
+    got = {r["doc_id"]: (*(r[n] for n in NAMES), r["base_failed"], r["kept"]) for r in rows(queries.op2_quality_rules(spark, folder))}
+    assert got == want
+
+
 def brute_targets(sizes, share=1.5, most=2.0, weights=(5, 2, 1)):
     names = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
     w = {s: weights[k % 3] for k, s in enumerate(names)}

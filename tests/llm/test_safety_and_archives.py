@@ -158,11 +158,11 @@ def test_held_out_accuracy_and_edges(spark):
     assert model.score("such an idoit and a moronn, a clwn and an idiott") > model.score("such a day")
     loud, quoted = "you idiot you clown", 'he wrote: "idiot" and then "clown", the word'
     assert model.evidence(quoted) < model.evidence(loud)
-    assert model.evidence(None) == model.evidence("") == 0 and model.score(LONG) == model.score("")
+    assert model.evidence(None) == model.evidence("") == 0 and model.score(LONG) <= model.score("") < 0.5
     # labels of the held-out rows are never looked at
     flipped = labels.selectExpr("doc_id", "quality", f"case when crc32(cast(cast(doc_id as string) as binary)) % {toxicity.FOLDS} = {toxicity.HELD_OUT} then 1 - toxic else toxic end as toxic")
     again = toxicity.fit(df, flipped)
-    assert (again.weights, again.repeated, again.bias, again.slope) == (model.weights, model.repeated, model.bias, model.slope)
+    assert (again.weights, again.repeated, again.bias, again.slope, again.per_length) == (model.weights, model.repeated, model.bias, model.slope, model.per_length)
     nothing = toxicity.fit(df, labels.where("false"))
     assert all(r["predicted"] == 0 for r in rows(toxicity.scores(df, nothing)))
     assert toxicity.scores(df.where("false"), model).count() == 0
@@ -251,12 +251,13 @@ def brute_score(model, text):
         for s in stems[:1]:
             times[s] += held
     total += sum(model.repeated[s][1] * n / model.repeated[s][0] for s, n in times.items() if n >= model.repeated[s][0])
-    return 1 / (1 + math.exp(-(model.bias + model.slope * math.log1p(total))))
+    z = model.bias + model.slope * math.log1p(total) + model.per_length * math.log1p(len(toxicity.SPELLED.findall(low)))
+    return 0.7 / (0.7 + 0.3 * math.exp(-z))
 
 
 def test_score_against_brute_force():
     rng = random.Random(12)
-    model = toxicity.Model({"idiot": 3.0, "scum": 2.5, "lostra*": 4.0}, frozenset({("idiot", toxicity.INNER), ("idiot", toxicity.SYMBOL), ("lostra*", toxicity.INNER)}), {"zorb*": (2, 3.5)}, -3.0, 2.0)
+    model = toxicity.Model({"idiot": 3.0, "scum": 2.5, "lostra*": 4.0}, frozenset({("idiot", toxicity.INNER), ("idiot", toxicity.SYMBOL), ("lostra*", toxicity.INNER)}), {"zorb*": (2, 3.5)}, -3.0, 2.0, -0.3)
     pool = ["idiot", "idiott", "!diot", "diot", "scum", "scom", "lostraum", "lostum", "losxraum", "zorbax", "zorba", "the", "said", "plain", '"', "wörter", "idi", "$cum"]
     for _ in range(300):
         text = " ".join(rng.choices(pool, k=rng.randint(0, 30)))

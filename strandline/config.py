@@ -19,10 +19,10 @@ class Config:
 def load_config(path: Path | None = None) -> Config:
     path = path or DEFAULT_PATH
     if not path.exists():
-        raise FileNotFoundError(f"no config file found at {path}; `strandline setup` writes one")
+        raise FileNotFoundError(f"{path} does not exist; `strandline setup` writes it")
     raw = yaml.safe_load(path.read_text()) or {}
     if lacking := [k for k in Config.__dataclass_fields__ if k not in raw]:
-        raise ValueError(f"config file {path} is missing required keys: {lacking}")
+        raise ValueError(f"{path} does not say {' or '.join(lacking)}")
     return Config(**{k: Path(raw[k]).expanduser() for k in Config.__dataclass_fields__})
 
 

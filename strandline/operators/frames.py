@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from ..functions.columns import present
 from ..schema import CORNERS, FRAMES, RECT
 from . import kernels
+from .timeseries import at_positions
 
 INTERPOLATED_COLOR = (0, 165, 255)
 DETECTED_COLOR = (0, 255, 0)
@@ -80,7 +81,7 @@ def inscribe_frames(frames: DataFrame, threshold: int = kernels.THRESHOLD, aspec
 
 def crop_frames(frames: DataFrame, geometry: DataFrame, size: tuple[int, int]) -> DataFrame:
     """Canonical crops as a frame table: frames joined to their corners, one warp per row."""
-    joined = frames.join(geometry.select("video", "frame_idx", *CORNERS), ["video", "frame_idx"])
+    joined = at_positions(frames, geometry.select("video", "frame_idx", *CORNERS), ["video"], "frame_idx")
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -93,7 +94,7 @@ def crop_frames(frames: DataFrame, geometry: DataFrame, size: tuple[int, int]) -
 def draw_frames(frames: DataFrame, geometry: DataFrame) -> DataFrame:
     """Frames with their rectangle drawn, orange where it was interpolated, else green."""
     color = F.when(F.col("is_interpolated"), F.array(*map(F.lit, INTERPOLATED_COLOR))).otherwise(F.array(*map(F.lit, DETECTED_COLOR)))
-    joined = frames.join(geometry.select("video", "frame_idx", *CORNERS, color.alias("color")), ["video", "frame_idx"])
+    joined = at_positions(frames, geometry.select("video", "frame_idx", *CORNERS, color.alias("color")), ["video"], "frame_idx")
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -1,7 +1,8 @@
 """Ordered operators on series: numbering, gap filling, smoothing, jitter.
 
 Series are told apart by key columns and ordered by others. All windows of a chain share
-one partitioning and one order, so a chain is one exchange and one sort. A series that
+one partitioning, so a chain is one exchange; gap filling sorts twice, once in either order,
+and what follows needs no other sort. All operators are linear in a series. A series that
 outgrows a task is cut with ``chunk_rows``: smoothing then works on chunks with a margin
 of neighbouring rows, and gap filling carries the nearest valid value over chunks from
 one summary row per chunk; both give the same values as the plain form.
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -39,6 +41,15 @@ def _lerp(i: Column, before: Column, after: Column, c: str) -> Column:
     )
 
 
+def _latest(c: str, order, back: int = 0) -> Column:
+    """The last value that isn't null up to ``back`` rows before the present one.
+
+    Spark keeps it as it goes, in either order; a frame that looks ahead to the end would
+    be computed anew for each row, which is quadratic in the length of a series.
+    """
+    return F.last(c, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -back))
+
+
 def fill_gaps(
     df: DataFrame,
     key: Sequence[str],
@@ -63,21 +74,20 @@ def fill_gaps(
         ends = rows.groupBy(*key, "_chunk").agg(
             F.max_by("_known", F.when(ok, F.col(index))).alias("_last"), F.min_by("_known", F.when(ok, F.col(index))).alias("_first")
         )
-        line = W.partitionBy(*key).orderBy("_chunk")
         carried = ends.select(
             *key, "_chunk",
-            F.last("_last", ignorenulls=True).over(line.rowsBetween(W.unboundedPreceding, -1)).alias("_carry_before"),
-            F.first("_first", ignorenulls=True).over(line.rowsBetween(1, W.unboundedFollowing)).alias("_carry_after"),
+            _latest("_last", W.partitionBy(*key).orderBy("_chunk"), 1).alias("_carry_before"),
+            _latest("_first", W.partitionBy(*key).orderBy(F.col("_chunk").desc()), 1).alias("_carry_after"),
         )
         rows = rows.join(carried, [*key, "_chunk"])
-        part = W.partitionBy(*key, "_chunk").orderBy(index)
-    else:
-        part = W.partitionBy(*key).orderBy(index)
-    before = F.last("_known", ignorenulls=True).over(part.rowsBetween(W.unboundedPreceding, 0))
-    after = F.first("_known", ignorenulls=True).over(part.rowsBetween(0, W.unboundedFollowing))
+        key = [*key, "_chunk"]
+    # the later neighbour first, so that what follows finds the rows in ascending order
+    after = _latest("_known", W.partitionBy(*key).orderBy(F.col(index).desc()))
+    before = _latest("_known", W.partitionBy(*key).orderBy(index))
     if chunk_rows:
         before, after = F.coalesce(before, F.col("_carry_before")), F.coalesce(after, F.col("_carry_after"))
-    placed = rows.withColumns({"_before": before, "_after": after})
+        key = key[:-1]
+    placed = rows.withColumn("_after", after).withColumn("_before", before)
     filled = {v: _lerp(F.col(index), F.col("_before"), F.col("_after"), v) for v in values}
     if on_empty == "raise":
         none = F.col("_before").isNull() & F.col("_after").isNull()
@@ -188,3 +198,35 @@ def jitter(df: DataFrame, key: Sequence[str], index: str, x: str, y: str) -> Dat
 def uniform_subsample(df: DataFrame, index: str, every: int, offset: int = 0) -> DataFrame:
     return df.where((F.col(index) - offset) % every == 0)
 
+
+def changed_subsample(df: DataFrame, key: Sequence[str], index: str, values: Sequence[str], least: float) -> DataFrame:
+    """Rows that differ from the one before by ``least`` or more (Euclidean over ``values``), and the first of each series.
+
+    A row next to a missing value has no distance and isn't kept unless it is the first.
+    """
+    w = W.partitionBy(*key).orderBy(index)
+    apart = F.sqrt(sum((F.pow(F.col(v) - F.lag(v).over(w), F.lit(2.0)) for v in values), F.lit(0.0)))
+    rows = df.withColumns({"_apart": apart, "_first": F.row_number().over(w) == 1})
+    return rows.where(F.col("_first") | (F.col("_apart") >= least)).drop("_apart", "_first")
+
+
+def either(*flags: Column) -> Column:
+    """True where any flag is; a missing one doesn't count."""
+    return reduce(lambda a, b: a | b, [F.coalesce(f, F.lit(False)) for f in flags])
+
+
+def at_positions(rows: DataFrame, other: DataFrame, key: Sequence[str], index: str, how: str = "inner") -> DataFrame:
+    """``rows`` beside the row of ``other`` that has the same series and position."""
+    return rows.join(other, [*key, index], how)
+
+
+def validity(df: DataFrame, key: Sequence[str], value: str) -> DataFrame:
+    """``any_valid`` and ``n_valid`` per series: whether and how many rows have a value."""
+    there = all_present([F.col(value)])
+    return df.groupBy(*key).agg(F.bool_or(there).alias("any_valid"), F.count(F.when(there, 1)).alias("n_valid"))
+
+
+def with_mode(rows: DataFrame, posed: DataFrame, key: Sequence[str]) -> DataFrame:
+    """``mode`` of every row: "pose" where ``posed`` names its series, else "axis"."""
+    named = posed.select(*key).distinct().withColumn("_posed", F.lit(True))
+    return rows.join(named, list(key), "left").withColumn("mode", F.when(F.col("_posed"), "pose").otherwise("axis")).drop("_posed")

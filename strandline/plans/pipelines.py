@@ -69,21 +69,30 @@ def geometry(frames: DataFrame, pose: DataFrame | None = None, settings: Setting
     if pose is not None:
         filled = ts.fill_pose(pose, ["video"], "frame_idx", on_empty=on_empty, flag="_pose_filled")
         points = filled.select("video", "frame_idx", "tail_x", "tail_y", "neck_x", "neck_y", "_pose_filled", F.count("*").over(whole).alias("_n_pose"))
-        frames = frames.join(points.drop("_pose_filled", "_n_pose"), ["video", "frame_idx"], "left")
+        frames = ts.at_positions(frames, points.drop("_pose_filled", "_n_pose"), ["video"], "frame_idx", "left")
     found = frame_ops.inscribe_frames(frames, settings.threshold, settings.aspect).select("video", "frame_idx", *CORNERS)
     if pose is not None:
-        found = found.join(points.select("video", "frame_idx", "_pose_filled", "_n_pose"), ["video", "frame_idx"], "left")
+        found = ts.at_positions(found, points.select("video", "frame_idx", "_pose_filled", "_n_pose"), ["video"], "frame_idx", "left")
     filled = ts.fill_gaps(found, ["video"], "frame_idx", list(CORNERS), on_empty=on_empty)
     if pose is not None:
         # counted in the windows that are there anyway
         n_frames, n_pose = F.count("*").over(whole), F.max("_n_pose").over(whole)
         say = F.raise_error(F.format_string("%s has %d frames and %d pose rows", "video", n_frames, n_pose)).cast("boolean")
-        either = F.col("is_interpolated") | F.coalesce("_pose_filled", F.lit(False))
-        filled = filled.withColumn("is_interpolated", F.when(n_frames != n_pose, say).otherwise(either)).drop("_pose_filled", "_n_pose")
+        flags = ts.either(F.col("is_interpolated"), F.col("_pose_filled"))
+        filled = filled.withColumn("is_interpolated", F.when(n_frames != n_pose, say).otherwise(flags)).drop("_pose_filled", "_n_pose")
+    return _smoothed(filled, settings)
+
+
+def _smoothed(filled: DataFrame, settings: Settings) -> DataFrame:
     smoothed = ts.smooth(filled, ["video"], "frame_idx", list(CORNERS), settings.window, settings.sigma)
     return smoothed.select("video", "frame_idx", *CORNERS, "is_interpolated")
 
 
+def trajectory(found: DataFrame, settings: Settings = Settings(), on_empty: str = "raise") -> DataFrame:
+    """Rectangles found frame by frame as a trajectory: gaps filled, corners smoothed."""
+    return _smoothed(ts.fill_gaps(found, ["video"], "frame_idx", list(CORNERS), on_empty=on_empty), settings)
+
+
 def crops(frames: DataFrame, found: DataFrame, settings: Settings = Settings()) -> DataFrame:
     return frame_ops.crop_frames(frames, found, settings.crop_size)
 
@@ -93,8 +102,11 @@ def overlay(frames: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def read_pose_for(spark: SparkSession, names: list[str], folder: str | Path | None) -> tuple[DataFrame | None, list[str]]:
-    """Pose rows of the named videos that have a file in ``folder``, and the names that have none."""
-    files = {n: Path(folder) / f"{n}.csv" for n in names} if folder else {}
-    there = [str(p) for p in files.values() if p.exists()]
-    lacking = [n for n in names if n not in files or not files[n].exists()]
-    return (tables.read_pose(spark, *there) if there else None), lacking
+    """Pose rows of the named videos that have a file in ``folder`` (of any file system that Spark knows), and the names that have none."""
+    try:
+        listed = videos.listing(spark, folder, "*.csv") if folder else []
+    except FileNotFoundError:
+        listed = []
+    there = {Path(p).stem: p for p in listed}
+    found = [there[n] for n in names if n in there]
+    return (tables.read_pose(spark, *found) if found else None), [n for n in names if n not in there]

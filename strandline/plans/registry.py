@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+import struct
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..operators import embeddings as emb
 from ..operators import frames as frame_ops
 from ..operators import inventory as inv
+from ..operators import kernels
 from ..operators import pixels as px
 from ..operators import timeseries as ts
+from ..schema import CORNERS
+from ..sources import encoders, tables
+from ..sources.files import make_folder, written
+from ..sources.frames import read_frames
+from . import pipelines
+from .storage import checkpoint_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,7 +52,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _r(c, digits: int = 6):
-    return F.round(F.col(c) if isinstance(c, str) else c, digits)
+    # adding zero turns the negative zero that rounding may leave into zero
+    return F.round(F.col(c) if isinstance(c, str) else c, digits) + F.lit(0.0)
 
 
 def _counting(last: int, step: int = 1):
@@ -110,8 +121,11 @@ def ts_gap_fill_chunked(spark, sf_dir):
 
 @query(f"WITH {SERIES_SQL} SELECT user_id, frame_idx, value IS NULL OR raw < 20 AS is_interpolated FROM s")
 def ts_gap_flag_or(spark, sf_dir):
+    """Two flag tables of one series, joined by position; either flag counts."""
     s = _series(spark, sf_dir)
-    return s.select("user_id", IDX, (F.col("value").isNull() | (F.col("raw") < 20)).alias("is_interpolated"))
+    gaps = s.select("user_id", IDX, F.col("value").isNull().alias("gap"))
+    low = s.where("raw < 20").select("user_id", IDX, F.lit(True).alias("low"))
+    return ts.at_positions(gaps, low, KEY, IDX, "left").select("user_id", IDX, ts.either(F.col("gap"), F.col("low")).alias("is_interpolated"))
 
 
 @query(f"""WITH {SERIES_SQL}, l AS (SELECT *, CASE WHEN event_type = 'error' THEN NULL ELSE 0.8 + (frame_idx % 3) / 10.0::DOUBLE END AS t, 0.85 + (frame_idx % 2) / 10.0::DOUBLE AS k FROM s),
@@ -192,7 +206,7 @@ def ts_jitter_stats(spark, sf_dir):
 def pos_join_frames(spark, sf_dir):
     """Two tables of one series, joined by position."""
     s = _series(spark, sf_dir)
-    return s.select("user_id", IDX, "raw").join(s.select("user_id", IDX, "value"), ["user_id", IDX])
+    return ts.at_positions(s.select("user_id", IDX, "raw"), s.select("user_id", IDX, "value"), KEY, IDX)
 
 
 @query(f"WITH {SERIES_SQL} SELECT user_id, frame_idx, raw FROM s WHERE frame_idx % 10 = 0")
@@ -200,6 +214,36 @@ def sub_uniform(spark, sf_dir):
     return ts.uniform_subsample(_series(spark, sf_dir), IDX, 10).select("user_id", IDX, "raw")
 
 
+@query(f"WITH {SERIES_SQL}, c AS (SELECT *, lag(raw) OVER w AS before, lag(event_id) OVER w AS no, row_number() OVER w AS k FROM (SELECT s.*, frame_idx % 7 AS event_id FROM s) WINDOW w AS (PARTITION BY user_id ORDER BY frame_idx)) SELECT user_id, frame_idx, raw FROM c WHERE k = 1 OR sqrt((raw - before) ** 2 + (event_id - no) ** 2) >= 40")
+def sub_changed(spark, sf_dir):
+    """Rows that differ from the one before."""
+    s = _series(spark, sf_dir).withColumn("turn", F.col(IDX) % 7)
+    return ts.changed_subsample(s, KEY, IDX, ["raw", "turn"], 40.0).select("user_id", IDX, "raw")
+
+
+LONG_SQL = """
+s AS (SELECT 0 AS user_id, o_orderkey AS frame_idx, o_totalprice AS raw, CASE WHEN o_orderstatus <> 'F' THEN o_totalprice END AS value FROM orders)
+"""
+
+
+def _one_series(spark, sf_dir) -> DataFrame:
+    """All orders as one long series; those in state F are missing."""
+    o = _table(spark, sf_dir, "orders")
+    return o.select(F.lit(0).alias("user_id"), F.col("o_orderkey").alias(IDX), F.when(F.col("o_orderstatus") != "F", F.col("o_totalprice")).alias("filled"))
+
+
+@query(f"WITH {LONG_SQL}, {_fill_sql()} SELECT user_id, frame_idx, round(filled, 4) AS filled, is_interpolated FROM f")
+def ts_gap_fill_long(spark, sf_dir):
+    """A series with a row per order: filling takes time in proportion to its length."""
+    return ts.fill_gaps(_one_series(spark, sf_dir), KEY, IDX, ["filled"]).select("user_id", IDX, _r("filled", 4).alias("filled"), "is_interpolated")
+
+
+@query(_sql["ts_gap_fill_long"])
+def ts_gap_fill_long_chunked(spark, sf_dir):
+    """The same in chunks of 2,000 rows, so that tasks share the one series."""
+    return ts.fill_gaps(_one_series(spark, sf_dir), KEY, IDX, ["filled"], chunk_rows=2000).select("user_id", IDX, _r("filled", 4).alias("filled"), "is_interpolated")
+
+
 # --- inventories: files, companions, summaries -----------------------------------------------------------------
 
 NAMES_SQL = """
@@ -403,21 +447,102 @@ def px_recover_mask(spark, sf_dir):
 
 def _frames(spark, sf_dir) -> DataFrame:
     """The same frames as packed rows."""
-    listed = _pixels(spark, sf_dir).groupBy("f").agg(F.array_sort(F.collect_list(F.struct((F.col("y") * WIDTH + F.col("x")).alias("at"), "g"))).alias("p"))
+    return _packed(_pixels(spark, sf_dir))
+
+
+# --- tilted bodies, some with keypoints, some frames empty --------------------------------------------------------------
+
+SIDE, MARGIN = 40, 41  # the canvas of an upright body, and of its sums
+
+TILTED_SQL = f"""
+q AS (SELECT n_nationkey::BIGINT AS f, y, x, CASE WHEN n_nationkey % 10 <> 9 AND 5 * (x - 16) * (x - 16) + 9 * (y - 12) * (y - 12) + 2 * (n_nationkey % 5 - 2) * (x - 16) * (y - 12) <= 400 + 15 * n_nationkey THEN 100 ELSE 0 END AS g
+      FROM nation, range({HEIGHT}) a(y), range({WIDTH}) b(x)),
+o AS (SELECT n_nationkey::BIGINT AS f, n_nationkey % 2 = 1 AS posed, 6.5::DOUBLE AS tail_x, 13 + n_nationkey / 20.0::DOUBLE AS tail_y, 23 + n_nationkey / 10.0::DOUBLE AS neck_x, 10.25::DOUBLE AS neck_y FROM nation)
+"""
+
+
+def _tilted(spark, sf_dir) -> DataFrame:
+    """Packed frames with ``tail_x, tail_y, neck_x, neck_y`` in every other one; every tenth is empty."""
+    n, x, y = F.col("n_nationkey"), F.col("x"), F.col("y")
+    grid = _table(spark, sf_dir, "nation").select("n_nationkey", _counting(HEIGHT - 1).alias("y")).withColumn("x", _counting(WIDTH - 1))
+    body = (n % 10 != 9) & (5 * (x - 16) * (x - 16) + 9 * (y - 12) * (y - 12) + 2 * (n % 5 - 2) * (x - 16) * (y - 12) <= 400 + 15 * n)
+    frames = _packed(grid.select(n.cast("long").alias("f"), "y", "x", F.when(body, 100).otherwise(0).alias("g")))
+    points = {"tail_x": F.lit(6.5), "tail_y": 13 + n / 20.0, "neck_x": 23 + n / 10.0, "neck_y": F.lit(10.25)}
+    posed = _table(spark, sf_dir, "nation").select(n.cast("string").alias("video"), F.lit(0).cast("long").alias(IDX), *[F.when(n % 2 == 1, c).alias(k) for k, c in points.items()])
+    return ts.at_positions(frames, posed, ["video"], IDX)
+
+
+def _seed_sql(pixels: str, x: str, y: str) -> str:
+    """Where the chamfer distance to the nearest unset pixel is largest, in closed form: knight's moves and straight or diagonal ones."""
+    straight, diagonal, knight = (round(c * 65536) for c in kernels.CHAMFER)
+    return f"""
+a AS (SELECT s.f, s.{y} AS y, s.{x} AS x, min(CASE WHEN 2 * least(dx, dy) <= greatest(dx, dy) THEN (greatest(dx, dy) - 2 * least(dx, dy)) * {straight} + least(dx, dy) * {knight}
+                                      ELSE (2 * least(dx, dy) - greatest(dx, dy)) * {diagonal} + (greatest(dx, dy) - least(dx, dy)) * {knight} END) AS d
+      FROM (SELECT s.f, s.{y}, s.{x}, abs(s.{x} - z.{x}) AS dx, abs(s.{y} - z.{y}) AS dy FROM {pixels} s JOIN {pixels} z ON z.f = s.f AND s.m > 0 AND z.m = 0) s GROUP BY ALL),
+seed AS MATERIALIZED (SELECT f, arg_min(x, [-d, y, x]) AS x, arg_min(y, [-d, y, x]) AS y FROM a GROUP BY f)
+"""
+
+
+GROWN_SQL = f"""
+WITH RECURSIVE {TILTED_SQL},
+e AS MATERIALIZED (SELECT f, avg(x) AS mx, avg(y) AS my, var_pop(x) AS vx, var_pop(y) AS vy, covar_pop(x, y) AS c FROM q WHERE g > 0 GROUP BY f),
+t AS MATERIALIZED (SELECT f, posed, CASE WHEN posed THEN (tail_x + neck_x) / 2 ELSE mx END AS cx, CASE WHEN posed THEN (tail_y + neck_y) / 2 ELSE my END AS cy, neck_x, neck_y,
+             CASE WHEN posed THEN degrees(atan2(neck_y - tail_y, neck_x - tail_x)) ELSE degrees(atan2(2 * c, vx - vy)) / 2 END AS angle FROM e JOIN o USING (f)),
+r AS MATERIALIZED (SELECT *, cos(radians(angle)) AS co, sin(radians(angle)) AS si FROM t),
+w AS MATERIALIZED (SELECT r.*, v, u, round_even(co * (u - {SIDE / 2}) - si * (v - {SIDE / 2}) + cx, 0)::BIGINT AS x, round_even(si * (u - {SIDE / 2}) + co * (v - {SIDE / 2}) + cy, 0)::BIGINT AS y,
+             round_even(co * (neck_x - cx) + si * (neck_y - cy) + {SIDE / 2}, 0) AS cut FROM r, range({SIDE}) i(v), range({SIDE}) j(u)),
+up AS MATERIALIZED (SELECT w.f, v, u, CASE WHEN q.g > 0 AND NOT (posed AND u >= cut) THEN 1 ELSE 0 END AS m FROM w LEFT JOIN q ON q.f = w.f AND q.x = w.x AND q.y = w.y),
+{_seed_sql("up", "u", "v")},
+i AS MATERIALIZED (SELECT f, v, u, sum(m) OVER (PARTITION BY f, v ORDER BY u) AS m FROM up),
+j AS MATERIALIZED (SELECT f, v + 1 AS y, u + 1 AS x, sum(m) OVER (PARTITION BY f, u ORDER BY v) AS s FROM i),
+s AS MATERIALIZED (SELECT l.f, list(coalesce(s, 0)::BIGINT ORDER BY l.y, l.x) AS s FROM (SELECT f, y, x FROM r, range({MARGIN}) a(y), range({MARGIN}) b(x)) l LEFT JOIN j ON j.f = l.f AND j.y = l.y AND j.x = l.x GROUP BY l.f),
+g(f, n, k, rnd, cx, cy, best, step, gained, lo, hi) AS (
+  SELECT f, 0, -1, 0, x::DOUBLE, y::DOUBLE, 0::DOUBLE, {SIDE / 8}::DOUBLE, false, 0::DOUBLE, {SIDE}::DOUBLE FROM seed
+  UNION ALL
+  SELECT f, CASE WHEN done THEN 0 ELSE n + 1 END, CASE WHEN NOT done THEN k WHEN k = 3 THEN 0 ELSE k + 1 END, CASE WHEN done AND k = 3 THEN rnd + 1 ELSE rnd END,
+         CASE WHEN took AND k >= 0 THEN tx ELSE cx END, CASE WHEN took AND k >= 0 THEN ty ELSE cy END, CASE WHEN took THEN lo2 ELSE best END,
+         CASE WHEN done AND k = 3 AND NOT (gained OR took) THEN step / 2 ELSE step END, CASE WHEN done AND k = 3 THEN false ELSE gained OR (took AND k >= 0) END,
+         CASE WHEN done THEN 0 ELSE lo2 END, CASE WHEN done THEN {SIDE} ELSE hi2 END
+  FROM (SELECT *, n = {kernels.BISECTIONS - 1} AS done, n = {kernels.BISECTIONS - 1} AND (k = -1 OR lo2 > best) AS took
+        FROM (SELECT *, CASE WHEN ok THEN mid ELSE lo END AS lo2, CASE WHEN ok THEN hi ELSE mid END AS hi2
+              FROM (SELECT *, x0 >= 0 AND y0 >= 0 AND x1 <= {SIDE} AND y1 <= {SIDE}
+                           AND s[greatest(least(y1, {SIDE}), 0) * {MARGIN} + greatest(least(x1, {SIDE}), 0) + 1] - s[greatest(least(y0, {SIDE}), 0) * {MARGIN} + greatest(least(x1, {SIDE}), 0) + 1]
+                             - s[greatest(least(y1, {SIDE}), 0) * {MARGIN} + greatest(least(x0, {SIDE}), 0) + 1] + s[greatest(least(y0, {SIDE}), 0) * {MARGIN} + greatest(least(x0, {SIDE}), 0) + 1]
+                             >= (x1 - x0) * (y1 - y0) AS ok
+                    FROM (SELECT *, trunc(tx - {kernels.ASPECT} * mid / 2)::BIGINT AS x0, trunc(tx + {kernels.ASPECT} * mid / 2)::BIGINT AS x1, trunc(ty - mid / 2)::BIGINT AS y0, trunc(ty + mid / 2)::BIGINT AS y1
+                          FROM (SELECT g.*, s.s, (lo + hi) / 2 AS mid, cx + step * [0, 1, -1, 0, 0][k + 2] AS tx, cy + step * [0, 0, 0, 1, -1][k + 2] AS ty FROM g JOIN s USING (f) WHERE rnd < {kernels.REFINE_ROUNDS})))))
+)
+"""
+
+
+def _packed(pixels: DataFrame) -> DataFrame:
+    """Pixel rows ``f, y, x, g`` as packed frames."""
+    listed = pixels.groupBy("f").agg(F.array_sort(F.collect_list(F.struct((F.col("y") * WIDTH + F.col("x")).alias("at"), "g"))).alias("p"))
     packed = F.unhex(F.array_join(F.transform("p", lambda v: F.lpad(F.hex(v["g"]), 2, "0")), ""))
-    return listed.select(F.col("f").cast("string").alias("video"), F.lit(0).cast("long").alias("frame_idx"), F.lit(HEIGHT).alias("height"), F.lit(WIDTH).alias("width"), F.lit(1).alias("channels"), packed.alias("pixels"))
+    return listed.select(F.col("f").cast("string").alias("video"), F.lit(0).cast("long").alias(IDX), F.lit(HEIGHT).alias("height"), F.lit(WIDTH).alias("width"), F.lit(1).alias("channels"), packed.alias("pixels"))
+
 
+def _corner_sql(name: str, x: int, y: int) -> str:
+    u, v = f"(z.cx + {x} * z.best * {kernels.ASPECT} / 2 - {SIDE / 2})", f"(z.cy + {y} * z.best / 2 - {SIDE / 2})"
+    tail = f"_{name}" if name else ""
+    head = "corner" if name else "center"
+    return f"round(co * {u} - si * {v} + r.cx, 6) + 0.0::DOUBLE AS {head}{tail}_x, round(si * {u} + co * {v} + r.cy, 6) + 0.0::DOUBLE AS {head}{tail}_y"
 
-@query()
+
+@query(f"""{GROWN_SQL}, z AS (SELECT * FROM g WHERE rnd = {kernels.REFINE_ROUNDS})
+SELECT o.f, {", ".join(_corner_sql(*c) for c in (("tl", -1, -1), ("tr", 1, -1), ("br", 1, 1), ("bl", -1, 1), ("", 0, 0)))}, round(r.angle, 6) + 0.0::DOUBLE AS angle, round(z.best * {kernels.ASPECT}, 6) AS rect_width, round(z.best, 6) AS rect_height
+FROM o LEFT JOIN z USING (f) LEFT JOIN r USING (f)""")
 def px_inscribe(spark, sf_dir):
-    """The inscribed rectangle of every frame; a kernel, tested against its own parts."""
-    return frame_ops.inscribe_frames(_frames(spark, sf_dir))
+    """The inscribed rectangle of tilted bodies, along their axis or from tail to neck; null where there is no body."""
+    found = frame_ops.inscribe_frames(_tilted(spark, sf_dir))
+    return found.select(F.col("video").cast("long").alias("f"), *[_r(c).alias(c) for c in frame_ops.RECT_NAMES])
 
 
-@query()
+@query(f"""WITH {TILTED_SQL}, p AS (SELECT f, y, x, CASE WHEN g > 0 THEN 1 ELSE 0 END AS m FROM q), {_seed_sql("p", "x", "y")}
+SELECT o.f, x::BIGINT AS x, y::BIGINT AS y FROM o LEFT JOIN seed USING (f)""")
 def px_seed(spark, sf_dir):
-    """Where each body is widest, by chamfer distance; a kernel, tested on its own."""
-    return frame_ops.seed_frames(_frames(spark, sf_dir))
+    """Where each body is widest, by chamfer distance; null where there is none."""
+    return frame_ops.seed_frames(_tilted(spark, sf_dir)).select(F.col("video").cast("long").alias("f"), "x", "y")
 
 
 @query(_sql["px_recover_mask"])
@@ -463,17 +588,175 @@ def px_overlay(spark, sf_dir):
     return frame_ops.unpack(drawn).select(F.col("video").cast("long").alias("f"), "y", "x", "channel", "value")
 
 
+@query(f"""WITH {PIXELS_SQL}, c AS (SELECT n_nationkey::BIGINT AS f, v, u, 3.31 + u * 18.66 / 12 - v * 1.74 / 6 AS px, 5.23 + u * 2.08 / 12 + v * 9.36 / 6 AS py FROM nation, range(6) a(v), range(12) b(u)),
+b AS (SELECT *, floor(px)::BIGINT + dx AS x, floor(py)::BIGINT + dy AS y, (CASE dx WHEN 1 THEN px - floor(px) ELSE 1 - (px - floor(px)) END) * (CASE dy WHEN 1 THEN py - floor(py) ELSE 1 - (py - floor(py)) END) AS weight FROM c, range(2) i(dx), range(2) j(dy))
+SELECT b.f, v AS y, u AS x, round_even(sum(weight * coalesce(g, 0)), 0)::BIGINT AS g FROM b LEFT JOIN q ON q.f = b.f AND q.x = b.x AND q.y = b.y GROUP BY b.f, v, u""")
+def px_crop_tilted(spark, sf_dir):
+    """Crops of a tilted rectangle with broken corners: every pixel is a weighted mean of four."""
+    corners = {"tl": (3.31, 5.23), "tr": (21.97, 7.31), "br": (20.23, 16.67), "bl": (1.57, 14.59)}
+    n = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("video"), F.lit(0).cast("long").alias(IDX), *[F.lit(v).alias(f"corner_{c}_{axis}") for c, pair in corners.items() for axis, v in zip("xy", pair)])
+    return frame_ops.unpack(frame_ops.crop_frames(_frames(spark, sf_dir), n, (12, 6))).select(F.col("video").cast("long").alias("f"), "y", "x", F.col("value").alias("g"))
+
+
+TILTED_CORNERS = {"tl": (6.7, 3.2), "tr": (24.9, 7.4), "br": (22.1, 18.8), "bl": (3.5, 14.6)}
+
+
+def _near_line(a: tuple[float, float], b: tuple[float, float]) -> str:
+    """Whether a pixel is within one of the line between two points, which are cut to whole pixels."""
+    (x0, y0), (x1, y1) = ((int(x), int(y)) for x, y in (a, b))
+    dx, dy = x1 - x0, y1 - y0
+    t = f"greatest(least(((x - {x0}) * {dx} + (y - {y0}) * {dy}) / {float(dx * dx + dy * dy)}::DOUBLE, 1), 0)"
+    return f"sqrt((x - ({x0} + {t} * {dx})) ** 2 + (y - ({y0} + {t} * {dy})) ** 2) <= 1"
+
+
+@query(f"""WITH {PIXELS_SQL} SELECT f, y, x, CASE WHEN {" OR ".join(_near_line(TILTED_CORNERS[a], TILTED_CORNERS[b]) for a, b in zip(("tl", "tr", "br", "bl"), ("tr", "br", "bl", "tl")))} THEN 255 ELSE g END::BIGINT AS g FROM q""")
+def px_overlay_tilted(spark, sf_dir):
+    """The drawing kernel's second colour channel along slanted edges."""
+    corners = [F.lit(v).alias(f"corner_{c}_{axis}") for c, pair in TILTED_CORNERS.items() for axis, v in zip("xy", pair)]
+    boxes = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("video"), F.lit(0).cast("long").alias(IDX), *corners, F.lit(False).alias("is_interpolated"))
+    color = _frames(spark, sf_dir).withColumn("pixels", F.unhex(F.regexp_replace(F.hex("pixels"), "(..)", "$1$1$1"))).withColumn("channels", F.lit(3))
+    drawn = frame_ops.unpack(frame_ops.draw_frames(color, boxes)).where("channel = 1")
+    return drawn.select(F.col("video").cast("long").alias("f"), "y", "x", F.col("value").alias("g"))
+
+
 @query(f"WITH {SERIES_SQL} SELECT user_id, bool_or(value IS NOT NULL) AS any_valid, count(value) AS n_valid FROM s GROUP BY user_id")
 def ts_any_valid(spark, sf_dir):
-    return _series(spark, sf_dir).groupBy("user_id").agg(F.bool_or(F.col("value").isNotNull()).alias("any_valid"), F.count("value").alias("n_valid"))
+    return ts.validity(_series(spark, sf_dir), KEY, "value")
 
 
 @query(f"WITH {SERIES_SQL}, p AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'signup' AND value > 100) SELECT s.user_id, frame_idx, CASE WHEN p.user_id IS NULL THEN 'axis' ELSE 'pose' END AS mode FROM s LEFT JOIN p ON p.user_id = s.user_id")
 def pos_pose_mode(spark, sf_dir):
     """Which frames have pose predictions: a left join to the series that have a file (here, a large signup)."""
-    there = _table(spark, sf_dir, "events").where("event_type = 'signup' and value > 100").select(F.col("user_id").alias("posed")).distinct()
-    joined = _series(spark, sf_dir).join(there, F.col("user_id") == F.col("posed"), "left")
-    return joined.select("user_id", IDX, F.when(F.col("posed").isNull(), "axis").otherwise("pose").alias("mode"))
+    there = _table(spark, sf_dir, "events").where("event_type = 'signup' and value > 100")
+    return ts.with_mode(_series(spark, sf_dir), there, KEY).select("user_id", IDX, "mode")
+
+
+# --- files: written to the shared folder and read back ---------------------------------------------------------------
+
+
+def _folder(spark) -> str:
+    return f"{checkpoint_dir(spark)}/files-{uuid.uuid4().hex}"
+
+
+@query(f"""WITH {SERIES_SQL} SELECT 'v' || user_id AS video, frame_idx, raw AS tail_x, CASE WHEN frame_idx % 5 <> 0 THEN raw / 2 END AS tail_y, 0.75::DOUBLE AS tail_likelihood,
+value AS neck_x, frame_idx::DOUBLE AS neck_y, 1::DOUBLE AS neck_likelihood FROM s""")
+def io_pose(spark, sf_dir):
+    """Pose files of every series: three header rows, empty cells where a value is missing."""
+    i = F.col(IDX)
+    pose = _series(spark, sf_dir).select(
+        F.concat(F.lit("v"), F.col("user_id").cast("string")).alias("video"), IDX, F.col("raw").alias("tail_x"), F.when(i % 5 != 0, F.col("raw") / 2).alias("tail_y"),
+        F.lit(0.75).alias("tail_likelihood"), F.col("value").alias("neck_x"), i.cast("double").alias("neck_y"), F.lit(1.0).alias("neck_likelihood"),
+    )
+    folder = _folder(spark)
+    tables.write_pose(pose, folder).collect()  # one row per file
+    return tables.read_pose(spark, folder)
+
+
+_CORNER_EXPRESSIONS = [f"raw + {k}" if k % 2 else f"frame_idx * {k + 1}.5" for k in range(len(CORNERS))]
+
+
+@query(f"WITH {SERIES_SQL} SELECT 'v' || user_id AS video, frame_idx, {', '.join(f'({e})::DOUBLE AS {c}' for e, c in zip(_CORNER_EXPRESSIONS, CORNERS))}, value IS NULL AS is_interpolated FROM s")
+def io_geometry(spark, sf_dir):
+    """Geometry files of every series."""
+    found = _series(spark, sf_dir).select(
+        F.concat(F.lit("v"), F.col("user_id").cast("string")).alias("video"), IDX, *[F.expr(e).cast("double").alias(c) for e, c in zip(_CORNER_EXPRESSIONS, CORNERS)], F.col("value").isNull().alias("is_interpolated"),
+    )
+    folder = _folder(spark)
+    tables.write_geometry(found, folder).collect()  # one row per file
+    return tables.read_geometry(spark, folder)
+
+
+RECORDINGS_SQL = """
+r AS (SELECT p_partkey, CASE WHEN p_partkey % 10 = 7 THEN 'session-x_cuttle-' ELSE 'session-0' || (p_partkey % 6) || '_cuttle-' END || p_partkey AS stem,
+             p_size AS n, p_partkey % 3 AS kind FROM part WHERE p_partkey <= 100),
+b AS (SELECT stem, n, unnest(range(n % 5)) * (1 + n % 4) AS place FROM r WHERE kind = 0)
+"""
+
+
+def _box(kind: bytes, body: bytes) -> bytes:
+    return struct.pack(">I4s", 8 + len(body), kind) + body
+
+
+def _mp4(n: int) -> bytes:
+    """A recording's metadata, of ``n`` frames at 12.5 a second, without media."""
+    tkhd = _box(b"tkhd", bytes(76) + struct.pack(">II", (64 + n) << 16, 48 << 16))
+    mdhd = _box(b"mdhd", bytes(12) + struct.pack(">II", 1250, n * 100) + bytes(4))
+    hdlr = _box(b"hdlr", bytes(8) + b"vide" + bytes(13))
+    stbl = _box(b"stbl", _box(b"stts", struct.pack(">IIII", 0, 1, n, 100)) + _box(b"stsz", struct.pack(">III", 0, 1, n)))
+    return _box(b"ftyp", b"isom") + _box(b"moov", _box(b"trak", tkhd + _box(b"mdia", mdhd + hdlr + _box(b"minf", stbl))))
+
+
+def _recordings(spark, sf_dir) -> str:
+    """A folder of a hundred recordings with lists of blank frames beside a third of them, some of them empty."""
+    target = make_folder(_folder(spark))
+
+    def run(batches):
+        for b in batches:
+            for stem, n, kind in zip(b.stem, b.n, b.kind):
+                with written(f"{target}/{stem}.mp4") as f:
+                    f.write(_mp4(int(n)))
+                if kind == 0:
+                    with written(f"{target}/{stem}.txt") as f:
+                        f.write("".join(f"{k * (1 + n % 4)}\n\n" for k in range(n % 5)).encode())
+            yield b[["stem"]]
+
+    p = _table(spark, sf_dir, "part").where("p_partkey <= 100")
+    key = F.col("p_partkey").cast("string")
+    stem = F.concat(F.when(F.col("p_partkey") % 10 == 7, F.lit("session-x_cuttle-")).otherwise(F.concat(F.lit("session-0"), (F.col("p_partkey") % 6).cast("string"), F.lit("_cuttle-"))), key)
+    p.select(stem.alias("stem"), F.col("p_size").cast("long").alias("n"), (F.col("p_partkey") % 3).cast("long").alias("kind")).mapInPandas(run, "stem string").collect()  # a hundred names
+    return target
+
+
+@query(f"""WITH {RECORDINGS_SQL}, c AS (SELECT stem, count(*) AS c FROM b GROUP BY stem)
+SELECT (p_partkey % 6)::BIGINT AS session_id, p_partkey::BIGINT AS fish_id, stem || '.mp4' AS video, CASE WHEN kind = 0 THEN stem || '.txt' END AS blanks, n::BIGINT AS n_frames,
+       CASE WHEN kind = 0 THEN coalesce(c, 0) END AS n_blank_frames, 12.5::DOUBLE AS fps, (64 + n)::INTEGER AS width, 48 AS height FROM r LEFT JOIN c USING (stem) WHERE p_partkey % 10 <> 7""")
+def io_manifest(spark, sf_dir):
+    """The manifest of a folder of recordings, written and read back."""
+    folder = _recordings(spark, sf_dir)
+    manifest, _ = pipelines.build_manifest(spark, folder)
+    tables.write_manifest(manifest, f"{folder}-manifest")
+    name = lambda c: F.regexp_extract(c, r"([^/]+)$", 1)
+    return spark.read.parquet(f"{folder}-manifest").select(
+        "session_id", "fish_id", name("video_path").alias("video"), name("blank_frames_path").alias("blanks"), "n_frames", "n_blank_frames", "fps", "width", "height"
+    )
+
+
+@query(f"""WITH {RECORDINGS_SQL}, m AS (SELECT stem, max(place) AS place FROM b GROUP BY stem)
+SELECT stem || '.mp4' AS video, 'unexpected name' AS warning FROM r WHERE p_partkey % 10 = 7
+UNION ALL SELECT stem || '.mp4', 'no blank-frames file' FROM r WHERE p_partkey % 10 <> 7 AND kind <> 0
+UNION ALL SELECT stem || '.mp4', 'index ' || place || ' outside ' || n || ' frames' FROM r JOIN m USING (stem) WHERE p_partkey % 10 <> 7 AND place >= n""")
+def io_warnings(spark, sf_dir):
+    """What building the manifest warns of."""
+    _, warnings = pipelines.build_manifest(spark, _recordings(spark, sf_dir))
+    return warnings.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("video"), "warning")
+
+
+@query(f"WITH {PIXELS_SQL} SELECT 'region-' || f % 5 AS video, f // 5 AS frame_idx, y, x, g::BIGINT AS g FROM q")
+def io_frames(spark, sf_dir):
+    """Videos of five frames, written frame by frame and read back."""
+    f = F.col("video").cast("long")
+    videos = _frames(spark, sf_dir).select(F.concat(F.lit("region-"), (f % 5).cast("string")).alias("video"), F.floor(f / 5).alias(IDX), "height", "width", "channels", "pixels")
+    done = encoders.write_videos(videos, _folder(spark)).collect()  # one row per video
+    return frame_ops.unpack(read_frames(spark, [r["path"] for r in done])).select("video", IDX, "y", "x", F.col("value").alias("g"))
+
+
+def _align_sql() -> str:
+    """All frames as one video: every corner filled, then smoothed, on its own."""
+    corners = [("tl", -1, -1), ("tr", 1, -1), ("br", 1, 1), ("bl", -1, 1)]
+    long = " UNION ALL ".join(f"SELECT 'corner_{c[0]}_{axis}' AS user_id, f AS frame_idx, corner_{c[0]}_{axis} AS raw, corner_{c[0]}_{axis} AS value FROM k" for c in corners for axis in "xy")
+    return f"""{GROWN_SQL}, z AS (SELECT * FROM g WHERE rnd = {kernels.REFINE_ROUNDS}),
+k AS MATERIALIZED (SELECT o.f, {", ".join(_corner_sql(*c).replace(", 6)", ", 12)") for c in corners)} FROM o LEFT JOIN z USING (f) LEFT JOIN r USING (f)),
+ser AS MATERIALIZED ({long}), {_fill_sql("ser").replace("f AS (SELECT user_id", "fl AS MATERIALIZED (SELECT user_id").replace("n AS (SELECT *", "nn AS (SELECT *").replace("FROM n)", "FROM nn)")},
+{_gauss_sql("fl", "filled", 2.0).replace("w(k, x) AS", "taps(k, x) AS").replace("w.", "taps.").replace("CROSS JOIN w", "CROSS JOIN taps").replace("e AS (SELECT", "top AS (SELECT").replace("JOIN e USING", "JOIN top USING").replace("e.top", "top.top").replace("g AS (SELECT", "gs AS (SELECT")}
+SELECT frame_idx, {", ".join(f"round(max(smooth) FILTER (WHERE user_id = '{c}'), 4) + 0.0::DOUBLE AS {c}" for c in CORNERS)}, bool_or(is_interpolated) AS is_interpolated FROM gs JOIN fl USING (user_id, frame_idx) GROUP BY frame_idx"""
+
+
+@query(_align_sql())
+def geo_align(spark, sf_dir):
+    """A video's geometry from end to end: rectangles of every frame, gaps filled, corners smoothed."""
+    frames = _tilted(spark, sf_dir).withColumn(IDX, F.col("video").cast("long")).withColumn("video", F.lit("a"))
+    found = frame_ops.inscribe_frames(frames).select("video", IDX, *CORNERS)
+    return pipelines.trajectory(found, pipelines.Settings()).select(IDX, *[_r(c, 4).alias(c) for c in CORNERS], "is_interpolated")
 
 
 # --- embeddings, from the roadmap ------------------------------------------------------------------------------------
@@ -482,15 +765,57 @@ def pos_pose_mode(spark, sf_dir):
 @query("SELECT vec_id, label, len(embedding)::BIGINT AS dims, lang FROM embeddings JOIN documents ON doc_id = vec_id")
 def emb_join(spark, sf_dir):
     d = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "lang")
-    return _table(spark, sf_dir, "embeddings").select("vec_id", "label", F.size("embedding").cast("long").alias("dims")).join(d, "vec_id")
+    return emb.with_frames(_table(spark, sf_dir, "embeddings").select("vec_id", "label", F.size("embedding").cast("long").alias("dims")), d, ["vec_id"])
 
 
-@query()
-def emb_kmeans(spark, sf_dir):
-    """Sizes of ten clusters of the embeddings."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+ROUNDS, CLUSTERS, SQUARINGS = 5, 10, 14
 
-    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", array_to_vector("embedding").alias("features"))
-    model = KMeans(k=10, seed=1, maxIter=20).fit(vectors)
-    return model.transform(vectors).groupBy(F.col("prediction").alias("cluster")).agg(F.count("*").alias("n"))
+
+def _kmeans_sql() -> str:
+    """Lloyd's iteration unrolled: n{r} says which centre is nearest, c{r} holds the centres."""
+    parts = [
+        "v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings)",
+        f"c0 AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS n, x FROM v ORDER BY vec_id LIMIT {CLUSTERS})",
+    ]
+    for r in range(ROUNDS + 1):
+        parts.append(f"n{r} AS (SELECT vec_id, any_value(v.x) AS x, arg_min(n, [list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), n]) AS n FROM v, c{r} c GROUP BY vec_id)")
+        parts.append(f"m{r} AS (SELECT n, k, avg(e) AS e FROM (SELECT n, unnest(x) AS e, unnest(range(len(x))) AS k FROM n{r}) GROUP BY n, k)")
+        parts.append(f"c{r + 1} AS (SELECT c.n, coalesce(y, c.x) AS x FROM c{r} c LEFT JOIN (SELECT n, list(e ORDER BY k) AS y FROM m{r} GROUP BY n) USING (n))")
+    return f"WITH {', '.join(f'{p[:p.index(" AS (")]} AS MATERIALIZED ({p[p.index(" AS (") + 5:]}' for p in parts)} SELECT n::INTEGER AS cluster, count(*) AS n FROM n{ROUNDS} GROUP BY 1"
+
+
+@query(_kmeans_sql())
+def emb_kmeans(spark, sf_dir):
+    """Sizes of ten clusters of the embeddings after a few rounds."""
+    found = emb.clusters(_table(spark, sf_dir, "embeddings"), "vec_id", k=CLUSTERS, rounds=ROUNDS)
+    return found.groupBy("cluster").agg(F.count("*").alias("n"))
+
+
+def _pca_sql() -> str:
+    """Axes by squaring the covariance again and again, the second after the first is taken out."""
+    parts = [
+        "v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS e, unnest(range(len(embedding))) AS i FROM embeddings)",
+        "z AS (SELECT vec_id, i, e - avg(e) OVER (PARTITION BY i) AS e FROM v)",
+        "s0 AS (SELECT a.i, b.i AS j, sum(a.e * b.e) AS x FROM z a JOIN z b USING (vec_id) GROUP BY a.i, b.i)",
+    ]
+
+    def axis(start: str, name: str) -> None:
+        now = start
+        for k in range(SQUARINGS):
+            parts.append(f"{name}{k} AS (SELECT i, j, x / max(abs(x)) OVER () AS x FROM (SELECT a.i, b.j, sum(a.x * b.x) AS x FROM {now} a JOIN {now} b ON a.j = b.i GROUP BY a.i, b.j))")
+            now = f"{name}{k}"
+        column = f"(SELECT i, x FROM {now} WHERE j = (SELECT j FROM {now} WHERE i = j ORDER BY x DESC, i LIMIT 1))"
+        parts.append(f"{name} AS (SELECT i, x / sqrt(sum(x * x) OVER ()) * sign(arg_max(x, abs(x)) OVER ()) AS x FROM {column})")
+
+    axis("s0", "a")
+    parts.append("l AS (SELECT sum(a.x * s0.x * b.x) AS l FROM a JOIN s0 ON s0.i = a.i JOIN a b ON b.i = s0.j)")
+    parts.append("r0 AS (SELECT s0.i, s0.j, s0.x - l * a.x * b.x AS x FROM s0 JOIN a ON a.i = s0.i JOIN a b ON b.i = s0.j, l)")
+    axis("r0", "b")
+    made = ", ".join(f"{p[:p.index(' AS (')]} AS MATERIALIZED ({p[p.index(' AS (') + 5:]}" for p in parts)
+    return f"WITH {made} SELECT vec_id, round(sum(e * a.x), 4) AS x, round(sum(e * b.x), 4) AS y FROM z JOIN a USING (i) JOIN b USING (i) GROUP BY vec_id"
+
+
+@query(_pca_sql())
+def emb_pca(spark, sf_dir):
+    """Every embedding in the plane of the two principal axes."""
+    return emb.project(_table(spark, sf_dir, "embeddings")).select("vec_id", _r("x", 4).alias("x"), _r("y", 4).alias("y"))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import importlib.util
+import os
 import shutil
 import subprocess
+import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -12,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .files import make_folder
+
 CRF = 28
 
 #: (path, width, height, channels, frames per second, frames as bytes) to the path that was written.
@@ -41,7 +46,7 @@ def ffmpeg_encoder(crf: int = CRF) -> Encoder:
     def encode(path: str, width: int, height: int, channels: int, fps: float, frames: Iterator[bytes]) -> str:
         program = shutil.which("ffmpeg")
         if program is None:
-            raise OSError("ffmpeg not found on PATH; it is needed to write videos")
+            raise OSError(f"cannot encode {Path(path).name}: this machine has no ffmpeg")
         kind = "gray" if channels == 1 else "bgr24"
         args = ["-y", "-v", "error", "-f", "rawvideo", "-pix_fmt", kind, "-s", f"{width}x{height}", "-r", str(fps), "-i", "pipe:0"]
         args += ["-c:v", "libx264", "-preset", "medium", "-crf", str(crf), "-pix_fmt", "yuv420p", path]
@@ -56,14 +61,37 @@ def ffmpeg_encoder(crf: int = CRF) -> Encoder:
     return encode
 
 
+def encode_opencv(path: str, width: int, height: int, channels: int, fps: float, frames: Iterator[bytes]) -> str:
+    """MPEG-4 part 2 (mp4v) through OpenCV; fails where it is not installed."""
+    try:
+        import cv2
+    except ImportError as e:
+        raise OSError(f"cannot encode {Path(path).name}: OpenCV is not installed") from e
+    out = cv2.VideoWriter(path, cv2.VideoWriter_fourcc(*"mp4v"), fps, (width, height), channels != 1)
+    try:
+        for frame in frames:
+            out.write(np.frombuffer(frame, np.uint8).reshape((height, width) if channels == 1 else (height, width, channels)))
+    finally:
+        out.release()
+    return path
+
+
+def best_encoder(crf: int | None = None) -> Encoder:
+    """What this machine has: ffmpeg if a quality is asked for, else OpenCV's mp4v, else a stack of frames."""
+    if crf is not None and shutil.which("ffmpeg"):
+        return ffmpeg_encoder(crf)
+    return encode_opencv if importlib.util.find_spec("cv2") else encode_npy
+
+
 def write_videos(frames: DataFrame, folder: str | Path, suffix: str = "", fps: float = 24.0, encoder: Encoder = encode_npy) -> DataFrame:
     """Write ``{video}{suffix}`` per video and return ``video, path, n_frames``.
 
     Frames are dealt by video and sorted; a task streams them and never holds a video. Only
-    this sink shuffles pixels, as a codec needs the frames of a video in one place.
+    this sink shuffles pixels, as a codec needs the frames of a video in one place. Each
+    attempt writes to a name of its own, which becomes the final one when it is complete.
+    ``folder`` is a path that executors share.
     """
-    target = str(folder)
-    Path(target).mkdir(parents=True, exist_ok=True)
+    target = make_folder(folder)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = (r for b in batches for r in b.itertuples(index=False))
@@ -78,8 +106,11 @@ def write_videos(frames: DataFrame, folder: str | Path, suffix: str = "", fps: f
                     yield bytes(held.pixels)
                     held = next(rows, None)
 
-            path = encoder(str(Path(target) / f"{first.video}{suffix}.mp4"), int(first.width), int(first.height), int(first.channels), fps, own())
-            yield pd.DataFrame({"video": [first.video], "path": [path], "n_frames": [n]})
+            draft = Path(target) / f".{uuid.uuid4().hex}.mp4"
+            written = Path(encoder(str(draft), int(first.width), int(first.height), int(first.channels), fps, own()))
+            path = Path(target) / f"{first.video}{suffix}{written.suffix}"
+            os.replace(written, path)
+            yield pd.DataFrame({"video": [first.video], "path": [str(path)], "n_frames": [n]})
 
     ordered = frames.where(F.col("pixels").isNotNull()).repartition("video").sortWithinPartitions("video", "frame_idx")
     return ordered.mapInPandas(run, "video string, path string, n_frames long")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import stem
+from .files import opened
 
 # How recordings are named; a fixed value of the data format.
 PATTERN = "session-*_cuttle-*.mp4"
@@ -24,7 +25,7 @@ def register_probe(suffix: str, probe: Callable[[str], Info]) -> None:
     _probes[suffix] = probe
 
 
-def _listing(spark: SparkSession, folder: str | Path, pattern: str) -> list[str]:
+def listing(spark: SparkSession, folder: str | Path, pattern: str) -> list[str]:
     """Paths directly in a folder of any file system that Spark knows, sorted."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(str(folder))
@@ -40,13 +41,13 @@ def find_videos(spark: SparkSession, folder: str | Path) -> DataFrame:
 
     The listing has one entry per recording, so it is made on the driver.
     """
-    rows = [(p,) for p in _listing(spark, folder, PATTERN)]
+    rows = [(p,) for p in listing(spark, folder, PATTERN)]
     return spark.createDataFrame(rows, "path string").withColumn("stem", stem(F.col("path"))).orderBy("path")
 
 
 def blank_files(spark: SparkSession, folder: str | Path) -> DataFrame:
     """``path, stem`` of companion lists, also of empty ones (a text scan has no rows for those)."""
-    rows = [(p,) for p in _listing(spark, folder, PATTERN.replace(".mp4", ".txt"))]
+    rows = [(p,) for p in listing(spark, folder, PATTERN.replace(".mp4", ".txt"))]
     return spark.createDataFrame(rows, "path string").withColumn("stem", stem(F.col("path")))
 
 
@@ -76,9 +77,13 @@ def _boxes(f, start: int, stop: int) -> Iterator[tuple[bytes, int, int]]:
 
 
 def probe_mp4(path: str) -> Info:
-    """Metadata of the first video track, from the boxes of an MP4 file; nothing is decoded."""
-    with open(path, "rb") as f:
-        end = f.seek(0, 2)
+    """Metadata of the first video track, from the boxes of an MP4 file; nothing is decoded.
+
+    ``path`` may be a URI of a file system that Arrow knows.
+    """
+    with opened(path) as f:
+        f.seek(0, 2)
+        end = f.tell()
         for kind, a, b in _boxes(f, 0, end):
             if kind != b"moov":
                 continue
@@ -86,7 +91,7 @@ def probe_mp4(path: str) -> Info:
                 info = kind == b"trak" and _track(f, a, b)
                 if info:
                     return info
-    raise OSError(f"could not open video file: {path}")
+    raise OSError(f"{path} holds no video track")
 
 
 def _track(f, a: int, b: int) -> Info | None:

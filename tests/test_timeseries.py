@@ -111,3 +111,29 @@ def test_jitter_and_numbering(spark):
     assert got == {"a": (5, 5), "b": (None, None)}
     assert ts.uniform_subsample(df, "t", 5).count() == 1
     assert ts.fill_gaps(df.where(F.lit(False)).withColumnRenamed("t", "frame_idx"), ["video"], "frame_idx", ["x"]).count() == 0
+
+
+@pytest.mark.parametrize("chunk", [None, 2000])
+def test_long_series_take_time_in_proportion(spark, chunk):
+    """A form that looks ahead row by row takes some 40 s for the longer one."""
+    import time
+
+    def seconds(n):
+        df = spark.range(n).select(F.lit("a").alias("video"), F.col("id").alias("frame_idx"), F.when(F.col("id") % 50 == 0, F.col("id") * 1.0).alias("x"))
+        began = time.perf_counter()
+        got = ts.fill_gaps(df, ["video"], "frame_idx", ["x"], chunk_rows=chunk).agg(F.sum("x"), F.count("*")).first()
+        assert got[1] == n and got[0] == pytest.approx(sum(min(k, (n - 1) // 50 * 50) for k in range(n)))
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(40_000) < 5 and seconds(80_000) < 10
+
+
+def test_changes_flags_and_modes(spark):
+    df = spark.createDataFrame([("a", 0, 0.0), ("a", 1, 1.0), ("a", 2, 9.0), ("a", 3, None), ("a", 4, 9.0), ("b", 5, 3.0)], "video string, frame_idx long, x double")
+    assert sorted((r["video"], r["frame_idx"]) for r in ts.changed_subsample(df, ["video"], "frame_idx", ["x"], 5.0).collect()) == [("a", 0), ("a", 2), ("b", 5)]
+    flags = spark.createDataFrame([(True, None), (None, None), (False, True)], "a boolean, b boolean")
+    assert [r["f"] for r in flags.select(ts.either(F.col("a"), F.col("b")).alias("f")).collect()] == [True, False, True]
+    assert {r["video"]: (r["any_valid"], r["n_valid"]) for r in ts.validity(df, ["video"], "x").collect()} == {"a": (True, 4), "b": (True, 1)}
+    posed = spark.createDataFrame([("b",), ("b",)], "video string")
+    assert {(r["video"], r["mode"]) for r in ts.with_mode(df, posed, ["video"]).collect()} == {("a", "axis"), ("b", "pose")}

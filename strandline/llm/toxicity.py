@@ -249,6 +249,8 @@ class Model:
     per_length: float = 0.0
 
     def __post_init__(self):
+        #: What a text must hold to be predicted toxic: one term spelled right and not quoted, or as much.
+        self.least = min(self.weights.values(), default=math.inf)
         self.automaton = Automaton(self.weights, self.fuzzy)
         self.stems = Automaton(self.repeated, ())
 
@@ -290,7 +292,8 @@ class Model:
     def score(self, text: str | None) -> float:
         total, n = self.measure(text)
         z = self.bias + self.slope * math.log1p(total) + self.per_length * math.log1p(n) + EVEN
-        return 1 / (1 + math.exp(-z)) if z > -700 else 0.0
+        chance = 1 / (1 + math.exp(-z)) if z > -700 else 0.0
+        return chance if total >= self.least else min(chance, THRESHOLD - 0.01)
 
 
 def _curve(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-3) -> tuple[float, float, float]:

@@ -248,6 +248,16 @@ def test_line_dedup_finds_every_repeated_run(spark):
     assert line_dedup.drop_repeated_runs(docs(spark, data).where(F.lit(False))).count() == 0
 
 
+def test_line_dedup_of_very_long_texts(spark):
+    """Tens of thousands of lines, all of them repeated but one in the middle, and one line of megabytes."""
+    lines = [f"line {k} {k * 7919 % 1000}" for k in range(40_000)]
+    changed = [*lines[:20_000], "another", *lines[20_001:]]
+    data = [(1, "\n".join(lines)), (2, "\n".join(changed)), (3, LONG * 10), (4, LONG * 10 + "\n" + LONG * 10)]
+    got = {r["doc_id"]: r for r in rows(line_dedup.drop_repeated_runs(docs(spark, data)))}
+    assert got[2]["clean_text"] == "another" and got[2]["n_removed_chunks"] == 2
+    assert all(got[i]["n_removed_lines"] == 0 for i in (1, 3, 4))
+
+
 def test_the_query_removes_every_repeated_run(spark):
     from pathlib import Path
 

@@ -252,7 +252,8 @@ def brute_score(model, text):
             times[s] += held
     total += sum(model.repeated[s][1] * n / model.repeated[s][0] for s, n in times.items() if n >= model.repeated[s][0])
     z = model.bias + model.slope * math.log1p(total) + model.per_length * math.log1p(len(toxicity.SPELLED.findall(low)))
-    return 0.7 / (0.7 + 0.3 * math.exp(-z))
+    chance = 0.7 / (0.7 + 0.3 * math.exp(-z))
+    return chance if total >= min(model.weights.values()) else min(chance, 0.69)
 
 
 def test_score_against_brute_force():
@@ -309,3 +310,20 @@ def test_licenses_against_brute_force(spark):
     assert licenses.scan(df.where("false")).count() == 0
     with pytest.raises(ValueError, match="fewer"):
         licenses.scan(df, {"x": "too short"})
+
+
+def test_licenses_in_rows_without_an_id_and_at_any_place(spark):
+    """Rows without an id are found as one; a whole template is found wherever it stands, a folder's templates too."""
+    whole = licenses.TEMPLATES["ISC-text"]
+    data = [(None, whole), (None, "x " + licenses.TEMPLATES["MIT-text"]), (5, None), (6, ""), *((100 + k, "word " * k + whole + " more" * (300 - k)) for k in range(0, 300, 13))]
+    got = {(r["doc_id"], r["license"]): r["containment"] for r in rows(licenses.scan(docs(spark, data)))}
+    assert got[None, "ISC-text"] == got[None, "MIT-text"] == 1
+    assert all(got[100 + k, "ISC-text"] == 1 for k in range(0, 300, 13)) and not any(i in (5, 6) for i, _ in got)
+
+
+def test_templates_from_a_folder(spark, tmp_path):
+    (tmp_path / "one.txt").write_text("alpha beta gamma delta epsilon zeta")
+    templates = licenses.read_templates(spark, str(tmp_path))
+    assert templates == {"one": "alpha beta gamma delta epsilon zeta"}
+    found = rows(licenses.scan(docs(spark, [(1, "so Alpha, beta gamma\ndelta epsilon zeta."), (2, "alpha beta")]), templates))
+    assert [(r["doc_id"], r["license"]) for r in found] == [(1, "one")]

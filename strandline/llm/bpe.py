@@ -30,6 +30,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import in_small_batches
+
 #: Bits of a bitmap word: 2 ** SHIFT.
 SHIFT = 8
 BITS, MASK = 1 << SHIFT, (1 << SHIFT) - 1
@@ -168,10 +170,12 @@ def encoder(path: str, pattern: str) -> Iterator[ByteBPE]:
         yield _encoders[path, pattern]
     finally:
         gc.enable()
+        pa.default_memory_pool().release_unused()
 
 
 def ship_vocabulary(spark: SparkSession, path: str) -> None:
     """Send a vocabulary file to the executors; once per application and file."""
+    in_small_batches(spark)
     context = spark.sparkContext
     if (context.applicationId, path) not in _shipped:
         context.addFile(path)

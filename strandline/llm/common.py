@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..plans.storage import checkpoint_dir, cleaned, settle
 
-__all__ = ["Filter", "checkpoint_dir", "cleaned", "count_characters", "dealt_anew", "drop_marked", "n_words", "settle", "table", "whole_text", "words"]
+__all__ = ["Filter", "checkpoint_dir", "cleaned", "count_characters", "dealt_anew", "drop_marked", "in_small_batches", "n_words", "settle", "table", "whole_text", "words"]
 
 #: A word is a maximal run of anything but the six ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -42,6 +42,18 @@ def count_characters(text: Column, characters: str) -> Column:
     return (F.octet_length(text) - F.octet_length(rest)).cast("long")
 
 
+#: Bytes of rows that are handed to Python at once; whole texts make large rows.
+BATCH_BYTES = 4 << 20
+
+
+def in_small_batches(spark: SparkSession) -> None:
+    """Have Spark hand rows to Python in batches of BATCH_BYTES, if the session says no less; Spark's own bound is 64 MB."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    set_to = int("".join(c for c in spark.conf.get(key, str(64 << 20)) if c.isdigit()) or 0)
+    if not 0 < set_to <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import dealt_anew, drop_marked, settle, whole_text
+from .common import dealt_anew, drop_marked, in_small_batches, settle, whole_text
 from .components import components
 
 BITS = 4
@@ -97,6 +97,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             out = pa.array([print_of(t.as_py(), shingle, width) for t in batch.column(1)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), out, *batch.columns[2:]], ["id", "fp", *batch.schema.names[2:]])
 
+    in_small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *([F.sha2(whole_text(text_col), 256).alias("sha")] if digest else []))
     return rows.mapInArrow(run, f"id {kind}, fp binary" + ", sha string" * digest)

@@ -181,10 +181,14 @@ def apply_edits(
     text = whole_text(text_col)
     mine = F.array_sort(F.collect_list(F.struct("seq", "at", "removed", "inserted"))).alias("edits")
     per = edits.groupBy(F.col(id_col).alias("_edited")).agg(mine)
-    known = trees.select(F.col(id_col).alias("_id"), F.col("mark").alias("_mark"), *TREE).dropDuplicates(["_id", "_mark"])
-    side = known.join(per, F.col("_id") == F.col("_edited"), "left").drop("_edited")
+    known = trees.select(F.col(id_col).alias("_id"), F.col("mark").alias("_mark"), *TREE)
+    # all sides are dealt by id alone, so that trees and edits are exchanged once, like texts; marks are compared within
+    side = known.where("_id is not null").repartition("_id").dropDuplicates(["_id", "_mark"]).join(per, F.col("_id") == F.col("_edited"), "left").drop("_edited")
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("mark"))
-    joined = rows.join(side, F.col("id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), "left").select("id", "text", *TREE, "edits")
+    named = rows.where("id is not null").join(side, (F.col("id") == F.col("_id")) & (F.col("mark").bitwiseXOR(F.col("_mark")) == 0), "left")
+    nameless = rows.where("id is null").join(known.where("_id is null").dropDuplicates(["_mark"]), F.col("mark") == F.col("_mark"), "left")
+    columns = ["id", "text", *TREE]
+    joined = named.select(*columns, "edits").unionByName(nameless.select(*columns), allowMissingColumns=True)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = regex.compile(pattern)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import in_small_batches, settle
 
 #: Most labelled rows of each class that the model is fitted on, in the order of a hash of the id.
 SAMPLE_PER_CLASS = 2_500
@@ -352,6 +352,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, i
     look toxic. Only ids, sketches, term counts and sums come to the driver. Without
     labels of both classes the model scores everything near 0.
     """
+    in_small_batches(docs.sparkSession)
     sample, counts = _sample(docs, labels, per_class, id_col, text_col)
 
     def sketches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

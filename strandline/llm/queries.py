@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, licenses, line_dedup, mixing, quality, simhash, token_counts, toxicity, warc
+from . import bpe, exact_dedup, lexical, licenses, line_dedup, mixing, personal, quality, simhash, token_counts, toxicity, warc, whitening
 from .common import checkpoint_dir, table, whole_text
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -81,8 +81,25 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(fold == toxicity.HELD_OUT, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of each benchmark item. Null texts have no terms: such documents aren't found, such items find nothing. Repeated rows are documents, or items, of their own."""
+    return lexical.search(lexical.build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's personal data: base matches by kind and, with those that the method adds, all spans. Null and empty texts have none; repeated rows are all returned."""
+    docs = table(spark, sf_dir, "documents")
+    return personal.spans_table(docs, personal.fit(docs))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding's first eight whitened components. Vectors that are null or hold null or non-finite entries are left out; a null id stays null; repeated rows are all returned."""
+    return whitening.components_table(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_exact_dedup, op2_quality_rules, op3_mixing, op4_bpe, op5_simhash,
         op6_licenses, op7_warc, op8_token_counts, op9_line_dedup, op10_toxicity,
+        op11_lexical_search, op12_pii, op13_whitening,
     )}

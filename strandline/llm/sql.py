@@ -89,5 +89,21 @@ FROM l JOIN c USING (doc_id) LEFT JOIN o USING (doc_id)
 """
 
 
+#: Runs of ASCII letters and digits and of anything beyond ASCII.
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+OP11 = f"""
+WITH t AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{TERM}') AS ws FROM documents),
+z AS (SELECT count(*) AS n, sum(len(ws))::BIGINT AS l FROM t WHERE len(ws) > 0),
+q AS (SELECT item_id, list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{TERM}')) AS ws FROM benchmark),
+a AS (SELECT item_id, unnest(ws) AS w FROM q),
+p AS (SELECT row, doc_id, w, count(*) AS tf, any_value(m) AS m FROM (SELECT row, doc_id, unnest(ws) AS w, 10 + 90 * len(ws) * z.n // z.l AS m FROM t, z WHERE len(ws) > 0) WHERE w IN (SELECT w FROM a) GROUP BY row, doc_id, w),
+f AS (SELECT w, floor(1000 * ln((2 * any_value(z.n) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM p, z GROUP BY w),
+s AS (SELECT item_id, row, doc_id, sum(weight * (1000000000 * tf // (1000 * tf + 8 * m)))::BIGINT AS score FROM a JOIN p USING (w) JOIN f USING (w) GROUP BY item_id, row, doc_id)
+SELECT item_id, row_number() OVER o::INTEGER AS rank, doc_id, score FROM s WHERE score > 0
+WINDOW o AS (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) QUALIFY rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1, "op3_mixing": OP3, "op6_licenses": OP6, "op7_warc": OP7, "op9_line_dedup": OP9}
+    return {"op1_exact_dedup": OP1, "op3_mixing": OP3, "op6_licenses": OP6, "op7_warc": OP7, "op9_line_dedup": OP9, "op11_lexical_search": OP11}

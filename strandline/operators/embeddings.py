@@ -7,8 +7,10 @@ covariance, two axes) or by the number of clusters.
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,25 +48,107 @@ def project(vectors: DataFrame, column: str = "embedding", names: Sequence[str]
     return vectors.withColumns({n: _dot(away, _constant(a)) for n, a in zip(names, axes)})
 
 
-def clusters(vectors: DataFrame, id_col: str, column: str = "embedding", k: int = 10, rounds: int = 10) -> DataFrame:
-    """``vectors`` with ``cluster`` after ``rounds`` of Lloyd's iteration, from the ``k`` rows with the smallest ids.
+def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which centre each row is nearest to, the first of equals, and the squared distance."""
+    far = np.stack([((x - c) ** 2).sum(axis=1) for c in centres], axis=1)
+    at = far.argmin(axis=1)
+    return at, far[np.arange(len(x)), at]
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _sums(vectors: DataFrame, column: str, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Members and sums of every centre, and the cost: each row is looked at once, and a task hands on one row per centre."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total, cost = np.zeros(len(centres), np.int64), np.zeros(centres.shape), np.zeros(len(centres))
+        for b in batches:
+            x = _matrix(b.column(0))
+            at, far = _nearest(x, centres)
+            n += np.bincount(at, minlength=len(centres))
+            cost += np.bincount(at, far, len(centres))
+            np.add.at(total, at, x)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some]), pa.array(cost[some]), pa.array(total[some].tolist(), pa.list_(pa.float64()))], ["centre", "n", "cost", "total"])
+
+    each = vectors.where(F.col(column).isNotNull()).select(F.col(column).alias("v")).mapInArrow(run, "centre long, n long, cost double, total array<double>")
+    parts = each.select("centre", "n", "cost", F.posexplode("total").alias("at", "x"))
+    n, sums, far = np.zeros(len(centres), np.int64), np.zeros(centres.shape), np.zeros(len(centres))
+    for r in parts.groupBy("centre", "at").agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"), F.sum("x").alias("x")).collect():
+        n[r["centre"]], far[r["centre"]], sums[r["centre"], r["at"]] = r["n"], r["cost"], r["x"]
+    return n, sums, float(far.sum())
+
+
+def first_rows(vectors: DataFrame, id_col: str, column: str, k: int) -> np.ndarray:
+    """The vectors of the ``k`` smallest ids."""
+    return np.array([r[0] for r in vectors.where(F.col(column).isNotNull()).orderBy(id_col).select(column).limit(k).collect()], np.float64)
+
+
+def spread_rows(vectors: DataFrame, id_col: str, column: str, k: int, passes: int = 4, per_pass: int = 2, seed: int = 0) -> np.ndarray:
+    """``k`` centres spread by oversampling (k-means||).
+
+    Each pass draws about ``per_pass * k`` rows, each with a chance in proportion to its squared
+    distance from what was drawn before; draws come of a hash of id and pass, so a rerun
+    draws the same. What was drawn, weighted by how many rows are nearest to it, is then
+    reduced to ``k`` by drawing in proportion to weight and distance and a few rounds of
+    Lloyd's iteration. Only what was drawn comes to the driver, some ``passes * per_pass * k`` rows.
+    """
+    drawn = first_rows(vectors, id_col, column, 1)
+    for p in range(passes):
+        _, _, cost = _sums(vectors, column, drawn)
+        if not cost:
+            break
+        chance = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed), F.lit(p)), F.lit(1 << 52)) / float(1 << 52)
+        held, share = drawn, per_pass * k / cost
+
+        def some(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                take = np.flatnonzero(b.column(1).to_numpy() < _nearest(_matrix(b.column(0)), held)[1] * share) if b.num_rows else []
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(take, pa.int64()))], ["v"])
+
+        rows = vectors.where(F.col(column).isNotNull()).select(F.col(column).cast("array<double>").alias("v"), chance.alias("chance"))
+        drawn = np.unique(np.vstack([drawn, *[np.array(r["v"])[None] for r in rows.mapInArrow(some, "v array<double>").collect()]]), axis=0)
+    weight = _sums(vectors, column, drawn)[0].astype(float)
+    draw = np.random.default_rng(seed)
+    chosen = [int(weight.argmax())]
+    while len(chosen) < min(k, len(drawn)):
+        far = _nearest(drawn, drawn[chosen])[1] * weight
+        left = far if far.sum() else np.where(np.isin(np.arange(len(drawn)), chosen), 0.0, 1.0)
+        chosen.append(int(draw.choice(len(drawn), p=left / left.sum())))
+    centres = drawn[chosen]
+    for _ in range(10):
+        at, _ = _nearest(drawn, centres)
+        for c in range(len(centres)):
+            if weight[at == c].sum():
+                centres[c] = np.average(drawn[at == c], axis=0, weights=weight[at == c])
+    return centres
+
+
+def clusters(vectors: DataFrame, id_col: str, column: str = "embedding", k: int = 10, rounds: int = 10, seeds: Callable[[DataFrame, str, str, int], np.ndarray] = first_rows) -> DataFrame:
+    """``vectors`` with ``cluster`` after ``rounds`` of Lloyd's iteration, from ``seeds`` (``first_rows`` or ``spread_rows``).
 
     Of centres at the same distance the first counts; a centre without members stays
-    where it is. A round is one pass that sums per task before its small exchange.
+    where it is; null vectors have a null cluster. A round looks at each row once and exchanges a row per task and centre.
     """
-    rows = vectors.withColumn("_v", F.col(column).cast("array<double>"))
-    centres = [r["_v"] for r in rows.orderBy(id_col).select("_v").limit(k).collect()]
+    centres = seeds(vectors, id_col, column, k)
+    if not len(centres):
+        return vectors.withColumn("cluster", F.lit(None).cast("int"))
+    for _ in range(rounds):
+        n, total, _ = _sums(vectors, column, centres)
+        centres = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], centres)
 
-    def nearest() -> Column:
-        gap = lambda c: F.zip_with(F.col("_v"), c, lambda a, b: (a - b) * (a - b))
-        # one constant, folded before the rows are read
-        table = F.from_json(F.lit(json.dumps(centres)), "array<array<double>>")
-        far = F.transform(table, lambda c: F.aggregate(gap(c), F.lit(0.0), lambda s, x: s + x))
-        return (F.array_position(far, F.array_min(far)) - 1).cast("int")
+    @F.arrow_udf("int")
+    def nearest(v: pa.Array) -> pa.Array:
+        out = np.zeros(len(v), np.int32)
+        there = ~v.is_null().to_numpy(zero_copy_only=False)
+        out[there] = _nearest(_matrix(v.drop_null()), centres)[0]
+        return pa.array(out, pa.int32(), mask=~there)
 
-    for _ in range(rounds):
-        parts = rows.select(nearest().alias("n"), F.posexplode("_v").alias("at", "x"))
-        means = parts.groupBy("n", "at").agg(F.avg("x").alias("x")).groupBy("n").agg(F.array_sort(F.collect_list(F.struct("at", "x"))).alias("c"))
-        for r in means.collect():
-            centres[r["n"]] = [x["x"] for x in r["c"]]
-    return rows.withColumn("cluster", nearest()).drop("_v")
+    return vectors.withColumn("cluster", nearest(F.col(column)))
+
+
+def cost(vectors: DataFrame, centres: np.ndarray, column: str = "embedding") -> float:
+    """Sum of squared distances from the nearest of ``centres``."""
+    return _sums(vectors, column, centres)[2]

@@ -16,7 +16,7 @@ from ..operators import inventory as inv
 from ..operators import kernels
 from ..operators import timeseries as ts
 from ..schema import CORNERS
-from ..sources import tables, videos
+from ..sources import encoders, tables, videos
 
 MANIFEST_PATH = Path("manifests") / "ingest.parquet"
 CROP_HEIGHT = 100
@@ -58,29 +58,54 @@ def build_manifest(spark: SparkSession, folder: str | Path) -> tuple[DataFrame,
     return manifest, inv.unexpected_names(named).union(without).union(inv.out_of_range(full))
 
 
+def _points(pose: DataFrame, on_empty: str) -> DataFrame:
+    """Filled poses, and per recording how many rows there are and whether they are of frames 0, 1, 2, ... each once."""
+    whole, line = W.partitionBy("video"), W.partitionBy("video").orderBy("frame_idx")
+    at = F.col("frame_idx")
+    filled = ts.fill_pose(pose, ["video"], "frame_idx", on_empty=on_empty, flag="_pose_filled")
+    placed = filled.withColumn("_astray", at != F.row_number().over(line) - 1)
+    return placed.select("video", "frame_idx", *frame_ops.POINTS, "_pose_filled", F.count("*").over(whole).alias("_n_pose"), F.bool_or("_astray").over(whole).alias("_astray"))
+
+
+def _filled(found: DataFrame, points: DataFrame | None, settings: Settings, on_empty: str) -> DataFrame:
+    """Rectangles found frame by frame as a smooth trajectory; ``points`` (from ``_points``) must fit the frames."""
+    if points is not None:
+        # one row per recording tells of all its poses, and one per frame whether its own was filled
+        told = points.groupBy("video").agg(F.first("_n_pose").alias("_n_pose"), F.first("_astray").alias("_astray"))
+        flags = points.where(~F.col("_astray")).select("video", "frame_idx", "_pose_filled")
+        found = ts.at_positions(found, flags, ["video"], "frame_idx", "left").join(told, "video", "left")
+    filled = ts.fill_gaps(found, ["video"], "frame_idx", list(CORNERS), on_empty=on_empty)
+    if points is not None:
+        # counted in the windows that are there anyway
+        n_frames = F.count("*").over(W.partitionBy("video"))
+        few = F.raise_error(F.format_string("%s has %d frames and %d pose rows", "video", n_frames, "_n_pose")).cast("boolean")
+        astray = F.raise_error(F.format_string("%s has pose rows that repeat or skip frames", "video")).cast("boolean")
+        flag = ts.either(F.col("is_interpolated"), F.col("_pose_filled"))
+        checked = F.when(n_frames != F.col("_n_pose"), few).when(F.col("_astray"), astray).otherwise(flag)
+        filled = filled.withColumn("is_interpolated", checked).drop("_pose_filled", "_n_pose", "_astray")
+    return _smoothed(filled, settings)
+
+
 def geometry(frames: DataFrame, pose: DataFrame | None = None, settings: Settings = Settings(), on_empty: str = "raise") -> DataFrame:
     """``video, frame_idx``, smoothed corners and ``is_interpolated`` of every frame.
 
     Rectangles are found frame by frame without a shuffle and pixels are dropped at once;
     filling and smoothing are one exchange by video. Videos without pose rows fall back to
-    the body's own axis. A pose file of another length than its video fails the job.
+    the body's own axis. Pose rows must be of the video's frames, each once: another number
+    of rows, or rows that repeat or skip frames, fail the job.
     """
-    whole = W.partitionBy("video")
-    if pose is not None:
-        filled = ts.fill_pose(pose, ["video"], "frame_idx", on_empty=on_empty, flag="_pose_filled")
-        points = filled.select("video", "frame_idx", "tail_x", "tail_y", "neck_x", "neck_y", "_pose_filled", F.count("*").over(whole).alias("_n_pose"))
-        frames = ts.at_positions(frames, points.drop("_pose_filled", "_n_pose"), ["video"], "frame_idx", "left")
+    points = None if pose is None else _points(pose, on_empty)
+    if points is not None:
+        frames = ts.at_positions(frames, points.where(~F.col("_astray")).select("video", "frame_idx", *frame_ops.POINTS), ["video"], "frame_idx", "left")
     found = frame_ops.inscribe_frames(frames, settings.threshold, settings.aspect).select("video", "frame_idx", *CORNERS)
-    if pose is not None:
-        found = ts.at_positions(found, points.select("video", "frame_idx", "_pose_filled", "_n_pose"), ["video"], "frame_idx", "left")
-    filled = ts.fill_gaps(found, ["video"], "frame_idx", list(CORNERS), on_empty=on_empty)
-    if pose is not None:
-        # counted in the windows that are there anyway
-        n_frames, n_pose = F.count("*").over(whole), F.max("_n_pose").over(whole)
-        say = F.raise_error(F.format_string("%s has %d frames and %d pose rows", "video", n_frames, n_pose)).cast("boolean")
-        flags = ts.either(F.col("is_interpolated"), F.col("_pose_filled"))
-        filled = filled.withColumn("is_interpolated", F.when(n_frames != n_pose, say).otherwise(flags)).drop("_pose_filled", "_n_pose")
-    return _smoothed(filled, settings)
+    return _filled(found, points, settings, on_empty)
+
+
+def geometry_of(ranges: DataFrame, pose: DataFrame | None = None, settings: Settings = Settings(), on_empty: str = "raise") -> DataFrame:
+    """``geometry`` of recordings by ranges of frames: poses go to where frames are decoded, so no pixels are exchanged."""
+    points = None if pose is None else _points(pose, on_empty)
+    found = frame_ops.inscribe_ranges(ranges, points, settings.threshold, settings.aspect).select("video", "frame_idx", *CORNERS)
+    return _filled(found, points, settings, on_empty)
 
 
 def _smoothed(filled: DataFrame, settings: Settings) -> DataFrame:
@@ -101,6 +126,16 @@ def overlay(frames: DataFrame, found: DataFrame) -> DataFrame:
     return frame_ops.draw_frames(frames, found)
 
 
+def write_crops(ranges: DataFrame, found: DataFrame, settings: Settings, folder: str | Path, encoder: encoders.Encoder) -> DataFrame:
+    """One aligned video per recording: decoded, cropped and encoded in one task each."""
+    return encoders.write_made(ranges, found, CORNERS, frame_ops.cropping(settings.crop_size), folder, encoder=encoder)
+
+
+def write_overlays(ranges: DataFrame, found: DataFrame, folder: str | Path, encoder: encoders.Encoder) -> DataFrame:
+    """One video per recording with its rectangles drawn."""
+    return encoders.write_made(ranges, found, [*CORNERS, "is_interpolated"], frame_ops.drawing(), folder, "_overlay", encoder=encoder)
+
+
 def read_pose_for(spark: SparkSession, names: list[str], folder: str | Path | None) -> tuple[DataFrame | None, list[str]]:
     """Pose rows of the named videos that have a file in ``folder`` (of any file system that Spark knows), and the names that have none."""
     try:

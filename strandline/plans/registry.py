@@ -17,9 +17,10 @@ from ..operators import kernels
 from ..operators import pixels as px
 from ..operators import timeseries as ts
 from ..schema import CORNERS
-from ..sources import encoders, tables
+from ..sources import encoders, mp4, tables, videos
 from ..sources.files import make_folder, written
 from ..sources.frames import read_frames
+from ..sources.ranges import frame_ranges
 from . import pipelines
 from .storage import checkpoint_dir
 
@@ -370,14 +371,18 @@ q AS (SELECT n_nationkey::BIGINT AS f, y, x,
 
 
 def _pixels(spark, sf_dir) -> DataFrame:
-    """``f, y, x, g``: an ellipse with a dark patch, and sometimes a speck in a corner."""
-    n = F.col("n_nationkey")
+    return _scene(_table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("n"), F.col("n_nationkey").cast("long").alias("f")))
+
+
+def _scene(ids: DataFrame) -> DataFrame:
+    """``f, y, x, g`` for each ``f``, and ``n`` of 0 to 24: an ellipse with a dark patch, and sometimes a speck in a corner."""
+    n = F.col("n")
     x, y = F.col("x"), F.col("y")
-    grid = _table(spark, sf_dir, "nation").select("n_nationkey", _counting(HEIGHT - 1).alias("y")).withColumn("x", _counting(WIDTH - 1))
+    grid = ids.select("f", "n", _counting(HEIGHT - 1).alias("y")).withColumn("x", _counting(WIDTH - 1))
     patch = x.between(14, 15) & y.between(11, 12)
     body = 4 * (x - 16) * (x - 16) + 9 * (y - 12) * (y - 12) <= 500 + 20 * n
     g = F.when(body & ~patch, 100 + n).when((x >= 29) & (y <= n % 5), 60).otherwise(0)
-    return grid.select(n.cast("long").alias("f"), "y", "x", g.cast("int").alias("g"))
+    return grid.select("f", "y", "x", g.cast("int").alias("g"))
 
 
 MASK_SQL = f"{PIXELS_SQL}, k AS (SELECT f, y, x, CASE WHEN g <= 0 THEN 0 ELSE 255 END AS m FROM q)"
@@ -668,7 +673,7 @@ def io_geometry(spark, sf_dir):
 
 RECORDINGS_SQL = """
 r AS (SELECT p_partkey, CASE WHEN p_partkey % 10 = 7 THEN 'session-x_cuttle-' ELSE 'session-0' || (p_partkey % 6) || '_cuttle-' END || p_partkey AS stem,
-             p_size AS n, p_partkey % 3 AS kind FROM part WHERE p_partkey <= 100),
+             p_size AS n, p_partkey % 3 AS kind FROM part),
 b AS (SELECT stem, n, unnest(range(n % 5)) * (1 + n % 4) AS place FROM r WHERE kind = 0)
 """
 
@@ -677,36 +682,66 @@ def _box(kind: bytes, body: bytes) -> bytes:
     return struct.pack(">I4s", 8 + len(body), kind) + body
 
 
-def _mp4(n: int) -> bytes:
-    """A recording's metadata, of ``n`` frames at 12.5 a second, without media."""
+def _mp4(n: int, key: int) -> bytes:
+    """A recording of ``n`` frames at 12.5 a second.
+
+    Four samples of 5 to 15 bytes to a chunk and three bytes between chunks, tables behind the
+    media; every sixth frame is a keyframe and every other one is shown two frames late.
+    """
+    ftyp, media, places = _box(b"ftyp", b"isom"), b"", []
+    sizes = [5 + (key + 3 * k) % 11 for k in range(n)]
+    for a in range(0, n, 4):
+        places.append(len(ftyp) + 8 + len(media))
+        media += b"".join(bytes([k % 256]) * sizes[k] for k in range(a, min(a + 4, n))) + bytes(3)
+    table = lambda kind, *rows: _box(kind, bytes(4) + struct.pack(">I", len(rows)) + b"".join(struct.pack(f">{len(r)}I", *r) for r in rows))
     tkhd = _box(b"tkhd", bytes(76) + struct.pack(">II", (64 + n) << 16, 48 << 16))
     mdhd = _box(b"mdhd", bytes(12) + struct.pack(">II", 1250, n * 100) + bytes(4))
     hdlr = _box(b"hdlr", bytes(8) + b"vide" + bytes(13))
-    stbl = _box(b"stbl", _box(b"stts", struct.pack(">IIII", 0, 1, n, 100)) + _box(b"stsz", struct.pack(">III", 0, 1, n)))
-    return _box(b"ftyp", b"isom") + _box(b"moov", _box(b"trak", tkhd + _box(b"mdia", mdhd + hdlr + _box(b"minf", stbl))))
+    stsz = _box(b"stsz", struct.pack(">III", 0, 0, n) + struct.pack(f">{n}I", *sizes))
+    stsc = table(b"stsc", (1, 4, 1), *([(len(places), n % 4, 1)] if n % 4 and len(places) > 1 else []))
+    stbl = _box(b"stbl", table(b"stts", (n, 100)) + table(b"ctts", *((1, 200 * (k % 2)) for k in range(n))) + stsz + stsc + table(b"stco", *((p,) for p in places)) + table(b"stss", *((k + 1,) for k in range(0, n, 6))))
+    return ftyp + _box(b"mdat", media) + _box(b"moov", _box(b"trak", tkhd + _box(b"mdia", mdhd + hdlr + _box(b"minf", stbl))))
+
+
+#: Folders of recordings that were written already, by application and tables.
+_written: dict[tuple[str, str], str] = {}
 
 
 def _recordings(spark, sf_dir) -> str:
-    """A folder of a hundred recordings with lists of blank frames beside a third of them, some of them empty."""
+    """A folder with a recording per part, and lists of blank frames, some empty, beside a third of them; written once."""
+    which = (spark.sparkContext.applicationId, sf_dir)
+    if which in _written:
+        return _written[which]
     target = make_folder(_folder(spark))
 
     def run(batches):
         for b in batches:
-            for stem, n, kind in zip(b.stem, b.n, b.kind):
+            for stem, n, kind, key in zip(b.stem, b.n, b.kind, b.key):
                 with written(f"{target}/{stem}.mp4") as f:
-                    f.write(_mp4(int(n)))
+                    f.write(_mp4(int(n), int(key)))
                 if kind == 0:
                     with written(f"{target}/{stem}.txt") as f:
                         f.write("".join(f"{k * (1 + n % 4)}\n\n" for k in range(n % 5)).encode())
             yield b[["stem"]]
 
-    p = _table(spark, sf_dir, "part").where("p_partkey <= 100")
+    p = _table(spark, sf_dir, "part")
     key = F.col("p_partkey").cast("string")
     stem = F.concat(F.when(F.col("p_partkey") % 10 == 7, F.lit("session-x_cuttle-")).otherwise(F.concat(F.lit("session-0"), (F.col("p_partkey") % 6).cast("string"), F.lit("_cuttle-"))), key)
-    p.select(stem.alias("stem"), F.col("p_size").cast("long").alias("n"), (F.col("p_partkey") % 3).cast("long").alias("kind")).mapInPandas(run, "stem string").collect()  # a hundred names
+    rows = p.select(stem.alias("stem"), F.col("p_size").cast("long").alias("n"), (F.col("p_partkey") % 3).cast("long").alias("kind"), F.col("p_partkey").cast("long").alias("key"))
+    rows.repartition(spark.sparkContext.defaultParallelism).mapInPandas(run, "stem string").write.format("noop").mode("overwrite").save()
+    _written[which] = target
     return target
 
 
+@query(f"""WITH {RECORDINGS_SQL}, k AS (SELECT stem, p_partkey, unnest(range(n)) AS k FROM r WHERE p_partkey % 10 <> 7)
+SELECT stem || '.mp4' AS video, k AS frame_idx, (20 + 3 * (k // 4) + coalesce(sum(5 + (p_partkey + 3 * k) % 11) OVER (PARTITION BY stem ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS "offset",
+       (5 + (p_partkey + 3 * k) % 11)::BIGINT AS size, 100 * k AS ticks, 100 * k + 200 * (k % 2) AS shown, k % 6 = 0 AS keyframe FROM k""")
+def io_sample_index(spark, sf_dir):
+    """Where every frame of every recording is in its file, when it is decoded and shown, and whether decoding can begin there."""
+    files = inv.parse_names(videos.find_videos(spark, _recordings(spark, sf_dir))).where("session_id is not null")
+    return mp4.sample_index(files).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("video"), "frame_idx", "offset", "size", "ticks", "shown", "keyframe")
+
+
 @query(f"""WITH {RECORDINGS_SQL}, c AS (SELECT stem, count(*) AS c FROM b GROUP BY stem)
 SELECT (p_partkey % 6)::BIGINT AS session_id, p_partkey::BIGINT AS fish_id, stem || '.mp4' AS video, CASE WHEN kind = 0 THEN stem || '.txt' END AS blanks, n::BIGINT AS n_frames,
        CASE WHEN kind = 0 THEN coalesce(c, 0) END AS n_blank_frames, 12.5::DOUBLE AS fps, (64 + n)::INTEGER AS width, 48 AS height FROM r LEFT JOIN c USING (stem) WHERE p_partkey % 10 <> 7""")
@@ -714,9 +749,10 @@ def io_manifest(spark, sf_dir):
     """The manifest of a folder of recordings, written and read back."""
     folder = _recordings(spark, sf_dir)
     manifest, _ = pipelines.build_manifest(spark, folder)
-    tables.write_manifest(manifest, f"{folder}-manifest")
+    target = f"{_folder(spark)}-manifest"
+    tables.write_manifest(manifest, target)
     name = lambda c: F.regexp_extract(c, r"([^/]+)$", 1)
-    return spark.read.parquet(f"{folder}-manifest").select(
+    return spark.read.parquet(target).select(
         "session_id", "fish_id", name("video_path").alias("video"), name("blank_frames_path").alias("blanks"), "n_frames", "n_blank_frames", "fps", "width", "height"
     )
 
@@ -735,20 +771,26 @@ def io_warnings(spark, sf_dir):
 def io_frames(spark, sf_dir):
     """Videos of five frames, written frame by frame and read back."""
     f = F.col("video").cast("long")
-    videos = _frames(spark, sf_dir).select(F.concat(F.lit("region-"), (f % 5).cast("string")).alias("video"), F.floor(f / 5).alias(IDX), "height", "width", "channels", "pixels")
-    done = encoders.write_videos(videos, _folder(spark)).collect()  # one row per video
+    named = _frames(spark, sf_dir).select(F.concat(F.lit("region-"), (f % 5).cast("string")).alias("video"), F.floor(f / 5).alias(IDX), "height", "width", "channels", "pixels")
+    done = encoders.write_videos(named, _folder(spark)).collect()  # one row per video
     return frame_ops.unpack(read_frames(spark, [r["path"] for r in done])).select("video", IDX, "y", "x", F.col("value").alias("g"))
 
 
-def _align_sql() -> str:
-    """All frames as one video: every corner filled, then smoothed, on its own."""
+def _align_sql(posed: bool = False) -> str:
+    """All frames as one video: every corner filled, then smoothed, on its own; with ``posed`` along keypoints that are filled first."""
     corners = [("tl", -1, -1), ("tr", 1, -1), ("br", 1, 1), ("bl", -1, 1)]
     long = " UNION ALL ".join(f"SELECT 'corner_{c[0]}_{axis}' AS user_id, f AS frame_idx, corner_{c[0]}_{axis} AS raw, corner_{c[0]}_{axis} AS value FROM k" for c in corners for axis in "xy")
-    return f"""{GROWN_SQL}, z AS (SELECT * FROM g WHERE rnd = {kernels.REFINE_ROUNDS}),
+    grown, flag = GROWN_SQL, "bool_or(is_interpolated)"
+    if posed:
+        # even rows lie between odd ones on a line, so filling them gives the line; the ends are flat
+        at = "least(greatest(n_nationkey, 1), 23)"
+        grown = grown.replace("n_nationkey % 2 = 1 AS posed", "true AS posed").replace("13 + n_nationkey / 20.0", f"13 + {at} / 20.0").replace("23 + n_nationkey / 10.0", f"23 + {at} / 10.0")
+        flag = "bool_or(is_interpolated) OR frame_idx % 2 = 0"
+    return f"""{grown}, z AS (SELECT * FROM g WHERE rnd = {kernels.REFINE_ROUNDS}),
 k AS MATERIALIZED (SELECT o.f, {", ".join(_corner_sql(*c).replace(", 6)", ", 12)") for c in corners)} FROM o LEFT JOIN z USING (f) LEFT JOIN r USING (f)),
 ser AS MATERIALIZED ({long}), {_fill_sql("ser").replace("f AS (SELECT user_id", "fl AS MATERIALIZED (SELECT user_id").replace("n AS (SELECT *", "nn AS (SELECT *").replace("FROM n)", "FROM nn)")},
 {_gauss_sql("fl", "filled", 2.0).replace("w(k, x) AS", "taps(k, x) AS").replace("w.", "taps.").replace("CROSS JOIN w", "CROSS JOIN taps").replace("e AS (SELECT", "top AS (SELECT").replace("JOIN e USING", "JOIN top USING").replace("e.top", "top.top").replace("g AS (SELECT", "gs AS (SELECT")}
-SELECT frame_idx, {", ".join(f"round(max(smooth) FILTER (WHERE user_id = '{c}'), 4) + 0.0::DOUBLE AS {c}" for c in CORNERS)}, bool_or(is_interpolated) AS is_interpolated FROM gs JOIN fl USING (user_id, frame_idx) GROUP BY frame_idx"""
+SELECT frame_idx, {", ".join(f"round(max(smooth) FILTER (WHERE user_id = '{c}'), 4) + 0.0::DOUBLE AS {c}" for c in CORNERS)}, {flag} AS is_interpolated FROM gs JOIN fl USING (user_id, frame_idx) GROUP BY frame_idx"""
 
 
 @query(_align_sql())
@@ -759,6 +801,59 @@ def geo_align(spark, sf_dir):
     return pipelines.trajectory(found, pipelines.Settings()).select(IDX, *[_r(c, 4).alias(c) for c in CORNERS], "is_interpolated")
 
 
+@query(_align_sql(posed=True))
+def geo_align_pose(spark, sf_dir):
+    """The same from a file, along poses of which every other one isn't likely enough and is filled; frames are decoded in ranges of seven."""
+    frames = _tilted(spark, sf_dir).withColumn(IDX, F.col("video").cast("long")).withColumn("video", F.lit("a"))
+    paths = [r["path"] for r in encoders.write_videos(frames, _folder(spark)).collect()]  # one
+    n = F.col("n_nationkey")
+    likely = F.when(n % 2 == 1, 1.0).otherwise(0.5)
+    pose = _table(spark, sf_dir, "nation").select(
+        F.lit("a").alias("video"), n.cast("long").alias(IDX), F.lit(6.5).alias("tail_x"), (13 + n / 20.0).alias("tail_y"), likely.alias("tail_likelihood"),
+        (23 + n / 10.0).alias("neck_x"), F.lit(10.25).alias("neck_y"), F.lit(0.95).alias("neck_likelihood"),
+    )
+    return pipelines.geometry_of(frame_ranges(spark, paths, frames=7), pose).select(IDX, *[_r(c, 4).alias(c) for c in CORNERS], "is_interpolated")
+
+
+# --- recordings in files, a frame per supplier: decoded by ranges where they are used ---------------------------------
+
+RECORDED_SQL = f"""
+q AS (SELECT 'v' || s_suppkey % 8 AS video, (s_suppkey // 8)::BIGINT AS frame_idx, s_suppkey AS f, y, x,
+             CASE WHEN 4 * (x - 16) * (x - 16) + 9 * (y - 12) * (y - 12) <= 500 + 20 * (s_suppkey % 25) AND NOT (x BETWEEN 14 AND 15 AND y BETWEEN 11 AND 12) THEN 100 + s_suppkey % 25
+                  WHEN x >= 29 AND y <= s_suppkey % 25 % 5 THEN 60 ELSE 0 END AS g
+      FROM supplier, range({HEIGHT}) a(y), range({WIDTH}) b(x))
+"""
+
+
+def _recorded(spark, sf_dir):
+    """Ranges of sixteen frames of eight recordings with a frame per supplier, and a geometry table of one rectangle per frame."""
+    s = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("f"))
+    f = F.col("f")
+    place = [F.concat(F.lit("v"), (f % 8).cast("string")).alias("video"), F.floor(f / 8).cast("long").alias(IDX)]
+    frames = _packed(_scene(s.withColumn("n", f % 25))).withColumn("f", F.col("video").cast("long"))
+    stored = encoders.write_videos(frames.select(*place, "height", "width", "channels", "pixels"), _folder(spark)).collect()  # eight
+    x0, x1, y0, y1 = 4 + f % 3, F.lit(20), F.lit(6), F.lit(14)
+    at = {"tl": (x0, y0), "tr": (x1, y0), "br": (x1, y1), "bl": (x0, y1)}
+    corners = [v.cast("double").alias(f"corner_{c}_{axis}") for c, pair in at.items() for axis, v in zip("xy", pair)]
+    return frame_ranges(spark, sorted(r["path"] for r in stored), frames=16), s.select(*place, *corners, (f % 2 == 1).alias("is_interpolated"), "f")
+
+
+@query(f"WITH {RECORDED_SQL} SELECT video, frame_idx, y - 6 AS y, x - 4 AS x, g::BIGINT AS g FROM q WHERE f % 3 = 0 AND y >= 6 AND y < 14 AND x >= 4 AND x < 20")
+def px_crop_files(spark, sf_dir):
+    """Crops of recordings in files; frames without geometry have none."""
+    ranges, boxes = _recorded(spark, sf_dir)
+    crops = frame_ops.crop_ranges(ranges, boxes.where("f % 3 = 0"), (16, 8))
+    return frame_ops.unpack(crops).select("video", IDX, "y", "x", F.col("value").alias("g"))
+
+
+@query(f"""WITH {RECORDED_SQL}, d AS (SELECT *, {" OR ".join(_near_edge(*e) for e in (("4 + f % 3", "20", "6", "6"), ("4 + f % 3", "20", "14", "14"), ("4 + f % 3", "4 + f % 3", "6", "14"), ("20", "20", "6", "14")))} AS drawn FROM q)
+SELECT video, frame_idx, y, x, CASE WHEN NOT drawn THEN g ELSE 0 END::BIGINT AS value FROM d""")
+def px_overlay_files(spark, sf_dir):
+    """Recordings in files with their rectangles drawn; gray frames take a colour's first channel, which is 0 in both colours."""
+    drawn = frame_ops.draw_ranges(*_recorded(spark, sf_dir))
+    return frame_ops.unpack(drawn).select("video", IDX, "y", "x", "value")
+
+
 # --- embeddings, from the roadmap ------------------------------------------------------------------------------------
 
 
@@ -781,14 +876,19 @@ def _kmeans_sql() -> str:
         parts.append(f"n{r} AS (SELECT vec_id, any_value(v.x) AS x, arg_min(n, [list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), n]) AS n FROM v, c{r} c GROUP BY vec_id)")
         parts.append(f"m{r} AS (SELECT n, k, avg(e) AS e FROM (SELECT n, unnest(x) AS e, unnest(range(len(x))) AS k FROM n{r}) GROUP BY n, k)")
         parts.append(f"c{r + 1} AS (SELECT c.n, coalesce(y, c.x) AS x FROM c{r} c LEFT JOIN (SELECT n, list(e ORDER BY k) AS y FROM m{r} GROUP BY n) USING (n))")
-    return f"WITH {', '.join(f'{p[:p.index(" AS (")]} AS MATERIALIZED ({p[p.index(" AS (") + 5:]}' for p in parts)} SELECT n::INTEGER AS cluster, count(*) AS n FROM n{ROUNDS} GROUP BY 1"
+    return f"WITH {', '.join(f'{p[:p.index(" AS (")]} AS MATERIALIZED ({p[p.index(" AS (") + 5:]}' for p in parts)} SELECT vec_id, n::INTEGER AS cluster FROM n{ROUNDS}"
 
 
 @query(_kmeans_sql())
 def emb_kmeans(spark, sf_dir):
-    """Sizes of ten clusters of the embeddings after a few rounds."""
-    found = emb.clusters(_table(spark, sf_dir, "embeddings"), "vec_id", k=CLUSTERS, rounds=ROUNDS)
-    return found.groupBy("cluster").agg(F.count("*").alias("n"))
+    """Which of ten clusters every embedding is in after a few rounds."""
+    return emb.clusters(_table(spark, sf_dir, "embeddings"), "vec_id", k=CLUSTERS, rounds=ROUNDS).select("vec_id", "cluster")
+
+
+@query()
+def emb_kmeans_spread(spark, sf_dir):
+    """The same from centres that were drawn apart."""
+    return emb.clusters(_table(spark, sf_dir, "embeddings"), "vec_id", k=CLUSTERS, rounds=ROUNDS, seeds=emb.spread_rows).select("vec_id", "cluster")
 
 
 def _pca_sql() -> str:

@@ -7,17 +7,23 @@ import os
 import shutil
 import subprocess
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import videos
 from .files import make_folder
+from .frames import FrameSource
+from .ranges import Make, dealt, made, with_rows
 
 CRF = 28
+#: Frames a second where nothing says how many.
+FPS = 24.0
 
 #: (path, width, height, channels, frames per second, frames as bytes) to the path that was written.
 Encoder = Callable[[str, int, int, int, float, Iterator[bytes]], str]
@@ -83,13 +89,44 @@ def best_encoder(crf: int | None = None) -> Encoder:
     return encode_opencv if importlib.util.find_spec("cv2") else encode_npy
 
 
-def write_videos(frames: DataFrame, folder: str | Path, suffix: str = "", fps: float = 24.0, encoder: Encoder = encode_npy) -> DataFrame:
+def _encode(encoder: Encoder, folder: str, name: str, fps: float, frames: Iterator[tuple[tuple[int, int, int], bytes]]) -> tuple[str, int]:
+    """Encode frames, (height, width, channels) and bytes each, as ``name`` in a folder: path and number of frames.
+
+    The draft has a name of its own and becomes the final file when it is complete; nothing
+    of it stays if the encoder fails.
+    """
+    (height, width, channels), pixels = next(frames)
+    n = 0
+
+    def counted() -> Iterator[bytes]:
+        nonlocal n
+        data = pixels
+        while data is not None:
+            n += 1
+            yield data
+            _, data = next(frames, (None, None))
+
+    draft = Path(folder) / f".{uuid.uuid4().hex}.mp4"
+    try:
+        written = Path(encoder(str(draft), width, height, channels, fps, counted()))
+        path = Path(folder) / f"{name}{written.suffix}"
+        os.replace(written, path)
+    finally:
+        for left in Path(folder).glob(f"{draft.stem}*"):
+            left.unlink()
+    return str(path), n
+
+
+WRITTEN = "video string, path string, n_frames long"
+
+
+def write_videos(frames: DataFrame, folder: str | Path, suffix: str = "", fps: float = FPS, encoder: Encoder = encode_npy) -> DataFrame:
     """Write ``{video}{suffix}`` per video and return ``video, path, n_frames``.
 
-    Frames are dealt by video and sorted; a task streams them and never holds a video. Only
-    this sink shuffles pixels, as a codec needs the frames of a video in one place. Each
-    attempt writes to a name of its own, which becomes the final one when it is complete.
-    ``folder`` is a path that executors share.
+    Frames are dealt by video and sorted; a task streams them and never holds a video.
+    This moves pixels, as a codec needs the frames of a video in one place; what is made of
+    recordings in files is better written by ``write_made``. ``folder`` is a path that
+    executors share.
     """
     target = make_folder(folder)
 
@@ -97,20 +134,43 @@ def write_videos(frames: DataFrame, folder: str | Path, suffix: str = "", fps: f
         rows = (r for b in batches for r in b.itertuples(index=False))
         held = next(rows, None)
         while held is not None:
-            first, n = held, 0
+            first = held
 
-            def own() -> Iterator[bytes]:
-                nonlocal held, n
+            def own() -> Iterator[tuple[tuple[int, int, int], bytes]]:
+                nonlocal held
                 while held is not None and held.video == first.video:
-                    n += 1
-                    yield bytes(held.pixels)
+                    yield (int(held.height), int(held.width), int(held.channels)), bytes(held.pixels)
                     held = next(rows, None)
 
-            draft = Path(target) / f".{uuid.uuid4().hex}.mp4"
-            written = Path(encoder(str(draft), int(first.width), int(first.height), int(first.channels), fps, own()))
-            path = Path(target) / f"{first.video}{suffix}{written.suffix}"
-            os.replace(written, path)
-            yield pd.DataFrame({"video": [first.video], "path": [str(path)], "n_frames": [n]})
+            path, n = _encode(encoder, target, f"{first.video}{suffix}", fps, own())
+            yield pd.DataFrame({"video": [first.video], "path": [path], "n_frames": [n]})
 
     ordered = frames.where(F.col("pixels").isNotNull()).repartition("video").sortWithinPartitions("video", "frame_idx")
-    return ordered.mapInPandas(run, "video string, path string, n_frames long")
+    return ordered.mapInPandas(run, WRITTEN)
+
+
+def write_made(ranges: DataFrame, rows: DataFrame, columns: Sequence[str], make: Make, folder: str | Path, suffix: str = "", fps: float | None = None, encoder: Encoder = encode_npy) -> DataFrame:
+    """Write what ``make`` makes of every recording's frames and rows, ``{video}{suffix}`` each: ``video, path, n_frames``.
+
+    A recording's ranges and rows come together in one task, which decodes, makes and
+    encodes frame by frame; no pixels are exchanged. Recordings without a row are left out.
+    Without ``fps`` a file keeps its recording's rate, or has FPS where no probe knows that.
+    """
+    target, decoders, probes = make_folder(folder), dict(FrameSource.decoders), videos.probes()
+
+    def rate(path: str) -> float:
+        probe = probes.get(Path(path).suffix)
+        return fps or (probe(path)[1] if probe else 0) or FPS
+
+    told = with_rows(ranges, rows, columns, "inner")
+    whole = told.groupBy("video").agg(F.sort_array(F.collect_list(F.struct("first", "last", "path", "rows"))).alias("parts"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for video, parts in zip(*b.columns):
+                name = video.as_py()
+                frames = (f for p in parts for _, f in made(p["path"].as_py(), p["first"].as_py(), p["last"].as_py(), p["rows"].as_py(), decoders, make))
+                path, n = _encode(encoder, target, f"{name}{suffix}", rate(parts[0]["path"].as_py()), (((*f.shape, 1)[:3], f.tobytes()) for f in frames))
+                yield pa.RecordBatch.from_pylist([{"video": name, "path": path, "n_frames": n}])
+
+    return dealt(ranges, whole).mapInArrow(run, WRITTEN)

@@ -32,10 +32,23 @@ Decoder = Callable[[str], Iterator[np.ndarray]]
 
 @dataclass(frozen=True)
 class Range:
-    """A decoder that can start anywhere: ``shape(path)`` is (frames, bytes of one), ``read(path, start, stop)`` gives frames."""
+    """A decoder that can start anywhere: ``shape(path)`` is (frames, bytes of one), ``read(path, start, stop)`` gives frames.
+
+    ``starts(path)`` are the frames, in order and from 0, where starting costs nothing extra; without it all are.
+    """
 
     shape: Callable[[str], tuple[int, int]]
     read: Callable[[str, int, int], Iterator[np.ndarray]]
+    starts: Callable[[str], np.ndarray] | None = None
+
+
+def cuts(decoder: Range, path: str, n: int, step: int) -> list[int]:
+    """Where to cut a recording of ``n`` frames into ranges of about ``step``: at starts, and at its end."""
+    at = np.arange(0, n, step)
+    if decoder.starts is not None and n:
+        starts = np.asarray(decoder.starts(path))
+        at = np.unique(starts[np.searchsorted(starts, at, side="right") - 1])
+    return [*at.tolist(), n]
 
 
 def _npy_head(f) -> tuple[tuple[int, ...], np.dtype, int]:
@@ -111,8 +124,8 @@ class FrameReader(DataSourceReader):
                 parts.append(Part(p))
                 continue
             n, size = decoder.shape(p)
-            step = max(1, self.partition_bytes // max(1, size))
-            parts += [Part(p, k, min(k + step, n)) for k in range(0, n, step)]
+            at = cuts(decoder, p, n, max(1, self.partition_bytes // max(1, size)))
+            parts += [Part(p, a, b) for a, b in zip(at, at[1:]) if b > a]
         return parts or [Part("")]
 
     def read(self, partition):
@@ -166,7 +179,13 @@ def register_decoder(suffix: str, decoder: Decoder | Range) -> None:
 
 def read_frames(spark: SparkSession, paths: list[str | Path], metadata_only: bool = False, only: Collection[str] | None = None, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
     """Frames of the recordings in ``paths``, or of those of them that ``only`` names (file names without suffix)."""
-    spark.dataSource.register(FrameSource)
+
+    class Named(FrameSource):
+        """The source with the decoders that are registered here; the workers' own class wouldn't know them."""
+
+        decoders = dict(FrameSource.decoders)
+
+    spark.dataSource.register(Named)
     wanted = [str(p) for p in paths if only is None or _name(str(p)) in only]
     options = {"paths": "\n".join(wanted), "metadata_only": str(metadata_only).lower(), "partition_bytes": str(partition_bytes)}
     return spark.read.format("frames").options(**options).load()

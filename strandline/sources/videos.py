@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -11,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import stem
+from . import mp4
 from .files import opened
 
 # How recordings are named; a fixed value of the data format.
@@ -52,28 +52,21 @@ def blank_files(spark: SparkSession, folder: str | Path) -> DataFrame:
 
 
 def blank_indices(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """``stem, frame_idx`` of every line that isn't blank; repeats stay, other text fails the job."""
-    paths = [r["path"] for r in files.select("path").collect()]  # one per recording
-    if not paths:
-        return spark.createDataFrame([], "stem string, frame_idx long")
-    lines = spark.read.text(paths).select(stem(F.col("_metadata.file_path")).alias("stem"), F.trim("value").alias("value"))
-    return lines.where("value != ''").select("stem", F.col("value").cast("long").alias("frame_idx"))
-
-
-def _boxes(f, start: int, stop: int) -> Iterator[tuple[bytes, int, int]]:
-    at = start
-    while at + 8 <= stop:
-        f.seek(at)
-        size, kind = struct.unpack(">I4s", f.read(8))
-        head = 8
-        if size == 1:
-            size, head = struct.unpack(">Q", f.read(8))[0], 16
-        elif size == 0:
-            size = stop - at
-        if size < head:
-            return
-        yield kind, at + head, min(at + size, stop)
-        at += size
+    """``stem, frame_idx`` of every line that isn't blank; repeats stay, other text fails the job.
+
+    Lists are opened on the executors, a row each.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for path, name in zip(b.path, b.stem):
+                with opened(path) as f:
+                    lines = f.read().decode().split("\n")
+                found = [int(x) for x in lines if x.strip()]
+                if found:
+                    yield pd.DataFrame({"stem": name, "frame_idx": found})
+
+    return files.select("path", "stem").mapInPandas(run, "stem string, frame_idx long")
 
 
 def probe_mp4(path: str) -> Info:
@@ -81,58 +74,24 @@ def probe_mp4(path: str) -> Info:
 
     ``path`` may be a URI of a file system that Arrow knows.
     """
-    with opened(path) as f:
-        f.seek(0, 2)
-        end = f.tell()
-        for kind, a, b in _boxes(f, 0, end):
-            if kind != b"moov":
-                continue
-            for kind, a, b in _boxes(f, a, b):
-                info = kind == b"trak" and _track(f, a, b)
-                if info:
-                    return info
-    raise OSError(f"{path} holds no video track")
-
-
-def _track(f, a: int, b: int) -> Info | None:
-    def read(at: int, n: int) -> bytes:
-        f.seek(at)
-        return f.read(n)
-
-    found = {}
-    todo = [(a, b)]
-    while todo:
-        for kind, s, e in _boxes(f, *todo.pop()):
-            if kind in (b"mdia", b"minf", b"stbl"):
-                todo.append((s, e))
-            elif kind in (b"tkhd", b"mdhd", b"hdlr", b"stts", b"stsz"):
-                found[kind] = (s, e)
-    if b"hdlr" not in found or read(found[b"hdlr"][0] + 8, 4) != b"vide" or not {b"tkhd", b"mdhd"} <= found.keys():
-        return None
-    width, height = (v >> 16 for v in struct.unpack(">II", read(found[b"tkhd"][1] - 8, 8)))
-    s = found[b"mdhd"][0]
-    scale = struct.unpack(">I", read(s + (20 if read(s, 1) == b"\1" else 12), 4))[0]
-    frames = ticks = 0
-    if b"stts" in found:
-        s = found[b"stts"][0]
-        n = struct.unpack(">I", read(s + 4, 4))[0]
-        for k in range(n):
-            count, delta = struct.unpack(">II", read(s + 8 + 8 * k, 8))
-            frames, ticks = frames + count, ticks + count * delta
-    if b"stsz" in found:
-        frames = struct.unpack(">I", read(found[b"stsz"][0] + 8, 4))[0]
-    return frames, (frames * scale / ticks if ticks else 0.0), width, height
+    got = mp4.samples(path)
+    return len(got), got.rate, got.width, got.height
+
+
+def probes() -> dict[str, Callable[[str], Info]]:
+    """Every probe by suffix."""
+    return {".mp4": probe_mp4, **_probes}
 
 
 def video_info(videos: DataFrame) -> DataFrame:
     """``path, n_frames, fps, width, height``, as containers report them, probed on the executors."""
-    probes = {".mp4": probe_mp4, **_probes}
+    known = probes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for p in b.path:
-                probe = probes.get(Path(p).suffix)
+                probe = known.get(Path(p).suffix)
                 if probe is None:
                     raise OSError(f"no probe for {p}")
                 rows.append((p, *probe(p)))

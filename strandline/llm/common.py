@@ -70,8 +70,8 @@ def dealt_anew(key: Column) -> Column:
 
 #: A filter's bits per key and probes per key: about 1.2 % of other keys pass it.
 KEY_BITS, PROBES = 10, 4
-#: Bits of one block, which is what bitmap_construct_agg makes.
-BLOCK_BITS = 1 << 15
+#: Bits of one block, and of one of the words that it is made of.
+BLOCK_BITS, WORD_BITS = 1 << 15, 64
 #: Largest filter that is broadcast, in bytes: 54 million keys.
 MOST_FILTER_BYTES = 64 << 20
 
@@ -79,7 +79,7 @@ MOST_FILTER_BYTES = 64 << 20
 class Filter:
     """A blocked Bloom filter of the keys of a table, sized by their number.
 
-    Built by aggregation, a row of 4 KB per 3,276 keys, and broadcast. A key lies in one
+    Built by aggregation, a row of 512 words per 3,276 keys, and broadcast. A key lies in one
     block, so a test is one lookup and up to four bits. ``Filter.of`` gives None where it
     would outgrow ``most_bytes``; the caller then does without, with the same result.
     """
@@ -95,7 +95,11 @@ class Filter:
             return None
         block, probes = cls._places(key, blocks)
         placed = keys.select(block.alias("_block"), F.explode(F.array(*probes)).alias("_at"))
-        return cls(placed.groupBy("_block").agg(F.bitmap_construct_agg("_at").alias("_bits")), blocks)
+        word = F.floor(F.col("_at") / WORD_BITS).cast("int")
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("_at") % WORD_BITS).cast("int"))
+        words = placed.groupBy("_block", word.alias("_word")).agg(F.bit_or(bit).alias("_set")).groupBy("_block").agg(F.map_from_entries(F.collect_list(F.struct("_word", "_set"))).alias("_set"))
+        every = F.transform(F.sequence(F.lit(0), F.lit(BLOCK_BITS // WORD_BITS - 1)), lambda k: F.coalesce(F.try_element_at("_set", k), F.lit(0).cast("long")))
+        return cls(words.select("_block", every.alias("_bits")), blocks)
 
     @staticmethod
     def _places(key: Column, blocks: int) -> tuple[Column, list[Column]]:
@@ -107,7 +111,7 @@ class Filter:
         block, probes = self._places(key, self.blocks)
         table = F.broadcast(self.table.withColumnsRenamed({c: f"{c}_{uuid.uuid4().hex[:8]}" for c in self.table.columns}))
         at, bits = (table[c] for c in table.columns)
-        is_set = [F.getbit(F.conv(F.hex(F.substring(bits, (p / 8).cast("int") + 1, 1)), 16, 10).cast("int"), (p % 8).cast("int")) == 1 for p in probes]
+        is_set = [F.getbit(F.get(bits, F.shiftright(p, 6).cast("int")), p.bitwiseAND(F.lit(WORD_BITS - 1)).cast("int")) == 1 for p in probes]
         return rows.join(table, block == at, "left"), reduce(lambda a, b: a & b, is_set, bits.isNotNull())
 
 

@@ -197,8 +197,9 @@ def verdict(rules: Sequence[Rule]) -> tuple[Column, Column]:
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """Learn rules from at most ``sample_rows`` labelled rows with ``doc_id, quality``.
 
-    Rows without a label or an id are not used; no labels give no rules. The sample
-    is bounded, so its ids may be broadcast and its statistics collected.
+    Rows without a label or an id are not used; no labels give no rules. Of rows that
+    repeat an id the one whose text has the smallest hash counts. The sample is bounded, so
+    its ids may be broadcast and its statistics collected.
     """
     some = (
         labels.where("doc_id is not null and quality is not null")
@@ -206,10 +207,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> l
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     )
     rows = docs.select("doc_id", "text")
-    stats = text_stats(rows.join(F.broadcast(some), rows["doc_id"] == some["_id"]), keep=("doc_id", "_q"))
+    found = rows.join(F.broadcast(some), rows["doc_id"] == some["_id"]).withColumn("_h", F.xxhash64("text"))
+    stats = text_stats(found, keep=("doc_id", "_q", "_h"))
     named = features()
     # base_failed is looked at here: as a filter it would be pushed below the join and computed for every row
-    labelled = stats.select("doc_id", "_q", *[named[n].alias(n) for n in FEATURES], "base_failed").collect()
+    row = F.struct("_h", *[named[n].alias(n) for n in FEATURES], "base_failed")
+    labelled = stats.groupBy("doc_id", "_q").agg(F.min(row).alias("r")).select("doc_id", "_q", *[f"r.{n}" for n in FEATURES], "r.base_failed").collect()
     table = sorted(tuple(r[:-1]) for r in labelled if not r["base_failed"])
     if not table:
         return []

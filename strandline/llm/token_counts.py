@@ -24,6 +24,7 @@ from .common import settle, whole_text
 BLOCK = 32
 
 TREE = ("chars", "tokens", "pieces")
+COUNTS = ("n_pretokens", "n_tokens", "n_tokens_edited", "n_reencoded")
 TREE_COLUMNS = ", ".join(f"{c} array<int>" for c in TREE)
 
 
@@ -166,12 +167,12 @@ def standard_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def apply_edits(
-    docs: DataFrame, trees: DataFrame, edits: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, trees: DataFrame, edits: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", counts_only: bool = False,
 ) -> DataFrame:
     """Update stored trees by a table of edits, ``id_col, seq, at, removed, inserted``.
 
-    One row per row of ``docs``: id, the new ``text`` and tree, ``n_pretokens`` and
-    ``n_tokens`` before, ``n_tokens_edited`` and ``n_reencoded``. The edits of an id are
+    One row per row of ``docs``: id, the new ``text`` and tree (unless ``counts_only``),
+    ``n_pretokens`` and ``n_tokens`` before, ``n_tokens_edited`` and ``n_reencoded``. The edits of an id are
     applied in the order of ``seq``, to each row that has the id; places count in the text
     as it then is. Without edits everything stays; a null id has none. ``trees`` are those
     of ``plant`` over the same texts: rows that repeat an id and a text share one, and a
@@ -192,7 +193,7 @@ def apply_edits(
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = regex.compile(pattern)
-        kinds = [pa.string(), *[pa.list_(pa.int32())] * 3, *[pa.int64()] * 4]
+        kinds = [*([] if counts_only else [pa.string(), *[pa.list_(pa.int32())] * 3]), *[pa.int64()] * 4]
         with encoder(vocabulary, pattern) as enc:
             known = enc.remember
             for part in pieces(batches):
@@ -205,11 +206,12 @@ def apply_edits(
                     before = (tree.n_pieces, tree.total)
                     for e in todo or ():
                         text = tree.edit(text, e["at"], e["removed"], e["inserted"], cut, lambda p: len(known[p]))
-                    out.append((text, *tree.heaps, *before, tree.total, tree.reencoded))
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r[k] for r in out], t) for k, t in enumerate(kinds))], ["id", "text", *TREE, "n_pretokens", "n_tokens", "n_tokens_edited", "n_reencoded"])
+                    out.append((*(() if counts_only else (text, *tree.heaps)), *before, tree.total, tree.reencoded))
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r[k] for r in out], t) for k, t in enumerate(kinds))], ["id", *([] if counts_only else ["text", *TREE]), *COUNTS])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    updated = joined.mapInArrow(run, f"id {kind}, text string, {TREE_COLUMNS}, n_pretokens long, n_tokens long, n_tokens_edited long, n_reencoded long")
+    whole = "" if counts_only else f"text string, {TREE_COLUMNS}, "
+    updated = joined.mapInArrow(run, f"id {kind}, {whole}{', '.join(f'{c} long' for c in COUNTS)}")
     return updated.withColumnRenamed("id", id_col)
 
 
@@ -220,5 +222,4 @@ def count_edits(docs: DataFrame, vocabulary: str, pattern: str, edits: DataFrame
     """
     trees = settle(plant(docs, vocabulary, pattern, id_col, text_col))
     edits = settle(standard_edits(docs, id_col, text_col)) if edits is None else edits
-    updated = apply_edits(docs, trees, edits, vocabulary, pattern, id_col, text_col)
-    return updated.select(id_col, "n_pretokens", "n_tokens", "n_tokens_edited", "n_reencoded")
+    return apply_edits(docs, trees, edits, vocabulary, pattern, id_col, text_col, counts_only=True)

@@ -342,13 +342,15 @@ def _sample(docs: DataFrame, labels: DataFrame, per_class: int, id_col: str, tex
     parts = [usable.where(F.col("toxic") == y).orderBy(order, "_id").limit(per_class) for y in (0, 1)]
     some = F.broadcast(parts[0].union(parts[1]))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return settle(rows.join(some, F.col("id") == F.col("_id")).select("id", "text", "toxic")), counts
+    found = rows.join(some, F.col("id") == F.col("_id"))
+    # one row per label, however many rows repeat its id
+    return settle(found.groupBy("id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("id", "text", "toxic")), counts
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit on at most ``2 * per_class`` labelled rows that aren't held out.
 
-    Near copies in the sample count once, or one copied text's rare words would all
+    Of rows that repeat an id the one whose text has the smallest hash counts. Near copies in the sample count once, or one copied text's rare words would all
     look toxic. Only ids, sketches, term counts and sums come to the driver. Without
     labels of both classes the model scores everything near 0.
     """

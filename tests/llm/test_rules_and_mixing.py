@@ -157,3 +157,16 @@ def test_mixing_stands_very_long_texts_and_clashing_names(spark):
     out = rows(mixing.emit(df))
     assert Counter(r["doc_id"] for r in out) == +Counter({i: r["copies"] for i, r in got.items()})
     assert all(r["copies"] == r["_row"] == r["a.b"] == 7 for r in out)
+
+
+def test_labelled_ids_that_repeat_count_once(spark):
+    """However many rows repeat a labelled id, the sample has one of them, the same on every run."""
+    rng = np.random.default_rng(6)
+    good = [" ".join(f"w{rng.integers(0, 5000)}" for _ in range(80)) for _ in range(40)]
+    bad = [" ".join("#$" if k % 3 else f"w{rng.integers(0, 5000)}" for k in range(80)) for _ in range(40)]
+    own = list(enumerate(good + bad)) + [(1, t) for t in bad] * 5
+    labels = spark.createDataFrame([(k, int(k < 40)) for k in range(80)], "doc_id long, quality int")
+    frame = docs(spark, own)
+    rules = quality.fit(frame.repartition(7), labels)
+    assert rules and rules == quality.fit(frame.repartition(3), labels)
+    assert sum(r.covered for r in rules) <= 80

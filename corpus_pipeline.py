@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from strandline.llm import bpe, exact_dedup, mixing, simhash, toxicity
 from strandline.llm.common import checkpoint_dir, cleaned, table
 from strandline.llm.queries import vocabulary
+from strandline.plans.storage import delete
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,7 +76,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply STAGES to ``documents``; each result is written as Parquet in the shared folder and read again.
 
-    What a stage settles on its way is deleted once its result is written.
+    What a stage settles on its way, and what it was given by the one before, are deleted
+    once its result is written; the last result stays.
     """
     docs = table(spark, sf_dir, "documents")
     folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
@@ -83,4 +85,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         with cleaned(spark):
             stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            delete(spark, f"{folder}/{k - 1}")
     return docs

@@ -96,7 +96,7 @@ def spread_rows(vectors: DataFrame, id_col: str, column: str, k: int, passes: in
     Lloyd's iteration. Only what was drawn comes to the driver, some ``passes * per_pass * k`` rows.
     """
     drawn = first_rows(vectors, id_col, column, 1)
-    for p in range(passes):
+    for p in range(passes if len(drawn) else 0):
         _, _, cost = _sums(vectors, column, drawn)
         if not cost:
             break
@@ -110,6 +110,8 @@ def spread_rows(vectors: DataFrame, id_col: str, column: str, k: int, passes: in
 
         rows = vectors.where(F.col(column).isNotNull()).select(F.col(column).cast("array<double>").alias("v"), chance.alias("chance"))
         drawn = np.unique(np.vstack([drawn, *[np.array(r["v"])[None] for r in rows.mapInArrow(some, "v array<double>").collect()]]), axis=0)
+    if not len(drawn):
+        return drawn
     weight = _sums(vectors, column, drawn)[0].astype(float)
     draw = np.random.default_rng(seed)
     chosen = [int(weight.argmax())]

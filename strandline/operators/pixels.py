@@ -5,12 +5,15 @@ Meant for moderate frames and for checking the kernels; the kernels do the bulk
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import axis_angle, canvas_side, from_upright, half_even, is_background
 from ..plans.storage import settle
+from . import graph, kernels
 
 
 def background_mask(pixels: DataFrame, threshold: int = 0) -> DataFrame:
@@ -45,26 +48,44 @@ def boxes_inside(sums: DataFrame, boxes: DataFrame) -> DataFrame:
     return boxes.join(totals, ["f", "box"], "left").withColumn("inside", F.coalesce("total", F.lit(0)) >= 255 * F.col("w") * F.col("h")).drop("total")
 
 
-def components(pixels: DataFrame, width: int) -> DataFrame:
+#: Side of the squares that frames are cut into.
+TILE = 64
+
+
+def components(pixels: DataFrame, width: int, tile: int = TILE) -> DataFrame:
     """8-connected components of the pixels with ``m > 0``: ``f, y, x, label``.
 
-    A label is the smallest ``y * width + x`` of its component. Labels spread to
-    neighbours until none changes; each round is settled, as lineage would otherwise grow
-    with the rounds.
+    A label is the smallest ``y * width + x`` of its component. Frames are cut into squares of
+    ``tile`` pixels a side, which are labelled each on its own; pixels that touch across a
+    seam make two labels equal, and those equalities are solved as a graph of labels, which
+    is far smaller than the frame. Frames without seams need no round of that.
     """
-    on = settle(pixels.where("m > 0").select("f", "y", "x", (F.col("y") * width + F.col("x")).cast("long").alias("label")))
-    steps = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)])
-    now = on
-    while True:
-        said = on.select("f", "label", F.explode(steps).alias("d"), "y", "x").select("f", (F.col("y") + F.col("d.dy")).alias("y"), (F.col("x") + F.col("d.dx")).alias("x"), "label")
-        heard = said.groupBy("f", "y", "x").agg(F.min("label").alias("heard"))
-        # a jump: take the label of the pixel that one's label names
-        spread = on.join(heard, ["f", "y", "x"]).select("f", "y", "x", "heard", "label")
-        named = on.select("f", (F.col("y") * width + F.col("x")).cast("long").alias("heard"), F.col("label").alias("beyond"))
-        now = settle(spread.join(named, ["f", "heard"], "left").select("f", "y", "x", F.least("heard", "beyond").alias("label"), (F.least("heard", "beyond") < F.col("label")).alias("moved")), replaces=now)
-        on = now.drop("moved")
-        if now.where("moved").isEmpty():
-            return on
+    at = [(F.col(c) / tile).cast("int").alias(f"_{c}") for c in ("y", "x")]
+    here = pixels.where("m > 0").select("f", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"))
+    kind = here.schema["f"].dataType.simpleString()
+
+    def label(own: pa.Table) -> pa.Table:
+        ys, xs = own["y"].to_numpy(), own["x"].to_numpy()
+        y0, x0 = int(ys.min()), int(xs.min())
+        on = np.zeros((int(ys.max()) - y0 + 1, int(xs.max()) - x0 + 1), bool)
+        on[ys - y0, xs - x0] = True
+        found = kernels.label_runs(on)[0][ys - y0, xs - x0]
+        first = np.full(found.max() + 1, np.iinfo(np.int64).max)
+        np.minimum.at(first, found, ys * width + xs)
+        return pa.table({"f": own["f"], "y": own["y"], "x": own["x"], "label": first[found]})
+
+    tiles = settle(here.withColumns({"_y": at[0], "_x": at[1]}).groupBy("f", "_y", "_x").applyInArrow(label, f"f {kind}, y long, x long, label long"))
+    steps = F.when(F.col("x") % tile == 0, F.array(*[_step(dy, -1) for dy in (-1, 0, 1)])).otherwise(F.array().cast("array<struct<dy:int,dx:int>>"))
+    steps = F.concat(steps, F.when(F.col("y") % tile == 0, F.array(*[_step(-1, dx) for dx in (-1, 0, 1)])).otherwise(F.array().cast("array<struct<dy:int,dx:int>>")))
+    said = tiles.where((F.col("x") % tile == 0) | (F.col("y") % tile == 0)).select("f", "label", "y", "x", F.explode(steps).alias("d"))
+    seams = tiles.where((F.col("x") % tile).isin(0, tile - 1) | (F.col("y") % tile).isin(0, tile - 1)).select("f", "y", "x", F.col("label").alias("v"))
+    edges = said.select("f", F.col("label").alias("u"), (F.col("y") + F.col("d.dy")).alias("y"), (F.col("x") + F.col("d.dx")).alias("x")).join(seams, ["f", "y", "x"])
+    roots = graph.components(edges.select("f", "u", "v").distinct()).withColumnRenamed("node", "label")
+    return tiles.join(roots, ["f", "label"], "left").select("f", "y", "x", F.coalesce("root", "label").alias("label"))
+
+
+def _step(dy: int, dx: int):
+    return F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"))
 
 
 def areas(labelled: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from ..operators import frames as frame_ops
 from ..operators import inventory as inv
 from ..operators import kernels
 from ..operators import pixels as px
+from ..operators import runs
 from ..operators import timeseries as ts
 from ..schema import CORNERS
 from ..sources import encoders, mp4, tables, videos
@@ -854,6 +855,46 @@ def px_overlay_files(spark, sf_dir):
     return frame_ops.unpack(drawn).select("video", IDX, "y", "x", "value")
 
 
+# --- masks as runs: a row per frame, a frame per supplier ------------------------------------------------------------
+
+
+def _masks(spark, sf_dir) -> DataFrame:
+    """``f`` and the runs of each supplier's frame."""
+    f = F.col("s_suppkey").cast("long")
+    frames = _packed(_scene(_table(spark, sf_dir, "supplier").select(f.alias("f"), (f % 25).alias("n"))))
+    return runs.of_frames(frames).withColumn("f", F.col("video").cast("long"))
+
+
+ON_SQL = f"{RECORDED_SQL}, o AS (SELECT f, y, x FROM q WHERE g > 0)"
+
+
+@query(f"WITH {ON_SQL} SELECT f, count(*) AS area FROM o GROUP BY f")
+def run_area(spark, sf_dir):
+    return _masks(spark, sf_dir).select("f", runs.area().alias("area"))
+
+
+@query(f"""WITH {ON_SQL}, m AS (SELECT f, avg(x) AS cx, avg(y) AS cy, var_samp(x) AS vx, var_samp(y) AS vy, covar_samp(x, y) AS c FROM o GROUP BY f)
+SELECT f, round(cx, 6) AS cx, round(cy, 6) AS cy, round(degrees(atan2(2 * c, vx - vy)) / 2, 6) + 0.0::DOUBLE AS angle FROM m""")
+def run_moments(spark, sf_dir):
+    return runs.moments(_masks(spark, sf_dir)).select("f", _r("cx").alias("cx"), _r("cy").alias("cy"), _r("angle").alias("angle"))
+
+
+@query(f"WITH {ON_SQL}, p AS (SELECT s_suppkey AS f, (s_suppkey % {WIDTH})::BIGINT AS px, (s_suppkey % {HEIGHT})::BIGINT AS py FROM supplier) SELECT p.f, px, py, (SELECT count(*) FROM o WHERE o.f = p.f AND x <= px AND y <= py) AS s FROM p")
+def run_integral(spark, sf_dir):
+    """How much of a mask lies up to one of its pixels."""
+    at = _masks(spark, sf_dir).withColumns({"px": F.col("f") % WIDTH, "py": F.col("f") % HEIGHT})
+    return at.select("f", "px", "py", runs.integral_at(F.col("px"), F.col("py")).alias("s"))
+
+
+@query(f"""WITH {ON_SQL}, b AS (SELECT s_suppkey AS f, i AS box, 6 + i AS x0, 4 + i % 5 AS y0, 18 - i AS w, 9 - i % 9 AS h FROM supplier, range(10) t(i))
+SELECT b.f, box, (SELECT count(*) FROM o WHERE o.f = b.f AND x >= x0 AND x < x0 + w AND y >= y0 AND y < y0 + h) >= w * h AS inside FROM b""")
+def run_box_inside(spark, sf_dir):
+    """Ten boxes per frame, tested where the frame is."""
+    i = F.col("box")
+    boxes = _masks(spark, sf_dir).select("f", "runs", _counting(9).alias("box"))
+    return boxes.select("f", "box", runs.is_inside(6 + i, 4 + i % 5, 18 - i, 9 - i % 9).alias("inside"))
+
+
 # --- embeddings, from the roadmap ------------------------------------------------------------------------------------
 
 

@@ -18,8 +18,8 @@ from ..operators import pixels as px
 from ..operators import runs
 from ..operators import timeseries as ts
 from ..schema import CORNERS
-from ..sources import encoders, mp4, tables, videos
-from ..sources.files import make_folder, written
+from ..sources import encoders, mp4, sinks, tables, videos
+from ..sources.files import make_folder, plain, written
 from ..sources.frames import read_frames
 from ..sources.ranges import frame_ranges
 from . import pipelines
@@ -654,7 +654,7 @@ def io_pose(spark, sf_dir):
         F.lit(0.75).alias("tail_likelihood"), F.col("value").alias("neck_x"), i.cast("double").alias("neck_y"), F.lit(1.0).alias("neck_likelihood"),
     )
     folder = _folder(spark)
-    tables.write_pose(pose, folder).collect()  # one row per file
+    tables.write_pose(pose, folder)
     return tables.read_pose(spark, folder)
 
 
@@ -668,7 +668,7 @@ def io_geometry(spark, sf_dir):
         F.concat(F.lit("v"), F.col("user_id").cast("string")).alias("video"), IDX, *[F.expr(e).cast("double").alias(c) for e, c in zip(_CORNER_EXPRESSIONS, CORNERS)], F.col("value").isNull().alias("is_interpolated"),
     )
     folder = _folder(spark)
-    tables.write_geometry(found, folder).collect()  # one row per file
+    tables.write_geometry(found, folder)
     return tables.read_geometry(spark, folder)
 
 
@@ -773,8 +773,9 @@ def io_frames(spark, sf_dir):
     """Videos of five frames, written frame by frame and read back."""
     f = F.col("video").cast("long")
     named = _frames(spark, sf_dir).select(F.concat(F.lit("region-"), (f % 5).cast("string")).alias("video"), F.floor(f / 5).alias(IDX), "height", "width", "channels", "pixels")
-    done = encoders.write_videos(named, _folder(spark)).collect()  # one row per video
-    return frame_ops.unpack(read_frames(spark, [r["path"] for r in done])).select("video", IDX, "y", "x", F.col("value").alias("g"))
+    folder = _folder(spark)
+    sinks.save_stacks(named, folder)
+    return frame_ops.unpack(read_frames(spark, [f"{plain(folder)}/region-{k}.npy" for k in range(5)])).select("video", IDX, "y", "x", F.col("value").alias("g"))
 
 
 def _align_sql(posed: bool = False) -> str:

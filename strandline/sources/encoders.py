@@ -20,6 +20,7 @@ from . import videos
 from .files import make_folder
 from .frames import FrameSource
 from .ranges import Make, dealt, made, with_rows
+from .sinks import stack_head
 
 CRF = 28
 #: Frames a second where nothing says how many.
@@ -34,15 +35,13 @@ def encode_npy(path: str, width: int, height: int, channels: int, fps: float, fr
     path = str(Path(path).with_suffix(".npy"))
     shape = (height, width) if channels == 1 else (height, width, channels)
     with open(path, "wb") as f:
-        head = {"descr": "|u1", "fortran_order": False, "shape": (10**9, *shape)}
-        np.lib.format.write_array_header_1_0(f, head)
-        room, n = f.tell(), 0
+        head, n = stack_head((10**9, *shape)), 0
+        f.write(head)
         for frame in frames:
             f.write(frame)
             n += 1
         f.seek(0)
-        text = repr({**head, "shape": (n, *shape)})
-        f.write(np.lib.format.magic(1, 0) + (room - 10).to_bytes(2, "little") + (text.ljust(room - 11) + "\n").encode())
+        f.write(stack_head((n, *shape), len(head)))
     return path
 
 

@@ -7,6 +7,7 @@ file systems that Arrow knows.
 from __future__ import annotations
 
 import os
+import shutil
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -37,14 +38,58 @@ def opened(path: str | Path) -> Iterator:
         yield f
 
 
-def make_folder(path: str | Path) -> str:
-    """Create a folder if there is none; its path as executors take it."""
+def make_folder(path: str | Path, everywhere: bool = False) -> str:
+    """Create a folder if there is none; its path as executors take it.
+
+    Stores that are reached by URI need none, except where ``everywhere`` asks for one.
+    """
     path = plain(path)
     if not _is_uri(path):
         Path(path).mkdir(parents=True, exist_ok=True)
+    elif everywhere:
+        system, at = _store(path)
+        system.create_dir(at)
     return path
 
 
+def _store(path: str):
+    """The file system of a URI that Arrow knows, and the path in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path)
+
+
+@contextmanager
+def created(path: str) -> Iterator:
+    """A new file to write bytes to, under its final name from the start; plain ones are seekable."""
+    if _is_uri(path):
+        system, at = _store(path)
+        with system.open_output_stream(at) as f:
+            yield f
+        return
+    with open(path, "xb") as f:
+        yield f
+
+
+def move(path: str, to: str) -> None:
+    """Put a file in the place of another."""
+    if _is_uri(path):
+        system, at = _store(path)
+        system.move(at, _store(to)[1])
+    else:
+        os.replace(path, to)
+
+
+def remove_folder(path: str) -> None:
+    """Remove a folder and what is in it, if it is there."""
+    if _is_uri(path):
+        system, at = _store(path)
+        if system.get_file_info(at).type.name == "Directory":
+            system.delete_dir(at)
+    else:
+        shutil.rmtree(path, ignore_errors=True)
+
+
 def beside(path: str) -> str:
     """A name of its own in the same folder."""
     head, _, name = path.rpartition("/")

@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import groupby
 from pathlib import Path
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import present, stem
 from ..schema import CORNERS, GEOMETRY, KEYPOINTS
-from .files import make_folder, written
+from . import sinks
 
 
 def read_pose(spark: SparkSession, *paths: str | Path) -> DataFrame:
@@ -48,39 +45,17 @@ def read_geometry(spark: SparkSession, *paths: str | Path) -> DataFrame:
     return rows.select(stem(F.col("_metadata.file_path")).alias("video"), *[f.name for f in GEOMETRY])
 
 
-def _write_texts(rows: DataFrame, columns: list[str], head: str, folder: str | Path) -> DataFrame:
-    """One ``{video}.csv`` per video in ``folder``; returns ``video, path``.
-
-    A task takes the sorted rows of whole videos and writes them as they come, to a name
-    of its own that becomes the final one when the video is complete.
-    """
-    target = make_folder(folder)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = ((video, part[columns]) for b in batches for video, part in b.groupby("video", sort=False))
-        for video, own in groupby(parts, key=lambda p: p[0]):
-            path = f"{target}/{video}.csv"
-            with written(path) as f:
-                f.write(head.encode())
-                for _, part in own:
-                    f.write(part.to_csv(index=False, header=False).encode())
-            yield pd.DataFrame({"video": [video], "path": [path]})
-
-    dealt = rows.select("video", *columns).repartition("video").sortWithinPartitions("video", "frame_idx")
-    return dealt.mapInPandas(run, "video string, path string")
-
-
-def write_geometry(geometry: DataFrame, folder: str | Path) -> DataFrame:
-    """One ``{video}.csv`` per video in ``folder``; returns ``video, path``."""
+def write_geometry(geometry: DataFrame, folder: str | Path) -> None:
+    """One ``{video}.csv`` per video in ``folder``; all of them or, if a task fails, none."""
     columns = ["frame_idx", *CORNERS, "is_interpolated"]
-    return _write_texts(geometry, columns, ",".join(columns) + "\n", folder)
+    sinks.save(geometry.select("video", *columns), folder, ".csv", sinks.csv_form(",".join(columns) + "\n", columns))
 
 
-def write_pose(pose: DataFrame, folder: str | Path) -> DataFrame:
-    """One pose file per video in ``folder``, as ``read_pose`` takes them; returns ``video, path``."""
-    names = [k.split("_") for k in KEYPOINTS]
+def write_pose(pose: DataFrame, folder: str | Path) -> None:
+    """One pose file per video in ``folder``, as ``read_pose`` takes them; all of them or none."""
+    names, columns = [k.split("_") for k in KEYPOINTS], ["frame_idx", *KEYPOINTS]
     heads = [["scorer", *["none"] * len(names)], ["bodyparts", *[n[0] for n in names]], ["coords", *[n[1] for n in names]]]
-    return _write_texts(pose, ["frame_idx", *KEYPOINTS], "".join(",".join(h) + "\n" for h in heads), folder)
+    sinks.save(pose.select("video", *columns), folder, ".csv", sinks.csv_form("".join(",".join(h) + "\n" for h in heads), columns))
 
 
 def write_manifest(manifest: DataFrame, path: str | Path) -> None:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline import cli
-from strandline.sources import encoders, files, frames, tables, videos
+from strandline.sources import encoders, files, frames, sinks, tables, videos
 from strandline.schema import CORNERS
 
 
@@ -90,8 +90,7 @@ def test_half_a_file_never_takes_the_place_of_a_whole_one(tmp_path):
 def test_geometry_files_hold_whole_series(spark, tmp_path):
     """Also where a series spans many batches."""
     rows = spark.range(25_000).select(F.lit("v").alias("video"), F.col("id").alias("frame_idx"), *[F.lit(1.5).alias(c) for c in CORNERS], F.lit(False).alias("is_interpolated"))
-    written = tables.write_geometry(rows.unionAll(rows.withColumn("video", F.lit("w")).limit(3)), tmp_path).collect()
-    assert sorted(w["video"] for w in written) == ["v", "w"]
+    tables.write_geometry(rows.unionAll(rows.withColumn("video", F.lit("w")).limit(3)), tmp_path)
     lines = (tmp_path / "v.csv").read_text().splitlines()
     assert len(lines) == 25_001 and [int(x.split(",")[0]) for x in lines[1:]] == list(range(25_000))
     assert sorted(os.listdir(tmp_path)) == ["v.csv", "w.csv"]
@@ -201,3 +200,49 @@ def test_the_command_line_ships_the_package(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(cli, "ship", seen.append)
     assert cli._session() is not None and len(seen) == 1
+
+
+def test_files_are_committed_together(spark, tmp_path):
+    """A failing task leaves nothing and touches nothing; rows that aren't dealt by video are refused."""
+    one = tables.write_geometry
+    rows = spark.range(6).select(F.concat(F.lit("v"), (F.col("id") % 3).cast("string")).alias("video"), F.col("id").alias("frame_idx"), *[F.lit(1.5).alias(c) for c in CORNERS], F.lit(False).alias("is_interpolated"))
+    one(rows, tmp_path)
+    before = {p.name: p.read_text() for p in tmp_path.iterdir()}
+    assert sorted(before) == ["v0.csv", "v1.csv", "v2.csv"]
+    with pytest.raises(Exception, match="no luck"):
+        one(rows.withColumn("frame_idx", F.when(F.col("video") == "v2", F.raise_error(F.lit("no luck")).cast("long")).otherwise(F.col("frame_idx") + 10)), tmp_path)
+    assert {p.name: p.read_text() for p in tmp_path.iterdir()} == before
+    with pytest.raises(Exception, match="without a video"):
+        one(rows.withColumn("video", F.when(F.col("video") != "v1", F.col("video"))), tmp_path)
+    assert {p.name: p.read_text() for p in tmp_path.iterdir()} == before
+    one(rows.withColumn("frame_idx", F.col("frame_idx") + 10), tmp_path)
+    assert {p.name for p in tmp_path.iterdir()} == set(before) and "10," in (tmp_path / "v1.csv").read_text() + (tmp_path / "v0.csv").read_text()
+
+
+def test_two_tasks_can_t_write_one_video(tmp_path):
+    import pyarrow as pa
+
+    form = sinks.csv_form("x\n", ["x"])
+    writer = sinks.VideoFilesWriter(str(tmp_path), ".csv", form)
+    batch = lambda *names: pa.RecordBatch.from_pylist([{"video": n, "x": k} for k, n in enumerate(names)])
+    with pytest.raises(ValueError, match="in one place"):
+        writer.write(iter([batch("a", "b"), batch("a")]))
+    writer.abort([None])
+    assert list(tmp_path.iterdir()) == []
+    got = [writer.write(iter([batch("a", "a"), batch("a", "b")])), writer.write(iter([batch("c")])), None]
+    retried = writer.write(iter([batch("c")]))
+    with pytest.raises(ValueError, match="two tasks wrote"):
+        writer.commit([*got, retried])
+    assert [p.name for p in tmp_path.iterdir()] == [writer.drafts.split("/")[-1]]
+    writer.commit(got)
+    assert {p.name: p.read_text() for p in tmp_path.iterdir()} == {"a.csv": "x\n0\n1\n0\n", "b.csv": "x\n1\n", "c.csv": "x\n0\n"}
+
+
+def test_stacks_of_frames(spark, tmp_path):
+    data = stack(tmp_path / "a.npy", 20)
+    sinks.save_stacks(frames.read_frames(spark, [tmp_path / "a.npy"]), tmp_path / "out")
+    assert (np.load(tmp_path / "out" / "a.npy") == data).all() and os.listdir(tmp_path / "out") == ["a.npy"]
+    odd = frames.read_frames(spark, [tmp_path / "a.npy"]).withColumn("pixels", F.when(F.col("frame_idx") == 3, F.col("pixels")).otherwise(F.unhex(F.lit("00"))))
+    with pytest.raises(Exception, match="differ in size"):
+        sinks.save_stacks(odd, tmp_path / "odd")
+    assert os.listdir(tmp_path / "odd") == []

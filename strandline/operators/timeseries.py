@@ -11,14 +11,16 @@ one summary row per chunk; both give the same values as the plain form.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.columns import all_present, trusted
+from ..functions.columns import all_present, present, trusted
 
 MEDIAN_WINDOW = 9
 SIGMA = 2.0
@@ -210,6 +212,50 @@ def changed_subsample(df: DataFrame, key: Sequence[str], index: str, values: Seq
     return rows.where(F.col("_first") | (F.col("_apart") >= least)).drop("_apart", "_first")
 
 
+def change_weight(df: DataFrame, key: Sequence[str], index: str, values: Sequence[str], least: float = 1.0, out: str = "weight") -> DataFrame:
+    """``out``: how far a row is from the one before (Euclidean over ``values``) and ``least`` more; ``least`` where there is no distance."""
+    w = W.partitionBy(*key).orderBy(index)
+    apart = F.sqrt(sum((F.pow(F.col(v) - F.lag(v).over(w), F.lit(2.0)) for v in values), F.lit(0.0)))
+    return df.withColumn(out, F.coalesce(present(apart), F.lit(0.0)) + F.lit(least))
+
+
+#: Rows that a task holds before it hands on what it has.
+MOST_HELD = 200_000
+
+
+def weighted_subsample(df: DataFrame, key: Sequence[str], index: str, weight: str, k: int, seed: int = 0, most_held: int = MOST_HELD) -> DataFrame:
+    """``k`` rows of each series, drawn without replacement with chances in proportion to ``weight``.
+
+    Every row draws an exponential number of rate ``weight`` from a hash of seed, series and
+    index; the smallest win, so draws don't depend on order or partitions and a rerun draws the
+    same. Each task keeps the ``k`` best of every series it meets and only those are
+    exchanged; no series is sorted. Rows of no weight, or of none above 0, are never drawn.
+    """
+    name = F.concat_ws(":", F.lit(f"draw-{seed}"), *[F.col(c).cast("string") for c in [*key, index]])
+    # 48 bits of a digest, in the middle of their step so that it is neither 0 nor 1
+    even = (F.conv(F.substring(F.md5(name), 1, 12), 16, 10).cast("long") + F.lit(0.5)) / float(1 << 48)
+    drawn = df.where(F.col(weight) > 0).withColumn("_draw", -F.ln(even) / F.col(weight))
+    by = [*key, "_draw", index]
+
+    def smallest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            new = pa.Table.from_batches([b])
+            held = new if held is None else pa.concat_tables([held, new])
+            order = held.select(by).to_pandas().reset_index(names="_row").sort_values(["_draw", index])
+            kept = order.groupby(list(key), sort=False, dropna=False).head(k)["_row"].to_numpy()
+            held = held.take(pa.array(np.sort(kept))).combine_chunks()
+            if held.num_rows > most_held:
+                yield from held.to_batches()
+                held = None
+        if held is not None:
+            yield from held.to_batches()
+
+    line = W.partitionBy(*key).orderBy("_draw", index)
+    best = drawn.mapInArrow(smallest, drawn.schema).withColumn("_place", F.row_number().over(line)).where(F.col("_place") <= k)
+    return best.drop("_draw", "_place")
+
+
 def either(*flags: Column) -> Column:
     """True where any flag is; a missing one doesn't count."""
     return reduce(lambda a, b: a | b, [F.coalesce(f, F.lit(False)) for f in flags])

@@ -24,14 +24,13 @@ CROP_HEIGHT = 100
 
 @dataclass(frozen=True)
 class Settings:
-    """What geometry depends on; ``mark`` names it, so that stale results aren't reused."""
+    """What geometry depends on beside its files; ``mark`` names it, so that stale results aren't reused."""
 
     threshold: int = kernels.THRESHOLD
     aspect: float = kernels.ASPECT
     height: int = CROP_HEIGHT
     window: int | None = None
     sigma: float | None = None
-    pose: tuple[str, ...] = ()
 
     def __post_init__(self):
         if self.window is not None and self.sigma is not None:

@@ -223,6 +223,15 @@ def sub_changed(spark, sf_dir):
     return ts.changed_subsample(s, KEY, IDX, ["raw", "turn"], 40.0).select("user_id", IDX, "raw")
 
 
+@query(f"""WITH {SERIES_SQL}, c AS (SELECT user_id, frame_idx, raw, abs(raw - lag(raw) OVER (PARTITION BY user_id ORDER BY frame_idx)) AS apart FROM s),
+d AS (SELECT user_id, frame_idx, raw, coalesce(apart, 0) + 1 AS weight, (('0x' || substring(md5('draw-0:' || user_id || ':' || frame_idx), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656 AS u FROM c)
+SELECT user_id, frame_idx, raw, round(weight, 6) AS weight FROM d QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY -ln(u) / weight, frame_idx) <= 12""")
+def sub_weighted(spark, sf_dir):
+    """Twelve rows of each series, more likely where it changes."""
+    weighed = ts.change_weight(_series(spark, sf_dir), KEY, IDX, ["raw"])
+    return ts.weighted_subsample(weighed, KEY, IDX, "weight", 12).select("user_id", IDX, "raw", _r("weight").alias("weight"))
+
+
 LONG_SQL = """
 s AS (SELECT 0 AS user_id, o_orderkey AS frame_idx, o_totalprice AS raw, CASE WHEN o_orderstatus <> 'F' THEN o_totalprice END AS value FROM orders)
 """

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strandline import cli, config
 from strandline.operators import inventory as inv
-from strandline.plans import pipelines
+from strandline.plans import pipelines, results
 from strandline.schema import CORNERS, MANIFEST
 from strandline.sources import encoders, frames, tables, videos
 
@@ -201,3 +201,50 @@ def test_ffmpeg_is_asked_for(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(encoders.shutil, "which", lambda _: None)
     with pytest.raises(OSError, match="ffmpeg"):
         encoders.ffmpeg_encoder()("x", 1, 1, 1, 1.0, iter([]))
+
+
+def test_results_are_reused_by_content(spark, tmp_path, capsys):
+    """Another recording or pose file under the same name is computed again, and only its own recording is."""
+    data, out = tmp_path / "d", tmp_path / "r" / "aligned"
+    (tmp_path / "r" / "pose").mkdir(parents=True)
+    data.mkdir()
+    frames.register_decoder(".mp4", frames.decode_npy)
+    videos.register_probe(".mp4", lambda path: (2, 24.0, 120, 60))
+    save = lambda name, x0: np.save(open(data / name, "wb"), np.stack([blob(x0), blob(x0)]))
+    run = ["overlay", "--data-dir", str(data), "--results-dir", str(tmp_path / "r"), "--pose-dir", str(tmp_path / "r" / "pose")]
+
+    def computed(*more):
+        capsys.readouterr()
+        cli.main([*run, *more])
+        return {line.split("/")[-1] for line in capsys.readouterr().out.splitlines() if line.endswith(".csv")}
+
+    names = ["session-1_cuttle-1", "session-1_cuttle-2"]
+    try:
+        for n in names:
+            save(f"{n}.mp4", 20)
+        assert computed() == {f"{n}.csv" for n in names} and computed() == set()
+        save(f"{names[0]}.mp4", 24)
+        assert computed() == {f"{names[0]}.csv"} and computed() == set()
+        pose = tmp_path / "r" / "pose" / f"{names[1]}.csv"
+        pose.write_text(POSE + "0,80,30,1,0,0,0,20,30,1\n1,80,30,1,0,0,0,20,30,1\n")
+        assert computed() == {f"{names[1]}.csv"} and computed() == set()
+        pose.write_text(POSE + "0,82,30,1,0,0,0,20,30,1\n1,80,30,1,0,0,0,20,30,1\n")
+        assert computed() == {f"{names[1]}.csv"}
+        pose.unlink()
+        assert computed() == {f"{names[1]}.csv"}
+        assert computed("--thresh", "3") == {f"{n}.csv" for n in names}
+        (out / f"{names[0]}.csv").unlink()
+        assert computed("--thresh", "3") == {f"{names[0]}.csv"}
+    finally:
+        del frames.FrameSource.decoders[".mp4"]
+        videos._probes.clear()
+
+
+def test_digests_are_of_blocks(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "a").write_bytes(b"abcdefg")
+    (tmp_path / "b").write_bytes(b"")
+    got = {r["path"].split("/")[-1]: r["digest"] for r in results.digests(spark, [tmp_path / "a", tmp_path / "b"], block_bytes=3).collect()}
+    of = lambda *parts: hashlib.sha256("".join(hashlib.sha256(p).hexdigest() for p in parts).encode()).hexdigest()
+    assert got == {"a": of(b"abc", b"def", b"g"), "b": of(b"")}

@@ -137,3 +137,26 @@ def test_changes_flags_and_modes(spark):
     assert {r["video"]: (r["any_valid"], r["n_valid"]) for r in ts.validity(df, ["video"], "x").collect()} == {"a": (True, 4), "b": (True, 1)}
     posed = spark.createDataFrame([("b",), ("b",)], "video string")
     assert {(r["video"], r["mode"]) for r in ts.with_mode(df, posed, ["video"]).collect()} == {("a", "axis"), ("b", "pose")}
+
+
+def test_weighted_draws_follow_their_weights(spark):
+    """Over many seeds the first draw of a series falls on a row as often as its weight says."""
+    weights = [1.0, 2.0, 5.0, 0.0, None, 12.0]
+    rows = [(s, i, w) for s in range(3000) for i, w in enumerate(weights)]
+    df = spark.createDataFrame(rows, "s long, i long, w double")
+    drawn = ts.weighted_subsample(df, ["s"], "i", "w", 1)
+    counts = {r["i"]: r["count"] for r in drawn.groupBy("i").count().collect()}
+    assert set(counts) == {0, 1, 2, 5} and sum(counts.values()) == 3000
+    for i in counts:
+        p = weights[i] / 20
+        assert abs(counts[i] - 3000 * p) < 5 * (3000 * p * (1 - p)) ** 0.5
+    pick = lambda d, **o: sorted(tuple(r) for r in ts.weighted_subsample(d, ["s"], "i", "w", 3, **o).where("s < 50").collect())
+    one = pick(df)
+    assert one == pick(df.repartition(7)) == pick(df, most_held=10) and one != pick(df, seed=1) and len(one) == 150
+    assert len(ts.weighted_subsample(df, ["s"], "i", "w", 99).where("s = 1").collect()) == 4
+    assert ts.weighted_subsample(df.where("false"), ["s"], "i", "w", 3).count() == 0
+
+
+def test_change_weights(spark):
+    df = spark.createDataFrame([(1, 0, 1.0), (1, 1, 4.0), (1, 2, None), (1, 3, 4.0), (2, 0, 9.0)], "s long, i long, v double")
+    assert [r["weight"] for r in ts.change_weight(df, ["s"], "i", ["v"], 0.5).orderBy("s", "i").collect()] == [0.5, 3.5, 0.5, 0.5, 0.5]

@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Iterator, Sequence
 from functools import reduce
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -120,11 +121,14 @@ def rolling_median(
 ) -> DataFrame:
     """Centred rolling median; the window is cut at the ends, an even one reaches one row further back.
 
-    ``chunk_rows`` needs ``index`` to count rows from 0.
+    ``chunk_rows`` needs ``index`` to count rows from 0. Windows of more than WIDE rows slide
+    over chunks in any case, in time that grows with the logarithm of the window.
     """
     if window < 1:
         raise ValueError("window must be at least 1")
     back, ahead = window // 2, (window - 1) // 2
+    if window > WIDE:
+        return _wide_median(df, key, index, values, back, ahead, suffix, chunk_rows)
     rows, keep = df, None
     if chunk_rows:
         rows, key, keep = _in_chunks(df, key, index, back, chunk_rows)
@@ -133,6 +137,109 @@ def rolling_median(
     return out if keep is None else out.where(keep).drop("_chunk")
 
 
+#: Largest window whose median is found anew for each row, and rows of a chunk in windows, for wider ones.
+WIDE, CHUNK_WINDOWS, CHUNK_ROWS = 64, 8, 16_384
+
+
+def _wide_median(df: DataFrame, key: Sequence[str], index: str, values: Sequence[str], back: int, ahead: int, suffix: str, chunk_rows: int | None) -> DataFrame:
+    """Medians of chunks with margins; each chunk is one group of bounded size."""
+    numbered = df.withColumn("_at", F.col(index)) if chunk_rows else number_rows(df, key, [index], "_at")
+    rows, by, keep = _in_chunks(numbered, key, "_at", back, chunk_rows or max(CHUNK_ROWS, CHUNK_WINDOWS * (back + ahead + 1)))
+    names = [f"{v}{suffix}" for v in values]
+    schema = rows.withColumns({n: F.col(v).cast("double") for n, v in zip(names, values)}).schema
+    kinds = {f.name: f.dataType.simpleString() for f in schema}
+
+    def slide(own: pa.Table) -> pa.Table:
+        own = own.sort_by("_at")
+        at = own["_at"].to_numpy()
+        for name, value in zip(names, values):
+            found = sliding_medians(own[value].to_numpy(zero_copy_only=False).astype(float), own[value].is_null().to_numpy(zero_copy_only=False), at, back, ahead)
+            # infinite medians stand for NaN, and no median for null
+            column = pa.array(np.where(np.isinf(found) & (found > 0), np.nan, found), pa.float64(), mask=np.isnan(found))
+            own = own.set_column(own.column_names.index(name), name, column) if name in own.column_names else own.append_column(name, column)
+        return own.select(list(kinds))
+
+    return rows.groupBy(*by).applyInArrow(slide, schema).where(keep).drop("_chunk", "_at")
+
+
+class Sliding:
+    """The median of a multiset that gains and loses members: two heaps, whose dead members are thrown out when they come up.
+
+    ``low`` holds the smaller half, negated, and one member more where the number is odd.
+    """
+
+    def __init__(self):
+        self.low: list[tuple[float, int]] = []
+        self.high: list[tuple[float, int]] = []
+        self.below: dict[int, bool] = {}  # whether a live member is in the lower half
+        self.n_low = self.n_high = 0
+
+    def add(self, value: float, name: int) -> None:
+        if self.n_low and value > -self._top(self.low)[0]:
+            heappush(self.high, (value, name))
+            self.below[name] = False
+            self.n_high += 1
+        else:
+            heappush(self.low, (-value, name))
+            self.below[name] = True
+            self.n_low += 1
+        self._balance()
+
+    def remove(self, name: int) -> None:
+        if self.below.pop(name):
+            self.n_low -= 1
+        else:
+            self.n_high -= 1
+        self._balance()
+
+    def median(self) -> float:
+        if not self.n_low:
+            return math.nan
+        least = -self._top(self.low)[0]
+        return least if self.n_low > self.n_high else (least + self._top(self.high)[0]) / 2
+
+    def _top(self, heap: list[tuple[float, int]]) -> tuple[float, int]:
+        lower = heap is self.low
+        while self.below.get(heap[0][1]) is not lower:
+            heappop(heap)
+        return heap[0]
+
+    def _balance(self) -> None:
+        while self.n_low > self.n_high + 1:
+            value, name = self._top(self.low)
+            heappop(self.low)
+            heappush(self.high, (-value, name))
+            self.below[name] = False
+            self.n_low, self.n_high = self.n_low - 1, self.n_high + 1
+        while self.n_high > self.n_low:
+            value, name = self._top(self.high)
+            heappop(self.high)
+            heappush(self.low, (-value, name))
+            self.below[name] = True
+            self.n_low, self.n_high = self.n_low + 1, self.n_high - 1
+
+
+def sliding_medians(x: np.ndarray, missing: np.ndarray, at: np.ndarray, back: int, ahead: int) -> np.ndarray:
+    """Median of what isn't missing from ``back`` rows before each row to ``ahead`` rows after; NaN where nothing is.
+
+    ``at`` are the rows' places in their series, in order; NaN counts, and comes out, as infinity.
+    """
+    held, out, first, last = Sliding(), np.empty(len(x)), 0, 0
+    value = np.where(np.isnan(x), np.inf, x).tolist()
+    skip, place = missing.tolist(), at.tolist()
+    for k, here in enumerate(place):
+        while last < len(place) and place[last] <= here + ahead:
+            if not skip[last]:
+                held.add(value[last], last)
+            last += 1
+        while place[first] < here - back:
+            if not skip[first]:
+                held.remove(first)
+            first += 1
+        out[k] = held.median()
+    return out
+
+
 def gaussian_weights(sigma: float, truncate: float = TRUNCATE) -> list[float]:
     """Normalised weights of taps -r to r; one tap as sigma goes to 0."""
     if sigma < 0:

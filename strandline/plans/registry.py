@@ -162,6 +162,13 @@ def ts_roll_median4(spark, sf_dir):
     return ts.rolling_median(_series(spark, sf_dir), KEY, IDX, ["raw"], 4).select("user_id", IDX, _r("raw").alias("smooth"))
 
 
+@query(f"WITH o AS (SELECT o_orderkey AS frame_idx, o_totalprice AS raw, CASE WHEN o_orderstatus <> 'F' THEN o_totalprice END AS value FROM orders) SELECT frame_idx, round(quantile_cont(value, 0.5) OVER (ORDER BY frame_idx ROWS BETWEEN 500 PRECEDING AND 500 FOLLOWING), 4) AS smooth FROM o")
+def ts_roll_median1001(spark, sf_dir):
+    """A series with a row per order and gaps in it, by a window of 1,001 rows."""
+    s = _one_series(spark, sf_dir)
+    return ts.rolling_median(s, KEY, IDX, ["filled"], 1001).select(IDX, _r("filled", 4).alias("smooth"))
+
+
 def _gauss(spark, sf_dir, sigma, **options):
     return ts.gaussian_smooth(_series(spark, sf_dir), KEY, IDX, ["raw"], sigma, **options).select("user_id", IDX, _r("raw").alias("smooth"))
 

@@ -160,3 +160,36 @@ def test_weighted_draws_follow_their_weights(spark):
 def test_change_weights(spark):
     df = spark.createDataFrame([(1, 0, 1.0), (1, 1, 4.0), (1, 2, None), (1, 3, 4.0), (2, 0, 9.0)], "s long, i long, v double")
     assert [r["weight"] for r in ts.change_weight(df, ["s"], "i", ["v"], 0.5).orderBy("s", "i").collect()] == [0.5, 3.5, 0.5, 0.5, 0.5]
+
+
+@pytest.mark.parametrize("window", [65, 100, 1001])
+def test_wide_medians(spark, window):
+    """Gaps, ties and short series; chunks given and not, the same either way."""
+    rng = np.random.default_rng(window)
+    rows = [(s, 3 * i, i, None if rng.random() < 0.2 else float(rng.integers(0, 50)), "k") for s, n in ((1, 1), (2, 40), (3, 1500)) for i in range(n)] + [(4, 0, 0, None, "k")]
+    df = spark.createDataFrame(rows, "s long, t long, i long, v double, note string").repartition(5)
+    back, ahead = window // 2, (window - 1) // 2
+    by_series = {}
+    for s, _, i, v, _ in rows:
+        by_series.setdefault(s, []).append(v)
+    want = {}
+    for s, vs in by_series.items():
+        for i in range(len(vs)):
+            near = [v for v in vs[max(0, i - back) : i + ahead + 1] if v is not None]
+            want[s, i] = float(np.median(near)) if near else None
+    for out in (ts.rolling_median(df, ["s"], "t", ["v"], window, "_m"), ts.rolling_median(df, ["s"], "i", ["v"], window, "_m", chunk_rows=128)):
+        assert out.columns == [*df.columns, "v_m"]
+        assert {(r["s"], r["i"]): r["v_m"] for r in out.collect()} == want
+    assert ts.rolling_median(df.where("false"), ["s"], "t", ["v"], window).count() == 0
+
+
+def test_time_hardly_grows_with_the_window():
+    import time
+
+    x = np.random.default_rng(1).normal(size=60_000)
+    took = []
+    for half in (50, 500, 5000):
+        began = time.process_time()
+        ts.sliding_medians(x, np.zeros(len(x), bool), np.arange(len(x)), half, half)
+        took.append(time.process_time() - began)
+    assert took[2] < 4 * took[0]

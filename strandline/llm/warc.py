@@ -2,9 +2,11 @@
 
 ``pages_to_arc`` packs pages into ARC archives (version 1 or 2 header lines).
 ``arc_to_warc`` is the converter: it reads each archive's version block, parses the
-header line that the version prescribes, takes as many bytes as the line declares, and
-synthesises what a WARC record needs and ARC lacks: record id, W3C timestamp, type and
-digests. ``mark_revisits`` finds equal payloads over the whole table by digest;
+header line that the version prescribes, takes as many bytes as the line declares,
+verifies a version 2 checksum, and synthesises what a WARC record needs and ARC lacks:
+record id, W3C timestamp, type and digests. The version block becomes a warcinfo record,
+HTTP and DNS answers become responses of their own media types, and whatever else an
+archive holds becomes a resource. ``mark_revisits`` finds equal payloads over the whole table by digest;
 ``write_warc`` writes real WARC files with Spark's own writer, so any file system that
 Spark writes will do, and ``read_warc`` parses them again.
 """
@@ -44,7 +46,9 @@ ARC_FIELDS = {
 WARC_VERSION = "WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
-RECORD_COLUMNS = "page_id long, record_id string, uri string, date string, record_type string, payload_digest string, payload_bytes long, http binary, payload binary"
+HTTP_TYPE, DNS_TYPE, FIELDS_TYPE = "application/http; msgtype=response", "text/dns", "application/warc-fields"
+
+RECORD_COLUMNS = "page_id long, record_id string, uri string, date string, record_type string, content_type string, payload_digest string, payload_bytes long, http binary, payload binary"
 
 
 def record_uuid(page_id: int | None, content: bytes) -> str:
@@ -111,10 +115,11 @@ def pages_to_arc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     return rows.mapInArrow(run, "archive binary")
 
 
-def parse_arc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields and body of each record after the version block.
+def parse_arc(data: bytes, described: bool = False) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Header fields and body of each record after the version block, and with ``described`` of that too.
 
-    Raises ``ValueError`` on an unknown version, a malformed line or a short record.
+    Raises ``ValueError`` on an unknown version, a malformed line, a short record or a body
+    whose MD5 isn't the checksum that a version 2 line declares.
     """
     at, names = 0, None
     while at < len(data):
@@ -124,22 +129,39 @@ def parse_arc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         stop = data.find(b"\n", at)
         if stop < 0:
             raise ValueError(f"ARC header line without an end at byte {at}")
-        fields = data[at:stop].decode("utf-8").split(" ")
-        if not fields[-1].isdigit():
+        values = data[at:stop].decode("utf-8").split(" ")
+        if not values[-1].isdigit():
             raise ValueError(f"ARC header line without a length at byte {at}")
-        body = data[stop + 1 : stop + 1 + int(fields[-1])]
-        if len(body) != int(fields[-1]):
+        body = data[stop + 1 : stop + 1 + int(values[-1])]
+        if len(body) != int(values[-1]):
             raise ValueError(f"ARC record at byte {at} is shorter than its declared length")
-        at = stop + 1 + len(body)
-        if names is None:
+        first = names is None
+        if first:
             version = body.split(b" ", 1)[0]
-            if not fields[0].startswith("filedesc:") or version not in (b"1", b"2"):
+            if not values[0].startswith("filedesc:") or version not in (b"1", b"2"):
                 raise ValueError("not an ARC archive of version 1 or 2")
             names = ARC_FIELDS[int(version)].split(" ")
-            continue
-        if len(fields) != len(names):
-            raise ValueError(f"ARC header line has {len(fields)} fields, {len(names)} expected")
-        yield dict(zip(names, fields)), body
+        if len(values) != len(names):
+            raise ValueError(f"ARC header line has {len(values)} fields, {len(names)} expected")
+        fields = dict(zip(names, values))
+        if fields.get("Checksum", "-") not in ("-", hashlib.md5(body).hexdigest()):
+            raise ValueError(f"checksum of the ARC record at byte {at}")
+        at = stop + 1 + len(body)
+        if described or not first:
+            yield fields, body
+
+
+def typed(fields: dict[str, str], body: bytes) -> tuple[str, str, bytes, bytes, dict[str, str]]:
+    """What an ARC record becomes: WARC type, media type, HTTP head, payload and HTTP header fields."""
+    scheme = fields["URL"].partition(":")[0].lower()
+    if scheme == "filedesc":
+        about = body.decode("utf-8", "replace").split("\n")[0]
+        return "warcinfo", FIELDS_TYPE, b"", f"software: strandline\r\nformat: WARC File Format 1.1\r\ndescription: converted from ARC, {about}\r\n".encode(), {}
+    if scheme == "dns":
+        return "response", DNS_TYPE, b"", body, {}
+    if body.startswith(b"HTTP/"):
+        return "response", HTTP_TYPE, *split_http(body)
+    return "resource", fields["Content-type"], b"", body, {}
 
 
 def split_http(block: bytes) -> tuple[bytes, bytes, dict[str, str]]:
@@ -157,18 +179,18 @@ def _timestamp(arc_date: str) -> str:
 
 
 def arc_to_warc(archives: DataFrame) -> DataFrame:
-    """WARC response records (``RECORD_COLUMNS``) of ARC archives in a column ``archive``."""
+    """WARC records (``RECORD_COLUMNS``) of ARC archives in a column ``archive``, one for each of theirs."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("page_id", pa.int64()), *[(n, pa.string()) for n in ("record_id", "uri", "date", "record_type", "payload_digest")], ("payload_bytes", pa.int64()), ("http", pa.binary()), ("payload", pa.binary())])
+        schema = pa.schema([("page_id", pa.int64()), *[(n, pa.string()) for n in ("record_id", "uri", "date", "record_type", "content_type", "payload_digest")], ("payload_bytes", pa.int64()), ("http", pa.binary()), ("payload", pa.binary())])
         for batch in batches:
             for archive in batch.column(0):
                 rows = []
-                for fields, body in parse_arc(archive.as_py() or b""):
-                    http, payload, headers = split_http(body)
+                for fields, body in parse_arc(archive.as_py() or b"", described=True):
+                    kind, media, http, payload, headers = typed(fields, body)
                     named = headers.get("x-page-id", "")
                     page_id = int(named) if named else None
-                    rows.append((page_id, record_uuid(page_id, body), fields["URL"], _timestamp(fields["Archive-date"]), "response", hashlib.sha1(payload).hexdigest(), len(payload), http, payload))
+                    rows.append((page_id, record_uuid(page_id, fields["URL"].encode() + body), fields["URL"], _timestamp(fields["Archive-date"]), kind, media, hashlib.sha1(payload).hexdigest(), len(payload), http, payload))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
@@ -176,7 +198,7 @@ def arc_to_warc(archives: DataFrame) -> DataFrame:
 
 
 def mark_revisits(records: DataFrame, least_bytes: int = REVISIT_BYTES) -> DataFrame:
-    """``records`` with ``refers_to``: of equal payloads the record with the largest page id stays.
+    """``records`` with ``refers_to``: of responses with equal payloads that with the largest page id stays.
 
     Payloads are equal by SHA-1 and length. Records under ``least_bytes`` and records
     without a page id stay whole. ``records`` is read twice, so it should be settled.
@@ -185,7 +207,7 @@ def mark_revisits(records: DataFrame, least_bytes: int = REVISIT_BYTES) -> DataF
     the table is no hot spot. Rows that repeat the largest id of a group all stay responses.
     """
     groups = settle(
-        records.where((F.col("payload_bytes") >= least_bytes) & F.col("page_id").isNotNull())
+        records.where((F.col("payload_bytes") >= least_bytes) & F.col("page_id").isNotNull() & (F.col("record_type") == "response"))
         .groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("first"), F.min("page_id").alias("other"))
         .where("first != other").drop("other")
     )
@@ -197,10 +219,10 @@ def mark_revisits(records: DataFrame, least_bytes: int = REVISIT_BYTES) -> DataF
     met = (
         tested.where(hit).select(*names, again.alias("_size"))
         .join(groups.select("payload_digest", again.alias("_size"), "first"), ["payload_digest", "_size"], "left")
-        .withColumn("refers_to", F.when(F.col("page_id") != F.col("first"), F.col("first"))).select(*names, "refers_to")
+        .withColumn("refers_to", F.when((F.col("page_id") != F.col("first")) & (F.col("record_type") == "response"), F.col("first"))).select(*names, "refers_to")
     )
     alone = tested.where(~hit).select(*names, F.lit(None).cast("long").alias("refers_to"))
-    return met.unionAll(alone).withColumn("record_type", F.when(F.col("refers_to").isNotNull(), F.lit("revisit")).otherwise(F.lit("response")))
+    return met.unionAll(alone).withColumn("record_type", F.when(F.col("refers_to").isNotNull(), F.lit("revisit")).otherwise(F.col("record_type")))
 
 
 def warc_record(headers: list[tuple[str, str]], block: bytes) -> bytes:
@@ -214,19 +236,17 @@ def _base32(hex_digest: str) -> str:
 
 def serialise(record: dict) -> bytes:
     """One WARC record; a revisit keeps the HTTP head and refers to the record that has the payload."""
-    headers = [
-        ("WARC-Type", record["record_type"]),
-        ("WARC-Record-ID", f"<urn:uuid:{record['record_id']}>"),
-        ("WARC-Target-URI", record["uri"]),
-        ("WARC-Date", record["date"]),
-        ("WARC-Payload-Digest", _base32(record["payload_digest"])),
-    ]
+    headers = [("WARC-Type", record["record_type"]), ("WARC-Record-ID", f"<urn:uuid:{record['record_id']}>"), ("WARC-Date", record["date"])]
     block = record["http"]
+    if record["record_type"] == "warcinfo":
+        headers.append(("WARC-Filename", record["uri"].removeprefix("filedesc://")))
+    else:
+        headers += [("WARC-Target-URI", record["uri"]), ("WARC-Payload-Digest", _base32(record["payload_digest"]))]
     if record["record_type"] == "revisit":
         headers += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", f"<urn:uuid:{record_uuid(record['refers_to'], b'')}>")]
     else:
         block += record["payload"]
-    headers += [("WARC-Block-Digest", _base32(hashlib.sha1(block).hexdigest())), ("Content-Type", "application/http; msgtype=response")]
+    headers += [("WARC-Block-Digest", _base32(hashlib.sha1(block).hexdigest())), ("Content-Type", record["content_type"])]
     return warc_record(headers, block)
 
 
@@ -307,10 +327,10 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def read_warc(spark: SparkSession, folder: str) -> DataFrame:
-    """``page_id, uri, payload_bytes, payload_digest, record_type, refers_to, payload`` of every response or revisit.
+    """``page_id, uri, payload_bytes, payload_digest, record_type, refers_to, payload`` of every response, revisit or resource.
 
-    Block digests are verified, and payload digests of responses; a mismatch is a
-    ``ValueError``. A revisit has no payload; its size is the one its HTTP head declares.
+    Block digests are verified, and payload digests of records that have their payload; a
+    mismatch is a ``ValueError``. A revisit has no payload; its size is the one its HTTP head declares.
     """
     schema = pa.schema([("page_id", pa.int64()), ("uri", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
     plain = lambda x: base64.b32decode(x.removeprefix("sha1:")).hex()
@@ -321,16 +341,16 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
             for file in batch.column(0):
                 rows = []
                 for headers, block in chain.from_iterable(map(parse_warc, members(file.as_py()))):
-                    if headers["warc-type"] not in ("response", "revisit"):
+                    if headers["warc-type"] not in ("response", "revisit", "resource"):
                         continue
                     if hashlib.sha1(block).hexdigest() != plain(headers["warc-block-digest"]):
                         raise ValueError(f"block digest of {headers['warc-record-id']}")
-                    _, payload, http = split_http(block)
-                    digest, whole = plain(headers["warc-payload-digest"]), headers["warc-type"] == "response"
+                    _, payload, http = split_http(block) if headers["content-type"] == HTTP_TYPE else (b"", block, {})
+                    digest, whole = plain(headers["warc-payload-digest"]), headers["warc-type"] != "revisit"
                     if whole and hashlib.sha1(payload).hexdigest() != digest:
                         raise ValueError(f"payload digest of {headers['warc-record-id']}")
                     refers = headers.get("warc-refers-to")
-                    rows.append((page_of(inner(headers["warc-record-id"])), headers["warc-target-uri"], int(http["content-length"]), digest, headers["warc-type"], page_of(inner(refers)) if refers else None, payload if whole else None))
+                    rows.append((page_of(inner(headers["warc-record-id"])), headers["warc-target-uri"], len(payload) if whole else int(http["content-length"]), digest, headers["warc-type"], page_of(inner(refers)) if refers else None, payload if whole else None))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 

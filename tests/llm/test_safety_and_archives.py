@@ -76,6 +76,36 @@ def test_arc_versions(version):
         list(warc.parse_arc(data.replace(b"%d 0 strandline" % version, b"3 0 strandline")))
 
 
+@pytest.mark.parametrize("version", [1, 2])
+def test_types_of_converted_records(spark, tmp_path, version):
+    """The version block, HTTP and DNS answers and other records each become what WARC has for them."""
+    page = warc._http(5, b"<p>") + b"<p>"
+    dns, ftp = b"20240101000000\nexample.org. 300 IN A 192.0.2.1\n", b"a file \r\n\r\n of blanks"
+    data = warc.arc_head(version, "n.arc") + b"".join(warc.arc_record(version, u, b, 0, "n.arc") for u, b in (("http://a/", page), ("dns:example.org", dns), ("ftp://a/f", ftp)))
+    records = warc.arc_to_warc(spark.createDataFrame([(data,), (None,)], "archive binary"))
+    got = {r["uri"]: r for r in rows(records)}
+    told = {u: (r["record_type"], r["content_type"], r["page_id"], r["date"]) for u, r in got.items()}
+    assert told == {
+        "filedesc://n.arc": ("warcinfo", "application/warc-fields", None, "2024-01-01T00:00:00Z"), "http://a/": ("response", "application/http; msgtype=response", 5, "2024-01-01T00:00:00Z"),
+        "dns:example.org": ("response", "text/dns", None, "2024-01-01T00:00:00Z"), "ftp://a/f": ("resource", "text/html", None, "2024-01-01T00:00:00Z"),
+    }
+    assert bytes(got["dns:example.org"]["payload"]) == dns and bytes(got["ftp://a/f"]["payload"]) == ftp and bytes(got["http://a/"]["payload"]) == b"<p>"
+    assert f"ARC, {version} 0" in bytes(got["filedesc://n.arc"]["payload"]).decode()
+    warc.write_warc(warc.mark_revisits(warc.settle(records)), str(tmp_path / "w"))
+    back = {r["uri"]: (r["record_type"], r["payload_bytes"], bytes(r["payload"])) for r in rows(warc.read_warc(spark, str(tmp_path / "w")))}
+    assert back == {"http://a/": ("response", 3, b"<p>"), "dns:example.org": ("response", len(dns), dns), "ftp://a/f": ("resource", len(ftp), ftp)}
+    heads = [h for f in (tmp_path / "w").glob("part-*") for m in warc.members(f.read_bytes()) for h, _ in warc.parse_warc(m)]
+    assert [h["warc-filename"] for h in heads if "warc-filename" in h] == ["n.arc"]
+
+
+def test_checksums_of_archives_are_verified():
+    body = b"some bytes"
+    data = warc.arc_head(2, "n.arc") + warc.arc_record(2, "http://a/", body, 0, "n.arc")
+    assert len(list(warc.parse_arc(data))) == 1 and len(list(warc.parse_arc(data, described=True))) == 2
+    with pytest.raises(ValueError, match="checksum"):
+        list(warc.parse_arc(data.replace(body, b"other byte")))
+
+
 def test_bad_archives_are_refused():
     good = warc.warc_record([("WARC-Type", "response")], b"abc")
     assert len(list(warc.parse_warc(good * 2))) == 2

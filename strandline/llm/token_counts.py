@@ -11,83 +11,92 @@ before it, so the boundary context makes the count exact.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import encoder, pieces, ship_vocabulary
+from .bpe import REMEMBERED_LENGTH, ByteBPE, encoder, pieces, ship_vocabulary
 from .common import settle, whole_text
 
 BLOCK = 32
 
-TREE = ("chars", "tokens", "pieces")
 COUNTS = ("n_pretokens", "n_tokens", "n_tokens_edited", "n_reencoded")
-TREE_COLUMNS = ", ".join(f"{c} array<int>" for c in TREE)
+
+Counter = Callable[[str], int]
 
 
 class CountTree:
-    """Sums of a text as three heaps: the node k has the children 2k and 2k + 1, leaves begin at half the length.
+    """Sums of a text as three heaps, of characters, tokens and pre-tokens: the node k has the children 2k and 2k + 1, leaves begin at half the length.
 
-    ``reencoded`` counts the pre-tokens that edits had to encode.
+    The heaps are one array, which is stored as its bytes. ``reencoded`` counts the
+    pre-tokens that edits had to encode.
     """
 
-    def __init__(self, chars: Sequence[int], tokens: Sequence[int], pieces: Sequence[int]):
-        self.heaps = [list(chars), list(tokens), list(pieces)]
+    def __init__(self, heaps: np.ndarray):
+        self.heaps = heaps
         self.reencoded = 0
 
     @classmethod
-    def of(cls, text: str, pattern: regex.Pattern, count: Callable[[str], int]) -> CountTree:
-        return cls._over(cls._blocks([(len(p), count(p)) for p in pattern.findall(text)]))
+    def of(cls, text: str, pattern: regex.Pattern, count: Counter) -> CountTree:
+        found = pattern.findall(text)
+        return cls._over(cls._blocks(np.array([list(map(len, found)), list(map(count, found))], np.int32).reshape(2, -1)))
+
+    @classmethod
+    def stored(cls, data: bytes) -> CountTree:
+        return cls(np.frombuffer(data, "<i4").reshape(3, -1).copy())
+
+    def packed(self) -> bytes:
+        return self.heaps.astype("<i4").tobytes()
 
     @staticmethod
-    def _blocks(pieces: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-        parts = (pieces[k : k + BLOCK] for k in range(0, len(pieces), BLOCK))
-        return [(sum(p[0] for p in part), sum(p[1] for p in part), len(part)) for part in parts]
+    def _blocks(pieces: np.ndarray) -> np.ndarray:
+        """Leaves over pre-tokens, given as rows of characters and tokens."""
+        n = pieces.shape[1]
+        starts = np.arange(0, n, BLOCK)
+        if not n:
+            return np.zeros((3, 0), np.int32)
+        return np.vstack([np.add.reduceat(pieces, starts, axis=1), np.minimum(BLOCK, n - starts)[None]]).astype(np.int32)
 
     @classmethod
-    def _over(cls, leaves: list[tuple[int, int, int]]) -> CountTree:
-        base = 1 << max(0, len(leaves) - 1).bit_length()
-        tree = cls([0] * 2 * base, [0] * 2 * base, [0] * 2 * base)
-        for k, leaf in enumerate(leaves):
-            for heap, value in zip(tree.heaps, leaf):
-                heap[base + k] = value
-        for k in range(base - 1, 0, -1):
-            tree._sum(k)
-        return tree
-
-    def _sum(self, k: int) -> None:
-        for heap in self.heaps:
-            heap[k] = heap[2 * k] + heap[2 * k + 1]
+    def _over(cls, leaves: np.ndarray) -> CountTree:
+        n = leaves.shape[1]
+        base = 1 << max(0, n - 1).bit_length()
+        heaps = np.zeros((3, 2 * base), np.int32)
+        heaps[:, base : base + n] = leaves
+        while base > 1:
+            heaps[:, base // 2 : base] = heaps[:, base : 2 * base : 2] + heaps[:, base + 1 : 2 * base : 2]
+            base //= 2
+        return cls(heaps)
 
     @property
     def base(self) -> int:
-        return len(self.heaps[0]) // 2
+        return self.heaps.shape[1] // 2
 
     @property
     def total(self) -> int:
-        return self.heaps[1][1]
+        return int(self.heaps[1, 1])
 
     @property
     def n_pieces(self) -> int:
-        return self.heaps[2][1]
-
-    def _leaves(self) -> list[tuple[int, int, int]]:
-        return [leaf for leaf in zip(*(heap[self.base :] for heap in self.heaps)) if leaf[2]]
+        return int(self.heaps[2, 1])
 
     def _block_at(self, at: int) -> tuple[int, int]:
         """The block of the character ``at``, or the last one, and where it begins."""
-        chars, k, before = self.heaps[0], 1, 0
-        while k < self.base:
+        chars, k, before, base = self.heaps[0], 1, 0, self.base
+        while k < base:
             k *= 2
-            if at >= before + chars[k] and chars[k + 1]:
-                before += chars[k]
+            left = int(chars[k])
+            if at >= before + left and chars[k + 1]:
+                before += left
                 k += 1
-        return k - self.base, before
+        return k - base, before
 
-    def edit(self, text: str, at: int, removed: int, inserted: str, pattern: regex.Pattern, count: Callable[[str], int]) -> str:
+    def edit(self, text: str, at: int, removed: int, inserted: str, pattern: regex.Pattern, count: Counter) -> str:
         """Replace ``removed`` characters of ``text``, whose tree this is, at ``at``; returns the new text.
 
         Places and lengths beyond the text are cut to it.
@@ -96,47 +105,104 @@ class CountTree:
         removed = min(max(removed, 0), len(text) - at)
         new = text[:at] + inserted + text[at + removed :]
         shift = len(inserted) - removed
-        chars, base = self.heaps[0], self.base
-
+        base = self.base
         first, start = self._block_at(max(0, at - 2))
         while first and (start > at - 2 or text[start:at].isspace()):
             first -= 1
-            start -= chars[base + first]
+            start -= int(self.heaps[0, base + first])
         # cut the new text until a cut falls on the end of an old block behind the edit
         block, old, now, got = first, start, start, []
-        while True:
+        behind = iter(self.heaps[0, base + first :].tolist())
+        for found in pattern.finditer(new, start):
             while block < base and (old < at + removed or old + shift < now):
-                old += chars[base + block]
+                old += next(behind)
                 block += 1
-            if old >= at + removed and old + shift == now or now >= len(new):
+            if old >= at + removed and old + shift == now:
                 break
-            end = pattern.match(new, now).end()
-            got.append((end - now, count(new[now:end])))
-            now = end
+            got.append(found[0])
+            now = found.end()
         if now >= len(new):
             block = base  # the rest of the text is cut anew
         self.reencoded += len(got)
 
-        leaves = self._blocks(got)
-        if len(leaves) <= block - first:
+        leaves = self._blocks(np.array([list(map(len, got)), list(map(count, got))], np.int32).reshape(2, -1))
+        n = leaves.shape[1]
+        if n <= block - first:
             # the new blocks fit where the old ones were
-            leaves += [(0, 0, 0)] * (block - first - len(leaves))
-            for k, leaf in enumerate(leaves, base + first):
-                for heap, value in zip(self.heaps, leaf):
-                    heap[k] = value
-            above = {k // 2 for k in range(base + first, base + block)}
-            while above - {0}:
-                for k in above:
-                    self._sum(k)
-                above = {k // 2 for k in above}
+            self.heaps[:, base + first : base + first + n] = leaves
+            self.heaps[:, base + first + n : base + block] = 0
+            low, high = base + first, base + block
+            while low > 1:
+                low, high = low // 2, (high + 1) // 2
+                self.heaps[:, low:high] = self.heaps[:, 2 * low : 2 * high : 2] + self.heaps[:, 2 * low + 1 : 2 * high : 2]
         else:
-            every = list(zip(*(heap[base:] for heap in self.heaps)))
-            self.heaps = self._over([x for x in every[:first] + leaves + every[block:] if x[2]]).heaps
+            every = np.hstack([self.heaps[:, base : base + first], leaves, self.heaps[:, base + block :]])
+            self.heaps = self._over(every[:, every[2] > 0]).heaps
         return new
 
 
+#: Bytes of a generation of remembered numbers, and of an entry beside its characters.
+LENGTHS_BYTES, LENGTH_BYTES = 48 << 20, 130
+#: Pre-tokens up to so many bytes are merged by looking at all pairs; longer ones by the encoder's rank queue.
+SHORT = 48
+
+_BYTES = [bytes([b]) for b in range(256)]
+_NO_RANK = 1 << 60
+
+
+def n_tokens(data: bytes, ranks: dict[bytes, int]) -> int:
+    """Tokens of a short pre-token: the pair of the smallest rank, the first of equals, is merged until none has a rank."""
+    if data in ranks:
+        return 1
+    rank, symbols = ranks.get, [_BYTES[b] for b in data]
+    pairs = [rank(a + b, _NO_RANK) for a, b in zip(symbols, symbols[1:])]
+    while pairs and (least := min(pairs)) < _NO_RANK:
+        i = pairs.index(least)
+        symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+        del pairs[i]
+        if i:
+            pairs[i - 1] = rank(symbols[i - 1] + symbols[i], _NO_RANK)
+        if i < len(pairs):
+            pairs[i] = rank(symbols[i] + symbols[i + 1], _NO_RANK)
+    return len(symbols)
+
+
+class Lengths(dict):
+    """Numbers of tokens by pre-token, in two generations of ``most`` bytes each; looking up what is known runs no Python code."""
+
+    def __init__(self, encoder: ByteBPE, most: int = LENGTHS_BYTES):
+        self.encoder, self.most, self.held = encoder, most, 0
+        self.old: dict[str, int] = {}
+
+    def __missing__(self, piece: str) -> int:
+        n = self.old.get(piece)
+        if n is None:
+            data = piece.encode("utf-8", "replace")
+            n = n_tokens(data, self.encoder.ranks) if len(data) <= SHORT else len(self.encoder.merge(data))
+            if len(piece) > REMEMBERED_LENGTH:
+                return n
+        if self.held >= self.most:
+            self.old, self.held = dict(self), 0
+            self.clear()
+        self.held += LENGTH_BYTES + len(piece)
+        self[piece] = n
+        return n
+
+
+_lengths: dict[tuple[str, str], Lengths] = {}
+
+
+@contextmanager
+def counter(vocabulary: str, pattern: str) -> Iterator[Counter]:
+    """How many tokens a pre-token has, by the one encoder of this worker process, for the time of a task."""
+    with encoder(vocabulary, pattern) as enc:
+        if (vocabulary, pattern) not in _lengths:
+            _lengths[vocabulary, pattern] = Lengths(enc)
+        yield _lengths[vocabulary, pattern].__getitem__
+
+
 def plant(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The tree of every row: id, ``mark`` (the text's hash) and ``chars, tokens, pieces``.
+    """The tree of every row: id, ``mark`` (the text's hash) and ``tree``, the heaps' bytes.
 
     Null counts as empty, whose tree is zeros. Row by row, so repeated rows are all
     returned and an empty table gives no rows. Other columns are ignored.
@@ -145,17 +211,15 @@ def plant(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = regex.compile(pattern)
-        with encoder(vocabulary, pattern) as enc:
-            known = enc.remember
+        with counter(vocabulary, pattern) as count:
             for part in pieces(batches):
-                trees = [CountTree.of(t.as_py(), cut, lambda p: len(known[p])) for t in part.column(2)]
-                heaps = [pa.array([t.heaps[k] for t in trees], pa.list_(pa.int32())) for k in range(3)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *heaps], ["id", "mark", *TREE])
+                trees = [CountTree.of(t.as_py(), cut, count).packed() for t in part.column(2)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(trees, pa.binary())], ["id", "mark", "tree"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     text = whole_text(text_col)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, mark long, {TREE_COLUMNS}").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, f"id {kind}, mark long, tree binary").withColumnRenamed("id", id_col)
 
 
 def standard_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -182,35 +246,33 @@ def apply_edits(
     text = whole_text(text_col)
     mine = F.array_sort(F.collect_list(F.struct("seq", "at", "removed", "inserted"))).alias("edits")
     per = edits.groupBy(F.col(id_col).alias("_edited")).agg(mine)
-    known = trees.select(F.col(id_col).alias("_id"), F.col("mark").alias("_mark"), *TREE)
+    known = trees.select(F.col(id_col).alias("_id"), F.col("mark").alias("_mark"), "tree")
     # all sides are dealt by id alone, so that trees and edits are exchanged once, like texts; marks are compared within
     side = known.where("_id is not null").repartition("_id").dropDuplicates(["_id", "_mark"]).join(per, F.col("_id") == F.col("_edited"), "left").drop("_edited")
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("mark"))
     named = rows.where("id is not null").join(side, (F.col("id") == F.col("_id")) & (F.col("mark").bitwiseXOR(F.col("_mark")) == 0), "left")
     nameless = rows.where("id is null").join(known.where("_id is null").dropDuplicates(["_mark"]), F.col("mark") == F.col("_mark"), "left")
-    columns = ["id", "text", *TREE]
+    columns = ["id", "text", "tree"]
     joined = named.select(*columns, "edits").unionByName(nameless.select(*columns), allowMissingColumns=True)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = regex.compile(pattern)
-        kinds = [*([] if counts_only else [pa.string(), *[pa.list_(pa.int32())] * 3]), *[pa.int64()] * 4]
-        with encoder(vocabulary, pattern) as enc:
-            known = enc.remember
+        kinds = [*([] if counts_only else [pa.string(), pa.binary()]), *[pa.int64()] * 4]
+        with counter(vocabulary, pattern) as count:
             for part in pieces(batches):
                 out = []
-                for row in zip(*(part.column(k) for k in range(1, 6))):
-                    text, *heaps, todo = (x.as_py() for x in row)
-                    if heaps[0] is None:
+                for text, data, todo in zip(*(part.column(k).to_pylist() for k in range(1, 4))):
+                    if data is None:
                         raise ValueError("a text without a stored tree")
-                    tree = CountTree(*heaps)
+                    tree = CountTree.stored(data)
                     before = (tree.n_pieces, tree.total)
                     for e in todo or ():
-                        text = tree.edit(text, e["at"], e["removed"], e["inserted"], cut, lambda p: len(known[p]))
-                    out.append((*(() if counts_only else (text, *tree.heaps)), *before, tree.total, tree.reencoded))
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r[k] for r in out], t) for k, t in enumerate(kinds))], ["id", *([] if counts_only else ["text", *TREE]), *COUNTS])
+                        text = tree.edit(text, e["at"], e["removed"], e["inserted"], cut, count)
+                    out.append((*(() if counts_only else (text, tree.packed())), *before, tree.total, tree.reencoded))
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r[k] for r in out], t) for k, t in enumerate(kinds))], ["id", *([] if counts_only else ["text", "tree"]), *COUNTS])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    whole = "" if counts_only else f"text string, {TREE_COLUMNS}, "
+    whole = "" if counts_only else "text string, tree binary, "
     updated = joined.mapInArrow(run, f"id {kind}, {whole}{', '.join(f'{c} long' for c in COUNTS)}")
     return updated.withColumnRenamed("id", id_col)
 

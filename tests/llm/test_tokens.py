@@ -77,7 +77,7 @@ def test_counts_follow_random_edits(own, library):
             at, n = rng.randint(0, len(text)), rng.choice([0, 1, 5, 400, 10**6])
             new = "".join(rng.choice(PARTS) for _ in range(rng.choice([0, 1, 4, 600])))
             want = edited(text, [(at, n, new)])
-            tree = token_counts.CountTree(*tree.heaps)  # as read from a table
+            tree = token_counts.CountTree.stored(tree.packed())  # as read from a table
             text = tree.edit(text, at, n, new, cut, count)
             assert text == want and tree.total == len(library.encode_ordinary(text)), (trial, at, n, new)
             assert tree.heaps[0][1] == len(text) and tree.n_pieces == len(cut.findall(text))
@@ -85,6 +85,16 @@ def test_counts_follow_random_edits(own, library):
                 assert all(heap[k] == heap[2 * k] + heap[2 * k + 1] for k in range(1, tree.base))
 
 
+def test_numbers_of_tokens_by_pre_token(own, library):
+    """Short and long pre-tokens, remembered in generations that turn over."""
+    rng = random.Random(9)
+    lengths = token_counts.Lengths(own, most=2_000)
+    for _ in range(3000):
+        piece = "".join(rng.choice(PARTS) for _ in range(rng.choice([1, 1, 2, 5, 40])))
+        assert lengths[piece] == len(own.merge(piece.encode())), piece
+    assert lengths.held <= 2_000 + token_counts.LENGTH_BYTES + 100 and lengths["the"] == len(library.encode_ordinary("the"))
+
+
 def test_edits_encode_little(own):
     text, cut, count = "some words of text " * 20_000, regex.compile(PATTERN), lambda p: len(own.remember[p])
     tree = token_counts.CountTree.of(text, cut, count)
@@ -125,8 +135,8 @@ def test_stored_trees_take_a_table_of_edits(spark, library):
         got = rows(out)
         for i, _, at, n, new in todo:
             now[i] = edited(now[i], [(min(at, len(now[i])), n, new)])
-        assert all(r["n_tokens_edited"] == len(library.encode_ordinary(r["text"])) == r["tokens"][1] for r in got)
+        assert all(r["n_tokens_edited"] == len(library.encode_ordinary(r["text"])) == token_counts.CountTree.stored(r["tree"]).total for r in got)
         assert len(got) == 32 and all(r["text"] == now[r["doc_id"]] for r in got if r["doc_id"] != 7)
         assert all(r["n_reencoded"] == 0 for r in got if r["doc_id"] % 2)
         table = spark.createDataFrame([(r["doc_id"], r["text"]) for r in got], "doc_id long, text string")
-        trees = out.select("doc_id", F.xxhash64("text").alias("mark"), *token_counts.TREE)
+        trees = out.select("doc_id", F.xxhash64("text").alias("mark"), "tree")

@@ -1,3 +1,4 @@
+import hashlib
 import math
 from pathlib import Path
 
@@ -32,12 +33,47 @@ def test_query_matches_its_sql(spark, name):
     assert sorted((tuple(plain(r[n]) for n in names) for r in df.collect()), key=repr) == sorted((tuple(plain(r[at[n]]) for n in names) for r in found.fetchall()), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.queries()) - set(sql.oracle_sql()) - {"op6_licenses"}))
+@pytest.mark.parametrize("name", sorted(set(queries.queries()) - set(sql.oracle_sql()) - {"op6_licenses", "op13_whitening"}))
 def test_query_has_a_row_per_document(spark, name):
     got = queries.queries()[name](spark, str(DATA))
     assert sorted(r["doc_id"] for r in got.select("doc_id").collect()) == sorted(r["doc_id"] for r in table(spark, str(DATA), "documents").select("doc_id").collect())
 
 
+def test_whitening_of_the_whole_table(spark):
+    got = rows(queries.queries()["op13_whitening"](spark, str(DATA)))
+    own = table(spark, str(DATA), "embeddings").orderBy("vec_id").collect()
+    x = np.floor(1024 * np.array([r["embedding"] for r in own], np.float32).astype(float)) + 100_000
+    c = x - x.mean(axis=0)
+    e, axes = np.linalg.eigh(c.T @ c / len(x))
+    white = np.abs(c @ axes[:, ::-1][:, :8] / np.sqrt(e[::-1][:8]))
+    place = {r["vec_id"]: k for k, r in enumerate(own)}
+    assert len(got) == 8 * len(own) and all(abs(abs(r["whitened"]) - white[place[r["vec_id"]], r["component"] - 1]) < 1e-8 and r["identity_error"] < 1e-4 for r in got)
+
+
+@pytest.mark.parametrize("sf, recall, wrong", [("sf0.01", 0.83, 0), ("sf0.1", 0.93, 1)])
+def test_toxicity_on_held_out_labels(spark, sf, recall, wrong):
+    """The shares that the README states, on labels of rows that nothing was learned from."""
+    folder = str(DATA.parent / sf)
+    told = {r["doc_id"]: r for r in rows(queries.queries()["op10_toxicity"](spark, folder)) if r["held_out"]}
+    labels = [(told[r["doc_id"]]["predicted"], r["toxic"]) for r in rows(table(spark, folder, "labels")) if r["doc_id"] in told and r["toxic"] is not None]
+    toxic = [p for p, y in labels if y == 1]
+    assert sum(toxic) >= recall * len(toxic) and sum(p for p, y in labels if y == 0) <= wrong
+
+
+def test_personal_data_of_the_whole_table(spark):
+    """Base matches by the plain patterns, and no base span missing among all."""
+    from test_search_personal_whitening import brute_base
+
+    texts = {r["doc_id"]: r["text"] or "" for r in rows(table(spark, str(DATA), "documents"))}
+    found = 0
+    for r in rows(queries.queries()["op12_pii"](spark, str(DATA))):
+        base = brute_base(texts[r["doc_id"]])
+        assert r["base_sha256"] == hashlib.sha256(base.encode()).hexdigest() and set(filter(None, base.split(","))) <= set(r["spans"].split(","))
+        assert [r[f"n_{k}"] for k in ("email", "ip", "card", "phone")] == [base.count(f"{k}:") for k in ("email", "ip", "card", "phone")]
+        found += bool(base)
+    assert found
+
+
 def test_pipeline_against_brute_force(spark):
     """Each stage by its plain definition, one after the other."""
     docs = {r["doc_id"]: r for r in rows(table(spark, str(DATA), "documents"))}

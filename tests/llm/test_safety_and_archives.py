@@ -367,3 +367,15 @@ def test_hundreds_of_long_templates(spark):
     got = {(r["doc_id"], r["license"]) for r in rows(licenses.scan(docs(spark, data), texts))}
     assert got == {(k, f"t{k * 7}") for k in range(40)}  # two halves in two rows of an id aren't a whole
     assert licenses.scan(docs(spark, data), spark.createDataFrame([], "license string, words string")).count() == 0
+
+
+def test_labelled_ids_that_repeat_are_learned_once(spark):
+    """A labelled id that many rows repeat brings one of them, the same whatever the partitions."""
+    own = [(k, f"row {k} of plain words and {'awful idiot' if k % 2 else 'nice people'} number{k * k}") for k in range(120)] + [(3, f"other text {k}") for k in range(300)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(120)], "doc_id long, toxic int")
+    frame = docs(spark, own)
+    sample, _ = toxicity._sample(frame, labels, 1000, "doc_id", "text")
+    ids = [r["id"] for r in sample.collect()]
+    assert len(ids) == len(set(ids)) and 3 in ids or toxicity.HELD_OUT == zlib.crc32(b"3") % 3
+    one, other = (toxicity.fit(frame.repartition(n), labels) for n in (3, 8))
+    assert one.weights == other.weights and one.bias == other.bias

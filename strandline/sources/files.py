@@ -13,6 +13,8 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
+from pyspark.sql import DataFrame
+
 
 def plain(path: str | Path) -> str:
     """A path without ``file:``; other URIs as they are."""
@@ -23,6 +25,11 @@ def _is_uri(path: str) -> bool:
     return "://" in path
 
 
+def dealt(listed: DataFrame) -> DataFrame:
+    """Names of files over as many tasks as there are cores, several each: rows are small, but what they name is opened."""
+    return listed.repartition(4 * listed.sparkSession.sparkContext.defaultParallelism)
+
+
 @contextmanager
 def opened(path: str | Path) -> Iterator:
     """A readable, seekable file."""

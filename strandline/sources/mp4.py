@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .files import opened
+from .files import dealt, opened
 from .frames import Range
 
 INDEX = "path string, frame_idx long, offset long, size long, ticks long, shown long, keyframe boolean"
@@ -159,7 +159,7 @@ def sample_index(files: DataFrame) -> DataFrame:
                     values = [got.offset, got.size, got.ticks, got.shown, got.keyframe]
                     yield pa.RecordBatch.from_arrays([pa.array([path] * (part.stop - a)), pa.array(np.arange(a, part.stop)), *(pa.array(v[part]) for v in values)], names)
 
-    return files.select("path").mapInArrow(run, INDEX)
+    return dealt(files.select("path")).mapInArrow(run, INDEX)
 
 
 #: Frames of samples, in order: each sample's bytes in, an array out.

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import stem
 from . import mp4
-from .files import opened
+from .files import dealt, opened
 
 # How recordings are named; a fixed value of the data format.
 PATTERN = "session-*_cuttle-*.mp4"
@@ -32,8 +32,10 @@ def listing(spark: SparkSession, folder: str | Path, pattern: str) -> list[str]:
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(path) or not fs.getFileStatus(path).isDirectory():
         raise FileNotFoundError(f"no such directory: {folder}")
-    found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(path, pattern)) or []
-    return sorted(f.getPath().toString().removeprefix("file:") for f in found)
+    if fs.getScheme() == "file":
+        # in Python: asking the JVM for every name takes longer than listing them
+        return sorted(str(p) for p in Path(path.toUri().getPath()).glob(pattern))
+    return sorted(f.getPath().toString() for f in fs.globStatus(jvm.org.apache.hadoop.fs.Path(path, pattern)) or [])
 
 
 def find_videos(spark: SparkSession, folder: str | Path) -> DataFrame:
@@ -66,7 +68,7 @@ def blank_indices(spark: SparkSession, files: DataFrame) -> DataFrame:
                 if found:
                     yield pd.DataFrame({"stem": name, "frame_idx": found})
 
-    return files.select("path", "stem").mapInPandas(run, "stem string, frame_idx long")
+    return dealt(files.select("path", "stem")).mapInPandas(run, "stem string, frame_idx long")
 
 
 def probe_mp4(path: str) -> Info:
@@ -97,4 +99,4 @@ def video_info(videos: DataFrame) -> DataFrame:
                 rows.append((p, *probe(p)))
             yield pd.DataFrame(rows, columns=["path", "n_frames", "fps", "width", "height"])
 
-    return videos.select("path").mapInPandas(run, "path string, n_frames long, fps double, width int, height int")
+    return dealt(videos.select("path")).mapInPandas(run, "path string, n_frames long, fps double, width int, height int")

@@ -53,6 +53,23 @@ def _latest(c: str, order, back: int = 0) -> Column:
     return F.last(c, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -back))
 
 
+def _pieces(df: DataFrame, key: Sequence[str], index: str, rows: int) -> DataFrame:
+    """``_piece``: the series of each row (``k0``, ...) and which stretch of ``rows`` positions it is in (``chunk``).
+
+    One column rather than several, so that series without a name meet in joins too.
+    """
+    return df.withColumn("_piece", F.struct(*[F.col(k).alias(f"k{n}") for n, k in enumerate(key)], F.floor(F.col(index) / rows).cast("long").alias("chunk")))
+
+
+def _told(rows: DataFrame, summary: DataFrame) -> DataFrame:
+    """``rows`` beside what the one row of their ``_piece`` in ``summary`` says.
+
+    Rows are always dealt out by piece: were they broadcast, where a table seems small, all
+    of them would meet the summary in the one task that made it.
+    """
+    return rows.join(summary.hint("shuffle_hash"), "_piece", "left")
+
+
 def fill_gaps(
     df: DataFrame,
     key: Sequence[str],
@@ -73,30 +90,34 @@ def fill_gaps(
     known = F.when(ok, F.struct(F.col(index).alias("i"), *[F.col(v).cast("double").alias(v) for v in values]))
     rows = df.withColumn("_known", known)
     if chunk_rows:
-        rows = rows.withColumn("_chunk", F.floor(F.col(index) / chunk_rows).cast("long"))
-        ends = rows.groupBy(*key, "_chunk").agg(
-            F.max_by("_known", F.when(ok, F.col(index))).alias("_last"), F.min_by("_known", F.when(ok, F.col(index))).alias("_first")
+        rows = _pieces(rows, key, index, chunk_rows)
+        i, x = F.when(ok, F.col(index)), lambda v: F.col(v).cast("double")
+        # column by column, as an aggregate of structs would sort all rows
+        ends = rows.groupBy("_piece").agg(
+            F.max(i).alias("_last_i"), *[F.max_by(x(v), i).alias(f"_last_{k}") for k, v in enumerate(values)],
+            F.min(i).alias("_first_i"), *[F.min_by(x(v), i).alias(f"_first_{k}") for k, v in enumerate(values)],
         )
-        carried = ends.select(
-            *key, "_chunk",
-            _latest("_last", W.partitionBy(*key).orderBy("_chunk"), 1).alias("_carry_before"),
-            _latest("_first", W.partitionBy(*key).orderBy(F.col("_chunk").desc()), 1).alias("_carry_after"),
+        end = lambda at: F.when(F.col(f"{at}_i").isNotNull(), F.struct(F.col(f"{at}_i").alias("i"), *[F.col(f"{at}_{k}").alias(v) for k, v in enumerate(values)]))
+        line, chunk = W.partitionBy(*[f"_piece.k{k}" for k in range(len(key))]), F.col("_piece.chunk")
+        carried = ends.select("_piece", end("_last").alias("_last"), end("_first").alias("_first")).select(
+            "_piece",
+            _latest("_last", line.orderBy(chunk), 1).alias("_carry_before"),
+            _latest("_first", line.orderBy(chunk.desc()), 1).alias("_carry_after"),
         )
-        rows = rows.join(carried, [*key, "_chunk"])
-        key = [*key, "_chunk"]
+    by = ["_piece"] if chunk_rows else key
     # the later neighbour first, so that what follows finds the rows in ascending order
-    after = _latest("_known", W.partitionBy(*key).orderBy(F.col(index).desc()))
-    before = _latest("_known", W.partitionBy(*key).orderBy(index))
-    if chunk_rows:
-        before, after = F.coalesce(before, F.col("_carry_before")), F.coalesce(after, F.col("_carry_after"))
-        key = key[:-1]
+    after = _latest("_known", W.partitionBy(*by).orderBy(F.col(index).desc()))
+    before = _latest("_known", W.partitionBy(*by).orderBy(index))
     placed = rows.withColumn("_after", after).withColumn("_before", before)
+    if chunk_rows:
+        # told last, so that what is sorted stays narrow
+        placed = _told(placed, carried).withColumns({c: F.coalesce(c, f"_carry{c}") for c in ("_before", "_after")})
     filled = {v: _lerp(F.col(index), F.col("_before"), F.col("_after"), v) for v in values}
     if on_empty == "raise":
         none = F.col("_before").isNull() & F.col("_after").isNull()
         message = F.concat(F.lit("no valid row in series "), F.to_json(F.struct(*key)))
         filled = {v: F.when(none, F.raise_error(message).cast("double")).otherwise(c) for v, c in filled.items()}
-    return placed.withColumns({**filled, flag: F.col("_known").isNull()}).drop("_known", "_before", "_after", "_chunk", "_carry_before", "_carry_after")
+    return placed.withColumns({**filled, flag: F.col("_known").isNull()}).drop("_known", "_before", "_after", "_piece", "_carry_before", "_carry_after")
 
 
 def fill_pose(df: DataFrame, key: Sequence[str], index: str, threshold: float = 0.9, flag: str = "is_interpolated", **options) -> DataFrame:

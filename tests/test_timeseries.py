@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline.operators import timeseries as ts
+from strandline.plans import registry
 
 
 def series(spark, values, video="a"):
@@ -129,6 +130,42 @@ def test_long_series_take_time_in_proportion(spark, chunk):
     assert seconds(40_000) < 5 and seconds(80_000) < 10
 
 
+def in_partitions(df):
+    """All rows, and how many are in the fullest partition."""
+    rows = df.withColumn("_partition", F.spark_partition_id()).toPandas()
+    return rows, rows.groupby("_partition").size().max()
+
+
+@pytest.fixture
+def orders(spark, tmp_path):
+    """120,000 orders with keys that begin at 7 and skip a stretch; every third one is missing as a value."""
+    n = F.col("id")
+    key = n + 7 + F.when(n >= 50_000, 1_000_000).otherwise(0)
+    spark.range(120_000).select(key.alias("o_orderkey"), (n * 7919 % 1009 * 1.0).alias("o_totalprice"), F.when(n % 3 == 0, "F").otherwise("O").alias("o_orderstatus")).write.parquet(f"{tmp_path}/orders.parquet")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield str(tmp_path)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+
+
+def test_no_task_fills_a_whole_long_series(spark, orders):
+    out = registry.queries()["ts_gap_fill_long"](spark, orders)
+    rows = spark.read.parquet(f"{orders}/orders.parquet").orderBy("o_orderkey").toPandas()
+    good = (rows.o_orderstatus != "F").to_numpy()
+    want = np.interp(rows.o_orderkey, rows.o_orderkey[good], rows.o_totalprice[good])
+    got, most = in_partitions(out)
+    got = got.sort_values("frame_idx")
+    assert (got.frame_idx.to_numpy() == rows.o_orderkey.to_numpy()).all()
+    assert np.allclose(got.filled, want, atol=1e-4) and (got.is_interpolated.to_numpy() == ~good).all()
+    assert most < len(rows)
+
+
+def test_chunks_keep_series_without_a_name(spark):
+    df = spark.createDataFrame([(v, i, None if i in (2, 3) else float(i)) for v in (None, "b") for i in range(6)], "video string, frame_idx long, x double")
+    got = ts.fill_gaps(df, ["video"], "frame_idx", ["x"], chunk_rows=2).collect()
+    assert sorted((str(r["video"]), r["frame_idx"], r["x"]) for r in got) == sorted((v, i, float(i)) for v in ("None", "b") for i in range(6))
+
+
 def test_changes_flags_and_modes(spark):
     df = spark.createDataFrame([("a", 0, 0.0), ("a", 1, 1.0), ("a", 2, 9.0), ("a", 3, None), ("a", 4, 9.0), ("b", 5, 3.0)], "video string, frame_idx long, x double")
     assert sorted((r["video"], r["frame_idx"]) for r in ts.changed_subsample(df, ["video"], "frame_idx", ["x"], 5.0).collect()) == [("a", 0), ("a", 2), ("b", 5)]

@@ -36,6 +36,17 @@ def number_rows(df: DataFrame, key: Sequence[str], order: Sequence[str], out: st
     return df.withColumn(out, (F.row_number().over(w) - 1).cast("long"))
 
 
+def number_long(df: DataFrame, key: Sequence[str], index: str, piece_rows: int, out: str) -> DataFrame:
+    """``number_rows`` by a numeric index for series that outgrow a task: rows are numbered within pieces of so many
+    positions, after all rows of the pieces before. ``df`` is read twice."""
+    rows = _pieces(df, key, index, piece_rows)
+    line = W.partitionBy(*[f"_piece.k{k}" for k in range(len(key))]).orderBy("_piece.chunk")
+    counts = rows.groupBy("_piece").agg(F.count("*").alias("_n"))
+    before = counts.select("_piece", F.coalesce(F.sum("_n").over(line.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_rows_before"))
+    place = F.row_number().over(W.partitionBy("_piece").orderBy(index)) - 1
+    return _told(rows.withColumn(out, place), before).withColumn(out, (F.col(out) + F.col("_rows_before")).cast("long")).drop("_piece", "_rows_before")
+
+
 def _lerp(i: Column, before: Column, after: Column, c: str) -> Column:
     slope = (after[c] - before[c]) / (after["i"] - before["i"])
     return (
@@ -139,15 +150,21 @@ def _in_chunks(df: DataFrame, key: Sequence[str], index: str, margin: int, chunk
 
 def rolling_median(
     df: DataFrame, key: Sequence[str], index: str, values: Sequence[str], window: int = MEDIAN_WINDOW, suffix: str = "", chunk_rows: int | None = None,
+    piece_rows: int | None = None,
 ) -> DataFrame:
     """Centred rolling median; the window is cut at the ends, an even one reaches one row further back.
 
     ``chunk_rows`` needs ``index`` to count rows from 0. Windows of more than WIDE rows slide
-    over chunks in any case, in time that grows with the logarithm of the window.
+    over chunks in any case, in time that grows with the logarithm of the window. ``piece_rows``
+    takes any numeric index: a series that outgrows a task is numbered by pieces of so many
+    positions, and then chunked.
     """
     if window < 1:
         raise ValueError("window must be at least 1")
     back, ahead = window // 2, (window - 1) // 2
+    if piece_rows:
+        numbered = number_long(df, key, index, piece_rows, "_place")
+        return rolling_median(numbered, key, "_place", values, window, suffix, chunk_rows or max(CHUNK_ROWS, CHUNK_WINDOWS * window)).drop("_place")
     if window > WIDE:
         return _wide_median(df, key, index, values, back, ahead, suffix, chunk_rows)
     rows, keep = df, None

@@ -160,6 +160,35 @@ def test_no_task_fills_a_whole_long_series(spark, orders):
     assert most < len(rows)
 
 
+def test_no_task_numbers_a_whole_long_series(spark, orders):
+    out = registry.queries()["ts_roll_median1001"](spark, orders)
+    rows = spark.read.parquet(f"{orders}/orders.parquet").orderBy("o_orderkey").toPandas()
+    value = rows.o_totalprice.where(rows.o_orderstatus != "F")
+    want = value.rolling(1001, center=True, min_periods=1).median()
+    got, _ = in_partitions(out)
+    got = got.sort_values("frame_idx")
+    assert (got.frame_idx.to_numpy() == rows.o_orderkey.to_numpy()).all()
+    assert np.allclose(got.smooth, want, atol=1e-4)
+    s = spark.read.parquet(f"{orders}/orders.parquet").select(F.lit(0).alias("k"), F.col("o_orderkey").alias("t"))
+    numbered, most = in_partitions(ts.number_long(s, ["k"], "t", ts.CHUNK_ROWS, "at"))
+    assert numbered.sort_values("t")["at"].tolist() == list(range(len(rows))) and most < len(rows)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "row_number() windowspecdefinition(_piece" in plan
+
+
+@pytest.mark.parametrize("window", [4, 101])
+def test_medians_by_pieces(spark, window):
+    """Positions below 0 and far apart, and a series without a name."""
+    rng = np.random.default_rng(4)
+    at = sorted({int(v) for v in rng.integers(-900, 900, 300)} | {10**9, 10**9 + 1})
+    rows = [(v, t, float(rng.integers(0, 9))) for v in (None, "b") for t in at]
+    got = ts.rolling_median(spark.createDataFrame(rows, "video string, t long, x double"), ["video"], "t", ["x"], window, piece_rows=50)
+    assert got.columns == ["video", "t", "x"]
+    for v in (None, "b"):
+        want = pd.Series([x for w, _, x in rows if w == v]).rolling(window, center=True, min_periods=1).median()
+        assert [r["x"] for r in got.where(F.col("video").eqNullSafe(v)).orderBy("t").collect()] == want.tolist()
+
+
 def test_chunks_keep_series_without_a_name(spark):
     df = spark.createDataFrame([(v, i, None if i in (2, 3) else float(i)) for v in (None, "b") for i in range(6)], "video string, frame_idx long, x double")
     got = ts.fill_gaps(df, ["video"], "frame_idx", ["x"], chunk_rows=2).collect()

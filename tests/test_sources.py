@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline import cli
-from strandline.sources import encoders, files, frames, sinks, tables, videos
+from strandline.plans import registry
+from strandline.sources import encoders, files, frames, mp4, sinks, tables, videos
 from strandline.schema import CORNERS
 
 
@@ -246,3 +247,34 @@ def test_stacks_of_frames(spark, tmp_path):
     with pytest.raises(Exception, match="differ in size"):
         sinks.save_stacks(odd, tmp_path / "odd")
     assert os.listdir(tmp_path / "odd") == []
+
+
+def test_names_are_listed_by_the_executors(spark, tmp_path, monkeypatch):
+    for k in range(6):
+        (tmp_path / f"{k % 2}").mkdir(exist_ok=True)
+        (tmp_path / f"{k % 2}" / f"session-1_cuttle-{k}.mp4").write_bytes(registry._mp4(k, k))
+    monkeypatch.setattr(videos, "listing", None)
+    found = videos.find_videos(spark, [tmp_path / "0", f"file:{tmp_path}/1"])
+    assert sorted(r["stem"] for r in found.collect()) == [f"session-1_cuttle-{k}" for k in range(6)]
+    assert mp4.sample_index(found).count() == sum(range(6))
+    assert videos.find_videos(spark, []).count() == 0
+
+
+def test_a_task_fills_its_own_folder(tmp_path):
+    def fill(text):
+        with files.filled(f"{tmp_path}/a") as folder:
+            with files.created(f"{folder}/x") as f:
+                f.write(text)
+
+    fill(b"one")
+    fill(b"two")
+    with pytest.raises(RuntimeError), files.filled(f"{tmp_path}/b"):
+        raise RuntimeError
+    assert os.listdir(tmp_path) == ["a"] and (tmp_path / "a" / "x").read_bytes() == b"one"
+
+
+def test_an_outline_is_what_the_samples_say(tmp_path):
+    for n in (0, 1, 5, 8, 49):
+        (tmp_path / "a.mp4").write_bytes(registry._mp4(n, n))
+        got = mp4.samples(str(tmp_path / "a.mp4"))
+        assert mp4.outline(str(tmp_path / "a.mp4")) == (len(got), got.rate, got.width, got.height)

@@ -59,5 +59,5 @@ def write_pose(pose: DataFrame, folder: str | Path) -> None:
 
 
 def write_manifest(manifest: DataFrame, path: str | Path) -> None:
-    """Overwrite the manifest as Parquet; one row per recording, so one part."""
-    manifest.coalesce(1).write.mode("overwrite").parquet(str(path))
+    """Overwrite the manifest as Parquet, in as many parts as it was made in."""
+    manifest.write.mode("overwrite").parquet(str(path))

@@ -278,3 +278,8 @@ def test_an_outline_is_what_the_samples_say(tmp_path):
         (tmp_path / "a.mp4").write_bytes(registry._mp4(n, n))
         got = mp4.samples(str(tmp_path / "a.mp4"))
         assert mp4.outline(str(tmp_path / "a.mp4")) == (len(got), got.rate, got.width, got.height)
+
+
+def test_a_manifest_is_written_by_all_its_tasks(spark, tmp_path):
+    tables.write_manifest(spark.range(30).repartition(3), tmp_path / "m")
+    assert len(list((tmp_path / "m").glob("part-*"))) == 3 and spark.read.parquet(str(tmp_path / "m")).count() == 30

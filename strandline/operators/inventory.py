@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import name_part, stem
@@ -41,7 +41,17 @@ def with_companions(left: DataFrame, files: DataFrame, counts: DataFrame, key: s
 
 def out_of_range(manifest: DataFrame) -> DataFrame:
     """Warnings where the largest listed index isn't in the video; negative ones aren't looked at."""
-    return manifest.where("largest >= n_frames").select("path", F.format_string("index %d outside %d frames", "largest", "n_frames").alias("warning"))
+    return manifest.where("largest >= n_frames").select("path", _outside().alias("warning"))
+
+
+def _outside() -> Column:
+    return F.format_string("index %d outside %d frames", "largest", "n_frames")
+
+
+def companion_warnings(manifest: DataFrame) -> DataFrame:
+    """Warnings where a video has no companion, and those of ``out_of_range``, in one pass."""
+    found = F.array(F.when(F.col("companion").isNull(), F.lit("no blank-frames file")), F.when(F.expr("largest >= n_frames"), _outside()))
+    return manifest.select("path", F.explode(F.array_compact(found)).alias("warning"))
 
 
 def missing(left: DataFrame, existing: DataFrame, key: str = "stem") -> DataFrame:

@@ -45,16 +45,18 @@ class Settings:
         return round(self.aspect * self.height), self.height
 
 
-def build_manifest(spark: SparkSession, folder: str | Path) -> tuple[DataFrame, DataFrame]:
-    """(manifest, warnings) of the recordings in ``folder``; an empty folder gives an empty table of the same schema."""
-    named = inv.parse_names(videos.find_videos(spark, folder))
+def build_manifest(spark: SparkSession, folders: videos.Folders) -> tuple[DataFrame, DataFrame]:
+    """(manifest, warnings) of the recordings in ``folders``; empty ones give an empty table of the same schema.
+
+    Each of the two opens every recording once.
+    """
+    named = inv.parse_names(videos.find_videos(spark, folders))
     good = named.where("session_id is not null")
-    lists = videos.blank_files(spark, folder)
+    lists = videos.blank_files(spark, folders)
     counts = inv.count_per_key(videos.blank_indices(spark, lists), "stem", "frame_idx")
     full = inv.with_companions(good, lists, counts).join(videos.video_info(good), "path")
     manifest = inv.as_manifest(full.withColumns({"video_path": F.col("path"), "blank_frames_path": F.col("companion")})).orderBy("video_path")
-    without = full.where("companion is null").select("path", F.lit("no blank-frames file").alias("warning"))
-    return manifest, inv.unexpected_names(named).union(without).union(inv.out_of_range(full))
+    return manifest, inv.unexpected_names(named).union(inv.companion_warnings(full))
 
 
 def _points(pose: DataFrame, on_empty: str) -> DataFrame:

@@ -248,3 +248,11 @@ def test_digests_are_of_blocks(spark, tmp_path):
     got = {r["path"].split("/")[-1]: r["digest"] for r in results.digests(spark, [tmp_path / "a", tmp_path / "b"], block_bytes=3).collect()}
     of = lambda *parts: hashlib.sha256("".join(hashlib.sha256(p).hexdigest() for p in parts).encode()).hexdigest()
     assert got == {"a": of(b"abc", b"def", b"g"), "b": of(b"")}
+
+
+def test_warnings_open_every_recording_once(spark, tmp_path):
+    mp4(tmp_path / "session-1_cuttle-1.mp4")
+    _, warnings = pipelines.build_manifest(spark, tmp_path)
+    plan = warnings._jdf.queryExecution().executedPlan().toString()
+    assert sum("MapInPandas" in line and "fps" in line for line in plan.split("\n")) == 1
+    assert [tuple(r) for r in warnings.collect()] == [(f"{tmp_path}/session-1_cuttle-1.mp4", "no blank-frames file")]

@@ -6,6 +6,10 @@ posting the document's place in the shard and its impact, a whole number that ha
 term's frequency and the document's length in it. What depends on all documents, the
 terms' weights, joins at search time, so an index is written in one pass over the texts.
 
+Spark holds a group of rows of a file at once, both to write and to read it, so a shard
+is a group of its own, and its numbers are bytes, where an array's would each have two
+levels beside them. A task then needs room for one shard, however many it writes or reads.
+
 A search goes through every shard's terms one at a time, adding weight times impact into
 a dense array of scores, a slot per document; the best of a shard are picked by
 partition, ties at the edge included, and cut by id. A task merges the shards that it
@@ -20,6 +24,7 @@ import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +37,7 @@ from pyspark.sql import types as T
 from .common import in_small_batches, settle
 
 BEST = 10
-#: Postings and documents at which a shard is closed.
+#: Postings and documents at which a shard is closed; a document's place has 16 bits.
 SHARD_POSTINGS, SHARD_DOCS = 1 << 19, 1 << 16
 #: Terms of one block of queries; a query with more is a block of its own.
 BLOCK_TERMS = 1 << 18
@@ -95,11 +100,10 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
 
         def shard() -> pa.RecordBatch:
             terms = sorted(places)
-            counts = np.array([len(places[t]) // 2 for t in terms], np.int64)
-            flat = np.fromiter((v for t in terms for v in places[t]), np.int64, 2 * held).reshape(-1, 2)
-            row = [len(ids), ids, terms, np.concatenate([[0], counts.cumsum()]).astype(np.int32), flat[:, 0].astype(np.int32), flat[:, 1].astype(np.int32)]
-            kinds = [pa.int32(), *(pa.list_(k) for k in (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32()))]
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], SHARD.names)
+            counts = [len(places[t]) // 2 for t in terms]
+            flat = np.fromiter((v for t in terms for v in places[t]), np.int32, 2 * held).reshape(-1, 2)
+            row = [ids, b"".join(terms), _from_0(map(len, terms)), _from_0(counts), flat[:, 0].astype(PLACE).tobytes(), flat[:, 1].astype(WHOLE).tobytes()]
+            return pa.RecordBatch.from_arrays([pa.array([v], pa.list_(pa.int64()) if v is ids else pa.binary()) for v in row], SHARD.names)
 
         for b in _small(batches):
             for doc, text in zip(b.column(0).to_pylist(), _bytes(b.column(1))):
@@ -118,14 +122,30 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
         if ids:
             yield shard()
 
-    return Index(settle(rows.mapInArrow(run, SHARD)), n_docs, n_terms)
+    return Index(settle(rows.mapInArrow(run, SHARD), options=ROW_BY_ROW), n_docs, n_terms)
+
+
+#: ``terms`` one after the other, in order, term k beginning at ``starts[k]``. ``docs`` and
+#: ``impacts`` are the postings, those of term k beginning at ``begins[k]``. Whole numbers
+#: of the kind PLACE in ``docs`` and of WHOLE elsewhere.
+SHARD = T.StructType([T.StructField("ids", T.ArrayType(T.LongType())), *(T.StructField(c, T.BinaryType()) for c in ("terms", "starts", "begins", "docs", "impacts"))])
+PLACE, WHOLE = np.dtype("<u2"), np.dtype("<i4")
+#: A row is a group of its own; dictionaries and bounds of its bytes would serve nobody.
+ROW_BY_ROW = {"parquet.block.row.count.limit": "1", "parquet.enable.dictionary": "false", "parquet.column.statistics.enabled": "false"}
+
+
+def _from_0(lengths: Iterable[int]) -> bytes:
+    """Where each begins and the last ends of what is so long."""
+    return np.array([0, *accumulate(lengths)], WHOLE).tobytes()
+
+
+def _numbers(value: pa.BinaryScalar, kind: np.dtype = WHOLE) -> np.ndarray:
+    return np.frombuffer(value.as_buffer(), kind)
 
 
-#: ``docs`` and ``impacts`` are the postings; those of ``terms[k]`` begin at ``begins[k]``.
-SHARD = T.StructType([
-    T.StructField("n", T.IntegerType()), T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("terms", T.ArrayType(T.BinaryType())),
-    T.StructField("begins", T.ArrayType(T.IntegerType())), T.StructField("docs", T.ArrayType(T.IntegerType())), T.StructField("impacts", T.ArrayType(T.IntegerType())),
-])
+def _terms(terms: pa.BinaryScalar, starts: pa.BinaryScalar) -> pa.Array:
+    offsets = starts.as_buffer()
+    return pa.Array.from_buffers(pa.binary(), offsets.size // WHOLE.itemsize - 1, [None, offsets, terms.as_buffer()])
 
 
 def impact(tf: int, m: int) -> int:
@@ -174,20 +194,20 @@ def _blocks(queries: DataFrame, id_col: str, text_col: str, block_terms: int) ->
 
 
 def _holding(index: Index, wanted: list[bytes]) -> dict[bytes, int]:
-    """How many documents hold each of the ``wanted`` terms; reads terms and begins only."""
+    """How many documents hold each of the ``wanted`` terms; reads no postings."""
     known = pa.array(wanted, pa.binary())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(len(known), np.int64)
         for b in batches:
-            for terms, begins in zip(b.column(0), b.column(1)):
-                at = pc.index_in(terms.values, known).to_numpy(zero_copy_only=False)
+            for terms, starts, begins in zip(*b.columns):
+                at = pc.index_in(_terms(terms, starts), known).to_numpy(zero_copy_only=False)
                 hit = np.flatnonzero(at == at)  # a term that isn't wanted has NaN
-                sums[at[hit].astype(np.int64)] += np.diff(begins.values.to_numpy())[hit]
+                sums[at[hit].astype(np.int64)] += np.diff(_numbers(begins))[hit]
         some = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sums[some])], ["term", "n"])
 
-    got = index.shards.select("terms", "begins").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    got = index.shards.select("terms", "starts", "begins").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
     return {wanted[r["term"]]: r["n"] for r in got.collect()}
 
 
@@ -204,12 +224,12 @@ def _scored(index: Index, block: Block, k: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for b in batches:
-            for _, ids, terms, begins, docs, impacts in zip(*b.columns):
+            for ids, terms, starts, begins, docs, impacts in zip(*b.columns):
                 absent = ids.values.is_null().to_numpy(zero_copy_only=False)
-                own, begins = ids.values.fill_null(0).to_numpy(), begins.values.to_numpy()
-                docs, impacts = docs.values.to_numpy(), impacts.values.to_numpy()
+                own, begins = ids.values.fill_null(0).to_numpy(), _numbers(begins)
+                docs, impacts = _numbers(docs, PLACE), _numbers(impacts)
                 # where each wanted term is in this shard, if it is
-                at = {j: i for i, j in enumerate(pc.index_in(terms.values, known).to_pylist()) if j is not None}
+                at = {j: i for i, j in enumerate(pc.index_in(_terms(terms, starts), known).to_pylist()) if j is not None}
                 scores = np.zeros(len(own), np.int64)
                 for q, named in asked:
                     here = [(j, at[j]) for j in named if j in at]

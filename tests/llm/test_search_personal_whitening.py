@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from helpers import EDGES, LONG, rows
 from helpers import docs as edges
@@ -58,6 +59,13 @@ def test_search_against_brute_force(spark, shard_postings, block_terms):
     assert listed(got) == sorted(brute_search(own, items))
 
 
+def test_a_group_of_rows_holds_one_shard(spark):
+    """Spark holds a group at once, so a file's shards must not share one."""
+    index = lexical.build(edges(spark, EDGES * 9).repartition(2), shard_postings=7)
+    files = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in index.shards.inputFiles()]
+    assert any(f.num_rows > 9 for f in files) and all(f.num_row_groups == f.num_rows for f in files)
+
+
 def asked_rank():
     from pyspark.sql import functions as F
 
